@@ -11,8 +11,8 @@ chain potentials join candidates that stand side by side, and skip potentials jo
 mentions of repeated or similar tokens (same digits, same address or its local part) however far
 apart. Inference is loopy sum-product with damping over the whole document; labels that a token
 cannot have (a card without a valid checksum, an address part above 255) are excluded beforehand.
-Weights are fitted by pseudo-likelihood on base labels of a bounded sample: the ``sample_docs``
-documents with candidates that come first by hash of their text. Marginals of at least
+Weights are fitted by pseudo-likelihood on base labels of a bounded sample: ``sample_docs`` documents
+with candidates are expected in it, chosen by hash of their text. Marginals of at least
 ``threshold`` add spans; base spans always stay.
 
 Edge cases: a null or empty text has no spans (digest of the empty string). Repeated rows get the
@@ -281,7 +281,7 @@ def added_spans(text: str, base: list[tuple[int, int, str]], model: dict[str, np
 
 
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
-    """Fit on the sample_docs documents with candidates that come first by text hash."""
+    """Fit on a sample of about sample_docs documents with candidates, chosen by text hash."""
 
     def make():
         def f(ids, texts):
@@ -299,9 +299,12 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
 
         return f
 
-    rows = annotate(df.where(F.col(text_col).rlike("[0-9@]")), id_col, text_col, [("row", T.StringType()), ("h", T.LongType())], make)
-    got = rows.where("row is not null").select("h", "row").orderBy("h", "row").limit(sample_docs).collect()
-    return fit([json.loads(r["row"]) for r in got])
+    some = df.where(F.col(text_col).rlike("[0-9@]"))
+    below = int(min(1.0, sample_docs / max(1, some.count())) * 2**32)
+    some = some.where(F.crc32(F.col(text_col).cast("binary")) < below) if below < 2**32 else some
+    rows = annotate(some, id_col, text_col, [("row", T.StringType()), ("h", T.LongType())], make)
+    got = rows.where("row is not null").select("h", "row").limit(2 * sample_docs).collect()
+    return fit([json.loads(r["row"]) for r in sorted(got)])
 
 
 def find_all(text: str, model: dict[str, np.ndarray], threshold: float) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routeloom.llm import bpe, pii, quality_rules
-from routeloom.llm.common import documents
+from routeloom.llm import bpe, language_id, pii, quality_classifier, quality_rules, sharding
+from routeloom.llm.common import documents, shared_dir
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
@@ -20,9 +28,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.compact_documents(documents(spark, sf_dir), shared_dir(spark, "shards"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_language_id": op3_language_id,
     "op5_bpe": op5_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op9_sharding": op9_sharding,
 }
 SQL: dict[str, str] = {}
