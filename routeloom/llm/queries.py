@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routeloom.llm import bpe, language_id, pii, quality_classifier, quality_rules, sharding
+from routeloom.llm import bpe, language_id, ngram_join, pii, quality_classifier, quality_rules, sharding
 from routeloom.llm.common import documents, shared_dir
 
 
@@ -24,6 +24,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
     "op5_bpe": op5_bpe,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
 }
