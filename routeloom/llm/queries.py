@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routeloom.llm import bpe, language_id, ngram_join, pii, quality_classifier, quality_rules, sharding
+from routeloom.llm import bpe, ctw, language_id, ngram_join, pii, quality_classifier, quality_rules, sharding
 from routeloom.llm.common import documents, shared_dir
 
 
@@ -20,6 +20,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
+    "op4_context_tree": op4_context_tree,
     "op5_bpe": op5_bpe,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_quality_rules": op8_quality_rules,
