@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routeloom.llm import bpe, ctw, language_id, ngram_join, pii, quality_classifier, quality_rules, sharding
+from routeloom.llm import bpe, ctw, language_id, ngram_join, pii, quality_classifier, quality_rules, sharding, suffix_dedup
 from routeloom.llm.common import documents, shared_dir
 
 
@@ -32,6 +32,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op4_context_tree": op4_context_tree,
     "op5_bpe": op5_bpe,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
 }
