@@ -81,6 +81,21 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables written to the shared folder under one name each, dropped when no longer needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, shared_dir(spark, "scratch")
+
+    def save(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_mod(col: str, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % m
@@ -175,4 +190,4 @@ def spans_union(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
-__all__ = ["ASCII_SPACE", "LOWER", "annotate", "as_bytes", "crc_mod", "crc_mod_py", "documents", "mix64", "prepare", "reliable", "same_schema", "shared_dir", "slices", "spans_union", "sys"]
+__all__ = ["ASCII_SPACE", "LOWER", "Scratch", "annotate", "as_bytes", "crc_mod", "crc_mod_py", "documents", "mix64", "prepare", "reliable", "same_schema", "shared_dir", "slices", "spans_union", "sys"]

@@ -2,12 +2,12 @@
 
 A document's set holds 64-bit hashes of its distinct 4-word shingles. Documents with equal sets
 collapse into one node at once (a group of exact copies costs one node). Tokens follow one global
-order, rare first, given by a fixed-size frequency sketch (2^16 counters, summed over all
+order, rare first, given by a fixed-size frequency sketch (2^20 counters, summed over all
 documents); any fixed order keeps the filter exact, the sketch only makes it selective.
 
 For a threshold of 85/100 a partner of a set of n tokens shares at least ceil(0.85 n) of them. With
 the prefix of n - ceil(0.85 n) + l first tokens, two linked sets share at least l prefix tokens.
-Each document picks its own l from 1 to 4: longer prefixes cost more postings but let fewer
+Each document picks its own l from 1 to 8: longer prefixes cost more postings but let fewer
 candidates through, and l is the one of least estimated cost. A pair must share as many prefix
 tokens as the smaller of its two l. Survivors are verified on their whole sets.
 
@@ -25,21 +25,26 @@ id takes part in links but never names a component, unless no member has an id (
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import LOWER, as_bytes, mix64, reliable, slices
+from routeloom.llm.common import LOWER, Scratch, as_bytes, mix64, reliable, slices
 from routeloom.llm.components import components
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
+CHUNK = 1 << 12  # counters of the sketch that travel together
 BITMAP = 1 << 24
-MAX_MATCHES = 4
-VERIFY_COST = 20.0
+WORDS = 1_000_000  # distinct words a worker remembers
+MAX_MATCHES = 8
+VERIFY_COST = 100.0  # of a candidate, in postings
 SLICE_BYTES = 4 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,16 +53,22 @@ class Shingler:
     """Distinct shingle hashes of documents; word hashes are cached within a bound."""
 
     def __init__(self, width: int = 4):
-        self.width, self.known = width, {}
+        self.width = width
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.hashes = np.zeros(0, np.uint64)
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.translate(LOWER).split() for t in texts]
         flat = [w for s in split for w in s]
-        if len(self.known) > 400_000:
-            self.known = {}
-        for w in set(flat).difference(self.known):
-            self.known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(self.known.__getitem__, flat), np.uint64, len(flat))
+        if len(self.number) > WORDS:
+            self._forget()
+        ids = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        new = islice(self.number, len(self.hashes), None)
+        self.hashes = np.concatenate((self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(self.number) - len(self.hashes))))
+        h = self.hashes[ids]
         k, out, at = self.width, [], 0
         full = np.zeros(0, np.uint64)
         if len(h) >= k:
@@ -87,7 +98,7 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def bucket_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(48)).astype(np.int64) & (BUCKETS - 1)
+    return (tokens >> np.uint64(44)).astype(np.int64)
 
 
 def overlap_needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -110,11 +121,11 @@ def prefix(tokens: np.ndarray, level: np.ndarray, freq: np.ndarray, percent: int
 
 
 def survey(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """kind 0: (id, size, node) of each row; kind 1: (bucket, count) of the frequency sketch."""
+    """kind 0: (id, size, node) of each row; kind 1: (chunk, counters) of the frequency sketch of a task."""
     kind = next(f.dataType.simpleString() for f in df.schema.fields if f.name == id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "n", "node"]
+        names = ["kind", "id", "n", "node", "counters"]
         sketch, make = np.zeros(BUCKETS, np.int64), Shingler(width)
         id_type = None
         for b in batches:
@@ -125,12 +136,29 @@ def survey(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 if sets:
                     sketch += np.bincount(bucket_of(np.concatenate(sets)), minlength=BUCKETS)
                 nodes = [node_of(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), ids[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], names=names)
-        hit = np.flatnonzero(sketch)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), ids[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(hi - lo, pa.binary())], names=names)
         if id_type is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hit), np.int32)), pa.nulls(len(hit), id_type), pa.array(sketch[hit]), pa.array(hit)], names=names)
+            blobs = [zstandard.ZstdCompressor(level=1).compress(c.astype("<i8").tobytes()) for c in sketch.reshape(-1, CHUNK)]
+            n = len(blobs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.array(np.arange(n)), pa.array(blobs, pa.binary())], names=names)
+
+    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"kind int, id {kind}, n bigint, node bigint, counters binary")
+
+
+def sketch_of(seen: DataFrame) -> np.ndarray:
+    """The summed frequency sketch: its size is fixed, each chunk of it is added up by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.minimum(v, 2**31 - 1).astype("<i4").tobytes() for v in sums.values()], pa.binary())], names=["node", "counters"])
 
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"kind int, id {kind}, n bigint, node bigint")
+    out = np.zeros(BUCKETS, np.int64)
+    for r in seen.where("kind = 1").select("node", "counters").repartition("node").mapInArrow(run, "node bigint, counters binary").collect():
+        out[r["node"] * CHUNK:(r["node"] + 1) * CHUNK] = np.frombuffer(r["counters"], "<i4")
+    return out
 
 
 def postings(df: DataFrame, text_col: str, width: int, percent: int, level: np.ndarray, freq: np.ndarray) -> DataFrame:
@@ -206,35 +234,37 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
-    seen = reliable(survey(df, id_col, text_col, width))
-    rows = seen.where("kind = 0").select("id", "n", "node")
-    sketch = np.zeros(BUCKETS, np.int64)
-    got = seen.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).toPandas()
-    sketch[got["node"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    scratch = Scratch(df.sparkSession)
+    seen = scratch.save("seen", survey(df, id_col, text_col, width))
+    rows = reliable(seen.where("kind = 0").select("id", "n", "node"))
+    sketch = sketch_of(seen)
+    scratch.drop("seen")
     floor = float(np.median(sketch))
     level = np.floor(np.log2(1 + sketch)).astype(np.int8)
     freq = np.maximum(1.0, sketch - 2 * floor)
 
-    posts = reliable(postings(df, text_col, width, percent, level, freq).dropDuplicates(["token", "node"]))
+    posts = scratch.save("posts", postings(df, text_col, width, percent, level, freq))
     tokens = posts.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("top")).where("leader < top").select("token", "leader")
-    shared = reliable(posts.join(tokens, "token"))
+    shared = scratch.save("shared", posts.join(tokens, "token").dropDuplicates(["token", "node"]))
+    scratch.drop("posts")
     # one leader a node: the one it shares most prefix tokens with
-    star = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
+    star = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"), F.min("l").alias("l")).where("c >= l")
     star = star.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("b")).select(F.col("node").alias("a"), "b")
     star = reliable(star)
-    sets = wanted_sets(df, text_col, width, star)
-    edges = reliable(verified(star, sets, percent))
+    edges = reliable(verified(star, wanted_sets(df, text_col, width, star), percent))
     root = components(edges)
     marked = shared.join(root, "node", "left").select("token", "node", "n", "l", F.coalesce("root", "node").alias("root"))
     mixed = marked.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token")
-    left = reliable(marked.join(mixed, "token"))
+    left = scratch.save("left", marked.join(mixed, "token"))
+    scratch.drop("shared")
     p, q = left.alias("p"), left.alias("q")
     cross = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")) & (F.col("p.n") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("p.n") * percent))
     pairs = cross.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("p.l", "q.l")).alias("l")).where("c >= l").select("a", "b")
     pairs = reliable(pairs)
-    more = verified(pairs, wanted_sets(df, text_col, width, pairs), percent)
-    all_edges = reliable(edges.unionByName(more))
-    root = components(all_edges) if more_than_none(all_edges) else root
+    scratch.drop("left")
+    if more_than_none(pairs):
+        edges = reliable(edges.unionByName(verified(pairs, wanted_sets(df, text_col, width, pairs), percent)))
+        root = components(edges)
     # the smallest id of a component, over all rows of all its nodes
     named = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.where("node is not null").groupBy("root").agg(F.min("id").alias("least"))
