@@ -299,3 +299,23 @@ def decode_column(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", p
         return lambda _, texts, ids: {out_col: [t.decode(np.array(x or [], "<u4").tobytes()) for x in ids]}
 
     return annotate(df.withColumn("__none", F.lit(None).cast("string")), id_col, "__none", [(out_col, T.StringType())], make, extra={"ids": F.col(ids_col)})
+
+
+def tokens_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """(id, ids, round_trip) for every row: the ids and whether they decode to the text."""
+    raw = shipped(df, path)
+
+    def make():
+        t = transducer(raw.value)
+
+        def f(_, texts):
+            plain = [x.decode("utf-8", "replace") for x in texts]
+            packed = t.encode(plain)
+            return {
+                "ids": [np.frombuffer(p, "<u4").astype(np.int32) for p in packed],
+                "round_trip": [t.decode(p) == x for p, x in zip(packed, plain, strict=True)],
+            }
+
+        return f
+
+    return annotate(df, id_col, text_col, [("ids", T.ArrayType(T.IntegerType())), ("round_trip", T.BooleanType())], make, SLICE_BYTES)

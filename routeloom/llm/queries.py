@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routeloom.llm import bpe, ctw, language_id, ngram_join, pii, quality_classifier, quality_rules, sharding, suffix_dedup
+from routeloom.llm import bpe, ctw, decontaminate, language_id, ngram_join, pii, quality_classifier, quality_rules, sharding, suffix_dedup
 from routeloom.llm.common import documents, shared_dir
 
 
@@ -44,6 +44,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.compact_documents(documents(spark, sf_dir), shared_dir(spark, "shards"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality_classifier": op2_quality_classifier,
@@ -54,5 +59,6 @@ QUERIES = {
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_sharding": op9_sharding,
+    "op10_decontamination": op10_decontamination,
 }
 SQL: dict[str, str] = {}
