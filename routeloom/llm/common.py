@@ -15,6 +15,7 @@ Conventions that every operator of this subpackage keeps:
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import tempfile
@@ -78,7 +79,15 @@ def reliable(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner see that finished stages' shuffle files are unreferenced."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 class Scratch:
@@ -89,6 +98,7 @@ class Scratch:
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:

@@ -4,7 +4,7 @@ Every 200-byte window selects one anchor, its leftmost smallest-hash 64-byte gra
 select anchors at the same offset. So it is enough to sort the suffixes at anchors, and of those only
 the ones whose gram occurs at least twice in the corpus:
 
-1. Documents are dealt into blocks and checkpointed once in that layout; nothing below shuffles text.
+1. Documents are dealt into blocks by hash; a block is the unit that is read, sorted and answered.
 2. Blocks send their distinct anchor grams by hash to routes, which answer with the repeated ones.
 3. A block sorts the suffixes (200 bytes) of its repeated anchors, collapses equal contexts, and sends
    one front-coded run to each route: common-prefix length with the predecessor and the rest, plus the
@@ -251,11 +251,12 @@ def dealt(df: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[
     size = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = df.select(F.col(id_col).alias("id"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), text, F.rand(17)), F.lit(blocks)).cast("int").alias("block"))
-    return reliable(docs.repartition(blocks, "block").withColumn("rid", F.monotonically_increasing_id())), blocks
+    # rid tells a block's documents apart; equal rows may share it, they lose the same bytes
+    block, rid = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(blocks)).cast("int"), F.xxhash64(text, F.col(id_col), F.lit(1))
+    return df.select(F.col(id_col).alias("id"), text.alias("text"), block.alias("block"), rid.alias("rid")), blocks
 
 
-def grams(docs: DataFrame, routes: int, anchors: Anchors) -> DataFrame:
+def grams(docs: DataFrame, blocks: int, routes: int, anchors: Anchors) -> DataFrame:
     """(block, route, run): distinct anchor grams of a block with 1 or 2 (twice or more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +277,7 @@ def grams(docs: DataFrame, routes: int, anchors: Anchors) -> DataFrame:
                 if len(part):
                     yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([r], pa.int32()), pa.array([len(part)], pa.int64()), pa.array([h[part].tobytes() + np.minimum(n[part], 2).astype(np.uint8).tobytes()], pa.binary())], names=["block", "route", "n", "run"])
 
-    return docs.select("block", "text").mapInArrow(run, "block int, route int, n bigint, run binary")
+    return docs.select("block", "text").repartition(blocks, "block").mapInArrow(run, "block int, route int, n bigint, run binary")
 
 
 def repeated(runs: DataFrame) -> DataFrame:
@@ -311,7 +312,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reach = anchors.window - 1
     docs, blocks = dealt(df, id_col, text_col, block_bytes)
     routes = min(4096, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks))
-    found = reliable(repeated(grams(docs, routes, anchors).repartition(routes, "route")))
+    found = reliable(repeated(grams(docs, blocks, routes, anchors).repartition(routes, "route")))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"block": [], "route": [], "run": []}
