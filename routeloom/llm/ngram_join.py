@@ -11,11 +11,12 @@ Each document picks its own l from 1 to 8: longer prefixes cost more postings bu
 candidates through, and l is the one of least estimated cost. A pair must share as many prefix
 tokens as the smaller of its two l. Survivors are verified on their whole sets.
 
-Groups of near copies are settled without their pairs: first every node is verified against one
-leader, the smallest node that shares most prefix tokens with it, and components are formed; then
-only pairs of *different* components that pass the multi-match test are verified, all of them, so no
-link between different components is lost. The leader of a token is a partial aggregate, and joins
-on tokens are ordinary equi-joins that adaptive execution can split.
+Groups of near copies are settled without their pairs: first every node is verified against the few
+leaders, drawn from each token's nodes, with which it shares most prefix tokens, and components are
+formed; then only pairs of *different* components that pass the multi-match test are verified, all
+of them, so no link between different components is lost. For a pair's sizes both prefixes are cut
+to what that pair's least overlap needs. Leaders are partial aggregates, and joins on tokens are
+ordinary equi-joins that adaptive execution can split.
 
 Edge cases: null or empty text and text without words has an empty set, 0 shingles and itself as
 component. Fewer than four words make one token. Repeated rows are each returned. A row without an
@@ -33,15 +34,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import LOWER, Scratch, as_bytes, mix64, reliable, slices
+from routeloom.llm.common import LOWER, Scratch, as_bytes, crc_mod_py, mix64, reliable, slices
 from routeloom.llm.components import components
 
 BUCKETS = 1 << 20
 CHUNK = 1 << 12  # counters of the sketch that travel together
 BITMAP = 1 << 24
+LEADERS = 4  # nodes of a token that its others are tried with first
 WORDS = 1_000_000  # distinct words a worker remembers
 MAX_MATCHES = 8
 VERIFY_COST = 100.0  # of a candidate, in postings
@@ -105,19 +107,28 @@ def overlap_needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * n // 100)
 
 
+def pair_overlap(a: int, b: int, percent: int) -> int:
+    """Least intersection of two linked sets of these sizes."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
 def prefix(tokens: np.ndarray, level: np.ndarray, freq: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The chosen prefix of a set and its number of required matches."""
+    """The chosen prefix of a set and its number of required matches.
+
+    The cost of l counts the postings of the prefix against a partner of equal size, the common case.
+    """
     n = len(tokens)
     b = bucket_of(tokens)
-    order = np.lexsort((tokens, level[b]))
+    order = np.argsort((level[b].astype(np.uint64) << np.uint64(58)) | (tokens >> np.uint64(6)), kind="stable")
     need = overlap_needed(n, percent)
-    base, most = n - need, min(MAX_MATCHES, need)
-    lists = np.cumsum(freq[b[order[: base + most]]])
+    most = min(MAX_MATCHES, need)
+    short = n - pair_overlap(n, n, percent)
+    lists = np.cumsum(freq[b[order[: short + most]]])
     l = np.arange(1, most + 1)
-    reach = lists[base + l - 1]
-    cost = reach + VERIFY_COST * (reach - (base + l)) / l
+    reach = lists[short + l - 1]
+    cost = reach + VERIFY_COST * (reach - (short + l)) / l
     best = int(cost.argmin()) + 1
-    return tokens[order[: base + best]], best
+    return tokens[order[: n - need + best]], best
 
 
 def survey(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -162,7 +173,7 @@ def sketch_of(seen: DataFrame) -> np.ndarray:
 
 
 def postings(df: DataFrame, text_col: str, width: int, percent: int, level: np.ndarray, freq: np.ndarray) -> DataFrame:
-    """(token, node, n, l) for the chosen prefix of each node, once a node and task."""
+    """(token, node, n, l, pos) for the chosen prefix of each node, once a node and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen = Shingler(width), set()
@@ -181,21 +192,20 @@ def postings(df: DataFrame, text_col: str, width: int, percent: int, level: np.n
                 if rows:
                     r = np.array(rows, np.int64)
                     rep = np.repeat(r[:, :3], r[:, 3], axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), pa.array(rep[:, 0]), pa.array(rep[:, 1].astype(np.int32)), pa.array(rep[:, 2].astype(np.int32))], names=["token", "node", "n", "l"])
-
-    return df.select(F.col(text_col).cast("string")).mapInArrow(run, "token bigint, node bigint, n int, l int")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), pa.array(rep[:, 0]), pa.array(rep[:, 1].astype(np.int32)), pa.array(rep[:, 2].astype(np.int32)), pa.array(np.concatenate([np.arange(len(x), dtype=np.int32) for x in tok]))], names=["token", "node", "n", "l", "pos"])
 
+    return df.select(F.col(text_col).cast("string")).mapInArrow(run, "token bigint, node bigint, n int, l int, pos int")
 
-def bit_of(nodes: np.ndarray) -> np.ndarray:
-    return (nodes.view(np.uint64) % np.uint64(BITMAP)).astype(np.int64)
 
+def wanted_sets(df: DataFrame, id_col: str, text_col: str, width: int, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, tokens) of the nodes in pairs.
 
-def wanted_sets(df: DataFrame, text_col: str, width: int, pairs: DataFrame) -> DataFrame:
-    """(node, tokens) of the nodes in pairs. A fixed-size bitmap lets tasks skip most others."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # pmod of the signed value equals the unsigned remainder: 2^24 divides 2^64
-    spot = f"pmod(node, {BITMAP}L)"
-    words = nodes.selectExpr(f"cast({spot} div 32 as int) w", f"shiftleft(1L, cast({spot} % 32 as int)) bit").groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    One row of each node is needed; a fixed-size bitmap over their ids lets tasks skip most others.
+    """
+    nodes = reliable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    ids = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    spot = f"crc32(cast(coalesce(cast(id as string), '') as binary)) % {BITMAP}"
+    words = ids.selectExpr(f"cast({spot} div 32 as int) w", f"shiftleft(1L, cast({spot} % 32 as int)) bit").groupBy("w").agg(F.bit_or("bit").alias("bits"))
     table = np.zeros(BITMAP // 32, np.uint32)
     got = words.toPandas()
     table[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
@@ -204,22 +214,21 @@ def wanted_sets(df: DataFrame, text_col: str, width: int, pairs: DataFrame) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen, bits = Shingler(width), set(), shared.value
         for b in batches:
-            texts = as_bytes(b.column(0))
+            spots = np.fromiter((crc_mod_py(i, BITMAP) for i in b.column(0).to_pylist()), np.int64, b.num_rows)
+            hit = bits[spots >> 5] >> (spots & 31).astype(np.uint32) & np.uint32(1)
+            texts = as_bytes(b.column(1).filter(pa.array(hit.astype(bool))))
             for lo, hi in slices(texts, SLICE_BYTES):
                 keep, sets = [], []
                 for s in make.sets(texts[lo:hi]):
-                    if not len(s):
-                        continue
-                    node = node_of(s)
-                    spot = (node % (1 << 64)) % BITMAP
-                    if node not in seen and bits[spot >> 5] >> np.uint32(spot & 31) & np.uint32(1):
+                    node = node_of(s) if len(s) else None
+                    if node is not None and node not in seen:
                         seen.add(node)
                         keep.append(node)
                         sets.append(s.view(np.int64))
                 if keep:
                     yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    sets = df.select(F.col(text_col).cast("string")).mapInArrow(run, "node bigint, tokens array<bigint>")
+    sets = df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, "node bigint, tokens array<bigint>")
     return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -244,26 +253,35 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     freq = np.maximum(1.0, sketch - 2 * floor)
 
     posts = scratch.save("posts", postings(df, text_col, width, percent, level, freq))
-    tokens = posts.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("top")).where("leader < top").select("token", "leader")
+    # of a token's nodes, LEADERS drawn by different hashes; each is a partial aggregate
+    drawn = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"d{k}") for k in range(LEADERS)]
+    tokens = posts.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("top"), *drawn).where("low < top")
+    tokens = tokens.select("token", F.array_distinct(F.array(*[f"d{k}" for k in range(LEADERS)])).alias("leaders"))
     shared = scratch.save("shared", posts.join(tokens, "token").dropDuplicates(["token", "node"]))
     scratch.drop("posts")
-    # one leader a node: the one it shares most prefix tokens with
-    star = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"), F.min("l").alias("l")).where("c >= l")
-    star = star.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("b")).select(F.col("node").alias("a"), "b")
+    # the leaders with which a node shares most prefix tokens
+    star = shared.select("node", "l", F.explode("leaders").alias("leader")).where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"), F.min("l").alias("l")).where("c >= l")
+    best = Window.partitionBy("node").orderBy(F.col("c").desc(), "leader")
+    star = star.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     star = reliable(star)
-    edges = reliable(verified(star, wanted_sets(df, text_col, width, star), percent))
+    edges = reliable(verified(star, wanted_sets(df, id_col, text_col, width, rows, star), percent))
     root = components(edges)
-    marked = shared.join(root, "node", "left").select("token", "node", "n", "l", F.coalesce("root", "node").alias("root"))
+    marked = shared.drop("leaders").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = marked.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token")
     left = scratch.save("left", marked.join(mixed, "token"))
     scratch.drop("shared")
     p, q = left.alias("p"), left.alias("q")
-    cross = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")) & (F.col("p.n") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("p.n") * percent))
-    pairs = cross.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("p.l", "q.l")).alias("l")).where("c >= l").select("a", "b")
+    # for this pair's sizes both prefixes can be cut to what its own least overlap needs
+    need = F.expr(f"cast(ceil({percent} * (p.n + q.n) / {100 + percent}.0D - 1e-9D) as int)")
+    l = F.least("p.l", "q.l")
+    fits = (F.col("p.pos") < F.col("p.n") - need + l) & (F.col("q.pos") < F.col("q.n") - need + l)
+    size = (F.col("p.n") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("p.n") * percent)
+    cross = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")) & size & fits)
+    pairs = cross.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.count("*").alias("c"), F.min(l).alias("l")).where("c >= l").select("a", "b")
     pairs = reliable(pairs)
     scratch.drop("left")
     if more_than_none(pairs):
-        edges = reliable(edges.unionByName(verified(pairs, wanted_sets(df, text_col, width, pairs), percent)))
+        edges = reliable(edges.unionByName(verified(pairs, wanted_sets(df, id_col, text_col, width, rows, pairs), percent)))
         root = components(edges)
     # the smallest id of a component, over all rows of all its nodes
     named = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
