@@ -79,9 +79,8 @@ def reliable(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
-    out = df.checkpoint(eager=True)
-    release(df.sparkSession)
-    return out
+    release(df.sparkSession)  # of what the previous step still held when it returned
+    return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
@@ -97,8 +96,8 @@ class Scratch:
         self.spark, self.root = spark, shared_dir(spark, "scratch")
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
         release(self.spark)
+        df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routeloom.llm.common import LOWER, as_bytes, crc_mod, reliable, slices
+from routeloom.llm.common import LOWER, as_bytes, crc_mod, release, reliable, slices
 
 DEPTH = 5
 BLOCK_BYTES = 16 << 20
@@ -394,6 +394,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     distinct = int(sum(v for _, v in head[2])) + (n_train > 0)
     log_total = math.log10(n_words + 0.5 * (distinct + 1))
     end_term = math.log10(n_train + 0.5) - log_total
+    release(spark)
     replies = answers(by_route, depth, top, log_total)
     kind = next(f.dataType for f in df.schema.fields if f.name == id_col)
     schema = T.StructType([

@@ -37,14 +37,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import LOWER, Scratch, as_bytes, crc_mod_py, mix64, reliable, slices
+from routeloom.llm.common import LOWER, Scratch, as_bytes, crc_mod_py, mix64, release, reliable, slices
 from routeloom.llm.components import components
 
 BUCKETS = 1 << 20
 CHUNK = 1 << 12  # counters of the sketch that travel together
 BITMAP = 1 << 24
 LEADERS = 4  # nodes of a token that its others are tried with first
-WORDS = 1_000_000  # distinct words a worker remembers
+WORDS = 300_000  # distinct words a worker remembers
 MAX_MATCHES = 8
 VERIFY_COST = 100.0  # of a candidate, in postings
 SLICE_BYTES = 4 << 20
@@ -283,6 +283,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     if more_than_none(pairs):
         edges = reliable(edges.unionByName(verified(pairs, wanted_sets(df, id_col, text_col, width, rows, pairs), percent)))
         root = components(edges)
+    release(df.sparkSession)
     # the smallest id of a component, over all rows of all its nodes
     named = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.where("node is not null").groupBy("root").agg(F.min("id").alias("least"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routeloom.llm.common import as_bytes, mix64, reliable, slices, spans_union
+from routeloom.llm.common import as_bytes, mix64, release, reliable, slices, spans_union
 
 LENGTH = 200
 GRAM = 64
@@ -395,4 +395,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         cols = [left.column("id").cast(arrow.field(0).type), *[pa.chunked_array([pa.array(c, arrow.field(i + 1).type)]) for i, c in enumerate(rows[: len(arrow) - 1])]]
         return pa.Table.from_arrays(cols, schema=arrow)
 
+    release(df.sparkSession)
     return docs.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(strip, schema)
