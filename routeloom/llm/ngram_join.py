@@ -232,6 +232,20 @@ def wanted_sets(df: DataFrame, id_col: str, text_col: str, width: int, rows: Dat
     return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
+def hopeful(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes share enough for the rest to reach the threshold; loses no link.
+
+    Beyond the prefix that ends first in the token order, its set has overlap_needed(n) - l tokens
+    left, so the intersection is at most the prefixes' own plus that many.
+    """
+    x = prefixes.select(F.col("node").alias("a"), F.col("tokens").alias("x"), F.col("n").alias("na"), F.col("l").alias("la"))
+    y = prefixes.select(F.col("node").alias("b"), F.col("tokens").alias("y"), F.col("n").alias("nb"), F.col("l").alias("lb"))
+    need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    rest = lambda n, l: F.expr(f"({percent} * {n} + 99) div 100 - {l}")
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(x, "a").join(y, "b").where(both + F.greatest(rest("na", "la"), rest("nb", "lb")) >= need).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
@@ -259,11 +273,14 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     tokens = tokens.select("token", F.array_distinct(F.array(*[f"d{k}" for k in range(LEADERS)])).alias("leaders"))
     shared = scratch.save("shared", posts.join(tokens, "token").dropDuplicates(["token", "node"]))
     scratch.drop("posts")
-    # the leaders with which a node shares most prefix tokens
-    star = shared.select("node", "l", F.explode("leaders").alias("leader")).where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"), F.min("l").alias("l")).where("c >= l")
+    prefixes = scratch.save("prefixes", shared.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"), F.first("l").alias("l")))
+    # the leaders with which a node shares most prefix tokens, and a good part of its prefix: what
+    # this first step leaves out the second one finds
+    star = shared.select("node", "n", "l", F.explode("leaders").alias("leader")).where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("l").alias("l"))
+    star = star.where(f"c >= l and 4 * c >= n - ({percent} * n + 99) div 100 + l")
     best = Window.partitionBy("node").orderBy(F.col("c").desc(), "leader")
     star = star.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    star = reliable(star)
+    star = reliable(hopeful(star, prefixes, percent))
     edges = reliable(verified(star, wanted_sets(df, id_col, text_col, width, rows, star), percent))
     root = components(edges)
     marked = shared.drop("leaders").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -278,8 +295,9 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     size = (F.col("p.n") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("p.n") * percent)
     cross = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")) & size & fits)
     pairs = cross.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.count("*").alias("c"), F.min(l).alias("l")).where("c >= l").select("a", "b")
-    pairs = reliable(pairs)
+    pairs = reliable(hopeful(pairs, prefixes, percent))
     scratch.drop("left")
+    scratch.drop("prefixes")
     if more_than_none(pairs):
         edges = reliable(edges.unionByName(verified(pairs, wanted_sets(df, id_col, text_col, width, rows, pairs), percent)))
         root = components(edges)
