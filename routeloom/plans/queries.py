@@ -354,3 +354,59 @@ def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = spark.createDataFrame([("GET", "/view/{id}")], "method string, path_pattern string")
     return events(spark, sf_dir).join(F.broadcast(gone), ["method", "path_pattern"], "left_anti").groupBy("method", "path_pattern").agg(F.count("*").alias("seen"))
+
+
+@query("n2_schema_doc")
+def n2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested request schema of every endpoint as JSON, built group by group on the executors."""
+    import json
+
+    import pandas as pd
+
+    from routeloom.export.schema import nest
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc = nest(pdf.to_dict("records"), "request")
+        return pd.DataFrame([(pdf["method"].iloc[0], pdf["path_pattern"].iloc[0], json.dumps(doc, sort_keys=True))], columns=["method", "path_pattern", "schema"])
+
+    return fold.fields(orders(spark, sf_dir)).groupBy("method", "path_pattern").applyInPandas(build, "method string, path_pattern string, schema string")
+
+
+@query("g1_spec_diff", f"WITH {A.EVENTS_SQL}, {A.SCANNED_SQL} SELECT DISTINCT d.method, d.path_pattern FROM ded d WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.method = d.method AND e.path_pattern = d.path_pattern)")
+def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations that an add-only merge would add: an anti join on (path, method)."""
+    have = events(spark, sf_dir).select("method", "path_pattern").distinct()
+    return A.scanned_nations(spark, sf_dir).select("method", "path_pattern").distinct().join(have, ["method", "path_pattern"], "left_anti")
+
+
+@query("g2_collection_diff", f"WITH {A.SCANNED_SQL}, old AS (SELECT method, path_pattern, description AS body FROM ded WHERE method = 'GET'), new AS (SELECT method, path_pattern, '' AS body FROM ded) SELECT n.method, n.path_pattern, CASE WHEN o.method IS NULL THEN 'added' WHEN o.body = n.body THEN 'unchanged' ELSE 'conflict' END AS state FROM new n LEFT JOIN old o USING (method, path_pattern)")
+def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-way diff of items by key and body text: one outer join."""
+    rows = catalog.dedupe_scanned(A.scanned_nations(spark, sf_dir))
+    old = rows.where("method = 'GET'").select("method", "path_pattern", F.col("description").alias("old"))
+    state = F.when(F.col("old").isNull(), "added").when(F.col("old") == "", "unchanged").otherwise("conflict")
+    return rows.select("method", "path_pattern").join(old, ["method", "path_pattern"], "left").select("method", "path_pattern", state.alias("state"))
+
+
+@query("e1_openapi")
+def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of the OpenAPI document of the event traffic, one row each."""
+    import json
+
+    from routeloom.export import documents
+
+    obs = infer.observe(A.pairs_events(spark, sf_dir))
+    doc = documents.openapi(catalog.export_rows(catalog.reconcile(fold.endpoints(obs), catalog.dedupe_scanned(A.scanned_nations(spark, sf_dir))), obs), documents.Options(min_calls=1))
+    rows = [(p, m, json.dumps(op, sort_keys=True)) for p, item in doc["paths"].items() for m, op in item.items()]
+    return spark.createDataFrame(rows, "path string, method string, operation string")
+
+
+@query("x_scan")
+def x_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes extracted from generated source files, one for each nation and framework family."""
+    from routeloom.scan import runner
+
+    n = F.col("n_nationkey").cast("string")
+    text = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("app.get('/nations/"), n, F.lit("/:id', f)\napp.post('/nations', g)\n"))).otherwise(F.concat(F.lit("@app.get(\"/n/"), n, F.lit("/{id}\")\ndef f(id: int):\n    pass\n")))
+    files = A.table(spark, sf_dir, "nation").select(F.concat(F.lit("src/f"), n, F.when(F.col("n_nationkey") % 2 == 0, ".js").otherwise(".py")).alias("path"), text.alias("content"))
+    return runner.scan(files, ["express", "fastapi"]).select("method", "path_pattern", "framework", "source_file", "source_line")
