@@ -40,7 +40,7 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     """(path relative to root, content) of a tree; text is read whole, unreadable files are skipped."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(root)
     top = re.escape(root.rstrip("/").rpartition("/")[2])
-    return raw.select(F.regexp_replace("path", f"^.*?/{top}/", "").alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    return raw.select(F.regexp_replace("path", f"^.*?/{top}/", "").alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
 def manifests(files: DataFrame) -> DataFrame:
