@@ -293,12 +293,13 @@ def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def decode_column(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None, out_col: str = "text") -> DataFrame:
     """The text of every row's ids; null ids give an empty text."""
     raw = shipped(df, path)
+    df = df.withColumn("__none", F.lit(None).cast("string"))
 
     def make():
         t = transducer(raw.value)
         return lambda _, texts, ids: {out_col: [t.decode(np.array(x or [], "<u4").tobytes()) for x in ids]}
 
-    return annotate(df.withColumn("__none", F.lit(None).cast("string")), id_col, "__none", [(out_col, T.StringType())], make, extra={"ids": F.col(ids_col)})
+    return annotate(df, id_col, "__none", [(out_col, T.StringType())], make, extra={"ids": F.col(ids_col)})
 
 
 def tokens_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:

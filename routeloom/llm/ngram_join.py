@@ -43,7 +43,8 @@ from routeloom.llm.components import components
 BUCKETS = 1 << 20
 CHUNK = 1 << 12  # counters of the sketch that travel together
 BITMAP = 1 << 24
-LEADERS = 4  # nodes of a token that its others are tried with first
+LEADERS = 6  # nodes of a token that its others are tried with first
+ROUNDS = 4  # of drawing leaders, before the exact step
 WORDS = 300_000  # distinct words a worker remembers
 MAX_MATCHES = 8
 VERIFY_COST = 100.0  # of a candidate, in postings
@@ -255,6 +256,22 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.where(both * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def leader_pairs(left: DataFrame, percent: int, k: int) -> DataFrame:
+    """(a, b): each node with the drawn leaders of other components that share most of its prefix tokens.
+
+    left: token, node, n, l, root. Each token draws LEADERS of its nodes by hashes of this round; the
+    draws are partial aggregates. Only a good part of the prefix counts: this step is a shortcut.
+    """
+    drawn = [F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k * LEADERS + j))).alias(f"d{j}") for j in range(LEADERS)]
+    table = left.groupBy("token").agg(*drawn).select("token", F.array_distinct(F.array(*[f"d{j}" for j in range(LEADERS)])).alias("drawn"))
+    star = left.join(table, "token").select("node", "n", "l", "root", F.explode("drawn").alias("d")).where("root <> d.root")
+    star = star.groupBy("node", F.col("d.node").alias("leader")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("l").alias("l"))
+    star = star.where(f"c >= l and 4 * c >= n - ({percent} * n + 99) div 100 + l")
+    best = Window.partitionBy("node").orderBy(F.col("c").desc(), "leader")
+    star = star.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS)
+    return star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+
+
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
     scratch = Scratch(df.sparkSession)
@@ -267,26 +284,29 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     freq = np.maximum(1.0, sketch - 2 * floor)
 
     posts = scratch.save("posts", postings(df, text_col, width, percent, level, freq))
-    # of a token's nodes, LEADERS drawn by different hashes; each is a partial aggregate
-    drawn = [F.min_by("node", F.xxhash64("node", F.lit(k))).alias(f"d{k}") for k in range(LEADERS)]
-    tokens = posts.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("top"), *drawn).where("low < top")
-    tokens = tokens.select("token", F.array_distinct(F.array(*[f"d{k}" for k in range(LEADERS)])).alias("leaders"))
-    shared = scratch.save("shared", posts.join(tokens, "token").dropDuplicates(["token", "node"]))
+    common = posts.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("token")
+    shared = scratch.save("shared", posts.join(common, "token").dropDuplicates(["token", "node"]))
     scratch.drop("posts")
     prefixes = scratch.save("prefixes", shared.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"), F.first("l").alias("l")))
-    # the leaders with which a node shares most prefix tokens, and a good part of its prefix: what
-    # this first step leaves out the second one finds
-    star = shared.select("node", "n", "l", F.explode("leaders").alias("leader")).where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("l").alias("l"))
-    star = star.where(f"c >= l and 4 * c >= n - ({percent} * n + 99) div 100 + l")
-    best = Window.partitionBy("node").orderBy(F.col("c").desc(), "leader")
-    star = star.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    star = reliable(hopeful(star, prefixes, percent))
-    edges = reliable(verified(star, wanted_sets(df, id_col, text_col, width, rows, star), percent))
-    root = components(edges)
-    marked = shared.drop("leaders").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = marked.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token")
-    left = scratch.save("left", marked.join(mixed, "token"))
-    scratch.drop("shared")
+    edges, sets, root = None, None, None
+    left = shared.withColumn("root", F.col("node"))
+    for k in range(ROUNDS):
+        star = reliable(hopeful(leader_pairs(left, percent, k), prefixes, percent))
+        if sets is None:
+            sets = scratch.save("sets", wanted_sets(df, id_col, text_col, width, rows, star))
+        # later rounds only use sets at hand: what they leave out the exact step below finds
+        new = verified(star, sets, percent)
+        new = reliable(new)
+        if root is not None and not more_than_none(new):
+            break
+        edges = new if edges is None else reliable(edges.unionByName(new))
+        root = components(edges)
+        marked = shared.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = marked.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token")
+        left = scratch.save(f"left{k}", marked.join(mixed, "token"))
+        if k:
+            scratch.drop(f"left{k - 1}")
+    scratch.drop("sets")
     p, q = left.alias("p"), left.alias("q")
     # for this pair's sizes both prefixes can be cut to what its own least overlap needs
     need = F.expr(f"cast(ceil({percent} * (p.n + q.n) / {100 + percent}.0D - 1e-9D) as int)")
@@ -296,8 +316,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     cross = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")) & size & fits)
     pairs = cross.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.count("*").alias("c"), F.min(l).alias("l")).where("c >= l").select("a", "b")
     pairs = reliable(hopeful(pairs, prefixes, percent))
-    scratch.drop("left")
-    scratch.drop("prefixes")
+    for name in ("shared", "prefixes", *[f"left{k}" for k in range(ROUNDS)]):
+        scratch.drop(name)
     if more_than_none(pairs):
         edges = reliable(edges.unionByName(verified(pairs, wanted_sets(df, id_col, text_col, width, rows, pairs), percent)))
         root = components(edges)
