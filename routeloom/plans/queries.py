@@ -358,18 +358,20 @@ def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("n2_schema_doc")
 def n2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested request schema of every endpoint as JSON, built group by group on the executors."""
+    """Nested request schema of every endpoint as JSON, built in Arrow batches on the executors."""
     import json
 
     import pandas as pd
 
     from routeloom.export.schema import nest
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc = nest(pdf.to_dict("records"), "request")
-        return pd.DataFrame([(pdf["method"].iloc[0], pdf["path_pattern"].iloc[0], json.dumps(doc, sort_keys=True))], columns=["method", "path_pattern", "schema"])
+    @F.pandas_udf("string")
+    def build(packed: pd.Series) -> pd.Series:
+        return packed.map(lambda rows: json.dumps(nest(json.loads(rows), "request"), sort_keys=True))
 
-    return fold.fields(orders(spark, sf_dir)).groupBy("method", "path_pattern").applyInPandas(build, "method string, path_pattern string, schema string")
+    rows = F.to_json(F.collect_list(F.struct("location", "field_path", "seen_count", "total_calls", "type_json")))
+    packed = fold.fields(orders(spark, sf_dir)).groupBy("method", "path_pattern").agg(rows.alias("rows"))
+    return packed.select("method", "path_pattern", build("rows").alias("schema"))
 
 
 @query("g1_spec_diff", f"WITH {A.EVENTS_SQL}, {A.SCANNED_SQL} SELECT DISTINCT d.method, d.path_pattern FROM ded d WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.method = d.method AND e.path_pattern = d.path_pattern)")
