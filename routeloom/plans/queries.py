@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return infer.observe(A.pairs_orders(spark, sf_dir))
+    """The observation log of orders, materialised once as a store would; equal plans share it."""
+    return infer.observe(A.pairs_orders(spark, sf_dir)).cache()
 
 
 @query("p1_segment_rules", f"WITH s AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS s FROM documents) SELECT s AS segment, {A.SEGMENT_SQL} AS pattern, count(*) AS n FROM s GROUP BY 1, 2")
@@ -361,8 +363,6 @@ def n2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested request schema of every endpoint as JSON, built in Arrow batches on the executors."""
     import json
 
-    import pandas as pd
-
     from routeloom.export.schema import nest
 
     @F.pandas_udf("string")
@@ -397,7 +397,7 @@ def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from routeloom.export import documents
 
-    obs = infer.observe(A.pairs_events(spark, sf_dir))
+    obs = infer.observe(A.pairs_events(spark, sf_dir)).cache()
     doc = documents.openapi(catalog.export_rows(catalog.reconcile(fold.endpoints(obs), catalog.dedupe_scanned(A.scanned_nations(spark, sf_dir))), obs), documents.Options(min_calls=1))
     rows = [(p, m, json.dumps(op, sort_keys=True)) for p, item in doc["paths"].items() for m, op in item.items()]
     return spark.createDataFrame(rows, "path string, method string, operation string")
