@@ -14,7 +14,8 @@ tokens as the smaller of its two l. Survivors are verified on their whole sets.
 Groups of near copies are settled without their pairs: first every node is verified against the few
 leaders, drawn from each token's nodes, with which it shares most prefix tokens, and components are
 formed; then only pairs of *different* components that pass the multi-match test are verified, all
-of them, so no link between different components is lost. For a pair's sizes both prefixes are cut
+of them, so no link between different components is lost. Pairs of a token with many nodes are
+compared inside one task and become rows only if they pass the prefix bound. For a pair's sizes both prefixes are cut
 to what that pair's least overlap needs. Leaders are partial aggregates, and joins on tokens are
 ordinary equi-joins that adaptive execution can split.
 
@@ -44,7 +45,9 @@ BUCKETS = 1 << 20
 CHUNK = 1 << 12  # counters of the sketch that travel together
 BITMAP = 1 << 24
 LEADERS = 6  # nodes of a token that its others are tried with first
-ROUNDS = 4  # of drawing leaders, before the exact step
+ROUNDS = 2  # of drawing leaders, before the exact step
+CROWD = 64  # nodes of a token from which its pairs are filtered inside a task
+BLOCK = 512  # rows of a crowded token compared at once
 WORDS = 300_000  # distinct words a worker remembers
 MAX_MATCHES = 8
 VERIFY_COST = 100.0  # of a candidate, in postings
@@ -272,6 +275,59 @@ def leader_pairs(left: DataFrame, percent: int, k: int) -> DataFrame:
     return star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
+def crowded_pairs(many: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that share a token of many nodes and may reach the threshold.
+
+    A token's nodes are compared inside one task, by products of 0/1 matrices of their crowded
+    tokens, so that only pairs that pass the prefix bound become rows, each at its first such token.
+    Tokens of few nodes can add at most the smaller number of them to what a pair shares.
+    """
+    own = many.groupBy("node").agg(F.collect_list("token").alias("crowd"))
+    extra = prefixes.select("node", F.size("tokens").alias("shared"))
+    rows = many.select("token", "node", "n", "l", "root").join(own, "node").join(extra, "node")
+    rows = rows.select("token", "node", "n", "l", "root", (F.col("shared") - F.size("crowd")).alias("few"), "crowd").repartition("token").sortWithinPartitions("token")
+
+    def group(token: int, node: list, n: list, l: list, root: list, few: list, crowd: list) -> list[tuple[int, int]]:
+        node, n, l, root, few = (np.array(x, np.int64) for x in (node, n, l, root, few))
+        size = np.array([len(c) for c in crowd])
+        flat, owner = np.concatenate([np.array(c, np.int64) for c in crowd]), np.repeat(np.arange(len(node)), size)
+        names, code = np.unique(flat, return_inverse=True)
+        matrix = np.zeros((len(node), len(names)), np.float32)
+        matrix[owner, code] = 1
+        before = matrix[:, names < token]
+        rest = (percent * n + 99) // 100 - l
+        out = []
+        for lo in range(0, len(node), BLOCK):
+            i = np.arange(lo, min(lo + BLOCK, len(node)))
+            both = (matrix[i] @ matrix.T).astype(np.int64) + np.minimum(few[i][:, None], few[None, :])
+            need = (percent * (n[i][:, None] + n[None, :]) + 99 + percent) // (100 + percent)
+            ok = (both + np.maximum(rest[i][:, None], rest[None, :]) >= need) & (root[i][:, None] < root[None, :])
+            ok &= (n[i][:, None] * 100 >= n[None, :] * percent) & (n[None, :] * 100 >= n[i][:, None] * percent)
+            if before.shape[1]:
+                ok &= before[i] @ before.T == 0
+            x, y = np.nonzero(ok)
+            out += zip(node[i[x]].tolist(), node[y].tolist(), strict=True)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            found = group(token, *zip(*held, strict=True)) if len(held) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            for t, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if t != token:
+                    yield from done()
+                    token, held = t, []
+                held.append(row)
+        yield from done()
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
     scratch = Scratch(df.sparkSession)
@@ -307,14 +363,17 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
         if k:
             scratch.drop(f"left{k - 1}")
     scratch.drop("sets")
-    p, q = left.alias("p"), left.alias("q")
+    sizes = left.groupBy("token").agg(F.count("*").alias("m"))
+    few = left.join(sizes.where(F.col("m") <= CROWD), "token")
+    many = left.join(sizes.where(F.col("m") > CROWD), "token")
+    p, q = few.alias("p"), few.alias("q")
     # for this pair's sizes both prefixes can be cut to what its own least overlap needs
     need = F.expr(f"cast(ceil({percent} * (p.n + q.n) / {100 + percent}.0D - 1e-9D) as int)")
     l = F.least("p.l", "q.l")
     fits = (F.col("p.pos") < F.col("p.n") - need + l) & (F.col("q.pos") < F.col("q.n") - need + l)
     size = (F.col("p.n") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("p.n") * percent)
     cross = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")) & size & fits)
-    pairs = cross.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(F.count("*").alias("c"), F.min(l).alias("l")).where("c >= l").select("a", "b")
+    pairs = cross.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).union(crowded_pairs(many, prefixes, percent)).distinct()
     pairs = reliable(hopeful(pairs, prefixes, percent))
     for name in ("shared", "prefixes", *[f"left{k}" for k in range(ROUNDS)]):
         scratch.drop(name)

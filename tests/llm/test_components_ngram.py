@@ -50,9 +50,12 @@ def texts(seed, n=60):
     return out
 
 
-@pytest.mark.parametrize("seed,k,percent", [(1, 4, 85), (2, 5, 80)])
-def test_against_brute(spark, seed, k, percent):
+@pytest.mark.parametrize("seed,k,percent,crowd,rounds", [(1, 4, 85, 64, 2), (2, 5, 80, 64, 2), (3, 4, 85, 2, 1), (4, 5, 80, 1, 1)])
+def test_against_brute(spark, monkeypatch, seed, k, percent, crowd, rounds):
+    """A low crowd bound sends pairs through the in-task comparison, the usual one through the join."""
     prepare(spark)
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
     rows = list(enumerate(texts(seed))) + [(100, None), (101, ""), (102, " \n "), (103, "one two"), (104, "One\tTWO"), (5, "one two"), (None, "one two"), (105, "x " * 3000), (106, "x " * 2999)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as node", "2 as token").repartition(3)
     got = ngram_join.link(df, width=k, percent=percent)
