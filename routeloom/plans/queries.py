@@ -358,7 +358,14 @@ def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).join(F.broadcast(gone), ["method", "path_pattern"], "left_anti").groupBy("method", "path_pattern").agg(F.count("*").alias("seen"))
 
 
-@query("n2_schema_doc")
+SCHEMA_SQL = f"""WITH e AS (SELECT method, path_pattern, field_path, (seen_count::DOUBLE / total_calls >= 0.9)::INT AS need FROM ({ORACLE_SQL['a4_field_confidence']}) WHERE location = 'request'),
+ w AS (SELECT method, path_pattern, max(need) FILTER (field_path = 'note') AS note, max(need) FILTER (field_path = 'rush') AS rush, max(need) FILTER (field_path = 'ship.done') AS ship FROM e GROUP BY 1, 2)
+ SELECT method, path_pattern, '{{"properties": {{' || concat_ws(', ', CASE WHEN note IS NOT NULL THEN '"note": {{"type": "string"}}' END, '"order": {{"type": "integer"}}', CASE WHEN rush IS NOT NULL THEN '"rush": {{"type": "boolean"}}' END,
+ CASE WHEN ship IS NOT NULL THEN '"ship": {{"properties": {{"done": {{"type": "boolean"}}, "on": {{"format": "date", "type": "string"}}}}, ' || CASE WHEN ship = 1 THEN '"required": ["done", "on"], ' ELSE '' END || '"type": "object"}}' END)
+ || '}}, "required": [' || concat_ws(', ', CASE WHEN note = 1 THEN '"note"' END, '"order"', CASE WHEN rush = 1 THEN '"rush"' END) || '], "type": "object"}}' AS schema FROM w"""
+
+
+@query("n2_schema_doc", SCHEMA_SQL)
 def n2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested request schema of every endpoint as JSON, built in Arrow batches on the executors."""
     import json
@@ -403,7 +410,12 @@ def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, method string, operation string")
 
 
-@query("x_scan")
+SCAN_SQL = """SELECT 'GET' AS method, '/nations/' || n_nationkey || '/{id}' AS path_pattern, 'express' AS framework, 'src/f' || n_nationkey || '.js' AS source_file, 1 AS source_line FROM nation WHERE n_nationkey % 2 = 0
+ UNION ALL SELECT 'POST', '/nations', 'express', min('src/f' || n_nationkey || '.js'), 2 FROM nation WHERE n_nationkey % 2 = 0
+ UNION ALL SELECT 'GET', '/n/' || n_nationkey || '/{id}', 'fastapi', 'src/f' || n_nationkey || '.py', 1 FROM nation WHERE n_nationkey % 2 = 1"""
+
+
+@query("x_scan", SCAN_SQL)
 def x_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes extracted from generated source files, one for each nation and framework family."""
     from routeloom.scan import runner
