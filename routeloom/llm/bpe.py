@@ -84,7 +84,7 @@ class Transducer:
         bits = max(4, int(np.ceil(np.log2(len(self.left) * 4 + 1))))
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NO_RANK, np.int32)
-        self.probes = 1
+        self.tries = 1
         key = (self.left << 20) | self.right
         slot = self._slot(key)
         for rank in range(len(key)):
@@ -93,7 +93,7 @@ class Transducer:
                 s, n = (s + 1) & self.mask, n + 1
             if self.keys[s] == -1:
                 self.keys[s], self.ranks[s] = key[rank], rank
-            self.probes = max(self.probes, n)
+            self.tries = max(self.tries, n)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -104,7 +104,7 @@ class Transducer:
         got = self.keys[slot]
         out = np.where(got == key, self.ranks[slot], NO_RANK)
         todo = np.flatnonzero((got != key) & (got != -1))
-        for _ in range(self.probes - 1):
+        for _ in range(self.tries - 1):
             if not len(todo):
                 break
             slot[todo] = (slot[todo] + 1) & self.mask
