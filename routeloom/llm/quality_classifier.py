@@ -1,6 +1,6 @@
 """Operator 2: quality classifier from weak labels.
 
-Ten overlapping heuristics vote good, bad or abstain on every document. The counts of vote patterns
+Ten overlapping heuristics vote good, bad or abstain on every document (most only against it). The counts of vote patterns
 over *all* documents (at most 3^10 rows, whatever the corpus) go to the driver, where expectation
 maximisation estimates each labeller's accuracy and the class share, and with them the posterior of
 every pattern. The posteriors label a bounded sample (``sample_docs`` documents expected, chosen by
@@ -25,6 +25,7 @@ from routeloom.llm.common import annotate
 DIM = 1 << 16
 SAMPLE_DOCS = 6000
 LABELLERS = ["length", "word_size", "symbols", "upper", "dup_lines", "distinct", "marks", "digits", "short_words", "repeats"]
+TRAIT_VALUE = 1.0  # of a document trait beside its words' mean
 GOOD, BAD, NONE = 2, 1, 0
 FIELDS = [("score", T.DoubleType()), ("posterior", T.DoubleType()), ("good", T.BooleanType()), ("votes", T.StringType())]
 UPPER, DIGITS, MARKS, SYMBOLS = bytes(range(65, 91)), bytes(range(48, 58)), b"!?", b"#*$%&|<>{}[]~^=_\\"
@@ -49,10 +50,9 @@ def traits(text: bytes, words: list[bytes]) -> list[float]:
 def votes(x: list[float]) -> list[int]:
     n = x[0]
     return [
-        by(n, n >= 60, n < 5), by(x[1], 4 <= x[1] <= 8, x[1] < 3 or x[1] > 12), by(x[2], x[2] < 0.01, x[2] > 0.1),
-        by(x[3], x[3] < 0.1, x[3] > 0.3), by(x[4], x[4] == 0 and n >= 60, x[4] > 0.4),
-        by(x[5], n >= 50 and x[5] > 0.4, n >= 50 and x[5] < 0.25), by(x[6], x[6] < 0.02, x[6] > 0.1),
-        by(x[7], x[7] < 0.02, n >= 20 and x[7] > 0.2), by(x[8], 0.15 <= x[8] <= 0.6, n >= 20 and x[8] < 0.02), by(x[9], x[9] < 0.02, x[9] > 0.1),
+        by(n, n >= 60, n < 5), by(x[1], False, x[1] < 3 or x[1] > 12), by(x[2], False, x[2] > 0.1), by(x[3], False, x[3] > 0.3), by(x[4], False, x[4] > 0.4),
+        by(x[5], n >= 50 and x[5] > 0.4, n >= 50 and x[5] < 0.25), by(x[6], False, x[6] > 0.1), by(x[7], False, n >= 20 and x[7] > 0.2),
+        by(x[8], 0.15 <= x[8] <= 0.6, n >= 20 and x[8] < 0.02), by(x[9], False, x[9] > 0.1),
     ]
 
 
@@ -69,7 +69,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         table += np.array([[1.0, 2.0, 0.5], [1.0, 0.5, 2.0]])[:, None, :]
         prob = table / table.sum(2, keepdims=True)
         prior = (share.sum(1) + 1) / (share.sum() + 2)
-        log = np.log(prior)[:, None] + sum(np.log(prob[:, j, patterns[:, j]]) for j in range(patterns.shape[1]))
+        # an abstention says nothing: most heuristics only ever speak up against a document
+        log = np.log(prior)[:, None] + sum(np.where(patterns[:, j] == NONE, 0, np.log(prob[:, j, patterns[:, j]])) for j in range(patterns.shape[1]))
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
         if np.abs(new - post).max(initial=0) < 1e-9:
             break
@@ -111,7 +112,7 @@ def fit(rows: list[tuple[list[int], list[float], float]], epochs: int = 20) -> n
 def features(words: list[bytes], x: list[float]) -> tuple[np.ndarray, np.ndarray]:
     pairs = np.array([word_features(w) for w in words], np.int64).reshape(-1, 2)
     own = np.concatenate((pairs.ravel(), np.array(trait_features(x), np.int64)))
-    val = np.concatenate((np.full(pairs.size, 1 / max(1, len(words))), np.full(len(x), 0.3)))
+    val = np.concatenate((np.full(pairs.size, 1 / max(1, len(words))), np.full(len(x), TRAIT_VALUE)))
     idx, back = np.unique(own, return_inverse=True)
     return idx, np.bincount(back, val)
 
@@ -175,7 +176,7 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", samp
                 for word in set(words).difference(known):
                     a, b = word_features(word)
                     known[word] = float(w[a]) + float(w[b])
-                z = sum(map(known.__getitem__, words)) / max(1, len(words)) + 0.3 * sum(float(w[i]) for i in trait_features(x)) + float(w[DIM])
+                z = sum(map(known.__getitem__, words)) / max(1, len(words)) + TRAIT_VALUE * sum(float(w[i]) for i in trait_features(x)) + float(w[DIM])
                 v = pattern(votes(x))
                 s = round(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), 9)
                 for name, value in zip(out, (s, posterior.get(v, 0.5), s >= least, v), strict=True):
