@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import gc
 import os
-import sys
 import tempfile
 import zipfile
 import zlib
@@ -152,6 +151,7 @@ def annotate(
     kind = next(f.dataType for f in df.schema.fields if f.name == id_col)
     schema = T.StructType([T.StructField(id_col, kind), *[T.StructField(n, t) for n, t in fields]])
     more = list((extra or {}).items())
+    n_more = len(more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -160,7 +160,7 @@ def annotate(
         f = make()
         for b in batches:
             ids, texts = b.column(0), as_bytes(b.column(1))
-            rest = [b.column(2 + k).to_pylist() for k in range(len(more))]
+            rest = [b.column(2 + k).to_pylist() for k in range(n_more)]
             for lo, hi in slices(texts, slice_bytes):
                 out = f(ids[lo:hi].to_pylist(), texts[lo:hi], *[r[lo:hi] for r in rest])
                 cols = [ids[lo:hi].cast(arrow.field(0).type)]
@@ -199,4 +199,4 @@ def spans_union(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
-__all__ = ["ASCII_SPACE", "LOWER", "Scratch", "annotate", "as_bytes", "crc_mod", "crc_mod_py", "documents", "mix64", "prepare", "reliable", "same_schema", "shared_dir", "slices", "spans_union", "sys"]
+__all__ = ["ASCII_SPACE", "LOWER", "Scratch", "annotate", "as_bytes", "crc_mod", "crc_mod_py", "documents", "mix64", "prepare", "reliable", "same_schema", "shared_dir", "slices", "spans_union"]
