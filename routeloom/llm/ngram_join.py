@@ -276,30 +276,27 @@ def leader_pairs(left: DataFrame, percent: int, k: int) -> DataFrame:
 
 
 def crowded_pairs(many: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share a token of many nodes and may reach the threshold.
+    """(a, b) of different components that share a token of many nodes and pass the bound of ``hopeful``.
 
-    A token's nodes are compared inside one task, by products of 0/1 matrices of their crowded
-    tokens, so that only pairs that pass the prefix bound become rows, each at its first such token.
-    Tokens of few nodes can add at most the smaller number of them to what a pair shares.
+    A token's nodes are compared inside one task, by products of 0/1 matrices of their prefixes, so
+    that only pairs that pass become rows, each at the first crowded token that it shares.
     """
     own = many.groupBy("node").agg(F.collect_list("token").alias("crowd"))
-    extra = prefixes.select("node", F.size("tokens").alias("shared"))
-    rows = many.select("token", "node", "n", "l", "root").join(own, "node").join(extra, "node")
-    rows = rows.select("token", "node", "n", "l", "root", (F.col("shared") - F.size("crowd")).alias("few"), "crowd").repartition("token").sortWithinPartitions("token")
-
-    def group(token: int, node: list, n: list, l: list, root: list, few: list, crowd: list) -> list[tuple[int, int]]:
-        node, n, l, root, few = (np.array(x, np.int64) for x in (node, n, l, root, few))
-        size = np.array([len(c) for c in crowd])
-        flat, owner = np.concatenate([np.array(c, np.int64) for c in crowd]), np.repeat(np.arange(len(node)), size)
+    rows = many.select("token", "node", "root").join(own, "node").join(prefixes, "node")
+    rows = rows.select("token", "node", "n", "l", "root", "crowd", "tokens").repartition("token").sortWithinPartitions("token")
+
+    def group(token: int, node: list, n: list, l: list, root: list, crowd: list, tokens: list) -> list[tuple[int, int]]:
+        node, n, l, root = (np.array(x, np.int64) for x in (node, n, l, root))
+        flat = np.concatenate([np.array(c, np.int64) for c in tokens])
         names, code = np.unique(flat, return_inverse=True)
         matrix = np.zeros((len(node), len(names)), np.float32)
-        matrix[owner, code] = 1
-        before = matrix[:, names < token]
+        matrix[np.repeat(np.arange(len(node)), [len(c) for c in tokens]), code] = 1
+        before = matrix[:, np.isin(names, [t for c in crowd for t in c if t < token])]
         rest = (percent * n + 99) // 100 - l
         out = []
         for lo in range(0, len(node), BLOCK):
             i = np.arange(lo, min(lo + BLOCK, len(node)))
-            both = (matrix[i] @ matrix.T).astype(np.int64) + np.minimum(few[i][:, None], few[None, :])
+            both = (matrix[i] @ matrix.T).astype(np.int64)
             need = (percent * (n[i][:, None] + n[None, :]) + 99 + percent) // (100 + percent)
             ok = (both + np.maximum(rest[i][:, None], rest[None, :]) >= need) & (root[i][:, None] < root[None, :])
             ok &= (n[i][:, None] * 100 >= n[None, :] * percent) & (n[None, :] * 100 >= n[i][:, None] * percent)
@@ -373,8 +370,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     fits = (F.col("p.pos") < F.col("p.n") - need + l) & (F.col("q.pos") < F.col("q.n") - need + l)
     size = (F.col("p.n") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("p.n") * percent)
     cross = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")) & size & fits)
-    pairs = cross.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).union(crowded_pairs(many, prefixes, percent)).distinct()
-    pairs = reliable(hopeful(pairs, prefixes, percent))
+    pairs = hopeful(cross.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), prefixes, percent)
+    pairs = reliable(pairs.union(crowded_pairs(many, prefixes, percent)).distinct())
     for name in ("shared", "prefixes", *[f"left{k}" for k in range(ROUNDS)]):
         scratch.drop(name)
     if more_than_none(pairs):
