@@ -48,10 +48,10 @@ LEADERS = 6  # nodes of a token that its others are tried with first
 ROUNDS = 2  # of drawing leaders, before the exact step
 CROWD = 64  # nodes of a token from which its pairs are filtered inside a task
 BLOCK = 512  # rows of a crowded token compared at once
-WORDS = 300_000  # distinct words a worker remembers
+WORDS = 200_000  # distinct words a worker remembers
 MAX_MATCHES = 8
 VERIFY_COST = 100.0  # of a candidate, in postings
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
