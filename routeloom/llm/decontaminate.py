@@ -1,21 +1,27 @@
-"""Operator 10: benchmark decontamination by the CGK random-walk embedding.
+"""Operator 10: benchmark decontamination by surviving pieces and the CGK random-walk embedding.
 
-Texts are lower-cased (A-Z) and white space runs become one space. The embedding walks over a text
+Texts are lower-cased (A-Z) and white space runs become one space. An item is found wherever a document
+span is within ``edits`` (a fraction) of the item's characters, at any character, by exact edit distance.
+
+An item that tolerates k edits is cut into k + 1 pieces, of which one survives k edits unchanged. Hashes of
+every document position are looked up among the pieces, so every span within the tolerance is found,
+wherever it starts and wherever its edits are. A q-gram count drops most chance hits before the distance.
+
+Where the tolerance leaves pieces under PIECE bytes (from some 11 % on), pieces say too little and only
+the whole item is looked up; edited copies are found by the embedding. It walks over a text
 with a step's random bit for each symbol: it writes the current symbol and moves on or stays, so a
 few edits shift two walks only until they meet again and edit distance turns into Hamming distance.
-Windows start at every word start of every document and have the size of the item they are compared
+Windows start at every character and have the size of the item they are compared
 with (items fall into size classes; a class samples positions of the embedding up to twice its
 size). A repetition samples the same few positions of item and window embeddings (bit-sampling LSH);
 windows whose sampled symbols equal an item's are candidates. Samples are compared in stages, the
 early ones first, which drops most windows after a short walk without changing the outcome.
-
-``repetitions`` are as many as a simulation with edited copies of the items needs for
-``target_recall`` at the largest tolerated edit count, up to ``max_repetitions``. A candidate is
-accepted only if the exact edit distance between the item and a document span at the window is at
-most ``edits`` (a fraction) of the item's characters. Unedited passages collide in every repetition.
+``repetitions`` are as many as a simulation with edited copies of these items needs for
+``target_recall`` at the largest tolerated edit count, up to ``max_repetitions``.
 
 Items are the stated query set: they are read in blocks of at most BLOCK_BYTES, each shipped whole
-to the tasks after that check. Items under 16 bytes are found as exact word-aligned substrings.
+to the tasks after that check. Items under 16 bytes are found as exact substrings that do not cut a word
+(scripts without spaces between words have no such bounds).
 
 Edge cases: null or empty documents and items match nothing. Repeated document rows each report
 their matches; of equal items each is reported.
@@ -24,6 +30,7 @@ their matches; of equal items each is reported.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +47,11 @@ MAX_REPETITIONS = 8
 BLOCK_BYTES = 32 << 20
 SLICE_BYTES = 1 << 20
 SMALL = 16
+PIECE = 8  # bytes of a piece that is worth a lookup
+WIDTHS = (16, 12, 8)  # bytes of a piece that are hashed
+GRAM = 4
 CLASS = 1.25
+SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff"
 EARLY, MIDDLE, LATE = (5, 16), (1, 48), 1  # samples and step bounds of the first two stages; samples of the last
 FIELDS = [("item_id", T.LongType()), ("edits", T.LongType()), ("start", T.LongType()), ("length", T.LongType())]
 
@@ -112,7 +123,7 @@ def spot(h: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Item keys of all repetitions; queried with the word starts of documents."""
+    """Item keys of all repetitions; queried with window starts."""
 
     def __init__(self, items: list[tuple[int, bytes]], repetitions: int):
         self.items = [(i, t) for i, t in items if len(t) >= SMALL]
@@ -187,21 +198,15 @@ class Index:
                     out.add((int(start[k]), int(mine[j])))
 
 
-def edit_distance(item: str, text: str, most: int) -> int | None:
-    """Least edit distance between item and a prefix of text, or None above most. Bit-parallel columns."""
-    if text.startswith(item):
-        return 0
+def scores(item: str, text: str, free: bool) -> list[int]:
+    """Edit distance of item to text[:j] for each j, or with free to the nearest text[i:j]. Bit-parallel columns."""
     m = len(item)
-    # with at most `most` edits, one of most + 1 pieces of the item survives unchanged
-    cuts = [m * i // (most + 1) for i in range(most + 2)]
-    if not any(item[a:b] in text for a, b in zip(cuts, cuts[1:], strict=False)):
-        return None
     peq: dict[str, int] = {}
     for i, c in enumerate(item):
         peq[c] = peq.get(c, 0) | (1 << i)
-    full, high = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best = full, 0, m, m
-    for c in text[:m + most]:
+    full, high, carry = (1 << m) - 1, 1 << (m - 1), 0 if free else 1
+    pv, mv, score, out = full, 0, m, [m]
+    for c in text:
         eq = peq.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -210,13 +215,132 @@ def edit_distance(item: str, text: str, most: int) -> int | None:
             score += 1
         elif mh & high:
             score -= 1
-        best = min(best, score)
-        ph = ((ph << 1) | 1) & full
+        out.append(score)
+        ph = ((ph << 1) | carry) & full
         mh = (mh << 1) & full
         pv, mv = mh | (~(xv | ph) & full), ph & xv
+    return out
+
+
+def cuts(size: int, most: int) -> list[int]:
+    """Bounds of most + 1 pieces; at most `most` edits leave one of them as it is."""
+    return [size * i // (most + 1) for i in range(most + 2)]
+
+
+def edit_distance(item: str, text: str, most: int) -> int | None:
+    """Least edit distance between item and a prefix of text, or None above most."""
+    if text.startswith(item):
+        return 0
+    at = cuts(len(item), most)
+    if not any(item[a:b] in text for a, b in zip(at, at[1:], strict=False)):
+        return None
+    best = min(scores(item, text[:len(item) + most], False))
     return best if best <= most else None
 
 
+def best_span(item: str, text: str, most: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the nearest span of text, the first of equal ones, or None above most."""
+    at = text.find(item)
+    if at >= 0:
+        return 0, at, at + len(item)
+    m = len(item)
+    least = m - GRAM + 1 - most * GRAM  # grams of the item that `most` edits leave somewhere in the span
+    if least > 0:
+        grams = {text[i:i + GRAM] for i in range(len(text) - GRAM + 1)}
+        if sum(item[i:i + GRAM] in grams for i in range(m - GRAM + 1)) < least:
+            return None
+    ends = scores(item, text, True)
+    best = min(ends)
+    if best > most:
+        return None
+    end = ends.index(best)
+    back = scores(item[::-1], text[max(0, end - m - best):end][::-1], False)
+    size = min((j for j, d in enumerate(back) if d == best), key=lambda j: abs(j - m))
+    return best, end - size, end
+
+
+class Pieces:
+    """Pieces of the items by their hashed first bytes; queried with whole texts."""
+
+    def __init__(self, items: list[tuple[int, bytes]], edits: float):
+        rows: dict[int, list[tuple[int, int, int]]] = {}
+        for k, (_, t) in enumerate(items):
+            bounds = piece_bounds(t, edits) or [0, len(t)]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                rows.setdefault(next(w for w in WIDTHS if w <= b - a), []).append((k, a, b - a))
+        self.tables = []
+        for width, some in rows.items():
+            part = np.array(some, np.int32)
+            key = np.array([hashes(np.frombuffer(items[k][1][a:a + width], np.uint8), width)[0] for k, a, _ in some], np.uint64)
+            order = np.argsort(key, kind="stable")
+            bits = min(24, max(16, (64 * len(key)).bit_length()))
+            flag = np.zeros(1 << bits, bool)
+            flag[(key >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.tables.append((width, flag, bits, key[order], part[order]))
+
+    def hits(self, text: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(position, item number, offset in the item, length) wherever a piece's first bytes occur."""
+        for width, flag, bits, key, part in self.tables:
+            for lo in range(0, len(text) - width + 1, 1 << 16):
+                h = hashes(text[lo:lo + (1 << 16) + width - 1], width)
+                at = np.flatnonzero(flag[(h >> np.uint64(64 - bits)).astype(np.int64)])
+                h = h[at]
+                first, last = np.searchsorted(key, h), np.searchsorted(key, h, side="right")
+                for x in np.flatnonzero(last > first).tolist():
+                    for k, offset, size in part[first[x]:last[x]].tolist():
+                        yield lo + int(at[x]), k, offset, size
+
+
+def piece_bounds(item: bytes, edits: float) -> list[int] | None:
+    """Byte bounds of the item's pieces, or None if one is too short to be looked up."""
+    word = item.decode("utf-8", "surrogateescape")
+    at = cuts(len(word), int(edits * len(word)))
+    size = np.cumsum([0, *[len(word[a:b].encode("utf-8", "surrogateescape")) for a, b in zip(at, at[1:], strict=False)]])
+    return size.tolist() if np.diff(size).min() >= PIECE else None
+
+
+def hashes(text: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the width bytes (8 to 16) at each position."""
+    text = np.ascontiguousarray(text)
+    words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    n = len(text) - width + 1
+    h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h += words[width - 8:]
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return h
+
+
+def bounded(item: bytes) -> re.Pattern:
+    """Finds an item where it does not cut a word."""
+    word = item.decode("utf-8", "surrogateescape")
+    letter = f"[^\\W{SPACELESS}]"
+    left, right = (bool(re.match(letter, c)) for c in (word[0], word[-1]))
+    return re.compile((f"(?<!{letter})" if left else "") + re.escape(word) + (f"(?!{letter})" if right else ""))
+
+
+class Lookup:
+    """All that finds the items of a block: pieces for every item, the embedding where pieces are too short."""
+
+    def __init__(self, items: list[tuple[int, bytes]], edits: float, target: float, most: int):
+        self.items = [(i, t) for i, t in items if len(t) >= SMALL]
+        self.tiny = [(i, t, bounded(t)) for i, t in items if 0 < len(t) < SMALL]
+        self.pieces = Pieces(self.items, edits)
+        rest = [k for k, (_, t) in enumerate(self.items) if piece_bounds(t, edits) is None]
+        block = [(k, self.items[k][1]) for k in rest]
+        self.index = Index(block, calibrate(block, edits, target, most)[0]) if block else None
+
+    def spots(self, text: np.ndarray, joined: bytes) -> Iterator[tuple[int, int, int]]:
+        """(item number, position, offset in the item that is at this position) of all candidates."""
+        for at, k, offset, size in self.pieces.hits(text):
+            if joined[at:at + size] == self.items[k][1][offset:offset + size]:
+                yield k, at, offset
+        if self.index:
+            start = np.flatnonzero((text != 0) & ((text & 0xC0) != 0x80)).astype(np.int32)
+            for at, k in self.index.candidates(text, start):
+                yield self.index.items[k][0], at, 0
+
+
 def edited(text: bytes, count: int, rng: np.random.Generator) -> bytes:
     t = bytearray(text)
     for _ in range(count):
@@ -230,8 +354,8 @@ def edited(text: bytes, count: int, rng: np.random.Generator) -> bytes:
 
 def calibrate(items: list[tuple[int, bytes]], edits: float, target: float, most: int, trials: int = 200) -> tuple[int, float]:
     """Repetitions needed for the target, and the recall a simulation with that many shows."""
-    some = [x for x in items if len(x[1]) >= SMALL]
-    if not some:
+    some = [x for x in items if len(x[1]) >= SMALL and piece_bounds(x[1], edits) is None]
+    if not some:  # pieces find every copy within the tolerance
         return 1, 1.0
     rng = np.random.default_rng(5)
     pick = [some[int(k)] for k in rng.integers(0, len(some), trials)]
@@ -252,33 +376,48 @@ def calibrate(items: list[tuple[int, bytes]], edits: float, target: float, most:
     return len(found), found[-1]
 
 
-def search(index: Index, texts: list[bytes], edits: float) -> list[list[tuple[int, int, int, int]]]:
+def regions(starts: set[int], size: int, slack: int, text: bytes) -> list[tuple[int, int]]:
+    """Byte ranges of text that hold every span at these starts, whole characters, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for at in sorted(starts):
+        lo, hi = max(0, at - slack), min(len(text), at + size + slack)
+        while 0 < lo < len(text) and text[lo] & 0xC0 == 0x80:
+            lo -= 1
+        while hi < len(text) and text[hi] & 0xC0 == 0x80:
+            hi += 1
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def search(index: Lookup, texts: list[bytes], edits: float) -> list[list[tuple[int, int, int, int]]]:
     """For each normalised text its best match with every item: (item, edits, start, length) in normalised bytes."""
     out: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
     gap = bytes(8)
     joined = gap.join(texts) + gap
     a = np.frombuffer(joined, np.uint8)
     base = np.cumsum([0, *[len(t) + len(gap) for t in texts]])
-    if index.items and len(joined) > len(gap):
-        space = (a[:-1] == 32) | (a[:-1] == 0)
-        start = np.flatnonzero(space & (a[1:] != 32) & (a[1:] != 0)) + 1
-        if a[0] not in (0, 32):
-            start = np.concatenate(([0], start))
-        for at, k in sorted(index.candidates(a, start.astype(np.int32))):
-            i, item = index.items[k]
-            d = int(np.searchsorted(base, at, side="right")) - 1
-            lo = at - int(base[d])
-            word = item.decode("utf-8", "replace")
-            most = int(edits * len(word))
-            part = texts[d][lo:lo + len(item) + 4 * most + 4].decode("utf-8", "replace")
-            got = edit_distance(word, part, most)
-            if got is not None and (i not in out[d] or (got, lo) < out[d][i][:2]):
-                out[d][i] = (got, lo, len(item))
-    for i, item in index.tiny:
+    places: dict[tuple[int, int], set[int]] = {}
+    for k, at, offset in index.spots(a, joined):
+        d = int(np.searchsorted(base, at, side="right")) - 1
+        places.setdefault((d, k), set()).add(at - int(base[d]) - offset)
+    for (d, k), starts in sorted(places.items()):
+        i, item = index.items[k]
+        word = item.decode("utf-8", "surrogateescape")
+        most = int(edits * len(word))
+        for lo, hi in regions(starts, len(item), 4 * most, texts[d]):
+            part = texts[d][lo:hi].decode("utf-8", "surrogateescape")
+            got = best_span(word, part, most)
+            if got is not None:
+                start, end = (lo + len(part[:x].encode("utf-8", "surrogateescape")) for x in got[1:])
+                if i not in out[d] or (got[0], start) < out[d][i][:2]:
+                    out[d][i] = (got[0], start, end - start)
+    for i, item, pattern in index.tiny:
         for d, t in enumerate(texts):
-            at = (b" " + t + b" ").find(b" " + item + b" ")
-            if at >= 0:
-                out[d][i] = (0, at, len(item))
+            if item in t and (m := pattern.search(part := t.decode("utf-8", "surrogateescape"))):
+                out[d][i] = (0, len(part[:m.start()].encode("utf-8", "surrogateescape")), len(item))
     return [[(i, *v) for i, v in sorted(m.items())] for m in out]
 
 
@@ -297,9 +436,9 @@ def item_blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list
         yield block
 
 
-def indexes(items: DataFrame, item_id: str, item_text: str, edits: float, target: float, most: int) -> Iterator[Index]:
+def indexes(items: DataFrame, item_id: str, item_text: str, edits: float, target: float, most: int) -> Iterator[Lookup]:
     for block in item_blocks(items, item_id, item_text):
-        yield Index(block, calibrate(block, edits, target, most)[0])
+        yield Lookup(block, edits, target, most)
 
 
 def find_leaks(
