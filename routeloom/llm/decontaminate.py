@@ -11,12 +11,12 @@ Where the tolerance leaves pieces under PIECE bytes (from some 11 % on), pieces
 the whole item is looked up; edited copies are found by the embedding. It walks over a text
 with a step's random bit for each symbol: it writes the current symbol and moves on or stays, so a
 few edits shift two walks only until they meet again and edit distance turns into Hamming distance.
-Windows start at every character and have the size of the item they are compared
-with (items fall into size classes; a class samples positions of the embedding up to twice its
-size). A repetition samples the same few positions of item and window embeddings (bit-sampling LSH);
-windows whose sampled symbols equal an item's are candidates. Samples are compared in stages, the
+Windows start at every character and are compared with segments of SEGMENT bytes from every SMALL bytes
+of an item (segments fall into size classes; a class samples positions of the embedding up to twice its
+size). A repetition samples the same few positions of segment and window embeddings (bit-sampling LSH);
+windows whose sampled symbols equal a segment's are candidates. Samples are compared in stages, the
 early ones first, which drops most windows after a short walk without changing the outcome.
-``repetitions`` are as many as a simulation with edited copies of these items needs for
+``repetitions`` are as many as a simulation with copies of these items edited in KINDS ways needs for
 ``target_recall`` at the largest tolerated edit count, up to ``max_repetitions``.
 
 Items are the stated query set: they are read in blocks of at most BLOCK_BYTES, each shipped whole
@@ -51,6 +51,8 @@ PIECE = 8  # bytes of a piece that is worth a lookup
 WIDTHS = (16, 12, 8)  # bytes of a piece that are hashed
 GRAM = 4
 CLASS = 1.25
+SEGMENT = 4 * SMALL
+KINDS = 6
 SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff"
 EARLY, MIDDLE, LATE = (5, 16), (1, 48), 1  # samples and step bounds of the first two stages; samples of the last
 FIELDS = [("item_id", T.LongType()), ("edits", T.LongType()), ("start", T.LongType()), ("length", T.LongType())]
@@ -327,8 +329,8 @@ class Lookup:
         self.tiny = [(i, t, bounded(t)) for i, t in items if 0 < len(t) < SMALL]
         self.pieces = Pieces(self.items, edits)
         rest = [k for k, (_, t) in enumerate(self.items) if piece_bounds(t, edits) is None]
-        block = [(k, self.items[k][1]) for k in rest]
-        self.index = Index(block, calibrate(block, edits, target, most)[0]) if block else None
+        block = [self.items[k] for k in rest]
+        self.index = Index([((rest[k], a), t) for (k, a), t in segments(block)], calibrate(block, edits, target, most)[0]) if block else None
 
     def spots(self, text: np.ndarray, joined: bytes) -> Iterator[tuple[int, int, int]]:
         """(item number, position, offset in the item that is at this position) of all candidates."""
@@ -336,15 +338,20 @@ class Lookup:
             if joined[at:at + size] == self.items[k][1][offset:offset + size]:
                 yield k, at, offset
         if self.index:
-            start = np.flatnonzero((text != 0) & ((text & 0xC0) != 0x80)).astype(np.int32)
-            for at, k in self.index.candidates(text, start):
-                yield self.index.items[k][0], at, 0
+            for at, j in self.index.candidates(text, characters(text)):
+                k, offset = self.index.items[j][0]
+                yield k, at, offset
 
 
-def edited(text: bytes, count: int, rng: np.random.Generator) -> bytes:
+def edited(text: bytes, count: int, rng: np.random.Generator, kind: int = 0) -> bytes:
+    """A copy with count edits: anywhere (0), near the start (1), a block replaced (2, 3) or deleted (4, 5) anywhere or at the start."""
     t = bytearray(text)
+    if kind > 1:
+        at = 0 if kind % 2 else int(rng.integers(0, max(1, len(t) - count)))
+        t[at:at + count] = rng.integers(97, 123, count).astype(np.uint8).tobytes() if kind < 4 else b""
+        return bytes(t)
     for _ in range(count):
-        at, what = int(rng.integers(0, len(t))), int(rng.integers(0, 3))
+        at, what = int(rng.integers(0, min(len(t), 2 * count) if kind else len(t))), int(rng.integers(0, 3))
         letter = bytes([int(rng.integers(97, 123))])
         t[at:at + (what != 1)] = b"" if what == 0 else letter
         if not t:
@@ -352,25 +359,40 @@ def edited(text: bytes, count: int, rng: np.random.Generator) -> bytes:
     return bytes(t)
 
 
-def calibrate(items: list[tuple[int, bytes]], edits: float, target: float, most: int, trials: int = 200) -> tuple[int, float]:
-    """Repetitions needed for the target, and the recall a simulation with that many shows."""
+def segments(items: list[tuple[int, bytes]]) -> list[tuple[tuple[int, int], bytes]]:
+    """((item number, offset), bytes) of the parts of items whose windows are compared, so edits at one place do not hide the item."""
+    return [((k, a), t[a:a + SEGMENT]) for k, (_, t) in enumerate(items) for a in range(0, max(1, len(t) - SMALL + 1), SMALL)]
+
+
+def characters(text: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((text != 0) & ((text & 0xC0) != 0x80)).astype(np.int32)
+
+
+def calibrate(items: list[tuple[int, bytes]], edits: float, target: float, most: int, trials: int = 204) -> tuple[int, float]:
+    """Repetitions needed for the target, and the recall of a simulation with that many over all kinds of edits.
+
+    The recall is that of the worst kind of edits."""
     some = [x for x in items if len(x[1]) >= SMALL and piece_bounds(x[1], edits) is None]
     if not some:  # pieces find every copy within the tolerance
         return 1, 1.0
     rng = np.random.default_rng(5)
-    pick = [some[int(k)] for k in rng.integers(0, len(some), trials)]
-    copies = [edited(t, int(edits * len(t)), rng) for _, t in pick]
+    pick = [int(k) for k in rng.integers(0, len(some), trials)]
+    limit = [int(edits * len(some[k][1].decode("utf-8", "surrogateescape"))) for k in pick]
+    copies = [edited(some[k][1], n, rng, c % KINDS) for c, (k, n) in enumerate(zip(pick, limit, strict=True))]
     gap = bytes(1000)
     text = np.frombuffer(b"".join(c + gap for c in copies), np.uint8)
-    start = np.cumsum([0, *[len(c) + len(gap) for c in copies]])[:-1].astype(np.int32)
-    found, seen = [], set()
-    index = Index(items, most)
-    number = {i: k for k, (i, _) in enumerate(index.items)}
+    base = np.cumsum([0, *[len(c) + len(gap) for c in copies]])
+    start = characters(text)
+    found, seen = [], np.zeros(trials, bool)
+    index = Index(segments(some), most)
     reps = index.reps
     for r in range(most):
         index.reps = reps[r:r + 1]
-        seen |= index.candidates(text, start)
-        found.append(sum((int(s), number[i]) in seen for s, (i, _) in zip(start, pick, strict=True)) / trials)
+        for at, j in index.candidates(text, start):
+            k, offset = index.items[j][0]
+            c = int(np.searchsorted(base, at, side="right")) - 1
+            seen[c] |= pick[c] == k and abs(at - int(base[c]) - offset) <= 4 * limit[c]
+        found.append(min(float(seen[kind::KINDS].mean()) for kind in range(KINDS)))
         if found[-1] >= target:
             break
     return len(found), found[-1]

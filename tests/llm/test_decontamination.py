@@ -52,3 +52,33 @@ def test_spans_against_brute_force():
         got = decontaminate.best_span(a, t, k)
         assert (got is None) == (best > k)
         assert got is None or (got[0] == best and distance(a, t[got[1]:got[2]]) == best)
+
+
+def hard(item, k, kind, r):
+    """A copy with k edits at the worst places."""
+    if kind == 0:
+        return "".join(r.choice("qrstuvw") for _ in range(k)) + item[k:]
+    if kind == 1:
+        return item[k:]
+    at = sorted(r.sample(range(2 * k), k))
+    return "".join("#" if j in at else c for j, c in enumerate(item))
+
+
+def test_edits_at_the_start(spark):
+    r = random.Random(5)
+    items = [prose(r, 40) for _ in range(30)]
+    for edits, least in ((decontaminate.EDITS, 1.0), (0.15, 0.85)):
+        docs = [f"{prose(r, 8)} {hard(item, int(edits * len(item)), kind, r)} {prose(r, 8)}" for item in items for kind in range(3)]
+        docs += [prose(r, 60) for _ in range(30)]
+        got = leaks(spark, docs, items, edits=edits)
+        want = {(3 * i + kind, i) for i in range(30) for kind in range(3)}
+        assert set(got) <= want and len(got) >= least * len(want)
+        assert all(x.edits <= int(edits * len(items[i])) for (_, i), x in got.items())
+
+
+def test_calibration_on_all_kinds_of_edits():
+    r = random.Random(6)
+    items = [(i, prose(r, 40).encode()) for i in range(30)]
+    for edits in (0.15, 0.25):
+        assert all(decontaminate.piece_bounds(t, edits) is None for _, t in items)
+        assert decontaminate.calibrate(items, edits, 0.9, decontaminate.MAX_REPETITIONS)[1] >= 0.9
