@@ -1,6 +1,6 @@
 """Operator 10: benchmark decontamination by surviving pieces and the CGK random-walk embedding.
 
-Texts are lower-cased (A-Z) and white space runs become one space. An item is found wherever a document
+Texts are case-folded (all of Unicode) and white space runs become one space. An item is found wherever a document
 span is within ``edits`` (a fraction) of the item's characters, at any character, by exact edit distance.
 
 An item that tolerates k edits is cut into k + 1 pieces, of which one survives k edits unchanged. Hashes of
@@ -59,6 +59,8 @@ FIELDS = [("item_id", T.LongType()), ("edits", T.LongType()), ("start", T.LongTy
 
 
 def normal(text: bytes) -> bytes:
+    if not text.isascii():
+        return b" ".join(text.decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape").split())
     return b" ".join(text.translate(LOWER).split())
 
 

@@ -82,3 +82,10 @@ def test_calibration_on_all_kinds_of_edits():
     for edits in (0.15, 0.25):
         assert all(decontaminate.piece_bounds(t, edits) is None for _, t in items)
         assert decontaminate.calibrate(items, edits, 0.9, decontaminate.MAX_REPETITIONS)[1] >= 0.9
+
+
+def test_capitals_of_all_alphabets(spark):
+    items = ["Según la niñez, ¿qué canción española señaló el pingüino mañana? " * 2, "Ελληνικά: τους λόγους της σοφίας " * 3, "Была ли эта задача в наборе вопросов? " * 3, "Die Straße führt über große Flüsse " * 3]
+    docs = [f"Question: {item.upper()}!" for item in items] + [f"x{item.lower()}x" for item in items]
+    assert set(leaks(spark, docs, items)) == {(d, d % 4) for d in range(8)}
+    assert decontaminate.normal("ÄÖ\n Ü".encode() + b"\xff") == "äö ü".encode() + b"\xff"
