@@ -17,7 +17,8 @@ size). A repetition samples the same few positions of segment and window embeddi
 windows whose sampled symbols equal a segment's are candidates. Samples are compared in stages, the
 early ones first, which drops most windows after a short walk without changing the outcome.
 ``repetitions`` are as many as a simulation with copies of these items edited in KINDS ways needs for
-``target_recall`` at the largest tolerated edit count, up to ``max_repetitions``.
+``target_recall`` at the largest tolerated edit count; if ``max_repetitions`` do not reach it, a warning
+gives the recall reached.
 
 Items are the stated query set: they are read in blocks of at most BLOCK_BYTES, each shipped whole
 to the tasks after that check. Items under 16 bytes are found as exact substrings that do not cut a word
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -332,7 +334,10 @@ class Lookup:
         self.pieces = Pieces(self.items, edits)
         rest = [k for k, (_, t) in enumerate(self.items) if piece_bounds(t, edits) is None]
         block = [self.items[k] for k in rest]
-        self.index = Index([((rest[k], a), t) for (k, a), t in segments(block)], calibrate(block, edits, target, most)[0]) if block else None
+        repetitions, self.recall = calibrate(block, edits, target, most)
+        if self.recall < target:
+            warnings.warn(f"{repetitions} repetitions reach a recall of {self.recall:.2f} for edited copies of {len(block)} items, the target is {target}; raise max_repetitions", stacklevel=2)
+        self.index = Index([((rest[k], a), t) for (k, a), t in segments(block)], repetitions) if block else None
 
     def spots(self, text: np.ndarray, joined: bytes) -> Iterator[tuple[int, int, int]]:
         """(item number, position, offset in the item that is at this position) of all candidates."""

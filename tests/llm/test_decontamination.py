@@ -1,6 +1,9 @@
 """Decontamination: passages wherever they start, whatever their edits, against plain restatements."""
 
 import random
+import warnings
+
+import pytest
 
 from routeloom.llm import decontaminate
 from routeloom.llm.common import prepare
@@ -89,3 +92,14 @@ def test_capitals_of_all_alphabets(spark):
     docs = [f"Question: {item.upper()}!" for item in items] + [f"x{item.lower()}x" for item in items]
     assert set(leaks(spark, docs, items)) == {(d, d % 4) for d in range(8)}
     assert decontaminate.normal("ÄÖ\n Ü".encode() + b"\xff") == "äö ü".encode() + b"\xff"
+
+
+def test_missed_target_is_reported():
+    r = random.Random(8)
+    items = [(i, prose(r, 40).encode()) for i in range(20)]
+    with pytest.warns(UserWarning, match="reach a recall of 0"):
+        assert decontaminate.Lookup(items, 0.3, 0.999, 1).recall < 0.999
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert decontaminate.Lookup(items, 0.15, 0.9, 8).recall >= 0.9
+        assert decontaminate.Lookup(items, decontaminate.EDITS, 1.0, 1).recall == 1.0
