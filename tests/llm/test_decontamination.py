@@ -103,3 +103,11 @@ def test_missed_target_is_reported():
         warnings.simplefilter("error")
         assert decontaminate.Lookup(items, 0.15, 0.9, 8).recall >= 0.9
         assert decontaminate.Lookup(items, decontaminate.EDITS, 1.0, 1).recall == 1.0
+
+
+def test_unedited_short_items_in_running_text(spark):
+    r = random.Random(9)
+    items = list({prose(r, 6)[:n].strip() + "z" * 3 for n in (15, 17, 19) for _ in range(60)})
+    docs = [f"{prose(r, 10)} {item} {prose(r, 30)}" for item in items]
+    for edits in (decontaminate.EDITS, 0.3):
+        assert {(i, i) for i in range(len(items))} <= set(leaks(spark, docs, items, edits=edits))
