@@ -13,11 +13,12 @@ tokens as the smaller of its two l. Survivors are verified on their whole sets.
 
 Groups of near copies are settled without their pairs: first every node is verified against the few
 leaders, drawn from each token's nodes, with which it shares most prefix tokens, and components are
-formed; then only pairs of *different* components that pass the multi-match test are verified, all
-of them, so no link between different components is lost. Pairs of a token with many nodes are
-compared inside one task and become rows only if they pass the prefix bound. For a pair's sizes both prefixes are cut
-to what that pair's least overlap needs. Leaders are partial aggregates, and joins on tokens are
-ordinary equi-joins that adaptive execution can split.
+formed. Then all pairs of *different* components meet at their shared prefix tokens; for a pair's
+sizes both prefixes are cut to what that pair's least overlap needs, the matches of each pair are
+counted, and every pair with enough of them is verified, so no link between different components is
+lost. A crowded token compares its components as wholes first, so the work of a group of near copies
+does not grow with its square. Leaders are partial aggregates; joins on tokens are ordinary
+equi-joins that spill and that adaptive execution can split.
 
 Edge cases: null or empty text and text without words has an empty set, 0 shingles and itself as
 component. Fewer than four words make one token. Repeated rows are each returned. A row without an
@@ -44,10 +45,10 @@ from routeloom.llm.components import components
 BUCKETS = 1 << 20
 CHUNK = 1 << 12  # counters of the sketch that travel together
 BITMAP = 1 << 24
-LEADERS = 6  # nodes of a token that its others are tried with first
+DRAWS = 2  # leaders of a token by shared tokens, and as many by hash
+TRIED = 2  # leaders that a node is verified with in a round
 ROUNDS = 2  # of drawing leaders, before the exact step
-CROWD = 64  # nodes of a token from which its pairs are filtered inside a task
-BLOCK = 512  # rows of a crowded token compared at once
+CROWD = 64  # nodes of a token from which its components are compared first
 WORDS = 200_000  # distinct words a worker remembers
 MAX_MATCHES = 8
 VERIFY_COST = 100.0  # of a candidate, in postings
@@ -98,9 +99,9 @@ class Shingler:
         return out
 
 
-def node_of(tokens: np.ndarray) -> int:
-    """64-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(tokens: np.ndarray) -> bytes:
+    """128-bit name of a set."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
 def bucket_of(tokens: np.ndarray) -> np.ndarray:
@@ -140,7 +141,7 @@ def survey(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     kind = next(f.dataType.simpleString() for f in df.schema.fields if f.name == id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "n", "node", "counters"]
+        names = ["kind", "id", "n", "node", "chunk", "counters"]
         sketch, make = np.zeros(BUCKETS, np.int64), Shingler(width)
         id_type = None
         for b in batches:
@@ -151,13 +152,13 @@ def survey(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 if sets:
                     sketch += np.bincount(bucket_of(np.concatenate(sets)), minlength=BUCKETS)
                 nodes = [node_of(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), ids[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(hi - lo, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), ids[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names)
         if id_type is not None:
             blobs = [zstandard.ZstdCompressor(level=1).compress(c.astype("<i8").tobytes()) for c in sketch.reshape(-1, CHUNK)]
             n = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.array(np.arange(n)), pa.array(blobs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(blobs, pa.binary())], names=names)
 
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"kind int, id {kind}, n bigint, node bigint, counters binary")
+    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"kind int, id {kind}, n bigint, node binary, chunk int, counters binary")
 
 
 def sketch_of(seen: DataFrame) -> np.ndarray:
@@ -168,11 +169,11 @@ def sketch_of(seen: DataFrame) -> np.ndarray:
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 sums[chunk] = sums.get(chunk, 0) + np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([np.minimum(v, 2**31 - 1).astype("<i4").tobytes() for v in sums.values()], pa.binary())], names=["node", "counters"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(v, 2**31 - 1).astype("<i4").tobytes() for v in sums.values()], pa.binary())], names=["chunk", "counters"])
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in seen.where("kind = 1").select("node", "counters").repartition("node").mapInArrow(run, "node bigint, counters binary").collect():
-        out[r["node"] * CHUNK:(r["node"] + 1) * CHUNK] = np.frombuffer(r["counters"], "<i4")
+    for r in seen.where("kind = 1").select("chunk", "counters").repartition("chunk").mapInArrow(run, "chunk int, counters binary").collect():
+        out[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counters"], "<i4")
     return out
 
 
@@ -184,7 +185,7 @@ def postings(df: DataFrame, text_col: str, width: int, percent: int, level: np.n
         for b in batches:
             texts = as_bytes(b.column(0))
             for lo, hi in slices(texts, SLICE_BYTES):
-                tok, rows = [], []
+                tok, nodes, rows = [], [], []
                 for s in make.sets(texts[lo:hi]):
                     node = node_of(s) if len(s) else None
                     if node is None or node in seen:
@@ -192,13 +193,15 @@ def postings(df: DataFrame, text_col: str, width: int, percent: int, level: np.n
                     seen.add(node)
                     p, l = prefix(s, level, freq, percent)
                     tok.append(p)
-                    rows.append((node, len(s), l, len(p)))
+                    nodes.append(node)
+                    rows.append((len(s), l, len(p)))
                 if rows:
-                    r = np.array(rows, np.int64)
-                    rep = np.repeat(r[:, :3], r[:, 3], axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), pa.array(rep[:, 0]), pa.array(rep[:, 1].astype(np.int32)), pa.array(rep[:, 2].astype(np.int32)), pa.array(np.concatenate([np.arange(len(x), dtype=np.int32) for x in tok]))], names=["token", "node", "n", "l", "pos"])
+                    n, l, m = np.array(rows, np.int32).T
+                    of = np.repeat(np.arange(len(m)), m)
+                    pos = np.concatenate([np.arange(x, dtype=np.int32) for x in m])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(of)), pa.array(n[of]), pa.array(l[of]), pa.array(pos)], names=["token", "node", "n", "l", "pos"])
 
-    return df.select(F.col(text_col).cast("string")).mapInArrow(run, "token bigint, node bigint, n int, l int, pos int")
+    return df.select(F.col(text_col).cast("string")).mapInArrow(run, "token bigint, node binary, n int, l int, pos int")
 
 
 def wanted_sets(df: DataFrame, id_col: str, text_col: str, width: int, rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -230,26 +233,12 @@ def wanted_sets(df: DataFrame, id_col: str, text_col: str, width: int, rows: Dat
                         keep.append(node)
                         sets.append(s.view(np.int64))
                 if keep:
-                    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    sets = df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, "node bigint, tokens array<bigint>")
+    sets = df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, "node binary, tokens array<bigint>")
     return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def hopeful(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose prefixes share enough for the rest to reach the threshold; loses no link.
-
-    Beyond the prefix that ends first in the token order, its set has overlap_needed(n) - l tokens
-    left, so the intersection is at most the prefixes' own plus that many.
-    """
-    x = prefixes.select(F.col("node").alias("a"), F.col("tokens").alias("x"), F.col("n").alias("na"), F.col("l").alias("la"))
-    y = prefixes.select(F.col("node").alias("b"), F.col("tokens").alias("y"), F.col("n").alias("nb"), F.col("l").alias("lb"))
-    need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
-    rest = lambda n, l: F.expr(f"({percent} * {n} + 99) div 100 - {l}")
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "a").join(y, "b").where(both + F.greatest(rest("na", "la"), rest("nb", "lb")) >= need).select("a", "b")
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
     x = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
@@ -262,67 +251,48 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def leader_pairs(left: DataFrame, percent: int, k: int) -> DataFrame:
     """(a, b): each node with the drawn leaders of other components that share most of its prefix tokens.
 
-    left: token, node, n, l, root. Each token draws LEADERS of its nodes by hashes of this round; the
-    draws are partial aggregates. Only a good part of the prefix counts: this step is a shortcut.
+    left: token, node, n, l, shared, root. Each token draws some of its nodes by hashes of this round,
+    and some among those of most shared prefix tokens: what a group was copied from shares all of its
+    tokens, an edited copy has some of its own. The draws are partial aggregates. Only a good part of
+    the prefix counts: this step is a shortcut.
     """
-    drawn = [F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k * LEADERS + j))).alias(f"d{j}") for j in range(LEADERS)]
-    table = left.groupBy("token").agg(*drawn).select("token", F.array_distinct(F.array(*[f"d{j}" for j in range(LEADERS)])).alias("drawn"))
+    mark = [F.xxhash64("node", F.lit(2 * DRAWS * k + j)) for j in range(2 * DRAWS)]
+    order = [F.struct(F.when(F.lit(j < DRAWS), -F.col("shared")).otherwise(0), m) for j, m in enumerate(mark)]
+    drawn = [F.min_by(F.struct("node", "root"), o).alias(f"d{j}") for j, o in enumerate(order)]
+    table = left.groupBy("token").agg(*drawn).select("token", F.array_distinct(F.array(*[f"d{j}" for j in range(2 * DRAWS)])).alias("drawn"))
     star = left.join(table, "token").select("node", "n", "l", "root", F.explode("drawn").alias("d")).where("root <> d.root")
     star = star.groupBy("node", F.col("d.node").alias("leader")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("l").alias("l"))
     star = star.where(f"c >= l and 4 * c >= n - ({percent} * n + 99) div 100 + l")
     best = Window.partitionBy("node").orderBy(F.col("c").desc(), "leader")
-    star = star.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS)
+    star = star.withColumn("r", F.row_number().over(best)).where(F.col("r") <= TRIED)
     return star.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def crowded_pairs(many: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share a token of many nodes and pass the bound of ``hopeful``.
+def multi_match(left: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that share enough prefix tokens; loses no link.
 
-    A token's nodes are compared inside one task, by products of 0/1 matrices of their prefixes, so
-    that only pairs that pass become rows, each at the first crowded token that it shares.
+    For a pair's sizes both prefixes are cut to what its own least overlap leaves, plus its l (the
+    smaller of the two), and at least l tokens must stand in both. Tokens of few nodes are joined
+    with themselves. Where a token has many nodes, its components are compared first, by bounds on
+    their sizes and positions, so that no component is joined with itself, however large it is.
     """
-    own = many.groupBy("node").agg(F.collect_list("token").alias("crowd"))
-    rows = many.select("token", "node", "root").join(own, "node").join(prefixes, "node")
-    rows = rows.select("token", "node", "n", "l", "root", "crowd", "tokens").repartition("token").sortWithinPartitions("token")
-
-    def group(token: int, node: list, n: list, l: list, root: list, crowd: list, tokens: list) -> list[tuple[int, int]]:
-        node, n, l, root = (np.array(x, np.int64) for x in (node, n, l, root))
-        flat = np.concatenate([np.array(c, np.int64) for c in tokens])
-        names, code = np.unique(flat, return_inverse=True)
-        matrix = np.zeros((len(node), len(names)), np.float32)
-        matrix[np.repeat(np.arange(len(node)), [len(c) for c in tokens]), code] = 1
-        before = matrix[:, np.isin(names, [t for c in crowd for t in c if t < token])]
-        rest = (percent * n + 99) // 100 - l
-        out = []
-        for lo in range(0, len(node), BLOCK):
-            i = np.arange(lo, min(lo + BLOCK, len(node)))
-            both = (matrix[i] @ matrix.T).astype(np.int64)
-            need = (percent * (n[i][:, None] + n[None, :]) + 99 + percent) // (100 + percent)
-            ok = (both + np.maximum(rest[i][:, None], rest[None, :]) >= need) & (root[i][:, None] < root[None, :])
-            ok &= (n[i][:, None] * 100 >= n[None, :] * percent) & (n[None, :] * 100 >= n[i][:, None] * percent)
-            if before.shape[1]:
-                ok &= before[i] @ before.T == 0
-            x, y = np.nonzero(ok)
-            out += zip(node[i[x]].tolist(), node[y].tolist(), strict=True)
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, held = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            found = group(token, *zip(*held, strict=True)) if len(held) > 1 else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-        for b in batches:
-            for t, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if t != token:
-                    yield from done()
-                    token, held = t, []
-                held.append(row)
-        yield from done()
-
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    sizes = left.groupBy("token").agg(F.count("*").alias("m"))
+    few = left.join(sizes.where(F.col("m") <= CROWD), "token")
+    many = left.join(sizes.where(F.col("m") > CROWD), "token")
+    need = f"({percent} * (cast(p.n as bigint) + q.n) + {99 + percent}) div {100 + percent}"
+    fits = F.expr(f"p.n * 100L >= q.n * {percent} and q.n * 100L >= p.n * {percent} and {need} < least(p.n - p.pos, q.n - q.pos) + least(p.l, q.l)")
+    pair = [F.col("p.node").alias("x"), F.col("q.node").alias("y"), F.least("p.l", "q.l").alias("l")]
+    rows = few.alias("p").join(few.alias("q"), F.expr("p.token = q.token and p.root < q.root") & fits).select(*pair)
+
+    group = many.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.expr("n - pos")).alias("rest"), F.max("l").alias("l"))
+    least = f"({percent} * (cast(p.low as bigint) + q.low) + {99 + percent}) div {100 + percent}"
+    may = F.expr(f"p.high * 100L >= q.low * {percent} and q.high * 100L >= p.low * {percent} and {least} < least(p.rest, q.rest) + least(p.l, q.l)")
+    meet = group.alias("p").join(group.alias("q"), F.expr("p.token = q.token and p.root < q.root") & may).select("p.token", F.col("p.root").alias("r"), F.col("q.root").alias("s"))
+    ends = many.select("token", "root", "node", "n", "l", "pos")
+    one = meet.join(ends.withColumnRenamed("root", "r"), ["token", "r"]).alias("p")
+    rows = rows.union(one.join(ends.alias("q"), F.expr("p.token = q.token and p.s = q.root") & fits).select(*pair))
+    counted = rows.groupBy("x", "y").agg(F.count("*").alias("c"), F.first("l").alias("l")).where("c >= l")
+    return counted.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -338,18 +308,17 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
 
     posts = scratch.save("posts", postings(df, text_col, width, percent, level, freq))
     common = posts.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("token")
-    shared = scratch.save("shared", posts.join(common, "token").dropDuplicates(["token", "node"]))
+    met = posts.join(common, "token").dropDuplicates(["token", "node"])
+    shared = scratch.save("shared", met.withColumn("shared", F.count("*").over(Window.partitionBy("node"))))
     scratch.drop("posts")
-    prefixes = scratch.save("prefixes", shared.groupBy("node").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"), F.first("l").alias("l")))
     edges, sets, root = None, None, None
     left = shared.withColumn("root", F.col("node"))
     for k in range(ROUNDS):
-        star = reliable(hopeful(leader_pairs(left, percent, k), prefixes, percent))
+        star = reliable(leader_pairs(left, percent, k))
         if sets is None:
             sets = scratch.save("sets", wanted_sets(df, id_col, text_col, width, rows, star))
         # later rounds only use sets at hand: what they leave out the exact step below finds
-        new = verified(star, sets, percent)
-        new = reliable(new)
+        new = reliable(verified(star, sets, percent))
         if root is not None and not more_than_none(new):
             break
         edges = new if edges is None else reliable(edges.unionByName(new))
@@ -360,19 +329,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
         if k:
             scratch.drop(f"left{k - 1}")
     scratch.drop("sets")
-    sizes = left.groupBy("token").agg(F.count("*").alias("m"))
-    few = left.join(sizes.where(F.col("m") <= CROWD), "token")
-    many = left.join(sizes.where(F.col("m") > CROWD), "token")
-    p, q = few.alias("p"), few.alias("q")
-    # for this pair's sizes both prefixes can be cut to what its own least overlap needs
-    need = F.expr(f"cast(ceil({percent} * (p.n + q.n) / {100 + percent}.0D - 1e-9D) as int)")
-    l = F.least("p.l", "q.l")
-    fits = (F.col("p.pos") < F.col("p.n") - need + l) & (F.col("q.pos") < F.col("q.n") - need + l)
-    size = (F.col("p.n") * 100 >= F.col("q.n") * percent) & (F.col("q.n") * 100 >= F.col("p.n") * percent)
-    cross = p.join(q, (F.col("p.token") == F.col("q.token")) & (F.col("p.root") < F.col("q.root")) & size & fits)
-    pairs = hopeful(cross.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), prefixes, percent)
-    pairs = reliable(pairs.union(crowded_pairs(many, prefixes, percent)).distinct())
-    for name in ("shared", "prefixes", *[f"left{k}" for k in range(ROUNDS)]):
+    pairs = reliable(multi_match(left, percent))
+    for name in ("shared", *[f"left{k}" for k in range(ROUNDS)]):
         scratch.drop(name)
     if more_than_none(pairs):
         edges = reliable(edges.unionByName(verified(pairs, wanted_sets(df, id_col, text_col, width, rows, pairs), percent)))
@@ -390,13 +348,15 @@ def more_than_none(df: DataFrame) -> bool:
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of the smallest id of each component, with all columns; repeated rows once.
+    """The rows of the smallest id of each component, with all columns.
 
-    Rows without an id cannot be named and stay.
+    Of rows with equal id and text one stays, that of the least hash over all columns. Rows without
+    an id cannot be named and stay.
     """
     found = link(df, id_col, text_col, width, percent)
     keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
     stay = df.join(keep, df[id_col] == F.col("__keep"), "left_semi")
     if stay.groupBy(id_col).count().where("count > 1").limit(1).count():
-        stay = stay.dropDuplicates([id_col, text_col])
+        one = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.xxhash64(*df.columns)).alias("row")
+        stay = stay.groupBy(id_col, text_col).agg(one).select("row.*")
     return stay.unionByName(df.where(F.col(id_col).isNull()))

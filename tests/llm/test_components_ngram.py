@@ -52,7 +52,7 @@ def texts(seed, n=60):
 
 @pytest.mark.parametrize("seed,k,percent,crowd,rounds", [(1, 4, 85, 64, 2), (2, 5, 80, 64, 2), (3, 4, 85, 2, 1), (4, 5, 80, 1, 1)])
 def test_against_brute(spark, monkeypatch, seed, k, percent, crowd, rounds):
-    """A low crowd bound sends pairs through the in-task comparison, the usual one through the join."""
+    """A low crowd bound compares components of a token first, the usual one joins nodes at once."""
     prepare(spark)
     monkeypatch.setattr(ngram_join, "CROWD", crowd)
     monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
@@ -75,8 +75,20 @@ def test_empty(spark):
     assert ngram_join.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_chain_components(spark):
-    n = 50
-    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r.node: r.root for r in components(edges).collect()}
-    assert got == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100}
+@pytest.mark.parametrize("seed,slice_edges", [(0, 1 << 18), (1, 1)])
+def test_chain_components(spark, seed, slice_edges):
+    """Chains of 1000 in random order, with and without the folding inside tasks (one edge a slice: none)."""
+    prepare(spark)
+    n = 1000
+    order = list(range(n))
+    random.Random(seed).shuffle(order)
+    rows = list(zip(order, order[1:], strict=False)) + [(5000, 5001), (5001, 5000), (7, 7), (6000, 6000)]
+    random.Random(seed).shuffle(rows)
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(8 if seed else 2)
+    got = {r.node: r.root for r in components(edges, slice_edges).collect()}
+    assert got == {**dict.fromkeys(range(n), 0), 5000: 5000, 5001: 5000}
+
+
+def test_components_of_nothing(spark):
+    prepare(spark)
+    assert components(spark.createDataFrame([(None, 1), (2, 2)], "a long, b long")).count() == 0
