@@ -22,7 +22,8 @@ equi-joins that spill and that adaptive execution can split.
 
 Edge cases: null or empty text and text without words has an empty set, 0 shingles and itself as
 component. Fewer than four words make one token. Repeated rows are each returned. A row without an
-id takes part in links but never names a component, unless no member has an id (then null).
+id takes part in links but never names a component, unless no member has an id (then null). A set is
+named by 64 bits of its digest; sets whose names clash are found and named by 64 others.
 """
 
 from __future__ import annotations
@@ -99,9 +100,16 @@ class Shingler:
         return out
 
 
-def node_of(tokens: np.ndarray) -> bytes:
-    """128-bit name of a set."""
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+def names_of(tokens: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit names of a set; together they tell sets apart."""
+    d = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def node_of(tokens: np.ndarray, clashes: frozenset[int]) -> int:
+    """The first name of a set, or its second where different sets have the same first."""
+    first, second = names_of(tokens)
+    return second if first in clashes else first
 
 
 def bucket_of(tokens: np.ndarray) -> np.ndarray:
@@ -137,11 +145,11 @@ def prefix(tokens: np.ndarray, level: np.ndarray, freq: np.ndarray, percent: int
 
 
 def survey(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """kind 0: (id, size, node) of each row; kind 1: (chunk, counters) of the frequency sketch of a task."""
+    """kind 0: (id, size, both names) of each row; kind 1: (chunk, counters) of the frequency sketch of a task."""
     kind = next(f.dataType.simpleString() for f in df.schema.fields if f.name == id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "n", "node", "chunk", "counters"]
+        names = ["kind", "id", "n", "node", "other", "chunk", "counters"]
         sketch, make = np.zeros(BUCKETS, np.int64), Shingler(width)
         id_type = None
         for b in batches:
@@ -151,14 +159,14 @@ def survey(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 sets = make.sets(texts[lo:hi])
                 if sets:
                     sketch += np.bincount(bucket_of(np.concatenate(sets)), minlength=BUCKETS)
-                nodes = [node_of(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), ids[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names)
+                node, other = zip(*[names_of(s) if len(s) else (None, None) for s in sets], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(hi - lo, np.int32)), ids[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names)
         if id_type is not None:
             blobs = [zstandard.ZstdCompressor(level=1).compress(c.astype("<i8").tobytes()) for c in sketch.reshape(-1, CHUNK)]
             n = len(blobs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(blobs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, id_type), *[pa.nulls(n, pa.int64())] * 3, pa.array(np.arange(n, dtype=np.int32)), pa.array(blobs, pa.binary())], names=names)
 
-    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"kind int, id {kind}, n bigint, node binary, chunk int, counters binary")
+    return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"kind int, id {kind}, n bigint, node bigint, other bigint, chunk int, counters binary")
 
 
 def sketch_of(seen: DataFrame) -> np.ndarray:
@@ -177,8 +185,8 @@ def sketch_of(seen: DataFrame) -> np.ndarray:
     return out
 
 
-def postings(df: DataFrame, text_col: str, width: int, percent: int, level: np.ndarray, freq: np.ndarray) -> DataFrame:
-    """(token, node, n, l, pos) for the chosen prefix of each node, once a node and task."""
+def postings(df: DataFrame, text_col: str, width: int, percent: int, level: np.ndarray, freq: np.ndarray, clashes: frozenset[int]) -> DataFrame:
+    """(token, node, place) for the chosen prefix of each node, once a node and task; place packs (n, l, pos)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen = Shingler(width), set()
@@ -187,7 +195,7 @@ def postings(df: DataFrame, text_col: str, width: int, percent: int, level: np.n
             for lo, hi in slices(texts, SLICE_BYTES):
                 tok, nodes, rows = [], [], []
                 for s in make.sets(texts[lo:hi]):
-                    node = node_of(s) if len(s) else None
+                    node = node_of(s, clashes) if len(s) else None
                     if node is None or node in seen:
                         continue
                     seen.add(node)
@@ -196,15 +204,15 @@ def postings(df: DataFrame, text_col: str, width: int, percent: int, level: np.n
                     nodes.append(node)
                     rows.append((len(s), l, len(p)))
                 if rows:
-                    n, l, m = np.array(rows, np.int32).T
-                    of = np.repeat(np.arange(len(m)), m)
-                    pos = np.concatenate([np.arange(x, dtype=np.int32) for x in m])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), pa.array(nodes, pa.binary()).take(pa.array(of)), pa.array(n[of]), pa.array(l[of]), pa.array(pos)], names=["token", "node", "n", "l", "pos"])
+                    n, l, m = np.array(rows, np.int64).T
+                    pos = np.concatenate([np.arange(x) for x in m])
+                    place = np.repeat((n << 33) | (l << 29), m) | pos
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), m)), pa.array(place)], names=["token", "node", "place"])
 
-    return df.select(F.col(text_col).cast("string")).mapInArrow(run, "token bigint, node binary, n int, l int, pos int")
+    return df.select(F.col(text_col).cast("string")).mapInArrow(run, "token bigint, node bigint, place bigint")
 
 
-def wanted_sets(df: DataFrame, id_col: str, text_col: str, width: int, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def wanted_sets(df: DataFrame, id_col: str, text_col: str, width: int, rows: DataFrame, pairs: DataFrame, clashes: frozenset[int]) -> DataFrame:
     """(node, tokens) of the nodes in pairs.
 
     One row of each node is needed; a fixed-size bitmap over their ids lets tasks skip most others.
@@ -227,15 +235,15 @@ def wanted_sets(df: DataFrame, id_col: str, text_col: str, width: int, rows: Dat
             for lo, hi in slices(texts, SLICE_BYTES):
                 keep, sets = [], []
                 for s in make.sets(texts[lo:hi]):
-                    node = node_of(s) if len(s) else None
+                    node = node_of(s, clashes) if len(s) else None
                     if node is not None and node not in seen:
                         seen.add(node)
                         keep.append(node)
                         sets.append(s.view(np.int64))
                 if keep:
-                    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    sets = df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, "node binary, tokens array<bigint>")
+    sets = df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, "node bigint, tokens array<bigint>")
     return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -285,12 +293,13 @@ def multi_match(left: DataFrame, percent: int) -> DataFrame:
     rows = few.alias("p").join(few.alias("q"), F.expr("p.token = q.token and p.root < q.root") & fits).select(*pair)
 
     group = many.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.expr("n - pos")).alias("rest"), F.max("l").alias("l"))
-    least = f"({percent} * (cast(p.low as bigint) + q.low) + {99 + percent}) div {100 + percent}"
-    may = F.expr(f"p.high * 100L >= q.low * {percent} and q.high * 100L >= p.low * {percent} and {least} < least(p.rest, q.rest) + least(p.l, q.l)")
-    meet = group.alias("p").join(group.alias("q"), F.expr("p.token = q.token and p.root < q.root") & may).select("p.token", F.col("p.root").alias("r"), F.col("q.root").alias("s"))
-    ends = many.select("token", "root", "node", "n", "l", "pos")
-    one = meet.join(ends.withColumnRenamed("root", "r"), ["token", "r"]).alias("p")
-    rows = rows.union(one.join(ends.alias("q"), F.expr("p.token = q.token and p.s = q.root") & fits).select(*pair))
+    bound = f"({percent} * (cast(p.low as bigint) + q.low) + {99 + percent}) div {100 + percent}"
+    may = F.expr(f"p.high * 100L >= q.low * {percent} and q.high * 100L >= p.low * {percent} and {bound} < least(p.rest, q.rest) + least(p.l, q.l)")
+    meet = group.alias("p").join(group.alias("q"), F.expr("p.token = q.token and p.root < q.root") & may)
+    meet = meet.select("p.token", F.col("p.root").alias("r"), F.col("q.root").alias("s"), *[F.col(f"q.{c}") for c in ("low", "high", "rest", "l")])
+    ends = many.select("token", "root", "node", "n", "l", "pos", F.col("n").alias("low"), F.col("n").alias("high"), F.expr("n - pos").alias("rest"))
+    one = ends.alias("p").join(meet.alias("q"), F.expr("p.token = q.token and p.root = q.r") & may).select("p.*", "q.s")
+    rows = rows.union(one.alias("p").join(ends.alias("q"), F.expr("p.token = q.token and p.s = q.root") & fits).select(*pair))
     counted = rows.groupBy("x", "y").agg(F.count("*").alias("c"), F.first("l").alias("l")).where("c >= l")
     return counted.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
@@ -299,24 +308,30 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     """(id, n_shingles, component_id) for every row."""
     scratch = Scratch(df.sparkSession)
     seen = scratch.save("seen", survey(df, id_col, text_col, width))
-    rows = reliable(seen.where("kind = 0").select("id", "n", "node"))
+    first = seen.where("kind = 0").groupBy("node").agg(F.min("other").alias("o1"), F.max("other").alias("o2"))
+    # about (nodes squared) / 2^65 of them: none in practice, three at 10^10 different documents
+    clashes = frozenset(r["node"] for r in first.where("o1 < o2").select("node").collect())
+    name = F.when(F.col("node").isin(*clashes), F.col("other")).otherwise(F.col("node")) if clashes else F.col("node")
+    rows = reliable(seen.where("kind = 0").select("id", "n", name.alias("node")))
     sketch = sketch_of(seen)
     scratch.drop("seen")
     floor = float(np.median(sketch))
     level = np.floor(np.log2(1 + sketch)).astype(np.int8)
     freq = np.maximum(1.0, sketch - 2 * floor)
 
-    posts = scratch.save("posts", postings(df, text_col, width, percent, level, freq))
+    posts = scratch.save("posts", postings(df, text_col, width, percent, level, freq, clashes)).repartition("token")
     common = posts.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("token")
     met = posts.join(common, "token").dropDuplicates(["token", "node"])
-    shared = scratch.save("shared", met.withColumn("shared", F.count("*").over(Window.partitionBy("node"))))
+    apart = ["cast(shiftright(place, 33) as int) n", "cast(shiftright(place, 29) & 15 as int) l", f"cast(place & {(1 << 29) - 1} as int) pos"]
+    shared = met.withColumn("shared", F.count("*").over(Window.partitionBy("node"))).selectExpr("token", "node", "shared", *apart)
+    shared = scratch.save("shared", shared)
     scratch.drop("posts")
     edges, sets, root = None, None, None
     left = shared.withColumn("root", F.col("node"))
     for k in range(ROUNDS):
         star = reliable(leader_pairs(left, percent, k))
         if sets is None:
-            sets = scratch.save("sets", wanted_sets(df, id_col, text_col, width, rows, star))
+            sets = scratch.save("sets", wanted_sets(df, id_col, text_col, width, rows, star, clashes))
         # later rounds only use sets at hand: what they leave out the exact step below finds
         new = reliable(verified(star, sets, percent))
         if root is not None and not more_than_none(new):
@@ -333,7 +348,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     for name in ("shared", *[f"left{k}" for k in range(ROUNDS)]):
         scratch.drop(name)
     if more_than_none(pairs):
-        edges = reliable(edges.unionByName(verified(pairs, wanted_sets(df, id_col, text_col, width, rows, pairs), percent)))
+        edges = reliable(edges.unionByName(verified(pairs, wanted_sets(df, id_col, text_col, width, rows, pairs, clashes), percent)))
         root = components(edges)
     release(df.sparkSession)
     # the smallest id of a component, over all rows of all its nodes

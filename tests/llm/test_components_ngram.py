@@ -62,6 +62,14 @@ def test_against_brute(spark, monkeypatch, seed, k, percent, crowd, rounds):
     assert collections.Counter(map(tuple, got.collect())) == brute(rows, k, percent)
 
 
+def test_clashing_names():
+    """Two sets of one first name are told apart by the second."""
+    rows = [(1, "a b c d e"), (2, "p q r s t"), (3, "a b c d e"), (4, "k l m n o")]
+    first, second = (ngram_join.names_of(ngram_join.Shingler(4).sets([t.encode()])[0])[0] for _, t in rows[:2])
+    assert ngram_join.node_of(ngram_join.Shingler(4).sets([rows[0][1].encode()])[0], frozenset([first])) != first
+    assert ngram_join.node_of(ngram_join.Shingler(4).sets([rows[1][1].encode()])[0], frozenset([first])) == second
+
+
 def test_keep_one(spark):
     prepare(spark)
     a = " ".join(f"w{i}" for i in range(40))
