@@ -12,11 +12,15 @@ collected:
 
 1. Documents are dealt into blocks of about BLOCK_BYTES. A block yields its distinct (context, byte)
    codes and distinct words with their training counts, as delta-coded runs, one a route.
-2. Codes meet by their two most recent context bytes, words by hash. A route holds whole subtrees
-   from depth 2 down, sums their weighted probabilities and hands the top (at most 256 x 256
-   entries, whatever the corpus) to the driver.
-3. With the top known, each route computes the log probability of each of its codes once and sends
-   it back to the blocks that asked, where documents are scored by table lookup.
+2. Codes meet by their three most recent context bytes (TOP), words by hash. A route holds whole
+   subtrees from that depth down, sums their weighted probabilities and hands the rest to the driver,
+   which keeps the levels above: at most 2^24 bit nodes whatever the corpus, some 10^5 in practice.
+3. With those known, each route computes the log probability of each of its codes once and sends the
+   bare values back to the blocks that asked; a block derives its sorted codes from its texts again,
+   so that no key travels twice, and scores its documents by table lookup.
+
+Words meet by 64-bit hashes that are not checked: two of a corpus' W distinct words are expected to
+be taken for one W^2 / 2^65 times (0.03 times at 10^9).
 
 Edge cases: a null or empty text is only the end symbol (one token). Without training documents the
 model is uniform: each bit costs one bit. Repeated rows are scored and counted each.
@@ -40,6 +44,8 @@ from routeloom.llm.common import LOWER, as_bytes, crc_mod, release, reliable, sl
 DEPTH = 5
 BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 2 << 20
+TOP = 3  # levels above this depth are held by the driver
+UNIT = 2.0**36  # log probabilities travel as multiples of 1 / UNIT
 EDGE = 255
 HALF = math.log(0.5)
 
@@ -141,14 +147,14 @@ class Tree:
 
 
 class Top:
-    """Depths 0 and 1 from their histogram and the summed log weights of depth-2 nodes."""
+    """Levels 0 to TOP - 1 from the histogram of the last of them and the summed log weights of the level below."""
 
     def __init__(self, hist: tuple[np.ndarray, np.ndarray], sums: tuple[np.ndarray, np.ndarray]):
         key, n = fold(*hist)
         self.levels = {}
         below = sums
-        for d in (1, 0):
-            own_key, count = (key, n) if d == 1 else fold(key & 255, n)
+        for d in range(TOP - 1, -1, -1):
+            own_key, count = fold(((key >> (8 * (TOP - d))) << 8) | (key & 255), n) if d < TOP - 1 else (key, n)
             if not len(own_key):
                 self.levels[d] = None
                 continue
@@ -161,14 +167,14 @@ class Top:
             keys, back = np.unique(up, return_inverse=True)
             below = (keys, np.bincount(back, total, len(keys)))
 
-    def mix(self, c1: np.ndarray, byte: np.ndarray, k: int, p: np.ndarray) -> np.ndarray:
+    def mix(self, codes: np.ndarray, k: int, p: np.ndarray, depth: int) -> np.ndarray:
+        byte = codes & 255
         one = (byte >> (7 - k)) & 1
-        for d in (1, 0):
+        for d in range(TOP - 1, -1, -1):
             if self.levels[d] is None:
                 continue
             node, n0, n1, own, total = self.levels[d]
-            m = (1 << k) | (byte >> (8 - k))
-            want = (c1 << 8) | m if d else m
+            want = ((codes >> (8 * (depth - d + 1))) << 8) | ((1 << k) | (byte >> (8 - k)))
             at = np.minimum(np.searchsorted(node, want), len(node) - 1)
             seen = node[at] == want
             kt = (np.where(one == 1, n1[at], n0[at]) + 0.5) / (n0[at] + n1[at] + 1)
@@ -193,17 +199,24 @@ def codes_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.nda
     return code[keep], size
 
 
+def squeezed(*columns: np.ndarray) -> bytes:
+    """64-bit integers byte plane by byte plane (the high planes are nearly constant), compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns))
+
+
+def unsqueezed(blob: bytes, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return [np.ascontiguousarray(c.reshape(8, -1).T).view("<i8").ravel() for c in np.split(raw, columns)]
+
+
 def packed(keys: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted keys as deltas with their counts, compressed."""
-    step = np.diff(keys, prepend=np.int64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(keys)).tobytes() + step.astype("<i8").tobytes() + n.astype("<i8").tobytes())
+    """Sorted keys as deltas with their counts."""
+    return squeezed(np.diff(keys, prepend=np.int64(0)), n)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw[:8], "<i8")[0])
-    both = np.frombuffer(raw, "<i8", offset=8)
-    return np.cumsum(both[:n]), both[n:]
+    step, n = unsqueezed(blob, 2)
+    return np.cumsum(step), n
 
 
 class Lookup:
@@ -251,14 +264,23 @@ def word_key(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w) - (1 << 63)
 
 
-def routed(keys: np.ndarray, n: np.ndarray, route: np.ndarray, routes: int) -> Iterator[tuple[int, bytes]]:
-    """Sorted (key, count) runs by route."""
+def routed(route: np.ndarray, routes: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Indexes of sorted keys by route, in order."""
     order = np.argsort(route, kind="stable")
     at = np.searchsorted(route[order], np.arange(routes + 1))
-    for r in range(routes):
-        part = order[at[r]:at[r + 1]]
-        if len(part):
-            yield r, packed(keys[part], n[part])
+    for r in np.flatnonzero(np.diff(at)).tolist():
+        yield r, order[at[r]:at[r + 1]]
+
+
+def code_route(codes: np.ndarray, routes: int, depth: int) -> np.ndarray:
+    return route_of(codes >> (8 * (depth - TOP + 1)), routes)
+
+
+def counted_codes(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and how often each occurs."""
+    code = np.sort(codes_of(texts, depth)[0])
+    start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    return code[start], np.diff(np.concatenate((start, [len(code)])))
 
 
 def route_of(prefix: np.ndarray, routes: int) -> np.ndarray:
@@ -274,10 +296,10 @@ def block_runs(docs: DataFrame, routes: int, depth: int) -> DataFrame:
         def out(block: int) -> Iterator[pa.RecordBatch]:
             codes, words = held.pop(block)
             keys, n = fold(np.concatenate([c for c, _ in codes]), np.concatenate([m for _, m in codes]))
-            rows = [(block, r, 0, b) for r, b in routed(keys, n, route_of(keys >> (8 * (depth - 1)), routes), routes)]
+            rows = [(block, r, 0, packed(keys[i], n[i])) for r, i in routed(code_route(keys, routes, depth), routes)]
             wk = np.fromiter((word_key(w) for w in words), np.int64, len(words))
             keys, n = fold(wk, np.fromiter(words.values(), np.int64, len(words)))
-            rows += [(block, r, 1, b) for r, b in routed(keys, n, route_of(keys, routes), routes)]
+            rows += [(block, r, 1, packed(keys[i], n[i])) for r, i in routed(route_of(keys, routes), routes)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "route", "kind", "run"]) if rows else pa.RecordBatch.from_pylist([])
 
         for b in batches:
@@ -290,11 +312,9 @@ def block_runs(docs: DataFrame, routes: int, depth: int) -> DataFrame:
                         if not at:
                             continue
                         part = [lower[i] for i in at]
-                        code = np.sort(codes_of(part, depth)[0])
-                        start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-                        n = np.diff(np.concatenate((start, [len(code)]))) if value else np.zeros(len(start), np.int64)
+                        code, n = counted_codes(part, depth)
                         codes, words = held.setdefault(block, ([], {}))
-                        codes.append((code[start], n))
+                        codes.append((code, n * value))
                         if len(codes) > 24:
                             codes[:] = [fold(np.concatenate([c for c, _ in codes]), np.concatenate([m for _, m in codes]))]
                         for t in part:
@@ -325,27 +345,27 @@ def gather(batches: Iterator[pa.RecordBatch]) -> tuple[dict, tuple[np.ndarray, n
 
 
 def tops(runs: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, value): 0 depth-1 histogram, 1 summed log weights of depth-2 nodes, 2 distinct words, 3 words."""
+    """(kind, key, value): 0 histogram of level TOP - 1, 1 summed log weights of nodes at TOP, 2 distinct words, 3 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, (codes, n), (_, count) = gather(batches)
         rows = [(2, 0, float(len(count))), (3, 0, float(count.sum()))]
         if len(codes):
-            keys, sums = Tree(codes, n, 2, depth).sums()
+            keys, sums = Tree(codes, n, TOP, depth).sums()
             rows += [(1, k, v) for k, v in zip(keys.tolist(), sums.tolist(), strict=True)]
-            keys, sums = fold(((codes >> (8 * depth)) << 8) | (codes & 255), n)
+            keys, sums = fold(((codes >> (8 * (depth - TOP + 2))) << 8) | (codes & 255), n)
             rows += [(0, k, float(v)) for k, v in zip(keys.tolist(), sums.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["kind", "key", "value"])
 
     return runs.mapInArrow(run, "kind int, key bigint, value double").groupBy("kind", "key").agg(F.sum("value").alias("value"))
 
 
-def answers(runs: DataFrame, depth: int, top: Top, unit: float) -> DataFrame:
-    """(block, kind, keys, values) for every run: log10 probabilities of codes, counts of words."""
+def answers(runs: DataFrame, depth: int, shared_top) -> DataFrame:
+    """(block, kind, route, run) for every run: log10 probabilities of its codes, counts of its words, in its order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, (codes, n), (words, count) = gather(batches)
-        tree = Tree(codes, n, 2, depth)
+        tree, top = Tree(codes, n, TOP, depth), shared_top.value
         for kind in (0, 1):
             mine = [(k, keys) for k, v in asked.items() if k[2] == kind for keys in v]
             if not mine:
@@ -356,18 +376,17 @@ def answers(runs: DataFrame, depth: int, top: Top, unit: float) -> DataFrame:
                 for lo in range(0, len(every), 1 << 18):
                     part = every[lo:lo + (1 << 18)]
                     for k in range(8):
-                        p = top.mix(part >> (8 * depth), part & 255, k, tree.mix(part, k))
+                        p = top.mix(part, k, tree.mix(part, k), depth)
                         value[lo:lo + (1 << 18)] += np.log10(p)
             elif len(words):
                 at = np.minimum(np.searchsorted(words, every), len(words) - 1)
                 value = np.where(words[at] == every, count[at], 0).astype(float)
-            for (block, _, _), keys in mine:
-                v = value[np.searchsorted(every, keys)]
-                step = np.diff(keys, prepend=np.int64(0))
-                blob = zstandard.ZstdCompressor(level=1).compress(step.astype("<i8").tobytes() + v.astype("<f8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([kind], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([blob], pa.binary())], names=["block", "kind", "n", "run"])
+            value = np.rint(value * UNIT) if kind == 0 else value
+            for (block, route, _), keys in mine:
+                blob = squeezed(value[np.searchsorted(every, keys)])
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (block, kind, route)] + [pa.array([blob], pa.binary())], names=["block", "kind", "route", "run"])
 
-    return runs.mapInArrow(run, "block int, kind int, n bigint, run binary")
+    return runs.mapInArrow(run, "block int, kind int, route int, run binary")
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -385,8 +404,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     runs = reliable(block_runs(dealt, routes, depth))
     by_route = runs.select("block", "route", "kind", "run").repartition(routes, "route")
     head = {k: [] for k in range(4)}
-    for r in tops(by_route, depth).collect():
-        head[r["kind"]].append((r["key"], r["value"]))
+    for kind, key, value in zip(*(c.to_pylist() for c in tops(by_route, depth).toArrow().columns), strict=True):
+        head[kind].append((key, value))
     table = {k: (np.array([x for x, _ in sorted(v)], np.int64), np.array([y for _, y in sorted(v)])) for k, v in head.items()}
     top = Top(table[0], table[1])
     n_train = docs.where("train").count()
@@ -395,7 +414,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
     log_total = math.log10(n_words + 0.5 * (distinct + 1))
     end_term = math.log10(n_train + 0.5) - log_total
     release(spark)
-    replies = answers(by_route, depth, top, log_total)
+    replies = answers(by_route, depth, spark.sparkContext.broadcast(top))
     kind = next(f.dataType for f in df.schema.fields if f.name == id_col)
     schema = T.StructType([
         T.StructField(id_col, kind), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
@@ -406,12 +425,26 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        found = {0: [], 1: []}
-        for kind_, n, blob in zip(right.column("kind").to_pylist(), right.column("n").to_pylist(), right.column("run").to_pylist(), strict=True):
-            raw = zstandard.ZstdDecompressor().decompress(blob)
-            found[kind_].append((np.cumsum(np.frombuffer(raw[: 8 * n], "<i8")), np.frombuffer(raw[8 * n:], "<f8")))
-        log_p, count = (Lookup(*(np.concatenate(x) for x in zip(*found[k], strict=True))) if found[k] else None for k in (0, 1))
         texts = [t.translate(LOWER) for t in as_bytes(left.column("text"))]
+        replied = dict(zip(zip(right.column("kind").to_pylist(), right.column("route").to_pylist(), strict=True), right.column("run").to_pylist(), strict=True))
+
+        def table_of(kind: int, keys: np.ndarray, route: np.ndarray) -> Lookup:
+            value = np.zeros(len(keys))
+            for r, i in routed(route, routes):
+                value[i] = unsqueezed(replied[kind, r], 1)[0]
+            return Lookup(keys, value / UNIT if kind == 0 else value)
+
+        codes, words = [], set()
+        for lo, hi in slices(texts, SLICE_BYTES):
+            codes.append(counted_codes(texts[lo:hi], depth))
+            words.update(*(t.split() for t in texts[lo:hi]))
+            if len(codes) > 24:
+                codes[:] = [fold(*(np.concatenate(x) for x in zip(*codes, strict=True)))]
+        keys = fold(*(np.concatenate(x) for x in zip(*codes, strict=True)))[0]
+        log_p = table_of(0, keys, code_route(keys, routes, depth))
+        keys = np.unique(np.fromiter(map(word_key, words), np.int64, len(words)))
+        count = table_of(1, keys, route_of(keys, routes))
+        del codes, words, keys
         tokens, known, base, total = (np.zeros(len(texts)) for _ in range(4))
         for lo, hi in slices(texts, SLICE_BYTES):
             part = texts[lo:hi]
