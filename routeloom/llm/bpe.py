@@ -4,16 +4,21 @@ The merge list of a public tokenizer file fixes two bounds. The split pattern lo
 characters ahead, so a piece is final once that many characters follow it. Inside a piece, a merge
 rule (a, b) can be pre-empted only if the right spine of b is consumed by a rule of higher
 priority, which in turn can be pre-empted only by one of still higher priority; the longest such
-chain, in bytes, is the *sufficient lookahead*: a token whose end lies that far behind the read
-position never changes. The transducer therefore emits tokens as soon as they are stable and holds
-a buffer of constant size, whatever the length of text or piece.
-
-Short pieces are encoded together: all pieces of a slice that a bounded cache does not know go
-through the merge rounds at once, as arrays. The decoder maps ids to bytes and bytes to text by an
-incremental UTF-8 state machine, which keeps at most three pending bytes between tokens.
+chain, in bytes, is the *sufficient lookahead*, and each token has its own, from the rules whose left
+side is on its right spine: a token with that many bytes behind its end never changes.
+
+Every text goes through one transducer, chunk by chunk: the splitter keeps at most an unfinished
+piece of WINDOW characters and a chunk, longer pieces stay open and pass through a buffer of at most
+``window`` bytes, from whose front tokens are emitted as soon as they are stable. What is emitted is
+consumed at once (digests, counts, the decoder), so memory does not grow with texts, pieces or
+results. The texts of a batch advance together, a chunk of each at a time, so that their pieces are
+merged as arrays; pieces of at most MEMO characters are remembered, up to a fixed number of them. The
+decoder maps ids to bytes and bytes to text by an incremental UTF-8 state machine, which keeps at
+most three pending bytes between tokens.
 
 Edge cases: null counts as empty (no ids). The special token's own string inside a text is one id,
-as the library encodes it. A malformed byte decodes to U+FFFD. Repeated rows are encoded each.
+as the library encodes it. A malformed byte decodes to U+FFFD. Repeated rows are encoded each. A
+tokenizer file with settings other than byte-level BPE without normalizer is refused.
 """
 
 from __future__ import annotations
@@ -37,10 +42,20 @@ PIECES = regex.compile(
 )
 PIECE_LOOKAHEAD = 3
 CHUNK = 1 << 16
-LONG = 256
-CACHE = 400_000
+MEMO = 48  # characters of pieces that are remembered
+CACHE = 200_000  # of them
 SLICE_BYTES = 2 << 20
 NO_RANK = np.int32(2**31 - 1)
+WINDOW = 1 << 12  # characters from which an unfinished piece is handed on in parts
+# an open piece goes on as long as its own class of characters does
+RUNS = [regex.compile(x) for x in (r"\p{L}*", r"\p{N}*", r"[^\p{White_Space}\p{L}\p{N}]*", r"\p{White_Space}*")]
+SPACE = 3
+# Fixed by the file format: settings that this transducer implements, anything else would change ids.
+SETTINGS = {
+    "normalizer": None,
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
 
 FIELDS = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
 
@@ -52,9 +67,78 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Splitter:
+    """Cuts one text, fed in chunks, into pieces; its memory is a chunk and an unfinished piece."""
+
+    def __init__(self, special: regex.Pattern | None, longest: int):
+        self.special, self.longest = special, longest
+        self.tail, self.held, self.open = "", "", None
+
+    def feed(self, chunk: str, last: bool) -> list:
+        """Pieces (strings), special strings in a list of one, and parts (string, whether it ends its piece) of open pieces."""
+        out: list = []
+        if self.special is None:
+            self._segment(chunk, last, out)
+            return out
+        parts = self.special.split(self.tail + chunk)
+        for k in range(0, len(parts) - 1, 2):
+            self._segment(parts[k], True, out)
+            out.append([parts[k + 1]])
+        rest = parts[-1]
+        keep = 0 if last else min(len(rest), self.longest - 1)
+        self.tail = rest[len(rest) - keep:]
+        self._segment(rest[:len(rest) - keep], last, out)
+        return out
+
+    def _segment(self, text: str, end: bool, out: list) -> None:
+        s, self.held = self.held + text, ""
+        if self.open is not None:
+            n = RUNS[self.open].match(s).end()
+            last = self.open == SPACE  # the last of several white spaces may belong to what follows
+            if n == len(s) and not end:
+                cut = max(0, n - last)
+                out.append((s[:cut], False))
+                self.held = s[cut:]
+                return
+            cut = n if end and n == len(s) else max(0, n - last)
+            out.append((s[:cut], True))
+            s, self.open = s[cut:], None
+        if end:
+            out += PIECES.findall(s)
+            return
+        if len(s) <= PIECE_LOOKAHEAD:
+            self.held = s
+            return
+        found = list(PIECES.finditer(s))
+        n = len(found) - 1
+        while n > 0 and found[n - 1].end() > len(s) - PIECE_LOOKAHEAD:
+            n -= 1
+        out += [m.group() for m in found[:n]]
+        rest = s[found[n].start():]
+        if n == len(found) - 1 and len(rest) > WINDOW:
+            self.open = next(k for k, r in enumerate(RUNS) if r.fullmatch(rest[-1]))
+            cut = len(rest) - (self.open == SPACE)
+            out.append((rest[:cut], False))
+            rest = rest[cut:]
+        self.held = rest
+
+
+def checked(spec: dict) -> dict:
+    """The tokenizer file, refused where a setting would make other ids."""
+    for part, want in SETTINGS.items():
+        have = spec.get(part)
+        wrong = have is not None if want is None else [k for k, v in want.items() if (have or {}).get(k) != v and not (v is None or v is False) or (have or {}).get(k) not in (None, False, v)]
+        if wrong:
+            raise ValueError(f"tokenizer file: unsupported {part} {wrong if want else have}")
+    odd = [t["content"] for t in spec["added_tokens"] if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]
+    if odd:
+        raise ValueError(f"tokenizer file: unsupported added tokens {odd}")
+    return spec
+
+
 class Transducer:
     def __init__(self, raw: bytes):
-        spec = json.loads(raw)
+        spec = checked(json.loads(raw))
         of = byte_alphabet()
         vocab = {bytes(of[c] for c in k): v for k, v in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -72,12 +156,10 @@ class Transducer:
         self._table()
         self.parts = {int(m): (int(a), int(b)) for m, a, b in reversed(list(zip(self.made, self.left, self.right, strict=True)))}
         self.lookahead = self._lookahead()
+        self.window = 2 * (self.lookahead + max(map(len, self.token)))
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.longest = max(map(len, self.special), default=1)
         self.cache: dict[str, bytes] = {}
-        self._seed()
-
-    def _seed(self) -> None:
-        self.cache = {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
 
     def _table(self) -> None:
         """Open-addressed table of pair -> rank."""
@@ -115,7 +197,7 @@ class Transducer:
         return out
 
     def _lookahead(self) -> int:
-        """Bytes behind which a token is final: the longest chain of pre-empting rules."""
+        """Bytes behind which any token is final (the longest chain of pre-empting rules), and each token's own in ``look``."""
         best: dict[int, int] = {}
         most = 0
         for a, b in zip(self.left.tolist(), self.right.tolist(), strict=True):
@@ -128,6 +210,14 @@ class Transducer:
             need = len(self.token[b]) + reach
             best[a] = max(best.get(a, 0), need)
             most = max(most, need)
+        self.look = np.zeros(len(self.token), np.int64)
+        for t in range(len(self.token)):
+            x = t
+            while True:
+                self.look[t] = max(self.look[t], best.get(x, 0))
+                if x not in self.parts:
+                    break
+                x = self.parts[x][1]
         return most
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
@@ -163,69 +253,72 @@ class Transducer:
             sym, word = sym[stay], word[stay]
         return out
 
-    def stream(self, piece: bytes) -> Iterator[np.ndarray]:
-        """Ids of one piece of any length; the buffer never exceeds a few lookaheads."""
-        room = max(4096, 4 * self.lookahead)
-        held, at = b"", 0
-        while at < len(piece) or held:
-            take = room - len(held)
-            held += piece[at:at + take]
-            at += take
+    def step(self, held: bytes, part: bytes, end: bool) -> tuple[list[np.ndarray], bytes]:
+        """One more part of a piece: the ids that have become stable, and the bytes still held (less than ``window``)."""
+        out, at = [], 0
+        while True:
+            take = self.window - len(held)
+            held, at = held + part[at:at + take], at + take
+            if at >= len(part) and end:
+                return [*out, *self.merge([held])], b""
+            if len(held) < self.window:
+                return out, held
             ids = self.merge([held])[0]
-            if at >= len(piece):
-                yield ids
-                return
             ends = np.cumsum([len(self.token[i]) for i in ids.tolist()])
-            n = int(np.searchsorted(ends, len(held) - self.lookahead, side="right"))
-            yield ids[:n]
+            stable = len(held) - ends >= self.look[ids]
+            n = len(ids) if stable.all() else int(stable.argmin())
+            out.append(ids[:n])
             held = held[int(ends[n - 1]) if n else 0:]
 
-    def pieces(self, text: str) -> list[str]:
-        """Split in chunks; a piece is given out once PIECE_LOOKAHEAD characters follow it."""
-        out: list[str] = []
-        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
-            if k % 2:
-                out.append(part)
-            elif len(part) <= CHUNK:
-                out += PIECES.findall(part)
-            else:
-                held = ""
-                for at in range(0, len(part), CHUNK):
-                    held += part[at:at + CHUNK]
-                    if at + CHUNK >= len(part):
-                        out += PIECES.findall(held)
-                        break
-                    found = list(PIECES.finditer(held))
-                    n = len(found) - 1
-                    while n > 0 and found[n - 1].end() > len(held) - PIECE_LOOKAHEAD:
-                        n -= 1
-                    out += [m.group() for m in found[:n]]
-                    held = held[found[n].start():] if found else held
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.pieces(t) for t in texts]
-        unseen = set().union(*split) - self.cache.keys() if split else set()
+    def encode_stream(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
+        """(index of a text, further ids of it as little-endian unsigned 32-bit integers), chunk by chunk."""
+        cutters = [Splitter(self.cut, self.longest) for _ in texts]
+        held = [b""] * len(texts)
+        live, at = list(range(len(texts))), 0
+        while live:
+            found = [cutters[i].feed(texts[i][at:at + CHUNK], at + CHUNK >= len(texts[i])) for i in live]
+            self._learn({p for items in found for p in items if type(p) is str and len(p) <= MEMO})
+            get = self.cache.get
+            for i, items in zip(live, found, strict=True):
+                out = []
+                for p in items:
+                    if type(p) is str:
+                        ids = get(p)
+                        out.append(ids if ids is not None else b"".join(x.astype("<u4").tobytes() for x in self.step(b"", p.encode(), True)[0]))
+                    elif type(p) is list:
+                        out.append(np.array([self.special[p[0]]], "<u4").tobytes())
+                    else:
+                        ids, held[i] = self.step(held[i], p[0].encode(), p[1])
+                        out += [x.astype("<u4").tobytes() for x in ids]
+                yield i, b"".join(out)
+            at += CHUNK
+            live = [i for i in live if at < len(texts[i])]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember the ids of short pieces; beyond the bound everything is forgotten first."""
+        unseen = list(pieces - self.cache.keys())
         if len(self.cache) + len(unseen) > CACHE:
-            self._seed()
-            unseen = set().union(*split) - self.cache.keys()
-        short = [p for p in unseen if len(p) <= LONG]
-        for lo in range(0, len(short), 50_000):
-            part = short[lo:lo + 50_000]
+            self.cache = {}
+            unseen = list(pieces)
+        for lo in range(0, len(unseen), 50_000):
+            part = unseen[lo:lo + 50_000]
             for p, ids in zip(part, self.merge([p.encode() for p in part]), strict=True):
                 self.cache[p] = ids.astype("<u4").tobytes()
-        for p in unseen:
-            if len(p) > LONG:
-                self.cache[p] = b"".join(ids.astype("<u4").tobytes() for ids in self.stream(p.encode()))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text, for callers that return them."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        for i, ids in self.encode_stream(texts):
+            out[i].append(ids)
+        return [b"".join(x) for x in out]
+
+    def decode_stream(self, machine: codecs.IncrementalDecoder, ids: bytes, end: bool = False) -> str:
+        token = self.token
+        return machine.decode(b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()]), end)
 
     def decode(self, packed: bytes) -> str:
-        machine, token = codecs.getincrementaldecoder("utf-8")("replace"), self.token
-        ids, out = np.frombuffer(packed, "<u4").tolist(), []
-        for lo in range(0, len(ids), CHUNK):
-            out.append(machine.decode(b"".join([token[i] for i in ids[lo:lo + CHUNK]])))
+        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        out = [self.decode_stream(machine, packed[lo:lo + 4 * CHUNK]) for lo in range(0, len(packed), 4 * CHUNK)]
         return "".join(out) + machine.decode(b"", True)
 
 
@@ -263,12 +356,16 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         t = transducer(raw.value)
 
         def f(_, texts):
-            packed = t.encode([x.decode("utf-8", "replace") for x in texts])
-            return {
-                "n_tokens": [len(p) // 4 for p in packed],
-                "ids_sha256": [hashlib.sha256(p).hexdigest() for p in packed],
-                "decoded_sha256": [hashlib.sha256(t.decode(p).encode()).hexdigest() for p in packed],
-            }
+            n = [0] * len(texts)
+            ids_sha, text_sha = ([hashlib.sha256() for _ in texts] for _ in range(2))
+            machines = [codecs.getincrementaldecoder("utf-8")("replace") for _ in texts]
+            for i, ids in t.encode_stream([x.decode("utf-8", "replace") for x in texts]):
+                n[i] += len(ids) // 4
+                ids_sha[i].update(ids)
+                text_sha[i].update(t.decode_stream(machines[i], ids).encode())
+            for h, m in zip(text_sha, machines, strict=True):
+                h.update(m.decode(b"", True).encode())
+            return {"n_tokens": n, "ids_sha256": [h.hexdigest() for h in ids_sha], "decoded_sha256": [h.hexdigest() for h in text_sha]}
 
         return f
 

@@ -1,6 +1,7 @@
 """Operators on single texts against brute force: quality rules, personal data, tokens, language, classifier."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -114,15 +115,54 @@ def test_tokens(docs):
         assert r.decoded_sha256 == hashlib.sha256(ref.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_token_stream_is_bounded():
+def test_token_stream_is_bounded(monkeypatch):
+    """Long pieces of every class, cut anywhere: the library's ids, with a buffer that never grows."""
     tokenizers = pytest.importorskip("tokenizers")
-    ref, t = tokenizers.Tokenizer.from_file(bpe.default_path()), bpe.transducer(open(bpe.default_path(), "rb").read())
+    ref, t = tokenizers.Tokenizer.from_file(bpe.default_path()), bpe.Transducer(open(bpe.default_path(), "rb").read())
     r = random.Random(5)
+    words = [w for w in (t.token[i].decode("utf-8", "ignore") for i in range(300, 40000, 7)) if w.isalpha()]
+    texts = ["x<|endoftext|> 's'll 　é🙂\t\n" * 3000, "!" * 9000 + "'s " + "\n" * 9000 + "z", " " * 9000, " " * 9000 + "\n", "\n \n" * 4000 + "'ll"]
     for n in (1, 300, 5000, 20000):
-        for text in ("a" * n, "".join(r.choice("aehtin") for _ in range(n))):
-            assert np.concatenate(list(t.stream(text.encode()))).tolist() == ref.encode(text, add_special_tokens=False).ids
-    odd = "x<|endoftext|> 's'll 　é🙂\t\n" * 9000
-    assert np.frombuffer(t.encode([odd])[0], "<u4").tolist() == ref.encode(odd, add_special_tokens=False).ids and t.decode(t.encode([odd])[0]) == odd
+        texts += ["a" * n, "".join(r.choice("aehtin") for _ in range(n)), "7" * n, "".join(r.choice(words) for _ in range(n // 5)), " ".join(r.choice(words) for _ in range(n // 9))]
+    merge, most = t.merge, [0]
+
+    def watched(parts):
+        most[0] = max(most[0], *map(len, parts))
+        return merge(parts)
+
+    monkeypatch.setattr(t, "merge", watched)
+    for chunk, window in ((1 << 16, 1 << 12), (997, 64), (13, 4)):
+        monkeypatch.setattr(bpe, "CHUNK", chunk)
+        monkeypatch.setattr(bpe, "WINDOW", window)
+        for text, ids in zip(texts, t.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == ref.encode(text, add_special_tokens=False).ids
+            assert t.decode(ids) == text
+    assert most[0] <= t.window and max(map(len, t.cache)) <= bpe.MEMO
+
+
+def test_tokens_leave_early():
+    """Tokens of an unfinished piece are emitted once their own lookahead has been read."""
+    t = bpe.transducer(open(bpe.default_path(), "rb").read())
+    r = random.Random(1)
+    held, seen, out = b"", 0, 0
+    for _ in range(200):
+        part = "".join(r.choice("etaoinshr") for _ in range(100)).encode()
+        ids, held = t.step(held, part, False)
+        seen, out = seen + len(part), out + sum(len(t.token[i]) for x in ids for i in x.tolist())
+        assert out + len(held) == seen and len(held) < t.window
+    assert out > 0.8 * seen
+
+
+def test_unsupported_settings():
+    spec = json.load(open(bpe.default_path()))
+    for part, key, value in (("model", "ignore_merges", True), ("pre_tokenizer", "add_prefix_space", True), ("model", "type", "Unigram")):
+        odd = json.loads(json.dumps({k: v for k, v in spec.items() if k != "model"} | {"model": {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}}))
+        odd[part][key] = value
+        with pytest.raises(ValueError):
+            bpe.checked(odd)
+    with pytest.raises(ValueError):
+        bpe.checked(spec | {"normalizer": {"type": "NFC"}})
+    assert bpe.checked(spec) is spec
 
 
 def test_token_columns(docs):
