@@ -8,12 +8,18 @@ between candidates without loss.
 
 Model: label set other/email/ip/card/phone. Unary potentials come from shape and context features,
 chain potentials join candidates that stand side by side, and skip potentials join consecutive
-mentions of repeated or similar tokens (same digits, same address or its local part) however far
-apart. Inference is loopy sum-product with damping over the whole document; labels that a token
-cannot have (a card without a valid checksum, an address part above 255) are excluded beforehand.
-Weights are fitted by pseudo-likelihood on base labels of a bounded sample: ``sample_docs`` documents
-with candidates are expected in it, chosen by hash of their text. Marginals of at least
-``threshold`` add spans; base spans always stay.
+mentions of repeated or similar tokens (same digits, same last seven digits, same address or its
+local part) however far apart. Inference is loopy sum-product with damping over the whole document;
+labels that a token cannot have (a card without a valid checksum, an address part above 255) are
+excluded beforehand. Marginals of at least ``threshold`` add spans; base spans always stay.
+
+Training takes base spans as positives and candidates that can be nothing else as negatives. The
+other candidates are *unlabelled*: the base misses some of them (a number that runs into the next
+one fails as a whole), so they only count as negatives with weight WEAK, and no edge to them is
+learnt from. Weights are fitted by pseudo-likelihood, where each mention's own label is hidden and
+its neighbours' and distant repeats' labels are the evidence, on a bounded sample: ``sample_docs``
+documents with candidates are expected in it, chosen by hash of id and text (equal rows count once),
+and of each at most ``sample_nodes`` consecutive candidates, from a hashed offset.
 
 Edge cases: a null or empty text has no spans (digest of the empty string). Repeated rows get the
 same spans each. Without a single candidate in the table nothing is learnt and nothing is added.
@@ -39,6 +45,8 @@ RANK = {k: i for i, k in enumerate(KINDS)}
 LABELS = len(KINDS) + 1
 DIM = 1 << 12
 SAMPLE_DOCS = 4000
+SAMPLE_NODES = 400
+WEAK = 0.03  # weight of an unlabelled candidate as a negative
 THRESHOLD = 0.9
 SKIP_PRIOR = 4.0  # weight decay pulls the skip potentials towards agreement
 ROUNDS = 12
@@ -177,7 +185,8 @@ def graph(text: str, nodes: list[tuple[int, int, str, int, str]]) -> tuple[list[
         feats.append([zlib.crc32(x.encode()) % DIM for x in own])
         if i and text[nodes[i - 1][1]:s].strip() == "" and s - nodes[i - 1][1] <= 2:
             edges.append((i - 1, i, 0))
-        for key in {core, core.partition("@")[0]}:
+        tail = f"~{core[-7:]}" if "@" not in core and core.isdigit() and len(core) >= 7 else core
+        for key in {core, core.partition("@")[0], tail}:
             if len(key) >= 4:
                 if key in last and last[key] != i:
                     edges.append((last[key], i, 1))
@@ -186,32 +195,33 @@ def graph(text: str, nodes: list[tuple[int, int, str, int, str]]) -> tuple[list[
 
 
 def fit(rows: list[tuple[list[list[int]], list[tuple[int, int, int]], list[int]]], steps: int = 60) -> dict[str, np.ndarray]:
-    """Pseudo-likelihood by Adagrad; rows are (features, edges, labels) of documents."""
+    """Pseudo-likelihood by Adagrad; rows are (features, edges, labels) of documents, label -1 is unlabelled."""
     feats, y, pairs = [], [], []
     for f, e, labels in rows:
-        pairs += [(u + len(y), v + len(y), t) for u, v, t in e]
+        pairs += [(u + len(y), v + len(y), t) for u, v, t in e if labels[u] >= 0 and labels[v] >= 0]
         feats += f
         y += labels
     prior = np.stack((np.zeros((LABELS, LABELS)), SKIP_PRIOR * np.eye(LABELS)))
     model = {"w": np.zeros((DIM, LABELS)), "edge": prior.copy()}
     if not y:
         return model
-    x, y, n = np.array(feats), np.array(y), len(y)
-    p = np.array(pairs, np.int64).reshape(-1, 3)
-    sums = {k: np.full_like(v, 1e-6) for k, v in model.items()}
+    x, y = np.array(feats), np.array(y)
+    weight = np.where(y < 0, WEAK, 1.0)
+    y, n = np.maximum(y, 0), weight.sum()
+    u, v, t = np.array(pairs, np.int64).reshape(-1, 3).T
+    sums = {k: np.full_like(m, 1e-6) for k, m in model.items()}
     hot = np.eye(LABELS)[y]
     for _ in range(steps):
         z = model["w"][x].sum(1)
-        for u, v, t in ((p[:, 0], p[:, 1], p[:, 2]),):
-            np.add.at(z, v, model["edge"][t, y[u]])
-            np.add.at(z, u, model["edge"][t, :, y[v]])
+        np.add.at(z, v, model["edge"][t, y[u]])
+        np.add.at(z, u, model["edge"][t, :, y[v]])
         z -= z.max(1, keepdims=True)
         q = np.exp(z)
         q /= q.sum(1, keepdims=True)
-        g = (q - hot) / n
+        g = (q - hot) * weight[:, None] / n
         grad = {"w": np.stack([np.bincount(x.ravel(), np.repeat(g[:, k], x.shape[1]), DIM) for k in range(LABELS)], 1) + 1e-6 * model["w"], "edge": np.zeros_like(model["edge"])}
-        np.add.at(grad["edge"], (p[:, 2], y[p[:, 0]]), g[p[:, 1]])
-        np.add.at(grad["edge"].transpose(0, 2, 1), (p[:, 2], y[p[:, 1]]), g[p[:, 0]])
+        np.add.at(grad["edge"], (t, y[u]), g[v])
+        np.add.at(grad["edge"].transpose(0, 2, 1), (t, y[v]), g[u])
         grad["edge"] += 1e-3 * (model["edge"] - prior)
         for k in model:
             sums[k] += grad[k] ** 2
@@ -280,30 +290,33 @@ def added_spans(text: str, base: list[tuple[int, int, str]], model: dict[str, np
     return out
 
 
-def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
-    """Fit on a sample of about sample_docs documents with candidates, chosen by text hash."""
+def training_row(text: str, offset: int, sample_nodes: int) -> tuple | None:
+    """(features, edges, labels) of at most sample_nodes consecutive candidates of a document."""
+    nodes = candidates(text, base_spans(text)) if DIGIT.search(text) or "@" in text else []
+    if not nodes:
+        return None
+    at = offset % max(1, len(nodes) - sample_nodes + 1)
+    nodes = nodes[at:at + sample_nodes]
+    feats, edges = graph(text, nodes)
+    return feats, edges, [RANK[x[4]] + 1 if x[4] else (0 if x[3] == 1 else -1) for x in nodes]
+
+
+def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_nodes: int = SAMPLE_NODES) -> dict[str, np.ndarray]:
+    """Fit on a sample of about sample_docs documents with candidates, chosen by a hash of id and text."""
 
     def make():
-        def f(ids, texts):
-            out = []
-            for t in texts:
-                text = t.decode("utf-8", "replace")
-                nodes = candidates(text, base_spans(text)) if DIGIT.search(text) or "@" in text else []
-                if not nodes:
-                    out.append(None)
-                    continue
-                nodes = nodes[:200]
-                feats, edges = graph(text, nodes)
-                out.append(json.dumps([feats, edges, [RANK[x[4]] + 1 if x[4] else 0 for x in nodes]]))
-            return {"row": out, "h": [zlib.crc32(t) for t in texts]}
+        def f(_, texts, marks):
+            rows = [training_row(t.decode("utf-8", "replace"), h, sample_nodes) for t, h in zip(texts, marks, strict=True)]
+            return {"row": [r and json.dumps(r) for r in rows], "h": marks}
 
         return f
 
     some = df.where(F.col(text_col).rlike("[0-9@]"))
-    below = int(min(1.0, sample_docs / max(1, some.count())) * 2**32)
-    some = some.where(F.crc32(F.col(text_col).cast("binary")) < below) if below < 2**32 else some
-    rows = annotate(some, id_col, text_col, [("row", T.StringType()), ("h", T.LongType())], make)
-    got = rows.where("row is not null").select("h", "row").limit(2 * sample_docs).collect()
+    mark = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(2**62 - 1))
+    below = int(min(1.0, sample_docs / max(1, some.count())) * 2**62)
+    some = some.where(mark < below) if below < 2**62 else some
+    rows = annotate(some, id_col, text_col, [("row", T.StringType()), ("h", T.LongType())], make, extra={"mark": mark})
+    got = rows.where("row is not null").select("h", "row").dropDuplicates(["h"]).collect()
     return fit([json.loads(r["row"]) for r in sorted(got)])
 
 

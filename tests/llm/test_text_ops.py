@@ -1,6 +1,7 @@
 """Operators on single texts against brute force: quality rules, personal data, tokens, language, classifier."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -105,6 +106,53 @@ def test_skip_chain_consistency(docs):
     assert "@" not in pii.masked(text, found + more) and "555-2485 and" not in pii.masked(text, found + more)
 
 
+def test_field_marginals():
+    """Chains and trees: the exact marginals by enumeration. A small loop: close to them."""
+    r = np.random.default_rng(3)
+    for edges, tolerance in (([(0, 1, 0), (1, 2, 0), (2, 3, 1)], 1e-3), ([(0, 1, 0), (0, 2, 1), (0, 3, 1)], 1e-3), ([(0, 1, 0), (1, 2, 0), (0, 2, 1)], 0.1)):
+        n = 1 + max(v for _, v, _ in edges)
+        model = {"w": r.normal(size=(pii.DIM, pii.LABELS)), "edge": r.normal(size=(2, pii.LABELS, pii.LABELS)) * 0.7}
+        feats, masks = [[i, 50 + i] for i in range(n)], [31, 3, 31, 21][:n]
+        want = np.zeros((n, pii.LABELS))
+        for y in itertools.product(range(pii.LABELS), repeat=n):
+            if all(m >> k & 1 for m, k in zip(masks, y, strict=True)):
+                e = sum(model["w"][f, k].sum() for f, k in zip(feats, y, strict=True)) + sum(model["edge"][t, y[u], y[v]] for u, v, t in edges)
+                want[range(n), y] += np.exp(e)
+        want /= want.sum(1, keepdims=True)
+        assert np.abs(pii.marginals(model, feats, masks, edges) - want).max() < tolerance
+
+
+def test_missed_mentions_are_added(docs):
+    """Numbers that run into each other fail the base patterns as a whole; the field finds both parts, and nothing in decoys."""
+    model = pii.learn(docs.sparkSession.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    good, found, wrong = 0, 0, 0
+    r = random.Random(9)
+    for _ in range(200):
+        card = next(c for c in iter(lambda: "4" + "".join(r.choice("0123456789") for _ in range(15)), "") if pii.luhn(c))
+        phone = f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}"
+        text = f"Sint onre {phone} {card} the ereha of"
+        base, more = pii.find_all(text, model, pii.THRESHOLD)
+        want = {(10, 10 + len(phone), "phone"), (11 + len(phone), 11 + len(phone) + 16, "card")}
+        good, found, wrong = good + len(want), found + len(want & set(base + more)), wrong + len(set(more) - want)
+        decoy = f"Licensed under CC BY-NC {r.randrange(1, 9)}.0, version {r.randrange(10)}.{r.randrange(10)}.{r.randrange(10)}, of {r.randrange(1900, 2030)}"
+        wrong += len(pii.find_all(decoy, model, pii.THRESHOLD)[1])
+    assert found >= 0.9 * good and wrong <= 0.02 * good
+
+
+def test_repeats_carry_labels(docs):
+    """A mention without a telling context of its own gets the label of its distant repeat."""
+    model = pii.learn(docs)
+    first = "er +1 (269) 555-3296 of the onth"
+    text = first + " word" * 300 + " 12692 555-3296"
+    nodes = pii.candidates(text, pii.base_spans(text))
+    feats, edges = pii.graph(text, nodes)
+    masks = [1 << (pii.RANK[x[4]] + 1) if x[4] else x[3] for x in nodes]
+    at = max(i for i, x in enumerate(nodes) if text[x[0]:x[1]] == "555-3296")
+    alone = [e for e in edges if e[2] == 0]
+    assert any(e[2] == 1 and at in e[:2] for e in edges)
+    assert pii.marginals(model, feats, masks, edges)[at, 4] > pii.marginals(model, feats, masks, alone)[at, 4]
+
+
 def test_tokens(docs):
     tokenizers = pytest.importorskip("tokenizers")
     ref = tokenizers.Tokenizer.from_file(bpe.default_path())
