@@ -29,8 +29,8 @@ class Engine:
     def ingest(self, pairs: DataFrame, include: str = "", ignore: str = "", batch: str | None = None) -> None:
         self.store.record(infer.observe(capture.capture(pairs, include, ignore)), batch)
 
-    def ingest_stream(self, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
-        return streams.ingest_stream(streams.pair_stream(self.spark, path, fmt), self.store, checkpoint)
+    def ingest_stream(self, path: str, checkpoint: str, fmt: str = "parquet", include: str = "", ignore: str = "") -> StreamingQuery:
+        return streams.ingest_stream(streams.pair_stream(self.spark, path, fmt), self.store, checkpoint, include=include, ignore=ignore)
 
     def scan(self, directory: str, frameworks: list[str] | None = None, dry_run: bool = False) -> DataFrame:
         """Routes of a source tree, stored unless it is a dry run."""

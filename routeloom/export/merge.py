@@ -63,7 +63,7 @@ def item_url(item: dict) -> str:
 
 def item_pattern(url: str) -> str:
     """P10."""
-    return re.sub(r"\{\{([^}]+)\}\}", r"{\1}", re.sub(r"^\{\{baseUrl\}\}", "", url).split("?")[0])
+    return re.sub(r"\{\{([^}]+)\}\}", r"{\1}", re.sub(r"^\{\{baseUrl\}\}", "", url))
 
 
 def item_key(item: dict) -> str:

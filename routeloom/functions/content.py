@@ -34,9 +34,14 @@ def header_names(names: Column) -> Column:
     return F.array_distinct(canon)
 
 
+def trimmed(s: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(s, r"(?U)\A\s+|\s+\z", "")
+
+
 def media_type(content_type: Column) -> Column:
     """Lower case, without parameters; null is empty."""
-    return F.trim(F.substring_index(F.trim(F.lower(F.coalesce(content_type, F.lit("")))), ";", 1))
+    return trimmed(F.substring_index(F.lower(F.coalesce(content_type, F.lit(""))), ";", 1))
 
 
 def body_kind(content_type: Column) -> Column:
@@ -84,7 +89,7 @@ def form_type(v: Column) -> Column:
 
 def graphql_operation(query: Column) -> Column:
     """Operation of a query text by its first word."""
-    low = F.lower(F.trim(query))
+    low = F.lower(trimmed(query))
     return (
         F.when(low.startswith("mutation"), "mutation").when(low.startswith("subscription"), "subscription").when(low.startswith("query"), "query")
         .when(low.startswith("{"), "query").otherwise("graphql")

@@ -108,9 +108,9 @@ def url_template(pattern: Column, style: str) -> Column:
 
 
 def postman_pattern(url: Column) -> Column:
-    """P10: inverse of the postman template."""
+    """P10: inverse of the postman template; a query stays, as it is part of a pattern."""
     bare = F.regexp_replace(url, r"^\{\{baseUrl\}\}", "")
-    return F.regexp_replace(F.substring_index(bare, "?", 1), r"\{\{([^}]+)\}\}", "{$1}")
+    return F.regexp_replace(bare, r"\{\{([^}]+)\}\}", "{$1}")
 
 
 def slug(text: Column) -> Column:

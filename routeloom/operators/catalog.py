@@ -1,12 +1,17 @@
 """Catalogue: append-only logs, overlay tables and the views derived from them.
 
 Parquet has no MERGE, so nothing is updated in place: observations and scans are appended,
-annotations, labels, overrides and deletions are overlay rows, and views are recomputed.
+annotations, labels, overrides, touches and deletions are overlay rows, and views are recomputed.
+Every write goes to a folder of its own, and rows are ordered by stamps that two writers never share.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import re
+import secrets
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +26,8 @@ OVERLAYS = {
     "annotations": "at BIGINT, method STRING, path_pattern STRING, description STRING, tags ARRAY<STRING>",
     "labels": "at BIGINT, method STRING, path_pattern STRING, fingerprint STRING, label STRING",
     "overrides": "at BIGINT, method STRING, raw_prefix STRING, override_pattern STRING",
-    "deletions": "at BIGINT, method STRING, path_pattern STRING",
+    "deletions": "at BIGINT, method STRING, path_pattern STRING, upto BIGINT",
+    "touches": "at BIGINT, method STRING, path_pattern STRING, protocol STRING, source STRING, seen_at TIMESTAMP",
 }
 
 
@@ -108,6 +114,23 @@ def export_rows(catalogue: DataFrame, obs: DataFrame) -> DataFrame:
     return out
 
 
+def with_touches(catalogue: DataFrame, touches: DataFrame) -> DataFrame:
+    """M7: calls of touches are added, new endpoints appended, times widened; scan and observed meet as both."""
+    t = touches.groupBy(*ENDPOINT).agg(
+        F.count("*").alias("t_calls"), F.min("seen_at").alias("t_first"), F.max("seen_at").alias("t_last"), F.min_by("protocol", "at").alias("t_protocol"),
+        F.bool_or(F.col("source").contains("scan")).alias("t_scan"), F.bool_or(F.col("source") != "scan").alias("t_obs"),
+    )
+    has = lambda word, mark: F.coalesce(F.col("source").contains(word), F.lit(False)) | F.coalesce(mark, F.lit(False))
+    joined = catalogue.join(t, ENDPOINT, "full_outer")
+    new = {
+        "protocol": F.coalesce("protocol", "t_protocol"), "source": source_of(has("scan", "t_scan"), has("obs", "t_obs")), "call_count": F.coalesce("call_count", F.lit(0)) + F.coalesce("t_calls", F.lit(0)),
+        "first_seen": F.least("first_seen", "t_first"), "last_seen": F.greatest("last_seen", "t_last"), "framework": F.coalesce("framework", F.lit("")), "source_file": F.coalesce("source_file", F.lit("")),
+        "source_line": F.coalesce("source_line", F.lit(0)), "description": F.coalesce("description", F.lit("")), "tags": F.coalesce("tags", F.array().cast("array<string>")),
+        "deprecated": F.coalesce("deprecated", F.lit(False)), "requires_auth": F.coalesce("requires_auth", F.lit(False)),
+    }
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in catalogue.columns])
+
+
 class CatalogStore:
     """A catalogue under one directory, one Parquet dataset for each log."""
 
@@ -126,23 +149,27 @@ class CatalogStore:
     def append(self, table: str, rows: DataFrame, batch: str | None = None) -> None:
         """Append; a batch id makes the write idempotent (its own directory is overwritten)."""
         names = [f.name for f in self.spark.createDataFrame([], OVERLAYS[table]).schema]
-        if batch is None:
-            import uuid
-
-            batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         rows.select(*names).write.mode("overwrite").parquet(f"{self.root}/{table}/batch-{batch}")
 
+    @staticmethod
+    def stamp() -> int:
+        """A number that grows with time and that two writers never share: microseconds, then random bits."""
+        return (time.time_ns() // 1000 << 10) | secrets.randbelow(1 << 10)
+
     def _row(self, table: str, **values: object) -> None:
-        at = self.table(table).agg(F.coalesce(F.max("at"), F.lit(0))).first()[0] + 1
-        self.append(table, self.spark.createDataFrame([{"at": at, **values}], OVERLAYS[table]))
+        self.append(table, self.spark.createDataFrame([{"at": self.stamp(), **values}], OVERLAYS[table]))
 
     def record(self, observations: DataFrame, batch: str | None = None) -> None:
         self.append("observations", observations, batch)
 
     def add_scan(self, scanned: DataFrame) -> None:
         """M6: a scan; the latest scan's texts replace those of earlier ones, also with blanks."""
-        no = self.table("scans").agg(F.coalesce(F.max("scan_no"), F.lit(0))).first()[0] + 1
-        self.append("scans", scanned.withColumn("scan_no", F.lit(no).cast("long")), f"{no:08d}")
+        self.append("scans", scanned.withColumn("scan_no", F.lit(self.stamp()).cast("long")))
+
+    def touch(self, method: str, path: str, protocol: str = "rest", source: str = "observed") -> None:
+        """M7: an endpoint from any source counts one call, also from a scan; times and sources are kept."""
+        self._row("touches", method=method.upper(), path_pattern=path, protocol=protocol, source=source, seen_at=dt.datetime.now())
 
     def annotate(self, method: str, path: str, description: str = "", tags: list[str] | None = None) -> None:
         """M3: an empty description and absent tags leave what is there."""
@@ -161,36 +188,41 @@ class CatalogStore:
         return self.table("overrides").groupBy("method", "raw_prefix").agg(F.max_by("override_pattern", "at").alias("override_pattern"))
 
     def delete(self, method: str, path: str) -> None:
-        """M1: rewrites the logs without the endpoint; every view follows, as a cascade would."""
-        self._rewrite((F.col("method") != method.upper()) | (F.col("path_pattern") != path))
+        """M1: everything known of the endpoint up to now; every view follows, as a cascade would.
+
+        Nothing is rewritten: a deletion is a row with the newest sequence number of the endpoint, so
+        it cannot be half done, and a batch that is replayed later stays deleted.
+        """
+        here = (F.col("method") == method.upper()) & (F.col("path_pattern") == path)
+        upto = self.table("observations").where(here).agg(F.max("seq")).first()[0]
+        self._row("deletions", method=method.upper(), path_pattern=path, upto=upto)
 
     def clear(self) -> None:
         """M2."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def _rewrite(self, keep: Column) -> None:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        for table in ("observations", "scans", "annotations", "labels"):
-            if self._exists(table):
-                old, new = f"{self.root}/{table}", f"{self.root}/.{table}-new"
-                self.table(table).where(keep).write.mode("overwrite").parquet(f"{new}/batch-rewritten")
-                fs = fs_path(old).getFileSystem(self.spark._jsc.hadoopConfiguration())
-                fs.delete(fs_path(old), True)
-                fs.rename(fs_path(new), fs_path(old))
+    def alive(self, table: str, number: str) -> DataFrame:
+        """Rows of a log that no deletion covers; ``number`` is what deletions compare (seq, or a stamp)."""
+        rows = self.table(table)
+        if not self._exists("deletions"):
+            return rows
+        last = self.table("deletions").groupBy(*ENDPOINT).agg(F.max("upto" if number == "seq" else "at").alias("__until"))
+        joined = rows.join(last, ENDPOINT, "left").where(F.col("__until").isNull() | (F.col(number) > F.col("__until")))
+        return joined.select(*rows.columns)
 
     def observations(self) -> DataFrame:
-        return self.table("observations")
+        return self.alive("observations", "seq")
 
     def scanned(self) -> DataFrame:
         """The latest scan row of each endpoint."""
         latest = Window.partitionBy(*ENDPOINT).orderBy(F.col("scan_no").desc())
-        return self.table("scans").withColumn("__r", F.row_number().over(latest)).where("__r = 1").drop("__r", "scan_no")
+        return self.alive("scans", "scan_no").withColumn("__r", F.row_number().over(latest)).where("__r = 1").drop("__r", "scan_no")
 
     def endpoints(self) -> DataFrame:
-        """The catalogue: traffic reconciled with scans, annotations on top."""
-        base = reconcile(fold.endpoints(self.observations()), self.scanned())
-        notes = self.table("annotations").groupBy(*ENDPOINT).agg(
+        """The catalogue: traffic reconciled with scans, touches counted, annotations on top."""
+        base = with_touches(reconcile(fold.endpoints(self.observations()), self.scanned()), self.alive("touches", "at"))
+        notes = self.alive("annotations", "at").groupBy(*ENDPOINT).agg(
             F.max_by("description", F.when(F.col("description").isNotNull(), F.col("at"))).alias("note"), F.max_by("tags", F.when(F.col("tags").isNotNull(), F.col("at"))).alias("note_tags")
         )
         out = base.join(notes, ENDPOINT, "left")
@@ -198,7 +230,7 @@ class CatalogStore:
 
     def variants(self) -> DataFrame:
         """Variants with manual labels, which later sightings never change."""
-        own = self.table("labels").groupBy(*fold.VARIANT).agg(F.max_by("label", "at").alias("manual"))
+        own = self.alive("labels", "at").groupBy(*fold.VARIANT).agg(F.max_by("label", "at").alias("manual"))
         return fold.variants(self.observations()).join(own, fold.VARIANT, "left").withColumn("label", F.coalesce("manual", "label")).drop("manual")
 
     def export_rows(self) -> DataFrame:

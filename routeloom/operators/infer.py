@@ -231,12 +231,19 @@ def parts(schema: Schema | None) -> tuple[str | None, list[dict], list[str]]:
     return dump(schema), [{"field_path": p, "type_json": t} for p, t in flatten(schema)], top_names(schema)
 
 
+SMALL_BODY = 4096  # bytes up to which a body is worth remembering: 16 MB a worker at most
+
+
 @lru_cache(4096)
-def side(kind: str, body: bytes) -> tuple[str | None, list[dict], list[str]]:
-    """Equal bodies (empty, fixed answers) are inferred once a worker."""
+def _small_side(kind: str, body: bytes) -> tuple[str | None, list[dict], list[str]]:
     return parts(infer_body(kind, body))
 
 
+def side(kind: str, body: bytes) -> tuple[str | None, list[dict], list[str]]:
+    """Equal small bodies (empty, fixed answers) are inferred once a worker."""
+    return _small_side(kind, body) if len(body) <= SMALL_BODY else parts(infer_body(kind, body))
+
+
 INFERRED = (
     "req_schema STRING, resp_schema STRING, req_fields ARRAY<STRUCT<field_path: STRING, type_json: STRING>>, "
     "resp_fields ARRAY<STRUCT<field_path: STRING, type_json: STRING>>, req_names ARRAY<STRING>"

@@ -52,6 +52,7 @@ class Route:
     resp_type: str = ""
     codes: list[int] = field(default_factory=list)
     params: list[dict] = field(default_factory=list)
+    conventional: tuple[str, str] | None = None  # (controller, action) where a project-wide template decides the path
 
 
 @dataclass
@@ -61,15 +62,16 @@ class Extractor:
     routes: Callable[[str, str], Iterator[Route]]  # (path, text)
     skip: frozenset[str] = frozenset()
     types: Callable[[str], Iterator[tuple[str, Schema]]] | None = None
+    hidden: bool = False  # whether directories with a leading dot are read, as script walks do
 
 
 SKIPPED = frozenset(["node_modules", "vendor", "dist", "build", "coverage", ".next", ".nuxt", ".git", "__pycache__", "target", "bin", "obj", "venv", ".venv"])
 
 
 def applies(e: Extractor, path: str) -> bool:
-    """The ending fits and no directory of the path is skipped or hidden."""
+    """The ending fits and no directory of the path is skipped, or hidden where that counts."""
     *dirs, name = path.split("/")
-    return name.endswith(e.endings) and not any(d in SKIPPED or d in e.skip or (d.startswith(".") and d not in (".", "..")) for d in dirs)
+    return name.endswith(e.endings) and not any(d in SKIPPED or d in e.skip or (not e.hidden and d.startswith(".") and d not in (".", "..")) for d in dirs)
 
 
 def braces(path: str) -> str:

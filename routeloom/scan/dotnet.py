@@ -33,12 +33,31 @@ def classes(text: str) -> Iterator[tuple[str, Schema]]:
 
 
 def clean(path: str, controller: str, action: str) -> str:
-    """Tokens and constraints of a route template; the result has no leading slash."""
+    """Tokens and constraints of a route template; single slashes, none at the ends."""
     path = path.replace("[controller]", controller).replace("[action]", action)
-    return re.sub(r"\{\*?(\w+)(?:[:=?][^}]*)?\}", r"{\1}", path).strip("/")
+    path = re.sub(r"\{\*?(\w+)(?:[:=?][^}]*)?\}", r"{\1}", path)
+    return re.sub(r"/{2,}", "/", path).strip("/")
+
+
+def template_of(path: str, text: str) -> str | None:
+    """The conventional route template that a configuration or startup file maps, if it does."""
+    name = path.rpartition("/")[2].lower()
+    if not name.endswith(".cs") or not any(w in name for w in ("config", "startup", "program")):
+        return None
+    m = re.search(r"routeTemplate:\s*\"([^\"]+)\"", text) or re.search(r"MapHttpRoute\s*\([^,]+,\s*\"([^\"]+)\"", text)
+    return m.group(1) if m else None
+
+
+def conventional(template: str, controller: str, action: str) -> str:
+    """A template's path without its optional id."""
+    bare = re.sub(r"/(?:\{id\??\}|\[\{id\}\])$", "", template)
+    return clean(bare.replace("{controller}", controller).replace("{action}", action), controller, action)
 
 
 def mvc(path: str, text: str) -> Iterator[Route]:
+    """Actions with an HTTP attribute. Controller names are lower case in paths; a path without any
+    route attribute of class or action follows the project's template (see ``conventional``), else
+    the controller's name."""
     if not path.endswith("Controller.cs"):
         return
     lines = text.split("\n")
@@ -56,17 +75,21 @@ def mvc(path: str, text: str) -> Iterator[Route]:
             joined = "\n".join(marks)
             back, name, args = m.groups()
             renamed = re.search(r"\[ActionName\(\s*\"([^\"]+)", joined)
-            action = renamed.group(1) if renamed else name
+            action = renamed.group(1) if renamed else name.lower()
             verbs, sub = HTTP.findall(joined), ROUTE.search(joined)
             auth = ("[Authorize" in joined or class_auth) and "[AllowAnonymous" not in joined
             body = re.search(r"\[FromBody\]\s*(\w+)", args)
             inner = re.search(r"(?:ActionResult|Task|IEnumerable|List)<\s*(?:ActionResult<)?\s*(?:IEnumerable<|List<)?(\w+)", back)
             codes = [int(c) for c in re.findall(r"ProducesResponseType\([^)]*?(\d{3})", joined)]
+            base = controller.lower()
             for verb, own in verbs:
                 template = own or (sub.group(1) if sub else "")
-                full = template.lstrip("~/") if template.startswith(("~", "/")) else "/".join(x for x in (prefix, template) if x) or f"{controller}/{action}"
+                full = template.lstrip("~/") if template.startswith("~") else f"{prefix or base}/{template.lstrip('/')}"
                 said = line_comments(lines, i - len(marks), "///")[0]
-                yield Route(verb.upper(), clean(full, controller, action), i + 1, re.sub(r"</?summary>", "", said).strip(), [controller], class_gone or "[Obsolete" in joined, auth, req_type=body.group(1) if body else "", resp_type=inner.group(1) if inner else "", codes=codes)
+                yield Route(
+                    verb.upper(), clean(full, base, action), i + 1, re.sub(r"</?summary>", "", said).strip(), [controller], class_gone or "[Obsolete" in joined, auth,
+                    req_type=body.group(1) if body else "", resp_type=inner.group(1) if inner else "", codes=codes, conventional=None if prefix or template else (base, action),
+                )
             marks = []
         elif s and not s.startswith("//"):
             marks = []

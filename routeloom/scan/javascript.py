@@ -11,7 +11,7 @@ JS = (".js", ".ts")
 VERB = re.compile(r"\b\w+\.(get|post|put|patch|delete|head|options|all)\s*\(\s*['\"`](/[^'\"`]*)['\"`]")
 ZOD = re.compile(r"z\.object\(\s*\{(.*?)\}\s*\)", re.S)
 ZOD_FIELD = re.compile(r"(\w+)\s*:\s*z\.(\w+)\(")
-GENERIC = re.compile(r"Request\s*<[^,<>]*,[^,<>]*,\s*\{([^}]*)\}")
+GENERIC = re.compile(r"Request\s*<[^,<>]*,[^,<>]*,\s*(?:\{([^}]*)\}|(\w+))")
 TS_FIELD = re.compile(r"(\w+)\??\s*:\s*([\w<>\[\]]+)")
 BODY_FIELD = re.compile(r"(\w+)\s*:\s*\{\s*type\s*:\s*['\"](\w+)['\"]")
 
@@ -20,8 +20,13 @@ def zod_body(text: str) -> Schema | None:
     m = ZOD.search(text)
     if m:
         return {"type": "object", "properties": {k: typed("zod", t) for k, t in ZOD_FIELD.findall(m.group(1))}}
-    m = GENERIC.search(text)
-    return {"type": "object", "properties": {k: typed("typescript", t) for k, t in TS_FIELD.findall(m.group(1))}} if m else None
+    for m in GENERIC.finditer(text):
+        inline, name = m.groups()
+        if inline is not None:
+            return {"type": "object", "properties": {k: typed("typescript", t) for k, t in TS_FIELD.findall(inline)}}
+        if name not in ("any", "unknown"):
+            return {"type": "object", "description": f"TS type: {name}"}
+    return None
 
 
 def express(path: str, text: str) -> Iterator[Route]:
@@ -96,8 +101,22 @@ def dto_classes(text: str) -> dict[str, Schema]:
     return out
 
 
+def signature(lines: list[str], at: int) -> str:
+    """A handler's head from line index at to the bracket that opens its body, or to its semicolon, on one line."""
+    depth, out = 0, []
+    for line in lines[at:at + 60]:
+        out.append(line.strip())
+        for c in line:
+            depth += (c in "([{<") - (c in ")]}") - (c == ">")
+            if c in "{;" and depth == (c == "{"):
+                return " ".join(out)
+    return " ".join(out)
+
+
 def nestjs(path: str, text: str) -> Iterator[Route]:
-    dtos = dto_classes(text)
+    if not path.endswith(".ts") and ".controller." not in path.rpartition("/")[2]:
+        return
+    dtos, lines = dto_classes(text), text.split("\n")
     prefix, tags, class_auth, pending, marks = "", [], False, None, {}
     for n, line in numbered(text):
         s = line.strip()
@@ -118,13 +137,14 @@ def nestjs(path: str, text: str) -> Iterator[Route]:
             marks["gone"] = True
         elif pending and re.match(r"(?:public\s+|async\s+)*\w+\s*\(", s):
             verb, sub, at = pending
-            body = re.search(r"@Body\([^)]*\)\s*\w+\s*:\s*(\w+)", s)
+            s = signature(lines, n - 1)
+            body = re.search(r"@Body\([^)]*\)\s*\w+\??\s*:\s*(\w+)", s)
             back = re.search(r"Promise<\s*(\w+)(\[\])?", s)
             params = [{"name": v, "in": {"Param": "path", "Query": "query"}[k], "required": k == "Param", "schema": None} for k, v in re.findall(r"@(Param|Query)\(\s*['\"](\w+)", s)]
             resp = dtos.get(back.group(1)) if back else None
             yield Route(
                 verb, braces(under(prefix, sub)), n, marks.get("said", ""), marks.get("tags", tags), marks.get("gone", False), marks.get("auth", class_auth),
-                req=dtos.get(body.group(1)) if body else None, resp={"type": "array", "items": resp} if resp and back.group(2) else resp, params=params,
+                req=dtos.get(body.group(1), {"type": "object", "description": f"DTO: {body.group(1)}"}) if body else None, resp={"type": "array", "items": resp} if resp and back.group(2) else resp, params=params,
             )
             pending, marks = None, {}
 
@@ -154,6 +174,6 @@ def nuxt(path: str, text: str) -> Iterator[Route]:
 
 
 EXTRACTORS = [
-    Extractor("express", JS, express), Extractor("fastify", JS, fastify), Extractor("koa", JS, koa), Extractor("nestjs", (".ts",), nestjs),
-    Extractor("nextjs", (".ts", ".js", ".tsx", ".jsx"), nextjs), Extractor("nuxt", (".vue", ".ts", ".js", ".mjs"), nuxt), Extractor("hapi", JS, hapi),
+    Extractor("express", JS, express, hidden=True), Extractor("fastify", JS, fastify, hidden=True), Extractor("koa", JS, koa, hidden=True), Extractor("nestjs", JS, nestjs, hidden=True),
+    Extractor("nextjs", (".ts", ".js", ".tsx", ".jsx"), nextjs), Extractor("nuxt", (".vue", ".ts", ".js", ".mjs"), nuxt), Extractor("hapi", JS, hapi, hidden=True),
 ]

@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeloom import types
@@ -22,17 +22,18 @@ ORDER = [
 ]
 REGISTRY: dict[str, Extractor] = {n: _BY_NAME[n] for n in ORDER}
 
-# Manifest file endings -> {text to look for: framework}. Names are those of the registry.
+# Manifest file names (endings, where they start with a dot) -> {text to look for: framework}. Names are those of the registry.
 MANIFESTS: dict[str, dict[str, str]] = {
-    "package.json": {'"express"': "express", '"fastify"': "fastify", '"koa"': "koa", '"@nestjs/core"': "nestjs", '"next"': "nextjs", '"nuxt"': "nuxt", '"@hapi/hapi"': "hapi"},
+    "package.json": {'"express"': "express", '"fastify"': "fastify", '"koa"': "koa", '"@nestjs/core"': "nestjs", '"next"': "nextjs", '"nuxt"': "nuxt", '"nuxi"': "nuxt", '"@hapi/hapi"': "hapi", '"hapi"': "hapi"},
     "requirements.txt": {"fastapi": "fastapi", "flask": "flask", "django": "django"}, "pyproject.toml": {"fastapi": "fastapi", "flask": "flask", "django": "django"},
-    "go.mod": {"go-chi/chi": "go-chi", "gin-gonic/gin": "go-gin", "labstack/echo": "go-echo", "gofiber/fiber": "go-fiber"},
+    "go.mod": {"go-chi/chi": "go-chi", "gin-gonic/gin": "go-gin", "labstack/echo": "go-echo", "gofiber/fiber": "go-fiber", "module ": "go-stdlib"},
     ".csproj": {"microsoft.aspnetcore.mvc": "aspnet-mvc", "microsoft.aspnet.mvc": "aspnet-mvc", "microsoft.net.sdk.web": "aspnet-minimal"},
-    "pom.xml": {"spring-boot": "spring", "spring-web": "spring"}, "build.gradle": {"spring-boot": "spring", "ktor": "ktor"}, "build.gradle.kts": {"spring-boot": "spring", "ktor": "ktor"},
+    "pom.xml": {"spring-boot": "spring"}, "build.gradle": {"spring-boot": "spring"}, "build.gradle.kts": {"ktor": "ktor"},
     "Gemfile": {"rails": "rails", "sinatra": "sinatra"},
-    "composer.json": {"laravel/framework": "laravel", "symfony/framework-bundle": "symfony", "codeigniter4/framework": "codeigniter", "zendframework": "zend", "laminas": "zend"},
+    "composer.json": {"laravel/framework": "laravel", "symfony/framework-bundle": "symfony", "codeigniter4/framework": "codeigniter", "codeigniter/framework": "codeigniter", "zendframework/zend-mvc": "zend", "laminas/laminas-mvc": "zend"},
     "Cargo.toml": {"actix-web": "actix", "axum": "axum"},
 }
+FALLBACK = "go-stdlib"  # only where its manifest names no other framework
 DEPTH = 3  # directory levels that are searched for manifests
 
 
@@ -43,11 +44,17 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(F.regexp_replace("path", f"^.*?/{top}/", "").alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
+def is_manifest(name: str) -> Column:
+    """Whether a path's file has this name, or this ending."""
+    base = F.element_at(F.split("path", "/"), -1)
+    return base.endswith(name) if name.startswith(".") else base == name
+
+
 def manifests(files: DataFrame) -> DataFrame:
     """Manifest files of the first directory levels."""
     ends = F.lit(False)
     for name in MANIFESTS:
-        ends = ends | F.col("path").endswith(name)
+        ends = ends | is_manifest(name)
     shallow = F.size(F.split("path", "/")) <= DEPTH
     return files.where(ends & shallow & ~F.col("path").rlike(r"(^|/)(node_modules|vendor|\.git|__pycache__)/"))
 
@@ -55,8 +62,9 @@ def manifests(files: DataFrame) -> DataFrame:
 def detect(files: DataFrame) -> DataFrame:
     """Frameworks whose name stands in a manifest, in any case."""
     low = F.lower("content")
-    hits = F.array_compact(F.array(*[F.when(F.col("path").endswith(end) & low.contains(needle), F.lit(fw)) for end, table in MANIFESTS.items() for needle, fw in table.items()]))
-    return manifests(files).select(F.explode(hits).alias("framework")).distinct()
+    hits = F.array_compact(F.array(*[F.when(is_manifest(end) & low.contains(needle), F.lit(fw)) for end, table in MANIFESTS.items() for needle, fw in table.items()]))
+    named = F.when(F.size(hits) > 1, F.array_remove(hits, FALLBACK)).otherwise(hits)
+    return manifests(files).select(F.explode(named).alias("framework")).distinct()
 
 
 def selected(files: DataFrame, frameworks: list[str] | None = None) -> list[str]:
@@ -65,7 +73,16 @@ def selected(files: DataFrame, frameworks: list[str] | None = None) -> list[str]
     return [n for n in ORDER if n in names] or ORDER
 
 
-def extract(files: DataFrame, names: list[str]) -> DataFrame:
+def conventional_template(files: DataFrame) -> str | None:
+    """The first conventional route template of a project's configuration files, by path: one short text."""
+    some = files.where(F.lower(F.element_at(F.split("path", "/"), -1)).rlike(r"(config|startup|program).*\.cs$") & F.col("content").rlike("routeTemplate:|MapHttpRoute"))
+    for r in some.orderBy("path").toLocalIterator():
+        if found := dotnet.template_of(r["path"], r["content"]):
+            return found
+    return None
+
+
+def extract(files: DataFrame, names: list[str], template: str | None = None) -> DataFrame:
     """Routes of all files, types of body still by name; a failing file or extractor yields nothing and an error row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,6 +101,8 @@ def extract(files: DataFrame, names: list[str]) -> DataFrame:
                         rows.append(dict(framework=name, source_file=path, error=repr(x)))
                         continue
                     for r in found:
+                        if template and r.conventional:
+                            r.path = dotnet.conventional(template, *r.conventional)
                         rows.append(dict(
                             method=r.method.upper(), path_pattern=r.path, protocol="rest", framework=name, source_file=path, source_line=r.line, req_schema=json.dumps(r.req) if r.req else None,
                             resp_schema=json.dumps(r.resp) if r.resp else None, status_codes=r.codes, description=r.description, tags=r.tags, params=[{**p, "schema": p["schema"]} for p in r.params],
@@ -115,7 +134,7 @@ def type_table(files: DataFrame, names: list[str]) -> DataFrame:
 def scan(files: DataFrame, frameworks: list[str] | None = None, errors: bool = False) -> DataFrame:
     """All routes of a source tree, one row for each (method, path)."""
     names = selected(files, frameworks)
-    raw = extract(files, names)
+    raw = extract(files, names, conventional_template(files) if "aspnet-mvc" in names else None)
     if errors:
         return raw.where("error is not null").select("framework", "source_file", "error")
     table = type_table(files, names)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from routeloom import types
 from routeloom.operators import infer
+from routeloom.sources import capture
 from routeloom.operators.catalog import CatalogStore
 
 
@@ -20,11 +21,11 @@ def pair_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files:
     return spark.readStream.schema(types.PAIR).option("maxFilesPerTrigger", max_files).format(fmt).load(path)
 
 
-def ingest_stream(pairs: DataFrame, store: CatalogStore, checkpoint: str, once: bool = True, **trigger: str) -> StreamingQuery:
-    """Append each micro-batch's observations to the catalogue's log, exactly once by batch id."""
+def ingest_stream(pairs: DataFrame, store: CatalogStore, checkpoint: str, once: bool = True, include: str = "", ignore: str = "", **trigger: str) -> StreamingQuery:
+    """Append each micro-batch's observations to the catalogue's log, exactly once by batch id; filters are those of a batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.record(infer.observe(batch), f"stream-{batch_id:012d}")
+        store.record(infer.observe(capture.capture(batch, include, ignore)), f"stream-{batch_id:012d}")
 
     writer = pairs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return writer.trigger(**(trigger or ({"availableNow": True} if once else {"processingTime": "10 seconds"}))).start()
@@ -32,6 +33,6 @@ def ingest_stream(pairs: DataFrame, store: CatalogStore, checkpoint: str, once:
 
 def live_endpoints(pairs: DataFrame, checkpoint: str, name: str = "live_endpoints") -> StreamingQuery:
     """State mode: running endpoint totals; the state grows with the number of endpoints only."""
-    obs = infer.observe(pairs).select("method", "path_pattern", "observed_at", "seq", "protocol")
+    obs = infer.observe(capture.capture(pairs)).select("method", "path_pattern", "observed_at", "seq", "protocol")
     totals = obs.groupBy("method", "path_pattern").agg(F.count("*").alias("call_count"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"), F.min_by("protocol", "seq").alias("protocol"))
     return totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -29,7 +29,7 @@ CASES = [
     ("go-echo", "m.go", 'e.GET("/u/:id", h)', [("GET", "/u/{id}")]),
     ("go-fiber", "m.go", 'app.Delete("/u/:id", h)', [("DELETE", "/u/{id}")]),
     ("go-stdlib", "m.go", 'mux.HandleFunc("/u", h)', [("GET", "/u"), ("POST", "/u")]),
-    ("aspnet-mvc", "UsersController.cs", '[Route("api/[controller]")]\npublic class UsersController : Controller\n{\n  [HttpGet("{id:int}")]\n  public ActionResult<User> Get(int id) {}\n}', [("GET", "api/Users/{id}")]),
+    ("aspnet-mvc", "UsersController.cs", '[Route("api/[controller]")]\npublic class UsersController : Controller\n{\n  [HttpGet("{id:int}")]\n  public ActionResult<User> Get(int id) {}\n}', [("GET", "api/users/{id}")]),
     ("aspnet-minimal", "Program.cs", 'var g = app.MapGroup("/v1");\ng.MapPost("/u/{id:int}", (User u) => 1).RequireAuthorization();', [("POST", "/v1/u/{id}")]),
     ("spring", "UserController.java", '@RequestMapping("/api")\nclass UserController {\n@GetMapping("/u/{id}")\npublic ResponseEntity<User> get(@PathVariable Long id) {', [("GET", "/api/u/{id}")]),
     ("rails", "config/routes.rb", "Rails.application.routes.draw do\n  resources :users\n  resources :posts, only: [:index, :show]\n  namespace :admin do\n    get 'stats'\n  end\nend", None),
@@ -79,3 +79,51 @@ def test_source_tree(spark, tmp_path):
     (tmp_path / "proj" / "package.json").write_text('{"dependencies":{"express":"1"}}')
     files = runner.source_files(spark, str(tmp_path / "proj"))
     assert [(r.path_pattern, r.source_file) for r in runner.scan(files).collect()] == [("/a", "src/a.js")]
+
+
+def test_conventional_routes(spark):
+    """Without route attributes a controller follows the project's template, or its own name."""
+    code = "public class {0}Controller : ApiController\n{{\n  [HttpGet]\n  public User ListAll() {{}}\n  [HttpPost]\n  [ActionName(\"log-in\")]\n  public User In([FromBody] Login x) {{}}\n}}"
+    files = [("A/UserController.cs", code.format("User"))]
+    config = [("App_Start/WebApiConfig.cs", 'config.Routes.MapHttpRoute(name: "D", routeTemplate: "api/{controller}/{action}/{id}");')]
+    scanned = lambda rows: sorted((r.method, r.path_pattern) for r in runner.scan(spark.createDataFrame(rows, "path string, content string"), ["aspnet-mvc"]).collect())
+    assert scanned(files + config) == [("GET", "api/user/listall"), ("POST", "api/user/log-in")]
+    assert scanned(files) == [("GET", "user"), ("POST", "user")]
+
+
+def test_nest_signature_over_lines():
+    text = """@Controller('cats')
+export class C {
+  @Post(':id/toys')
+  async add(
+    @Param('id') id: string,
+    @Query('dry') dry: boolean,
+    @Body() body: ToyDto,
+  ): Promise<ToyDto[]> {
+  }
+}
+export class ToyDto {
+  @IsString()
+  name: string;
+}
+"""
+    for path in ("a.ts", "src/.x/cat.controller.js"):
+        assert runner.applies(runner.REGISTRY["nestjs"], path)
+        (r,) = runner.REGISTRY["nestjs"].routes(path, text)
+        assert (r.method, r.path, r.line) == ("POST", "/cats/{id}/toys", 4) and r.req["required"] == ["name"]
+        assert r.resp == {"type": "array", "items": r.req} and [(p["name"], p["in"]) for p in r.params] == [("id", "path"), ("dry", "query")]
+    assert list(runner.REGISTRY["nestjs"].routes("a.js", text)) == []
+
+
+def test_named_request_type():
+    (r,) = runner.REGISTRY["express"].routes("a.ts", "app.post('/u', (req: Request<{}, any, NewUser>, res) => 1)")
+    assert r.req == {"type": "object", "description": "TS type: NewUser"}
+    (r,) = runner.REGISTRY["express"].routes("a.ts", "app.post('/u', (req: Request<{}, any, { id: number }>, res) => 1)")
+    assert r.req["properties"] == {"id": {"type": "number"}}
+
+
+def test_detection(spark):
+    found = lambda rows: {r.framework for r in runner.detect(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert found([("go.mod", "module x\n")]) == {"go-stdlib"} and found([("a/go.mod", "module x\nrequire github.com/go-chi/chi v5")]) == {"go-chi"}
+    assert found([("mypom.xml", "spring-boot"), ("a/b/c/pom.xml", "spring-boot")]) == set() and found([("a/b/pom.xml", "Spring-Boot")]) == {"spring"}
+    assert found([("package.json", '"hapi": 1, "nuxi": 2'), ("X.csproj", "Microsoft.NET.Sdk.Web")]) == {"hapi", "nuxt", "aspnet-minimal"}
