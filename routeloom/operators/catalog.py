@@ -91,7 +91,7 @@ def skeleton_fields(scans: DataFrame, observed_fields: DataFrame, obs: DataFrame
     births = scans.groupBy(*ENDPOINT, "location", "field_path").agg(F.min("born").alias("scan_born"), F.min_by("type_json", "born").alias("scan_type"))
     key = [*ENDPOINT, "location", "field_path"]
     points = births.select(*ENDPOINT, F.col("scan_born").alias("born")).distinct()
-    n = points.join(obs.select(*ENDPOINT, "seq"), ENDPOINT).where("seq >= born").groupBy(*ENDPOINT, "born").agg(F.count("*").alias("since"))
+    n = fold.calls_since(obs.select(*ENDPOINT, "seq"), points)
     merged = observed_fields.join(births, key, "full_outer").join(n.withColumnRenamed("born", "scan_born"), [*ENDPOINT, "scan_born"], "left")
     return merged.select(
         *key, F.coalesce("seen_count", F.lit(0)).alias("seen_count"),
@@ -220,9 +220,11 @@ class CatalogStore:
         return self.alive("scans", "scan_no").withColumn("__r", F.row_number().over(latest)).where("__r = 1").drop("__r", "scan_no")
 
     def endpoints(self) -> DataFrame:
-        """The catalogue: traffic reconciled with scans, touches counted, annotations on top."""
+        """The catalogue: traffic reconciled with scans, touches counted, annotations on top (a later scan replaces them, M6)."""
         base = with_touches(reconcile(fold.endpoints(self.observations()), self.scanned()), self.alive("touches", "at"))
-        notes = self.alive("annotations", "at").groupBy(*ENDPOINT).agg(
+        scans = self.alive("scans", "scan_no").groupBy(*ENDPOINT).agg(F.max("scan_no").alias("scan_no"))
+        kept = self.alive("annotations", "at").join(scans, ENDPOINT, "left").where(F.col("scan_no").isNull() | (F.col("at") > F.col("scan_no")))
+        notes = kept.groupBy(*ENDPOINT).agg(
             F.max_by("description", F.when(F.col("description").isNotNull(), F.col("at"))).alias("note"), F.max_by("tags", F.when(F.col("tags").isNotNull(), F.col("at"))).alias("note_tags")
         )
         out = base.join(notes, ENDPOINT, "left")

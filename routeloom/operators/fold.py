@@ -45,6 +45,21 @@ def totals_since(obs: DataFrame, births: DataFrame, key: list[str]) -> DataFrame
     return births.join(both, [*key, "born"])
 
 
+def calls_since(obs: DataFrame, points: DataFrame) -> DataFrame:
+    """points (endpoint, born) -> with since: observations of the endpoint from born on, which need not be one of them.
+
+    Whole ranges of the sequence are counted before they meet the points; only the range that a
+    point falls into is read row by row.
+    """
+    p = points.select(*ENDPOINT, "born").distinct().withColumn("r", F.shiftright("born", RANGE_BITS))
+    ranges = obs.groupBy(*ENDPOINT, F.shiftright("seq", RANGE_BITS).alias("range")).agg(F.count("*").alias("n"))
+    after = p.join(ranges, ENDPOINT).where("range > r").groupBy(*ENDPOINT, "born").agg(F.sum("n").alias("after"))
+    rows = obs.select(*ENDPOINT, "seq", F.shiftright("seq", RANGE_BITS).alias("r"))
+    within = p.join(rows, [*ENDPOINT, "r"]).where("seq >= born").groupBy(*ENDPOINT, "born").agg(F.count("*").alias("within"))
+    both = p.join(after, [*ENDPOINT, "born"], "left").join(within, [*ENDPOINT, "born"], "left")
+    return both.select(*ENDPOINT, "born", (F.coalesce("after", F.lit(0)) + F.coalesce("within", F.lit(0))).alias("since"))
+
+
 def _presence(obs: DataFrame, seen: DataFrame, key: list[str], name: list[str], latest: str | None = None) -> DataFrame:
     """seen (key..., name..., seq[, latest]) -> seen_count, total_calls[, latest value]."""
     aggs = [F.count("*").alias("seen_count"), F.min("seq").alias("born")]

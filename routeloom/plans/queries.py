@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from routeloom.functions import content, paths
 from routeloom.operators import catalog, fold, infer, report
 from routeloom.plans import adapters as A
+from routeloom.plans import source_queries, store_queries, vector_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -354,8 +355,11 @@ def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m1_delete_cascade", f"WITH {A.EVENTS_SQL} SELECT method, path_pattern, count(*) AS seen FROM ev WHERE NOT (method = 'GET' AND path_pattern = '/view/{{id}}') GROUP BY 1, 2")
 def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = spark.createDataFrame([("GET", "/view/{id}")], "method string, path_pattern string")
-    return events(spark, sf_dir).join(F.broadcast(gone), ["method", "path_pattern"], "left_anti").groupBy("method", "path_pattern").agg(F.count("*").alias("seen"))
+    """The catalogue's own delete: every view follows."""
+    s = store_queries.store(spark)
+    s.record(infer.observe(A.pairs_events(spark, sf_dir)))
+    s.delete("get", "/view/{id}")
+    return s.endpoints().select("method", "path_pattern", F.col("call_count").alias("seen"))
 
 
 SCHEMA_SQL = f"""WITH e AS (SELECT method, path_pattern, field_path, (seen_count::DOUBLE / total_calls >= 0.9)::INT AS need FROM ({ORACLE_SQL['a4_field_confidence']}) WHERE location = 'request'),
@@ -424,3 +428,9 @@ def x_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("app.get('/nations/"), n, F.lit("/:id', f)\napp.post('/nations', g)\n"))).otherwise(F.concat(F.lit("@app.get(\"/n/"), n, F.lit("/{id}\")\ndef f(id: int):\n    pass\n")))
     files = A.table(spark, sf_dir, "nation").select(F.concat(F.lit("src/f"), n, F.when(F.col("n_nationkey") % 2 == 0, ".js").otherwise(".py")).alias("path"), text.alias("content"))
     return runner.scan(files, ["express", "fastapi"]).select("method", "path_pattern", "framework", "source_file", "source_line")
+
+
+store_queries.a15_midlog(orders, ORACLE_SQL["a4_field_confidence"])
+for _part in (source_queries, vector_queries, store_queries):
+    QUERIES.update(_part.QUERIES)
+    ORACLE_SQL.update(_part.ORACLE_SQL)
