@@ -401,7 +401,18 @@ def g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("method", "path_pattern").join(old, ["method", "path_pattern"], "left").select("method", "path_pattern", state.alias("state"))
 
 
-@query("e1_openapi")
+K_SQL = '"content": {"application/json": {"schema": {"properties": {"k": {"type": "integer"}}, "required": ["k"], "type": "object"}}}'
+OPENAPI_SQL = f"""WITH {A.EVENTS_SQL}, {A.SCANNED_SQL},
+ v AS (SELECT method, path_pattern, CASE WHEN user_id % 3 = 0 THEN 'bearer' ELSE 'none' END AS auth, method <> 'GET' AS sends, count(*) AS n, min(observed_at) AS f, max(status_code) AS code FROM ev GROUP BY 1, 2, 3, 4),
+ x AS (SELECT method, path_pattern, sends, max(code) AS code, count(*) AS c, string_agg('{{"call_count": ' || n || ', "fingerprint": "auth:' || auth || '|body:' || CASE WHEN sends THEN 'k' ELSE '' END || '"' || CASE WHEN auth = 'bearer' THEN ', "label": "authenticated"' ELSE '' END
+  || CASE WHEN sends THEN ', "requestBody": {{{K_SQL}, "required": true}}' ELSE '' END || '}}', ', ' ORDER BY f, auth) AS vs FROM v GROUP BY 1, 2, 3)
+ SELECT path_pattern AS path, lower(method) AS method, '{{' || CASE WHEN coalesce(description, '') <> '' THEN '"description": "' || description || '", ' ELSE '' END || '"parameters": [{{"in": "path", "name": "id", "required": true, "schema": {{"type": "string"}}}}], '
+ || CASE WHEN sends THEN '"requestBody": {{{K_SQL}, "required": true}}, ' ELSE '' END || CASE WHEN code = 500 THEN '"responses": {{"500": {{"description": "Internal Server Error"}}}}' ELSE '"responses": {{"200": {{{K_SQL}, "description": "OK"}}}}' END
+ || CASE WHEN coalesce(requires_auth, false) THEN ', "security": [{{"bearerAuth": []}}]' ELSE '' END || CASE WHEN c > 1 THEN ', "x-variants": [' || vs || ']' ELSE '' END || '}}' AS operation
+ FROM x LEFT JOIN ded USING (method, path_pattern)"""
+
+
+@query("e1_openapi", OPENAPI_SQL)
 def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operations of the OpenAPI document of the event traffic, one row each."""
     import json
