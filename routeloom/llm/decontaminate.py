@@ -1,24 +1,24 @@
-"""Operator 10: benchmark decontamination by surviving pieces and the CGK random-walk embedding.
+"""Operator 10: benchmark decontamination by the CGK random-walk embedding and bit-sampling LSH.
 
 Texts are case-folded (all of Unicode) and white space runs become one space. An item is found wherever a document
 span is within ``edits`` (a fraction) of the item's characters, at any character, by exact edit distance.
 
-An item that tolerates k edits is cut into k + 1 pieces, of which one survives k edits unchanged. Hashes of
-every document position are looked up among the pieces, so every span within the tolerance is found,
-wherever it starts and wherever its edits are. A q-gram count drops most chance hits before the distance.
-
-Where the tolerance leaves pieces under PIECE bytes (from some 11 % on), pieces say too little and only
-the whole item is looked up; edited copies are found by the embedding. It walks over a text
-with a step's random bit for each symbol: it writes the current symbol and moves on or stays, so a
-few edits shift two walks only until they meet again and edit distance turns into Hamming distance.
-Windows start at every character and are compared with segments of SEGMENT bytes from every SMALL bytes
-of an item (segments fall into size classes; a class samples positions of the embedding up to twice its
-size). A repetition samples the same few positions of segment and window embeddings (bit-sampling LSH);
-windows whose sampled symbols equal a segment's are candidates. Samples are compared in stages, the
-early ones first, which drops most windows after a short walk without changing the outcome.
-``repetitions`` are as many as a simulation with copies of these items edited in KINDS ways needs for
-``target_recall`` at the largest tolerated edit count; if ``max_repetitions`` do not reach it, a warning
-gives the recall reached.
+The embedding walks over a text with a step's random bit for each symbol: it writes the current symbol and moves on
+or stays, so a few edits shift two walks only until they meet again and edit distance turns into Hamming distance.
+A repetition has its own random bits and samples SAMPLES steps, spread evenly over the whole walk of an item; an
+item-sized window of a document whose walk has the item's symbols at all of them collides, and windows that collide
+in some repetition go on to the exact edit distance. There are as many repetitions as a simulation with copies of
+these very items, edited in KINDS ways at the largest tolerated edit count, needs for the target recall (a tenth of
+``target_recall``'s misses at most, as windows are few); if ``max_walks`` do not reach it, a warning gives the recall reached.
+Unedited windows collide in every repetition.
+
+Windows are embedded only where they can match: an item that tolerates k edits is cut into k + 1 pieces, of which one
+survives k edits unchanged, so a window lines up with a surviving piece, shifted by at most k. Hashes of every document
+position are looked up among the pieces; that loses no window within the tolerance, wherever it starts.
+
+Where the tolerance leaves pieces under PIECE bytes (from some 11 % on), pieces say too little: windows then start at
+every character and are compared with segments of SEGMENT bytes from every SMALL bytes of an item, by sampled steps
+compared in stages, the early ones first, with up to ``max_repetitions`` repetitions.
 
 Items are the stated query set: they are read in blocks of at most BLOCK_BYTES, each shipped whole
 to the tasks after that check. Items under 16 bytes are found as exact substrings that do not cut a word
@@ -41,11 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routeloom.llm.common import LOWER, as_bytes, same_schema, slices
+from routeloom.llm.common import LOWER, as_bytes, mix64, same_schema, slices
 
 EDITS = 0.04
 TARGET_RECALL = 0.9
-MAX_REPETITIONS = 8
+MAX_REPETITIONS = 8  # where windows start at every character
+MAX_WALKS = 48  # where windows line up with pieces
+SAMPLES = 4  # steps of a walk that are compared
 BLOCK_BYTES = 32 << 20
 SLICE_BYTES = 1 << 20
 SMALL = 16
@@ -326,30 +328,156 @@ def bounded(item: bytes) -> re.Pattern:
 
 
 class Lookup:
-    """All that finds the items of a block: pieces for every item, the embedding where pieces are too short."""
+    """All that finds the items of a block: embedded windows, lined up with pieces or, where those are too short, at every character."""
 
-    def __init__(self, items: list[tuple[int, bytes]], edits: float, target: float, most: int):
+    def __init__(self, items: list[tuple[int, bytes]], edits: float, target: float, most: int, max_walks: int = MAX_WALKS):
         self.items = [(i, t) for i, t in items if len(t) >= SMALL]
         self.tiny = [(i, t, bounded(t)) for i, t in items if 0 < len(t) < SMALL]
         self.pieces = Pieces(self.items, edits)
         rest = [k for k, (_, t) in enumerate(self.items) if piece_bounds(t, edits) is None]
         block = [self.items[k] for k in rest]
+        self.most = np.array([int(edits * len(t.decode("utf-8", "surrogateescape"))) for _, t in self.items], np.int64)
+        paired = sorted(set(range(len(self.items))) - set(rest))
+        aim = 1 - (1 - target) / 10
+        walks, self.walk_recall = walk_recall([self.items[k][1] for k in paired], self.most[paired].tolist(), aim, max_walks)
+        if self.walk_recall < aim:
+            warnings.warn(f"{walks} walks reach a recall of {self.walk_recall:.3f} for edited copies of {len(paired)} items, the aim is {aim:.3f}; raise max_walks", stacklevel=2)
+        self.walks = Walks([t for _, t in self.items], walks)
+        self.short = np.isin(np.arange(len(self.items)), rest)
         repetitions, self.recall = calibrate(block, edits, target, most)
         if self.recall < target:
             warnings.warn(f"{repetitions} repetitions reach a recall of {self.recall:.2f} for edited copies of {len(block)} items, the target is {target}; raise max_repetitions", stacklevel=2)
         self.index = Index([((rest[k], a), t) for (k, a), t in segments(block)], repetitions) if block else None
 
-    def spots(self, text: np.ndarray, joined: bytes) -> Iterator[tuple[int, int, int]]:
-        """(item number, position, offset in the item that is at this position) of all candidates."""
+    def spots(self, text: np.ndarray, joined: bytes, base: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item number, position, offset in the item that is at this position) of all candidates; base holds where documents begin."""
+        places = set()
         for at, k, offset, size in self.pieces.hits(text):
-            if joined[at:at + size] == self.items[k][1][offset:offset + size]:
-                yield k, at, offset
+            item = self.items[k][1]
+            if joined[at:at + size] == item[offset:offset + size]:
+                if joined.startswith(item, at - offset) if at >= offset else False:
+                    yield k, at, offset  # an unedited window collides in every repetition
+                elif not self.short[k] and self.most[k]:
+                    places.add((k, at - offset))
+        if places:
+            k, start = np.array(sorted(places), np.int64).T
+            # a shifted start can lie before the piece's document only where the piece itself tells which one it is
+            d = np.clip(np.searchsorted(base, start + self.most[k], side="right") - 1, 0, len(base) - 2)
+            of, at = windows_at(k, start, self.most[k], base[d], base[d + 1])
+            hit = self.walks.collisions(text, k[of], at, base[d + 1][of]).any(1)
+            for x in np.flatnonzero(hit).tolist():
+                yield int(k[of[x]]), int(at[x]), 0
         if self.index:
             for at, j in self.index.candidates(text, characters(text)):
                 k, offset = self.index.items[j][0]
                 yield k, at, offset
 
 
+class Walks:
+    """CGK embeddings of items: in each repetition a walk's length and the hash of its sampled symbols."""
+
+    def __init__(self, items: list[bytes], repetitions: int):
+        self.repetitions = repetitions
+        self.fraction = np.sort((np.arange(SAMPLES) + np.random.default_rng(7).random((repetitions, SAMPLES))) / SAMPLES, axis=1)
+        self.size = np.array([len(t) for t in items], np.int64)
+        self.length, self.key = np.zeros((len(items), repetitions), np.int32), np.zeros((len(items), repetitions), np.uint64)
+        order = np.argsort(self.size, kind="stable").tolist()
+        group: list[int] = []
+        for n, k in enumerate(order):  # items of like size walk together, in groups of bounded bytes
+            group.append(k)
+            if len(group) * max(1, len(items[k])) > 1 << 18 or n + 1 == len(order):
+                text = np.frombuffer(b"".join(items[k] for k in group) + b"\0", np.uint8)
+                end = np.cumsum(self.size[group])
+                rows = [np.repeat(x, repetitions) for x in (np.array(group), end - self.size[group], end)]
+                r = np.tile(np.arange(repetitions), len(group))
+                self.length[rows[0], r] = self._length(text, rows[1], rows[2], r)
+                self.key[rows[0], r] = self._sampled(text, *rows, r)
+                group = []
+
+    @staticmethod
+    def _bit(symbol: np.ndarray, r: np.ndarray, step: int) -> np.ndarray:
+        """The random bit of a repetition, step and symbol."""
+        return (mix64((r.astype(np.uint64) << np.uint64(40)) + np.uint64(step * 256) + symbol) >> np.uint64(40) & np.uint64(1)).astype(np.int64)
+
+    def _length(self, text: np.ndarray, at: np.ndarray, end: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Steps until each walk has passed its text."""
+        out, live, at, step = np.zeros(len(at), np.int32), np.arange(len(at)), at.copy(), 0
+        while len(live):
+            at += self._bit(text[at], r[live], step)
+            step += 1
+            done = at >= end[live]
+            if done.any():
+                out[live[done]] = step
+                live, at = live[~done], at[~done]
+        return out
+
+    def _sampled(self, text: np.ndarray, item: np.ndarray, at: np.ndarray, end: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Hashes of the symbols that walks from at write at the sampled steps of their items."""
+        out, hash_, live, at = np.zeros(len(at), np.uint64), np.ones(len(at), np.uint64), np.arange(len(at)), at.copy()
+        want = (self.fraction[r] * self.length[item, r][:, None]).astype(np.int32)
+        taken, step = np.zeros(len(at), np.int64), 0
+        while len(live):
+            symbol = np.where(at < end[live], text[np.minimum(at, len(text) - 1)], 0).astype(np.uint64)
+            # steps of a short walk can fall together
+            while len(hit := np.flatnonzero(want[live, np.minimum(taken[live], SAMPLES - 1)] == step)) and len(hit := hit[taken[live[hit]] < SAMPLES]):
+                hash_[live[hit]] = mix64(hash_[live[hit]] * np.uint64(257) + symbol[hit])
+                taken[live[hit]] += 1
+            at += self._bit(symbol, r[live], step)
+            step += 1
+            going = taken[live] < SAMPLES
+            if not going.all():
+                out[live[~going]] = hash_[live[~going]]
+                live, at = live[going], at[going]
+        return out
+
+    def collisions(self, text: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(windows, repetitions): whether the window from start collides with its item; end bounds its document."""
+        n, m = len(item), self.repetitions
+        out = np.zeros((n, m), bool)
+        lot = max(1, (1 << 16) // m)
+        for lo in range(0, n, lot):
+            part = slice(lo, min(n, lo + lot))
+            k, a, e = (np.repeat(x[part], m) for x in (item, start, end))
+            r = np.tile(np.arange(m), len(k) // m)
+            out[part] = (self._sampled(text, k, a, e, r) == self.key[k, r]).reshape(-1, m)
+        return out
+
+
+def windows_at(k: np.ndarray, start: np.ndarray, most: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Rows (index of the place, start) of the windows around places, shifted by up to `most` and inside their documents."""
+    wide = 2 * most + 1
+    of = np.repeat(np.arange(len(k)), wide)
+    shift = np.arange(len(of)) - np.repeat(np.cumsum(wide) - wide, wide) - most[of]
+    at = start[of] + shift
+    ok = (at >= low[of]) & (at < high[of])
+    return np.stack((of[ok], at[ok]))
+
+
+def walk_recall(items: list[bytes], tolerated: list[int], target: float, most: int, trials: int = 204) -> tuple[int, float]:
+    """Repetitions that reach the target for the worst kind of edits, and the recall of that simulation."""
+    edges = [k for k, n in enumerate(tolerated) if n]
+    if not edges:
+        return 1, 1.0
+    rng = np.random.default_rng(5)
+    pick = np.array([edges[int(x)] for x in rng.integers(0, len(edges), trials)])
+    copies = [edited(items[k], tolerated[k], rng, c % KINDS) for c, k in enumerate(pick)]
+    around = [rng.integers(97, 123, 64).astype(np.uint8).tobytes() for _ in copies]  # copies stand in running text
+    text = np.frombuffer(b"".join(x + c + x for c, x in zip(copies, around, strict=True)) + b"\0", np.uint8)
+    end = np.cumsum([len(c) + 128 for c in copies])
+    first = np.concatenate(([0], end[:-1]))
+    own, back = np.unique(pick, return_inverse=True)
+    walks = Walks([items[k] for k in own], most)
+    of, at = windows_at(back, first + 64, np.array(tolerated)[pick], first, end)
+    hit = walks.collisions(text, back[of], at, end[of])
+    seen = np.zeros((trials, most), bool)
+    np.logical_or.at(seen, of, hit)
+    seen = np.logical_or.accumulate(seen, axis=1)
+    recall = np.min([seen[kind::KINDS].mean(0) for kind in range(KINDS)], axis=0)
+    enough = np.flatnonzero(recall >= target)
+    r = int(enough[0]) if len(enough) else most - 1
+    return r + 1, float(recall[r])
+
+
 def edited(text: bytes, count: int, rng: np.random.Generator, kind: int = 0) -> bytes:
     """A copy with count edits: anywhere (0), near the start (1), a block replaced (2, 3) or deleted (4, 5) anywhere or at the start."""
     t = bytearray(text)
@@ -429,7 +557,7 @@ def search(index: Lookup, texts: list[bytes], edits: float) -> list[list[tuple[i
     a = np.frombuffer(joined, np.uint8)
     base = np.cumsum([0, *[len(t) + len(gap) for t in texts]])
     places: dict[tuple[int, int], set[int]] = {}
-    for k, at, offset in index.spots(a, joined):
+    for k, at, offset in index.spots(a, joined, base):
         d = int(np.searchsorted(base, at, side="right")) - 1
         places.setdefault((d, k), set()).add(at - int(base[d]) - offset)
     for (d, k), starts in sorted(places.items()):

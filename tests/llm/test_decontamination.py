@@ -3,6 +3,7 @@
 import random
 import warnings
 
+import numpy as np
 import pytest
 
 from routeloom.llm import decontaminate
@@ -111,3 +112,44 @@ def test_unedited_short_items_in_running_text(spark):
     docs = [f"{prose(r, 10)} {item} {prose(r, 30)}" for item in items]
     for edits in (decontaminate.EDITS, 0.3):
         assert {(i, i) for i in range(len(items))} <= set(leaks(spark, docs, items, edits=edits))
+
+
+def test_walks_meet_again_after_edits():
+    """The embedding itself: unedited windows collide everywhere, edited ones often, others hardly ever."""
+    r, rng = random.Random(12), np.random.default_rng(12)
+    items = [prose(r, 40).encode() for _ in range(30)]
+    walks = decontaminate.Walks(items, 16)
+    slow = []
+    for k, t in enumerate(items):  # a plain walk, symbol by symbol
+        for rep in range(16):
+            at, seen, step = 0, [], 0
+            while at < len(t):
+                seen.append(t[at])
+                at += int(walks._bit(np.array([t[at]], np.uint64), np.array([rep]), step)[0])
+                step += 1
+            h = np.ones(1, np.uint64)
+            for f in walks.fraction[rep]:
+                h = decontaminate.mix64(h * np.uint64(257) + np.uint64(seen[int(f * len(seen))]))
+            slow.append(len(seen) == walks.length[k, rep] and h[0] == walks.key[k, rep])
+    assert all(slow)
+
+    def share(texts):
+        a = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
+        end = np.cumsum([len(t) for t in texts])
+        return walks.collisions(a, np.arange(len(texts)), end - np.array([len(t) for t in texts]), end).mean()
+
+    near = [decontaminate.edited(t, 4, rng) for t in items]
+    assert share(items) == 1 and share(near) > 0.15 and share(items[1:] + items[:1]) < 0.01
+    least, recall = decontaminate.walk_recall(items, [int(0.04 * len(t)) for t in items], 0.99, 48)
+    assert recall >= 0.99 and 1 < least <= 48
+
+
+def test_candidates_come_through_the_walks(monkeypatch, spark):
+    """Where no window collides, no edited passage is found: nothing goes around the embedding."""
+    r = random.Random(13)
+    item = prose(r, 40)
+    doc = f"{prose(r, 8)} {hard(item, 3, 0, r)} {prose(r, 8)}"
+    index = decontaminate.Lookup([(0, item.encode())], decontaminate.EDITS, 0.9, 8)
+    assert decontaminate.search(index, [doc.encode()], decontaminate.EDITS)[0]
+    monkeypatch.setattr(index.walks, "key", index.walks.key + np.uint64(1))
+    assert not decontaminate.search(index, [doc.encode()], decontaminate.EDITS)[0]
