@@ -53,6 +53,7 @@ CROWD = 64  # nodes of a token from which its components are compared first
 WORDS = 200_000  # distinct words a worker remembers
 MAX_MATCHES = 8
 VERIFY_COST = 100.0  # of a candidate, in postings
+UNSEEN = 0.15  # other holders of a token that the sketch takes for unique, on average
 SLICE_BYTES = 2 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -317,10 +318,12 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     scratch.drop("seen")
     floor = float(np.median(sketch))
     level = np.floor(np.log2(1 + sketch)).astype(np.int8)
-    freq = np.maximum(1.0, sketch - 2 * floor)
+    freq = np.maximum(1.0 + UNSEEN, sketch - 2 * floor)
 
     posts = scratch.save("posts", postings(df, text_col, width, percent, level, freq, clashes)).repartition("token")
-    common = posts.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("top")).where("low < top").select("token")
+    # the same columns in both branches, so that they read one exchange
+    common = posts.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.min("place").alias("any"))
+    common = common.where("low < top and any is not null").select("token")
     met = posts.join(common, "token").dropDuplicates(["token", "node"])
     apart = ["cast(shiftright(place, 33) as int) n", "cast(shiftright(place, 29) & 15 as int) l", f"cast(place & {(1 << 29) - 1} as int) pos"]
     shared = met.withColumn("shared", F.count("*").over(Window.partitionBy("node"))).selectExpr("token", "node", "shared", *apart)
