@@ -43,6 +43,7 @@ BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 PAD = 255
+PLACE_BITS = 32  # the same for every slice, so that equal windows choose equal anchors even where hashes tie
 
 
 class Anchors:
@@ -67,7 +68,7 @@ class Anchors:
         self._powers(n)
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a.astype(np.uint64) + np.uint64(1)) * self.power[:n])))
         h = mix64((total[g:] - total[:-g]) * self.inverse[: n - g + 1])
-        bits = np.uint64(max(1, int(n).bit_length()))
+        bits = np.uint64(PLACE_BITS)
         top = (h >> bits) << bits | np.arange(len(h), dtype=np.uint64)
         blocks = -(-len(top) // w)
         grid = np.full(blocks * w, np.uint64(2**64 - 1))
