@@ -63,12 +63,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession, leaf: str) -> str:
     """A folder for written tables: under spark.checkpoint.dir, which every executor sees.
 
-    Only where that setting is absent (tests, one machine) a temporary folder takes its place.
+    Where that setting is absent, a temporary folder takes its place on a local master (tests, one
+    machine); a cluster has none that all see, so there it raises.
     """
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{Path(tempfile.gettempdir()).resolve()}/routeloom-shared"
     return f"{base.rstrip('/')}/{leaf}-{uuid.uuid4().hex}"
 
