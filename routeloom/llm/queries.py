@@ -41,7 +41,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.compact_documents(documents(spark, sf_dir), shared_dir(spark, "shards"))
+    # the store is this job's own, no other reader may hold one of its older versions
+    return sharding.compact_documents(documents(spark, sf_dir), shared_dir(spark, "shards"), keep_seconds=0)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,16 @@ spans a factor of ``fanout``); when a tier holds at least ``fanout`` runs, they
 files of the next tier, at most target-sized, by a shuffle-free read, coalesce and write. Shards of
 a target's half or more are sealed. Only DataFrame operations touch rows.
 
-A manifest version lists the live shards. It is written beside the manifests and renamed to its
-final name, which is atomic and fails if that version exists, so a reader sees the old list or the
-new one and of two writers one loses. Files are deleted only after no kept version names them, so a
-job that dies at any point leaves at worst files that no manifest names. Planning needs one entry a
-shard, never a row's data, on the driver.
+A manifest version lists the live shards, one JSON line each. It is written beside the manifests and
+then given its final name in one atomic step that fails if that version exists: an HDFS rename without
+overwriting, a hard link on a local file system. Other file systems are refused. So a reader sees the
+old list or the new one, and of two writers one loses: its append is committed again on top of the
+other's version, its merge is thrown away and planned anew.
+
+Files are deleted only when no kept version names them. Kept are the newest version and those that
+were current within the last ``keep_seconds``, so a reader has that long to finish. A job that dies at
+any point leaves at worst files that no manifest names; the vacuum removes those after a day. Planning
+needs one entry a shard, never a row's data, on the driver.
 
 Edge cases: an empty table gives an empty manifest and no rows. Rows keep all columns, nulls and
 repeats; a row is in exactly one live shard.
@@ -19,15 +24,20 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TARGET_BYTES = 128 << 20
 FANOUT = 4
 ROWS_PER_SHARD = 4000
+KEEP_SECONDS = 6 * 3600
+ORPHAN_SECONDS = 24 * 3600
+ENTRY = "path string, bytes bigint, rows bigint, tier int"
 
 
 @dataclass(frozen=True)
@@ -59,12 +69,23 @@ def plan(shards: list[Shard], target: int, fanout: int) -> dict[int, list[Shard]
     return {t: g for t, g in by.items() if t < sealed_tier(target, fanout) and len(g) >= fanout}
 
 
+class Conflict(RuntimeError):
+    """Another writer committed that version first."""
+
+
 class ShardStore:
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, keep_versions: int = 1):
-        self.spark, self.root, self.target, self.fanout, self.keep = spark, root.rstrip("/"), target_bytes, max(2, fanout), keep_versions
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, keep_seconds: float = KEEP_SECONDS):
+        self.spark, self.root, self.target, self.fanout, self.keep = spark, root.rstrip("/"), target_bytes, max(2, fanout), keep_seconds
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.scheme = self.fs.getUri().getScheme()
+        if self.scheme not in ("file", "hdfs", "viewfs"):
+            raise ValueError(f"no atomic commit without overwriting on {self.scheme}: use HDFS or a local file system")
         self.fs.mkdirs(self._path(f"{self.root}/manifest"))
+        self.fs.mkdirs(self._path(f"{self.root}/data"))
+
+    def manifest_path(self, version: int) -> str:
+        return f"{self.root}/manifest/v{version:08d}.json"
 
     def versions(self) -> list[int]:
         names = [f.getPath().getName() for f in self.fs.listStatus(self._path(f"{self.root}/manifest"))]
@@ -75,26 +96,40 @@ class ShardStore:
         version = version if version is not None else (found[-1] if found else 0)
         if version == 0:
             return []
-        stream = self.fs.open(self._path(f"{self.root}/manifest/v{version:08d}.json"))
+        stream = self.fs.open(self._path(self.manifest_path(version)))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return [Shard(**s) for s in json.loads(text)["shards"]]
+        return [Shard(**json.loads(line)) for line in text.splitlines()]
 
     def commit(self, base: int, shards: list[Shard]) -> int:
-        """Write version base + 1 atomically; raises if another writer was first."""
-        body = json.dumps({"version": base + 1, "parent": base, "shards": [asdict(s) for s in shards]})
+        """Write version base + 1 atomically; raises Conflict if another writer was first."""
         draft = self._path(f"{self.root}/manifest/.draft-{uuid.uuid4().hex}")
-        final = self._path(f"{self.root}/manifest/v{base + 1:08d}.json")
         out = self.fs.create(draft, False)
-        out.write(bytearray(body.encode()))
+        out.write(bytearray("".join(json.dumps(asdict(s)) + "\n" for s in shards).encode()))
         out.close()
-        if self.fs.exists(final) or not self.fs.rename(draft, final):
+        try:
+            self._publish(draft, self._path(self.manifest_path(base + 1)))
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in str(e.java_exception):
+                raise
+            raise Conflict(f"manifest version {base + 1} exists: another writer committed first") from e
+        finally:
             self.fs.delete(draft, False)
-            raise RuntimeError(f"manifest version {base + 1} exists: another writer committed first")
         return base + 1
 
+    def _publish(self, draft, final) -> None:
+        """Give a finished file its name in one step that fails if the name is taken."""
+        jvm = self.spark._jvm
+        if self.scheme == "file":  # rename overwrites there, a hard link does not
+            none = self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)
+            jvm.java.nio.file.Files.createLink(*(jvm.java.nio.file.Paths.get(p.toUri().getPath(), none) for p in (final, draft)))
+        else:
+            rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
+            context.rename(draft, final, self.spark.sparkContext._gateway.new_array(rename, 0))
+
     def _current(self) -> int:
         found = self.versions()
         return found[-1] if found else 0
@@ -118,7 +153,12 @@ class ShardStore:
         base = self._current()
         folder = f"{self.root}/data/{base + 1:08d}-{uuid.uuid4().hex[:8]}"
         df.write.option("maxRecordsPerFile", rows_per_shard).parquet(folder)
-        return self.commit(base, self.manifest(base) + self._written(folder))
+        new = self._written(folder)
+        while True:
+            try:
+                return self.commit(base, self.manifest(base) + new)
+            except Conflict:  # the shards are as good on top of the other writer's version
+                base = self._current()
 
     def compact(self) -> int:
         """Merge tiers until none is due; one commit a round."""
@@ -129,8 +169,10 @@ class ShardStore:
             if not due:
                 return base
             made: list[Shard] = []
+            folders: list[str] = []
             for t, group in sorted(due.items()):
                 folder = f"{self.root}/data/{base + 1:08d}-t{t}-{uuid.uuid4().hex[:8]}"
+                folders.append(folder)
                 total = sum(s.bytes for s in group)
                 # a run of the next tier is fanout times as large, the last step fills targets
                 size = min(self.target, max(1 << 20, self.fanout * total // len(group)))
@@ -142,19 +184,32 @@ class ShardStore:
                     raise RuntimeError("a merge changed the number of rows; the old manifest stays")
                 made += new
             gone = {s.path for g in due.values() for s in g}
-            self.commit(base, [s for s in live if s.path not in gone] + made)
-            self.vacuum()
-
-    def vacuum(self) -> None:
-        """Delete shards that only versions older than the kept ones name, and those versions."""
-        found = self.versions()
-        old, kept = found[: -self.keep], found[-self.keep:]
-        named = {s.path for v in kept for s in self.manifest(v)}
+            try:
+                self.commit(base, [s for s in live if s.path not in gone] + made)
+            except Conflict:  # the plan is stale
+                for folder in folders:
+                    self.fs.delete(self._path(folder), True)
+            else:
+                self.vacuum()
+
+    def vacuum(self, now: float | None = None) -> None:
+        """Delete versions out of date for longer than keep_seconds, shards only they name, and old files nobody names.
+
+        A version went out of date when its successor was written.
+        """
+        found, now = self.versions(), time.time() if now is None else now
+        written = [self.fs.getFileStatus(self._path(self.manifest_path(v))).getModificationTime() / 1000 for v in found]
+        old = [v for v, replaced in zip(found, written[1:]) if replaced <= now - self.keep]
+        named = {s.path for v in found if v not in set(old) for s in self.manifest(v)}
         for v in old:
             for s in self.manifest(v):
                 if s.path not in named:
                     self.fs.delete(self._path(s.path), False)
-            self.fs.delete(self._path(f"{self.root}/manifest/v{v:08d}.json"), False)
+            self.fs.delete(self._path(self.manifest_path(v)), False)
+        used = {p.rsplit("/", 2)[1] for p in named}
+        for folder in self.fs.listStatus(self._path(f"{self.root}/data")):
+            if folder.getPath().getName() not in used and folder.getModificationTime() / 1000 < now - max(self.keep, ORPHAN_SECONDS):
+                self.fs.delete(folder.getPath(), True)
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """All rows of a version with the shard's file name; None where it has no shard."""
@@ -162,7 +217,7 @@ class ShardStore:
         return self.spark.read.parquet(*[s.path for s in shards]) if shards else None
 
 
-def compact_documents(df: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", **policy: int) -> DataFrame:
+def compact_documents(df: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", **policy: float) -> DataFrame:
     """Append df, compact, and tell for each row its shard, that shard's tier and the version.
 
     Two columns of the result describe the row (id, n_bytes), the others its place.
@@ -173,10 +228,7 @@ def compact_documents(df: DataFrame, root: str, id_col: str = "doc_id", text_col
     rows = store.read(version)
     if rows is None:
         return df.select(F.col(id_col), F.lit(0).cast("long").alias("n_bytes"), F.lit("").alias("shard"), F.lit(0).alias("tier"), F.lit(version).cast("long").alias("version")).where("false")
-    # the manifest is one entry a shard: the tier comes from a literal map of at most that size
-    tiers = {}
-    for s in store.manifest(version):
-        tiers.setdefault(s.tier, []).append(s.path.rsplit("/", 1)[1])
-    tier = F.coalesce(*[F.when(F.col("shard").isin(names), F.lit(t)) for t, names in sorted(tiers.items())])
+    # a manifest is one line a shard; Spark broadcasts it or not by the file's size
+    place = store.spark.read.schema(ENTRY).json(store.manifest_path(version)).select(F.substring_index("path", "/", -1).alias("shard"), "tier")
     out = rows.select(F.col(id_col), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), F.col("_metadata.file_name").alias("shard"))
-    return out.withColumn("tier", tier).withColumn("version", F.lit(version).cast("long"))
+    return out.join(place, "shard").select(id_col, "n_bytes", "shard", "tier", F.lit(version).cast("long").alias("version"))

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -133,13 +134,42 @@ def test_shards(spark, tmp_path, sf):
     assert store.read().exceptAll(docs).count() == 0 and docs.exceptAll(store.read()).count() == 0
     assert sum(s.rows for s in live) == docs.count() and not sharding.plan(live, 1 << 20, 2)
     version = store.versions()[-1]
-    with pytest.raises(RuntimeError):
+    with pytest.raises(sharding.Conflict):
         store.commit(version - 1, live)  # another writer was first
+    assert not [f for f in tmp_path.joinpath("manifest").iterdir() if f.name.startswith(".draft") or f.name.startswith("..draft")]
     got = sharding.compact_documents(docs.withColumn("tier", docs.doc_id), str(tmp_path / "q"))
     assert got.select("doc_id").distinct().count() == docs.count() == got.count()
     assert sharding.compact_documents(docs.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_shards_of_two_writers(spark, tmp_path, monkeypatch):
+    """An append that loses is committed again; readers keep their version until its time is over."""
+    df = prepare(spark).createDataFrame([(1, "a", "x"), (1, "a", "x"), (None, None, None), (2, "", "y"), (3, "long " * 50000, "z")], "doc_id long, text string, shard string")
+    first, second = (sharding.ShardStore(spark, str(tmp_path), target_bytes=1 << 20, fanout=2) for _ in range(2))
+    commit = first.commit
+
+    def late(base, shards):
+        monkeypatch.setattr(first, "commit", commit)
+        second.append(df.where("doc_id = 2"))
+        return commit(base, shards)
+
+    monkeypatch.setattr(first, "commit", late)
+    assert first.append(df) == 2
+    want = df.unionAll(df.where("doc_id = 2"))
+    reader, seen = first.read(2), first.manifest(2)
+    while first.compact() == 2:
+        first.append(df.limit(0).unionAll(df.where("doc_id = 1").repartition(4)))
+        want = want.unionAll(df.where("doc_id = 1"))
+    got = first.read()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert reader.count() == 6
+    first.vacuum(now=time.time() + sharding.KEEP_SECONDS + 5)
+    assert first.versions() == [first._current()]
+    assert not {s.path for s in seen} - {s.path for s in first.manifest()} & {str(p) for p in tmp_path.rglob("*.parquet")}
+    out = sharding.compact_documents(df, str(tmp_path / "q"), keep_seconds=0).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in out) == [(0, 0), (1, 1), (1, 1), (2, 0), (3, 250000)]
+
+
 def test_tiers():
     top = sharding.sealed_tier(128 << 20, 4)
     sizes = [1 << 10, 1 << 18, 1 << 20, 4 << 20, 16 << 20, 64 << 20, 500 << 20]
