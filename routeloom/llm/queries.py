@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routeloom.llm import bpe, ctw, decontaminate, language_id, ngram_join, pii, quality_classifier, quality_rules, sharding, suffix_dedup
+from routeloom.llm import bpe, ctw, decontaminate, language_id, ngram_join, oracle, pii, quality_classifier, quality_rules, sharding, suffix_dedup
 from routeloom.llm.common import documents, shared_dir
 
 
@@ -37,7 +37,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(documents(spark, sf_dir))
+    # the contract's columns and the covered fraction; the operator also gives the longest repeat
+    return quality_rules.quality_rules(documents(spark, sf_dir)).drop("longest_repeat")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,8 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_ngram_jaccard": oracle.NGRAM_JOIN,
+    "op7_suffix_dedup": oracle.REPEATED_STRINGS,
+    "op8_quality_rules": oracle.QUALITY_RULES,
+}
