@@ -4,7 +4,7 @@ Ten overlapping heuristics vote good, bad or abstain on every document (most onl
 over *all* documents (at most 3^10 rows, whatever the corpus) go to the driver, where expectation
 maximisation estimates each labeller's accuracy and the class share, and with them the posterior of
 every pattern. The posteriors label a bounded sample (``sample_docs`` documents expected, chosen by
-text hash) that trains a hashed linear scorer over words, word shapes and document traits; the
+hash of id and text, equal rows once) that trains a hashed linear scorer over words, word shapes and document traits; the
 scorer then scores every document.
 
 Edge cases: null or empty text has no words; it votes bad by length alone. Repeated rows get equal
@@ -136,11 +136,12 @@ def learn(df: DataFrame, id_col: str, text_col: str, sample_docs: int) -> tuple[
     n = np.array([c for _, c in got], float)
     post, prob = expectation_maximisation(table, n) if got else (np.zeros(0), np.zeros((2, len(LABELLERS), 3)))
     posterior = {p: float(x) for (p, _), x in zip(got, post, strict=True)}
-    below = int(min(1.0, sample_docs / max(1.0, n.sum())) * 2**32)
+    mark = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(2**62 - 1))
+    below = int(min(1.0, sample_docs / max(1.0, n.sum())) * 2**62)
 
     def sample():
-        def f(_, texts):
-            out = {"idx": [], "val": [], "y": []}
+        def f(_, texts, marks):
+            out = {"h": marks, "idx": [], "val": [], "y": []}
             for t in texts:
                 words = t.split()
                 x = traits(t, words)
@@ -152,10 +153,10 @@ def learn(df: DataFrame, id_col: str, text_col: str, sample_docs: int) -> tuple[
 
         return f
 
-    kinds = [("idx", T.ArrayType(T.IntegerType())), ("val", T.ArrayType(T.FloatType())), ("y", T.DoubleType())]
-    some = df.where(F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) < below) if below < 2**32 else df
-    rows = annotate(some, id_col, text_col, kinds, sample).select("idx", "val", "y").limit(2 * sample_docs).collect()
-    rows = sorted((r["idx"], r["val"], r["y"]) for r in rows)
+    kinds = [("h", T.LongType()), ("idx", T.ArrayType(T.IntegerType())), ("val", T.ArrayType(T.FloatType())), ("y", T.DoubleType())]
+    some = df.where(mark < below) if below < 2**62 else df
+    got = annotate(some, id_col, text_col, kinds, sample, extra={"mark": mark}).dropDuplicates(["h"]).select("h", "idx", "val", "y").collect()
+    rows = [(r["idx"], r["val"], r["y"]) for r in sorted(got)]
     return posterior, prob, fit(rows)
 
 

@@ -34,6 +34,39 @@ def test_edges(edge):
     assert quality_rules.keep_good(edge).columns == edge.columns and pii.mask_pii(edge).count() == len(EDGE)
 
 
+def test_edge_values(edge):
+    """Null, empty, blank, very long and repeated rows, and a null id, each with its stated result."""
+    none = hashlib.sha256(b"").hexdigest()
+    by = lambda df: sorted(((r.doc_id or 0, r) for r in df.collect()), key=lambda x: x[0])
+    rows = by(quality_rules.quality_rules(edge))
+    assert [(i, r.n_words, r.word_chars, r.n_repeat_words, r.kept) for i, r in rows] == [(0, 3, 12, 0, False), (1, 0, 0, 0, False), (2, 0, 0, 0, False), (3, 0, 0, 0, False), *[(4, 20000, 20000, 20000, False)] * 2]
+    assert all((r.base_sha256, r.spans, r.n_added) == (none, "", 0) for _, r in by(pii.find_pii(edge)))
+    rows = by(bpe.round_trip(edge))
+    assert [r.n_tokens for _, r in rows][1:3] == [0, 0] and rows[4][1] == rows[5][1]
+    assert [r.decoded_sha256 for _, r in rows] == [hashlib.sha256((t or "").encode()).hexdigest() for _, t in sorted((i or 0, t) for i, t, _ in EDGE)]
+    rows = by(language_id.identify(edge))
+    assert [r.lang_pred for _, r in rows][1:4] == ["und"] * 3 and all(0 <= r.score <= 1 for _, r in rows)
+    rows = by(quality_classifier.classify(edge))
+    assert [r.votes[0] for _, r in rows] == ["1", "1", "1", "1", "2", "2"] and rows[4][1] == rows[5][1] and all(0 <= r.score <= 1 for _, r in rows)
+
+
+def test_expectation_maximisation():
+    """Against one weight an example: patterns are counts of rows, and the posterior is each row's own Bayes rule."""
+    r = np.random.default_rng(2)
+    good = r.random(4000) < 0.7
+    right = np.array([0.9, 0.8, 0.7, 0.95])
+    rows = np.where(r.random((4000, 4)) < 0.3, quality_classifier.NONE, np.where((r.random((4000, 4)) < right) == good[:, None], quality_classifier.GOOD, quality_classifier.BAD))
+    patterns, back, counts = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+    post, prob = quality_classifier.expectation_maximisation(patterns, counts.astype(float))
+    q = post[back.ravel()]
+    assert abs(q.mean() - 0.7) < 0.05 and np.corrcoef(q, good)[0, 1] > 0.8
+    for j, a in enumerate(right):  # the accuracies of the labellers, where they vote
+        assert abs(prob[1, j, 2] / prob[1, j, 1:].sum() - a) < 0.06 and abs(prob[0, j, 1] / prob[0, j, 1:].sum() - a) < 0.06
+    share = np.stack((1 - q, q))
+    table = np.stack([[[share[c, rows[:, j] == v].sum() for v in range(3)] for j in range(4)] for c in range(2)]) + np.array([[1.0, 2.0, 0.5], [1.0, 0.5, 2.0]])[:, None, :]
+    assert np.allclose(table / table.sum(2, keepdims=True), prob, atol=1e-6)  # a fixed point of the plain step
+
+
 def rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     n, hit = len(words), set()
