@@ -1,4 +1,4 @@
-"""DuckDB SQL for the operators that SQL can express: n-gram join, repeated strings, quality rules."""
+"""DuckDB SQL for the operators that SQL can express: n-gram join, repeated strings, quality rules, chat formatting."""
 
 from __future__ import annotations
 
@@ -98,3 +98,22 @@ WITH texts AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND repeat_fraction <= {q.MAX_FRACTION} AND NOT too_long AS kept, repeat_fraction FROM base
 """
+
+# a text or role is escaped where it holds a control string; each then takes one backslash more
+CHAT_FORMAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), rendered AS (
+  SELECT *, regexp_replace(text, '(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\||\|>)', '\\\1', 'g') AS said,
+    regexp_replace(role, '(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\||\|>)', '\\\1', 'g') AS named FROM turns
+), framed AS (
+  SELECT *, CASE role WHEN 'user' THEN '[INST] ' || said || ' [/INST]' WHEN 'assistant' THEN ' ' || said || ' </s>' WHEN 'system' THEN '<<SYS>> ' || said || ' <</SYS>>'
+    ELSE '<| ' || named || ' |> ' || said || ' </s>' END AS segment FROM rendered
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, segment)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, segment) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(length(segment)) AS BIGINT) AS formatted_chars
+FROM framed GROUP BY conv_id
+"""

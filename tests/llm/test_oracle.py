@@ -22,7 +22,7 @@ def odd(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", list(queries.SQL))
+@pytest.mark.parametrize("name", ["op6_ngram_jaccard", "op7_suffix_dedup", "op8_quality_rules"])
 @pytest.mark.parametrize("table", ["sf", "odd"])
 def test_sql(spark, request, name, table):
     where = request.getfixturevalue(table)
