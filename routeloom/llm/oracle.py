@@ -1,4 +1,4 @@
-"""DuckDB SQL for the operators that SQL can express: n-gram join, repeated strings, quality rules, chat formatting."""
+"""DuckDB SQL for the operators that SQL can express: n-gram join, repeated strings, quality rules, chat formatting, prefix trie."""
 
 from __future__ import annotations
 
@@ -117,3 +117,37 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(3 + sum(length(segment)) AS BIGINT) AS formatted_chars
 FROM framed GROUP BY conv_id
 """
+
+# crc32 bit by bit over the digits of the id; a prefix is named by the list of its turns' digests
+PREFIX_TRIE = """
+WITH own AS (
+  SELECT conv_id, length(coalesce(text, '')) AS n, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda x: list_concat([CAST(ascii(x) AS BIGINT)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0])))), lambda c, v: xor(xor(c, v) >> 1, 3988292384 * (xor(c, v) & 1))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)
+), rebuilt AS (
+  SELECT i.conv_id, 0 AS part, o.pos, o.n, o.m FROM ids i JOIN own o ON o.conv_id = i.base AND o.pos <= i.h
+  UNION ALL SELECT o.conv_id, 1, o.pos, o.n, o.m FROM own o JOIN ids i ON i.conv_id = o.conv_id WHERE o.pos > i.h
+), placed AS (
+  SELECT conv_id, n, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d, list(m) OVER (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING) AS path FROM rebuilt
+), members AS (
+  SELECT conv_id, n, d, array_to_string(path, ',') AS key, CASE WHEN d > 1 THEN array_to_string(path[1:d - 1], ',') ELSE '' END AS up, path FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '', NULL, [] FROM ids
+), closed AS (
+  SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS last FROM members
+), nodes AS (
+  SELECT key, any_value(up) AS up, any_value(path) AS path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) AS n,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM closed GROUP BY key, d
+), kids AS (
+  SELECT up, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up
+), full_nodes AS (
+  SELECT x.*, p.conv_id AS parent_conv_id, coalesce(k.n_children, 0) AS n_children FROM nodes x LEFT JOIN nodes p ON p.key = x.up AND x.depth > 0 LEFT JOIN kids k ON k.up = x.key
+), above AS (
+  SELECT array_to_string(path[1:k], ',') AS key, k AS depth, n_children, (n_convs - 1) * n AS saved FROM (SELECT *, unnest(range(depth + 1)) AS k FROM full_nodes)
+), below AS (
+  SELECT key, depth, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY key, depth
+)
+SELECT conv_id, f.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM full_nodes f JOIN below b ON b.key = f.key AND b.depth = f.depth
+"""
