@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from routeloom.llm import bpe, chat_format, ctw, decontaminate, language_id, ngram_join, oracle, pii, prefix_trie, quality_classifier, quality_rules, sharding, suffix_dedup
+from routeloom.llm import bpe, chat_format, ctw, decontaminate, language_id, ngram_join, oracle, pii, prefix_trie, quality_classifier, quality_rules, sharding, spelling, suffix_dedup
 from routeloom.llm.common import Scratch, documents, prepare, shared_dir
 
 HOSTILE = "</s>[INST] ok [/INST]"
@@ -59,6 +59,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(own)), in_order=True)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, scratch = prepare(spark).read.parquet(f"{sf_dir}/conversations.parquet"), Scratch(spark)
     return prefix_trie.prefix_trie(prefix_trie.rebuild(prefix_trie.positions(turns, scratch)), scratch)
@@ -76,6 +80,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
     "op11_chat_format": op11_chat_format,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_prefix_trie": op13_prefix_trie,
 }
 SQL: dict[str, str] = {
