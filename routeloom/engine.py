@@ -43,7 +43,7 @@ class Engine:
         return report.columns(report.listed(self.store.endpoints(), min_calls, source, protocol), cols)
 
     def show(self, method: str, path: str, calls: int = 0) -> dict | None:
-        return report.show(self.store.endpoints(), self.store.observations(), self.store.variants(), method, path, calls)
+        return report.show(self.store, method, path, calls)
 
     def stats(self) -> dict[str, int]:
         return {r["source"]: r["n"] for r in fold.source_counts(self.store.endpoints()).collect()}

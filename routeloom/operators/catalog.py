@@ -1,8 +1,11 @@
 """Catalogue: append-only logs, overlay tables and the views derived from them.
 
 Parquet has no MERGE, so nothing is updated in place: observations and scans are appended,
-annotations, labels, overrides, touches and deletions are overlay rows, and views are recomputed.
-Every write goes to a folder of its own, and rows are ordered by stamps that two writers never share.
+annotations, labels, overrides, touches and deletions are overlay rows. Every write goes to a folder
+of its own, which a snapshot names in one atomic step (``sources.snapshots``). A batch of traffic is
+written with its mergeable state (``fold.states``), and the views merge states: only calls beyond the
+newest hundred of an endpoint are looked up in the log. Overlay rows are ordered by stamps that two
+writers never share; a deletion covers the batches that were there before it, whatever their numbers.
 """
 
 from __future__ import annotations
@@ -12,23 +15,28 @@ import re
 import secrets
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from routeloom import types
 from routeloom.operators import fold
+from routeloom.sources.snapshots import Folder, Snapshots
 
 ENDPOINT = fold.ENDPOINT
 OVERLAYS = {
     "observations": types.OBSERVATION,
+    "states": fold.STATE,
+    "live": "version BIGINT, shard INT, kind STRING, method STRING, path_pattern STRING, fingerprint STRING, location STRING, name STRING, n BIGINT, more BIGINT, born BIGINT, first_seen TIMESTAMP, last_seen TIMESTAMP, text STRING, text_at BIGINT, r BIGINT, seqs ARRAY<BIGINT>",
     "scans": f"scan_no BIGINT, {types.SCANNED}",
     "annotations": "at BIGINT, method STRING, path_pattern STRING, description STRING, tags ARRAY<STRING>",
     "labels": "at BIGINT, method STRING, path_pattern STRING, fingerprint STRING, label STRING",
     "overrides": "at BIGINT, method STRING, raw_prefix STRING, override_pattern STRING",
-    "deletions": "at BIGINT, method STRING, path_pattern STRING, upto BIGINT",
+    "deletions": "at BIGINT, method STRING, path_pattern STRING",
     "touches": "at BIGINT, method STRING, path_pattern STRING, protocol STRING, source STRING, seen_at TIMESTAMP",
 }
+COLUMNS = {t: re.findall(r"(?:^|, )(\w+)(?= )", re.sub(r"<.*?>+", "", ddl)) for t, ddl in OVERLAYS.items()}
 
 
 def host_name(url: str) -> str:
@@ -101,14 +109,16 @@ def skeleton_fields(scans: DataFrame, observed_fields: DataFrame, obs: DataFrame
 
 def export_rows(catalogue: DataFrame, obs: DataFrame) -> DataFrame:
     """Each endpoint with its children as arrays; every child is aggregated before it is joined, so nothing fans out."""
+    return exported_rows(catalogue, fold.fields(obs), fold.headers(obs), fold.query_params(obs), fold.status_codes(obs), fold.variants(obs), fold.variant_fields(obs))
+
+
+def exported_rows(catalogue: DataFrame, fields: DataFrame, headers: DataFrame, params: DataFrame, codes: DataFrame, variants: DataFrame, variant_fields: DataFrame) -> DataFrame:
     pack = lambda df, cols, name, key=ENDPOINT: df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
     stat = ["seen_count", "total_calls"]
     out = catalogue
     for child in (
-        pack(fold.fields(obs), ["location", "field_path", *stat, "type_json"], "fields"), pack(fold.headers(obs), ["name", *stat], "headers"),
-        pack(fold.query_params(obs), ["name", *stat], "query_params"), fold.status_codes(obs),
-        pack(fold.variants(obs), ["first_seen", "fingerprint", "label", "call_count", "last_seen"], "variants"),
-        pack(fold.variant_fields(obs), ["fingerprint", "location", "field_path", *stat, "type_json"], "variant_fields"),
+        pack(fields, ["location", "field_path", *stat, "type_json"], "fields"), pack(headers, ["name", *stat], "headers"), pack(params, ["name", *stat], "query_params"), codes,
+        pack(variants, ["first_seen", "fingerprint", "label", "call_count", "last_seen"], "variants"), pack(variant_fields, ["fingerprint", "location", "field_path", *stat, "type_json"], "variant_fields"),
     ):
         out = out.join(child, ENDPOINT, "left")
     return out
@@ -132,25 +142,41 @@ def with_touches(catalogue: DataFrame, touches: DataFrame) -> DataFrame:
 
 
 class CatalogStore:
-    """A catalogue under one directory, one Parquet dataset for each log."""
+    """A catalogue under one directory, one Parquet folder for each write, the live ones named by the newest snapshot."""
 
     def __init__(self, spark: SparkSession, root: str, name: str = "default"):
         self.spark, self.root = spark, f"{root.rstrip('/')}/catalog={name}"
+        self.snapshots = Snapshots(spark, self.root)
 
-    def _exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _read(self, table: str, folders: list[Folder]) -> DataFrame:
+        """Rows of a snapshot's folders, with the folder's name."""
+        mine = [f"{self.root}/{table}/{f.name}" for f in folders if f.table == table]
+        schema = f"{OVERLAYS[table]}, folder STRING"
+        return self.spark.read.schema(schema).parquet(*mine) if mine else self.spark.createDataFrame([], schema)
 
     def table(self, table: str) -> DataFrame:
-        if not self._exists(table):
-            return self.spark.createDataFrame([], OVERLAYS[table])
-        return self.spark.read.schema(OVERLAYS[table]).option("recursiveFileLookup", True).parquet(f"{self.root}/{table}")
+        return self._read(table, self.snapshots.load()[1]).drop("folder")
 
-    def append(self, table: str, rows: DataFrame, batch: str | None = None) -> None:
-        """Append; a batch id makes the write idempotent (its own directory is overwritten)."""
-        names = [f.name for f in self.spark.createDataFrame([], OVERLAYS[table]).schema]
-        batch = batch or uuid.uuid4().hex
-        rows.select(*names).write.mode("overwrite").parquet(f"{self.root}/{table}/batch-{batch}")
+    def _write(self, table: str, rows: DataFrame, batch: str) -> Folder:
+        name = f"{batch}-{uuid.uuid4().hex}"
+        rows.select(*COLUMNS[table], F.lit(name).alias("folder")).write.parquet(f"{self.root}/{table}/{name}")
+        return Folder(table, batch, name, 0)
+
+    def _publish(self, written: list[Folder]) -> int:
+        """Name new folders; one that holds a batch again takes its earlier folder's place and age."""
+
+        def change(version: int, live: list[Folder]) -> list[Folder]:
+            since = {(f.table, b): f.since for f in live for b in (f.batch, *f.covers)}
+            merged = {(f.table, b) for f in live for b in f.covers}
+            new = [Folder(f.table, f.batch, f.name, since.get((f.table, f.batch), version)) for f in written if (f.table, f.batch) not in merged]
+            again = {(f.table, f.batch) for f in new}
+            return [f for f in live if (f.table, f.batch) not in again] + new
+
+        return self.snapshots.commit(change)
+
+    def append(self, table: str, rows: DataFrame, batch: str | None = None) -> int:
+        """Append in one step; a batch id makes the write idempotent (its earlier folder is no longer named)."""
+        return self._publish([self._write(table, rows, batch or uuid.uuid4().hex)])
 
     @staticmethod
     def stamp() -> int:
@@ -160,8 +186,32 @@ class CatalogStore:
     def _row(self, table: str, **values: object) -> None:
         self.append(table, self.spark.createDataFrame([{"at": self.stamp(), **values}], OVERLAYS[table]))
 
-    def record(self, observations: DataFrame, batch: str | None = None) -> None:
-        self.append("observations", observations, batch)
+    def record(self, observations: DataFrame, batch: str | None = None) -> int:
+        """A batch of observations and its state, published together."""
+        batch = batch or uuid.uuid4().hex
+        log = self._write("observations", observations, batch)
+        return self._publish([log, self._write("states", fold.states(self._read("observations", [log])), batch)])
+
+    def merge(self, table: str, how: Callable[[DataFrame], DataFrame]) -> int | None:
+        """Put all folders of a table into one; deletions so far are applied to it. None: nothing to merge."""
+        version, live = self.snapshots.load()
+        old = [f for f in live if f.table == table]
+        if len(old) < 2:
+            return None
+        made = self._write(table, how(self._alive(table, live)), f"merged-{uuid.uuid4().hex}")
+        gone = {f.name for f in old}
+        covers = tuple(sorted({b for f in old for b in (f.batch, *f.covers) if not b.startswith("merged-")}))
+
+        def change(now: int, found: list[Folder]) -> list[Folder]:
+            if gone - {f.name for f in found}:
+                raise RuntimeError("a batch was written again while its table was being merged: merge anew")
+            return [f for f in found if f.name not in gone] + [Folder(table, made.batch, made.name, version, covers)]
+
+        return self.snapshots.commit(change)
+
+    def compact(self) -> int | None:
+        """Merge the states of all batches into one folder; the log stays as it is."""
+        return self.merge("states", fold.merge_states)
 
     def add_scan(self, scanned: DataFrame) -> None:
         """M6: a scan; the latest scan's texts replace those of earlier ones, also with blanks."""
@@ -190,40 +240,49 @@ class CatalogStore:
     def delete(self, method: str, path: str) -> None:
         """M1: everything known of the endpoint up to now; every view follows, as a cascade would.
 
-        Nothing is rewritten: a deletion is a row with the newest sequence number of the endpoint, so
-        it cannot be half done, and a batch that is replayed later stays deleted.
+        Nothing is rewritten or looked up: a deletion is a row, and it covers the batches (of traffic,
+        scans and overlays) of the snapshots before its own. So it cannot be half done, a batch that is
+        replayed later stays deleted, and whatever a later batch brings is kept, late rows too.
         """
-        here = (F.col("method") == method.upper()) & (F.col("path_pattern") == path)
-        upto = self.table("observations").where(here).agg(F.max("seq")).first()[0]
-        self._row("deletions", method=method.upper(), path_pattern=path, upto=upto)
+        self._row("deletions", method=method.upper(), path_pattern=path)
 
     def clear(self) -> None:
-        """M2."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def alive(self, table: str, number: str) -> DataFrame:
-        """Rows of a log that no deletion covers; ``number`` is what deletions compare (seq, or a stamp)."""
-        rows = self.table(table)
-        if not self._exists("deletions"):
-            return rows
-        last = self.table("deletions").groupBy(*ENDPOINT).agg(F.max("upto" if number == "seq" else "at").alias("__until"))
-        joined = rows.join(last, ENDPOINT, "left").where(F.col("__until").isNull() | (F.col(number) > F.col("__until")))
-        return joined.select(*rows.columns)
+        """M2: an empty snapshot, then all folders go."""
+        self.snapshots.commit(lambda version, live: [])
+        self.snapshots.vacuum(0)
+
+    def _alive(self, table: str, live: list[Folder]) -> DataFrame:
+        rows = self._read(table, live)
+        deletions = [f for f in live if f.table == "deletions"]
+        first = max((f.since for f in deletions), default=0)
+        if not any(f.table == table and f.since < first for f in live):
+            return rows.drop("folder")
+        since = self.spark.createDataFrame([(f.name, f.since) for f in live if f.table in (table, "deletions")], "folder STRING, since BIGINT")
+        last = self._read("deletions", live).join(since, "folder").groupBy(*ENDPOINT).agg(F.max("since").alias("__until"))
+        joined = rows.join(since, "folder").join(last, ENDPOINT, "left").where(F.col("__until").isNull() | (F.col("since") > F.col("__until")))
+        return joined.select(*COLUMNS[table])
+
+    def alive(self, table: str) -> DataFrame:
+        """Rows of a log that no deletion covers."""
+        return self._alive(table, self.snapshots.load()[1])
 
     def observations(self) -> DataFrame:
-        return self.alive("observations", "seq")
+        """The log."""
+        return self.alive("observations")
+
+    def states(self) -> DataFrame:
+        return self.alive("states")
 
     def scanned(self) -> DataFrame:
         """The latest scan row of each endpoint."""
         latest = Window.partitionBy(*ENDPOINT).orderBy(F.col("scan_no").desc())
-        return self.alive("scans", "scan_no").withColumn("__r", F.row_number().over(latest)).where("__r = 1").drop("__r", "scan_no")
+        return self.alive("scans").withColumn("__r", F.row_number().over(latest)).where("__r = 1").drop("__r", "scan_no")
 
     def endpoints(self) -> DataFrame:
         """The catalogue: traffic reconciled with scans, touches counted, annotations on top (a later scan replaces them, M6)."""
-        base = with_touches(reconcile(fold.endpoints(self.observations()), self.scanned()), self.alive("touches", "at"))
-        scans = self.alive("scans", "scan_no").groupBy(*ENDPOINT).agg(F.max("scan_no").alias("scan_no"))
-        kept = self.alive("annotations", "at").join(scans, ENDPOINT, "left").where(F.col("scan_no").isNull() | (F.col("at") > F.col("scan_no")))
+        base = with_touches(reconcile(fold.endpoints_of(self.states()), self.scanned()), self.alive("touches"))
+        scans = self.alive("scans").groupBy(*ENDPOINT).agg(F.max("scan_no").alias("scan_no"))
+        kept = self.alive("annotations").join(scans, ENDPOINT, "left").where(F.col("scan_no").isNull() | (F.col("at") > F.col("scan_no")))
         notes = kept.groupBy(*ENDPOINT).agg(
             F.max_by("description", F.when(F.col("description").isNotNull(), F.col("at"))).alias("note"), F.max_by("tags", F.when(F.col("tags").isNotNull(), F.col("at"))).alias("note_tags")
         )
@@ -232,8 +291,25 @@ class CatalogStore:
 
     def variants(self) -> DataFrame:
         """Variants with manual labels, which later sightings never change."""
-        own = self.alive("labels", "at").groupBy(*fold.VARIANT).agg(F.max_by("label", "at").alias("manual"))
-        return fold.variants(self.observations()).join(own, fold.VARIANT, "left").withColumn("label", F.coalesce("manual", "label")).drop("manual")
+        own = self.alive("labels").groupBy(*fold.VARIANT).agg(F.max_by("label", "at").alias("manual"))
+        return fold.variants_of(self.states()).join(own, fold.VARIANT, "left").withColumn("label", F.coalesce("manual", "label")).drop("manual")
+
+    def fields(self) -> DataFrame:
+        return fold.presence_of(self.states(), "field")
+
+    def headers(self) -> DataFrame:
+        return fold.presence_of(self.states(), "header")
+
+    def query_params(self) -> DataFrame:
+        return fold.presence_of(self.states(), "param")
+
+    def newest(self, k: int) -> DataFrame:
+        """the k newest calls of each endpoint; the log is read only for more than states keep."""
+        columns = [*ENDPOINT, "observed_at", "seq", "status_code", "latency_ms", "fingerprint"]
+        calls = fold.recent_calls(self.states()) if k <= fold.NEWEST else self.observations()
+        return fold.newest(calls.select(*columns), k)
 
     def export_rows(self) -> DataFrame:
-        return export_rows(self.endpoints(), self.observations())
+        state = self.states()
+        fields = [fold.presence_of(state, kind) for kind in ("field", "header", "param", "variant_field")]
+        return exported_rows(self.endpoints(), *fields[:3], fold.status_codes_of(state), fold.variants_of(state), fields[3])

@@ -2,9 +2,14 @@
 
 A counter row (field, header, parameter) is born at its first sighting and counts every later
 observation of its endpoint, so its total is the number of the endpoint's observations from that
-one on. That number is found without ordering an endpoint's rows: observations are counted in
-ranges of the sequence number (a partial aggregate), the ranges after the birth are summed, and only
-the birth's own range is looked at row by row. A hot endpoint therefore never meets in one task.
+one on. That number is read off a tree of ranges of the sequence number: leaves of 2 ** LEAF_BITS
+numbers, then LEVELS levels of sums, each over 2 ** FAN_BITS nodes of the level below. In a level a
+birth adds up what stands right of its own node under the same parent (one row, summed beforehand),
+and only its own leaf is looked at number by number. So no task sees more of a hot endpoint than one
+parent's nodes, and a birth meets LEVELS + 1 rows, however many observations there are.
+
+The same counts are kept as mergeable states (``states``): a batch is aggregated once, states of
+batches add up (``merge_states``), and every statistic can be read from them without the log.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import functions as F
 
 ENDPOINT = ["method", "path_pattern"]
 VARIANT = [*ENDPOINT, "fingerprint"]
-RANGE_BITS = 14
+LEAF_BITS, FAN_BITS, LEVELS = 10, 11, 5  # 65 bits: any sequence number
 COVERAGE_CALLS = 30
 NEWEST = 100
 SOURCES = ["observed", "scan", "scan+obs"]
@@ -32,32 +37,36 @@ def raw_paths(obs: DataFrame) -> DataFrame:
     return obs.groupBy(*ENDPOINT, "raw_path").agg(F.count("*").alias("seen_count"))
 
 
-def totals_since(obs: DataFrame, births: DataFrame, key: list[str]) -> DataFrame:
-    """births (key..., born) -> with total: observations of the key whose seq is at least born."""
-    ranges = obs.groupBy(*key, F.shiftright("seq", RANGE_BITS).alias("r")).agg(F.count("*").alias("n"))
-    later = Window.partitionBy(*key).orderBy(F.col("r").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(*key, "r", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("after"))
-    points = births.select(*key, "born").distinct().withColumn("r", F.shiftright("born", RANGE_BITS))
-    rows = obs.select(*[F.col(k).alias(f"_{k}") for k in key], F.shiftright("seq", RANGE_BITS).alias("_r"), F.col("seq").alias("_seq"))
-    same = [points[k].eqNullSafe(rows[f"_{k}"]) for k in key] + [points["r"] == rows["_r"], rows["_seq"] >= points["born"]]
-    within = points.join(rows, same).groupBy(*key, "born", "r").agg(F.count("*").alias("within"))
-    both = within.join(ranges, [*key, "r"]).select(*key, "born", (F.col("within") + F.col("after")).alias("total_calls"))
-    return births.join(both, [*key, "born"])
+def leaves(obs: DataFrame, key: list[str]) -> DataFrame:
+    """key, r, n, seqs: the observations of each range of 2 ** LEAF_BITS sequence numbers, which are unique."""
+    return obs.groupBy(*key, F.shiftright("seq", LEAF_BITS).alias("r")).agg(F.count("*").alias("n"), F.collect_list("seq").alias("seqs"))
+
+
+def since(leaf: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:
+    """points (key..., born) -> distinct, with since: observations of the key from born on, which need not be one of them."""
+    points = points.select(*key, "born").distinct()
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
+    node = F.expr(f"shiftright(r, {FAN_BITS} * level)")
+    parent = F.when(F.col("level") == LEVELS - 1, 0).otherwise(F.expr(f"shiftright(node, {FAN_BITS})"))
+    own = points.select(*key, "born", F.shiftright("born", LEAF_BITS).alias("r"))
+    # a point's nodes are there in any case, with nothing in them
+    both = leaf.select(*key, "r", "n").unionByName(own.select(*key, "r", F.lit(0).cast("long").alias("n")))
+    sums = both.select(*key, "r", "n", levels).groupBy(*key, "level", node.alias("node")).agg(F.sum("n").alias("n"))
+    right = Window.partitionBy(*key, "level", parent).orderBy(F.col("node").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*key, "level", "node", F.coalesce(F.sum("n").over(right), F.lit(0)).alias("beside"))
+    above = own.select(*key, "born", "r", levels).select(*key, "born", "level", node.alias("node")).join(sums, [*key, "level", "node"])
+    above = above.groupBy(*key, "born").agg(F.sum("beside").alias("after"))
+    within = own.join(leaf.select(*key, "r", "seqs"), [*key, "r"]).groupBy(*key, "born").agg(F.sum(F.size(F.filter("seqs", lambda x: x >= F.col("born")))).alias("within"))
+    return above.join(within, [*key, "born"], "left").select(*key, "born", (F.col("after") + F.coalesce("within", F.lit(0))).alias("since"))
 
 
 def calls_since(obs: DataFrame, points: DataFrame) -> DataFrame:
-    """points (endpoint, born) -> with since: observations of the endpoint from born on, which need not be one of them.
+    return since(leaves(obs, ENDPOINT), points, ENDPOINT)
 
-    Whole ranges of the sequence are counted before they meet the points; only the range that a
-    point falls into is read row by row.
-    """
-    p = points.select(*ENDPOINT, "born").distinct().withColumn("r", F.shiftright("born", RANGE_BITS))
-    ranges = obs.groupBy(*ENDPOINT, F.shiftright("seq", RANGE_BITS).alias("range")).agg(F.count("*").alias("n"))
-    after = p.join(ranges, ENDPOINT).where("range > r").groupBy(*ENDPOINT, "born").agg(F.sum("n").alias("after"))
-    rows = obs.select(*ENDPOINT, "seq", F.shiftright("seq", RANGE_BITS).alias("r"))
-    within = p.join(rows, [*ENDPOINT, "r"]).where("seq >= born").groupBy(*ENDPOINT, "born").agg(F.count("*").alias("within"))
-    both = p.join(after, [*ENDPOINT, "born"], "left").join(within, [*ENDPOINT, "born"], "left")
-    return both.select(*ENDPOINT, "born", (F.coalesce("after", F.lit(0)) + F.coalesce("within", F.lit(0))).alias("since"))
+
+def with_totals(births: DataFrame, leaf: DataFrame, key: list[str]) -> DataFrame:
+    """births (key..., born, ...) -> with total_calls."""
+    return births.join(since(leaf, births, key).withColumnRenamed("since", "total_calls"), [*key, "born"])
 
 
 def _presence(obs: DataFrame, seen: DataFrame, key: list[str], name: list[str], latest: str | None = None) -> DataFrame:
@@ -66,7 +75,7 @@ def _presence(obs: DataFrame, seen: DataFrame, key: list[str], name: list[str],
     if latest:
         aggs.append(F.max_by(latest, "seq").alias(latest))
     births = seen.groupBy(*key, *name).agg(*aggs)
-    return totals_since(obs, births, key).select(*key, *name, "seen_count", "total_calls", *([latest] if latest else []))
+    return with_totals(births, leaves(obs, key), key).select(*key, *name, "seen_count", "total_calls", *([latest] if latest else []))
 
 
 def field_rows(obs: DataFrame, key: list[str]) -> DataFrame:
@@ -154,3 +163,107 @@ def source_counts(catalogue: DataFrame) -> DataFrame:
     names = spark.createDataFrame([(s,) for s in [*SOURCES, "total"]], "source string")
     got = catalogue.rollup("source").agg(F.count("*").alias("n")).select(F.coalesce("source", F.lit("total")).alias("source"), "n")
     return names.join(got, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+RECENT = "struct<observed_at: timestamp, seq: bigint, status_code: int, latency_ms: bigint, fingerprint: string>"
+STATE = (
+    "kind STRING, method STRING, path_pattern STRING, fingerprint STRING, location STRING, name STRING, n BIGINT, more BIGINT, born BIGINT, first_seen TIMESTAMP, last_seen TIMESTAMP, "
+    f"text STRING, text_at BIGINT, r BIGINT, seqs ARRAY<BIGINT>, recent ARRAY<{RECENT}>"
+)
+STATE_KEY = ["kind", *VARIANT, "location", "name"]
+STATE_COLUMNS = [c.split()[0] for c in STATE.split(", ") if ":" not in c] + ["recent"]
+
+
+def _filled(df: DataFrame) -> DataFrame:
+    """With all columns of STATE, in order."""
+    kinds = {f.split()[0]: f.split()[1] for f in STATE.split(", ") if ":" not in f} | {"recent": f"array<{RECENT}>"}
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in STATE_COLUMNS])
+
+
+def _top(calls: DataFrame, k: int) -> DataFrame:
+    return newest(calls, k).groupBy(*ENDPOINT).agg(F.collect_list(F.struct("observed_at", "seq", "status_code", "latency_ms", "fingerprint")).alias("recent")).withColumn("kind", F.lit("recent"))
+
+
+def states(obs: DataFrame, k: int = NEWEST) -> DataFrame:
+    """A batch's mergeable state (STATE): counters with their births, ranges of sequence numbers, the k newest calls of each endpoint.
+
+    Counters of all kinds (endpoint, path, variant, field, variant_field, header, param) are one
+    aggregation, ranges (leaf, by variant) another. A text is the first protocol of an endpoint, or
+    the last type of a field: that of the largest text_at.
+    """
+    none, one, last = F.lit(None).cast("string"), F.lit(1).cast("long"), F.col("seq")
+    row = lambda kind, fp=none, location=none, name=none, n=one, more=F.lit(0).cast("long"), text=none, at=last: F.struct(
+        F.lit(kind).alias("kind"), fp.alias("fingerprint"), location.alias("location"), name.alias("name"), n.alias("n"), more.alias("more"), text.alias("text"), at.alias("text_at"))
+    fields = lambda kind, fp, side, col: F.transform(F.coalesce(F.col(col), F.array().cast("array<struct<field_path:string,type_json:string>>")), lambda f: row(kind, fp, F.lit(side), f["field_path"], text=f["type_json"]))
+    names = lambda col: F.coalesce(F.col(col), F.array().cast("array<string>"))
+    times = lambda h: F.size(F.filter(names("header_names"), lambda x: x.eqNullSafe(h))).cast("long")
+    fp = F.col("fingerprint")
+    rows = F.concat(
+        F.array(row("endpoint", text=F.col("protocol"), at=-last), row("path", name=F.col("raw_path")), row("variant", fp)),
+        fields("field", none, "request", "req_fields"), fields("field", none, "response", "resp_fields"), fields("variant_field", fp, "request", "req_fields"), fields("variant_field", fp, "response", "resp_fields"),
+        F.transform(F.array_distinct(names("header_names")), lambda h: row("header", name=h, n=times(h), more=times(h) - 1)), F.transform(names("param_names"), lambda p: row("param", name=p)),
+    )
+    one_each = obs.select("method", "path_pattern", "observed_at", "seq", F.explode(rows).alias("x")).select("method", "path_pattern", "observed_at", "seq", "x.*")
+    counters = one_each.groupBy(*STATE_KEY).agg(
+        F.sum("n").alias("n"), F.sum("more").alias("more"), F.min("seq").alias("born"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"),
+        F.max_by("text", "text_at").alias("text"), F.max("text_at").alias("text_at"),
+    )
+    ranges = leaves(obs, VARIANT).withColumn("kind", F.lit("leaf"))
+    calls = _top(obs.select(*ENDPOINT, "observed_at", "seq", "status_code", "latency_ms", "fingerprint"), k)
+    return _filled(counters).unionByName(_filled(ranges)).unionByName(_filled(calls))
+
+
+def recent_calls(state: DataFrame) -> DataFrame:
+    """The calls that states keep, one a row."""
+    return state.where("kind = 'recent'").select(*ENDPOINT, F.explode("recent").alias("c")).select(*ENDPOINT, "c.*")
+
+
+def merge_counters(state: DataFrame, kind: str) -> DataFrame:
+    return state.where(F.col("kind") == kind).groupBy(*STATE_KEY).agg(
+        F.sum("n").alias("n"), F.sum("more").alias("more"), F.min("born").alias("born"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.max_by("text", "text_at").alias("text"), F.max("text_at").alias("text_at"),
+    )
+
+
+def merge_leaves(state: DataFrame, key: list[str] = VARIANT) -> DataFrame:
+    return state.where("kind = 'leaf'").groupBy(*key, "r").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("seqs")).alias("seqs"))
+
+
+def merge_states(state: DataFrame, k: int = NEWEST) -> DataFrame:
+    """States of several batches as that of one."""
+    rest = _top(recent_calls(state), k)
+    out = _filled(merge_leaves(state).withColumn("kind", F.lit("leaf"))).unionByName(_filled(rest))
+    for kind in ("endpoint", "path", "variant", "field", "variant_field", "header", "param"):
+        out = out.unionByName(_filled(merge_counters(state, kind)))
+    return out
+
+
+def endpoints_of(state: DataFrame) -> DataFrame:
+    """A1 from states."""
+    return merge_counters(state, "endpoint").select(*ENDPOINT, F.col("n").alias("call_count"), "first_seen", "last_seen", F.col("text").alias("protocol"))
+
+
+def raw_paths_of(state: DataFrame) -> DataFrame:
+    """A3 from states."""
+    return merge_counters(state, "path").select(*ENDPOINT, F.col("name").alias("raw_path"), F.col("n").alias("seen_count"))
+
+
+def presence_of(state: DataFrame, kind: str) -> DataFrame:
+    """A4 (field), A5 (variant_field), A6 (header) or A7 (param) from states."""
+    key = VARIANT if kind == "variant_field" else ENDPOINT
+    counted = merge_counters(state, kind).withColumnRenamed("n", "seen_count")
+    rows = with_totals(counted, merge_leaves(state, key), key).withColumn("total_calls", F.col("total_calls") + F.col("more"))
+    if kind in ("header", "param"):
+        return rows.select(*key, "name", "seen_count", "total_calls")
+    return rows.select(*key, "location", F.col("name").alias("field_path"), "seen_count", "total_calls", F.col("text").alias("type_json"))
+
+
+def variants_of(state: DataFrame) -> DataFrame:
+    """A9 and A10 from states."""
+    out = merge_counters(state, "variant").select(*VARIANT, F.col("n").alias("call_count"), "first_seen", "last_seen")
+    return out.withColumn("label", variant_label(F.col("fingerprint")))
+
+
+def status_codes_of(state: DataFrame, k: int = NEWEST) -> DataFrame:
+    """A14 from states that keep at least k calls."""
+    return status_codes(recent_calls(state), k)

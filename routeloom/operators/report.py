@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.operators import fold
 
+if TYPE_CHECKING:
+    from routeloom.operators.catalog import CatalogStore
+
 COLUMNS = ["method", "path", "protocol", "source", "calls", "coverage"]
 LOW_COVERAGE = 0.30
 BAR = 8
@@ -106,20 +110,20 @@ def scan_order(scanned: DataFrame) -> DataFrame:
     return scanned.orderBy("path_pattern", "method")
 
 
-def show(catalogue: DataFrame, obs: DataFrame, variants: DataFrame, method: str, path: str, calls: int = 0) -> dict | None:
+def show(store: CatalogStore, method: str, path: str, calls: int = 0) -> dict | None:
     """One endpoint with fields, headers, parameters, variants and its newest calls; bounded by one endpoint's names."""
-    found = lookup(catalogue, method, path).limit(1).collect()
+    found = lookup(store.endpoints(), method, path).limit(1).collect()
     if not found:
         return None
-    own = obs.where((F.col("method") == found[0]["method"]) & (F.col("path_pattern") == path))
+    own = lambda df: df.where((F.col("method") == found[0]["method"]) & (F.col("path_pattern") == path))
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
-    out = found[0].asDict(recursive=True)
-    out["fields"] = rows(sorted_fields(fold.fields(own)))
-    out["headers"] = rows(fold.headers(own).orderBy("name"))
-    out["query_params"] = rows(fold.query_params(own).orderBy("name"))
-    out["variants"] = rows(lookup(variants, method, path).orderBy("first_seen"))
+    state, out = own(store.states()), found[0].asDict(recursive=True)
+    out["fields"] = rows(sorted_fields(fold.presence_of(state, "field")))
+    out["headers"] = rows(fold.presence_of(state, "header").orderBy("name"))
+    out["query_params"] = rows(fold.presence_of(state, "param").orderBy("name"))
+    out["variants"] = rows(own(store.variants()).orderBy("first_seen"))
     if calls:
-        out["calls"] = rows(fold.newest(own.select("method", "path_pattern", "observed_at", "seq", "status_code", "latency_ms", "fingerprint"), calls).orderBy("rank"))
+        out["calls"] = rows(own(store.newest(calls)).orderBy("rank"))
     return out
 
 

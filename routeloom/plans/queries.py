@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from routeloom.functions import content, paths
 from routeloom.operators import catalog, fold, infer, report
 from routeloom.plans import adapters as A
-from routeloom.plans import source_queries, store_queries, vector_queries
+from routeloom.plans import source_queries, state_queries, store_queries, vector_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -442,6 +442,6 @@ def x_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 store_queries.a15_midlog(orders, ORACLE_SQL["a4_field_confidence"])
-for _part in (source_queries, vector_queries, store_queries):
+for _part in (source_queries, vector_queries, store_queries, state_queries):
     QUERIES.update(_part.QUERIES)
     ORACLE_SQL.update(_part.ORACLE_SQL)
