@@ -11,9 +11,11 @@ Every text goes through one transducer, chunk by chunk: the splitter keeps at mo
 piece of WINDOW characters and a chunk, longer pieces stay open and pass through a buffer of at most
 ``window`` bytes, from whose front tokens are emitted as soon as they are stable. What is emitted is
 consumed at once (digests, counts, the decoder), so memory does not grow with texts, pieces or
-results. The texts of a batch advance together, a chunk of each at a time, so that their pieces are
-merged as arrays; pieces of at most MEMO characters are remembered, up to a fixed number of them. The
-decoder maps ids to bytes and bytes to text by an incremental UTF-8 state machine, which keeps at
+results. The transducer reads character by character. Its state is what it holds: the bytes of the piece that
+no token has taken yet; a character leads to another state and lets go the tokens that have become stable, the
+end of the piece lets go the rest. States are made as texts need them and kept, as those of a lazily
+determinised automaton, up to STATES of them (then all are forgotten and made anew); what holds more
+than SHORT bytes goes on without being kept, window by window. The decoder maps ids to bytes and bytes to text by an incremental UTF-8 state machine, which keeps at
 most three pending bytes between tokens.
 
 Edge cases: null counts as empty (no ids). The special token's own string inside a text is one id,
@@ -24,9 +26,11 @@ tokenizer file with settings other than byte-level BPE without normalizer is ref
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import regex
@@ -42,8 +46,11 @@ PIECES = regex.compile(
 )
 PIECE_LOOKAHEAD = 3
 CHUNK = 1 << 16
-MEMO = 48  # characters of pieces that are remembered
-CACHE = 200_000  # of them
+SHORT = 64  # characters that a kept state of the transducer holds at most
+STATES = 500_000  # kept states
+CONTINUED = {bytes([x]) for x in range(0x80, 0xC0)}  # bytes that no character begins with
+BEYOND = 1 << 30  # the rank of no rule
+HELD, ENDS, LEAVE = -1, -2, -3  # of a state: what it holds and from which length on a first token may be stable; ids that the end of the piece lets go; (ids, state) that leave before the next character
 SLICE_BYTES = 2 << 20
 NO_RANK = np.int32(2**31 - 1)
 WINDOW = 1 << 12  # characters from which an unfinished piece is handed on in parts
@@ -123,6 +130,10 @@ class Splitter:
         self.held = rest
 
 
+def is_short(piece: object) -> bool:
+    return type(piece) is str and len(piece) <= SHORT
+
+
 def checked(spec: dict) -> dict:
     """The tokenizer file, refused where a setting would make other ids."""
     for part, want in SETTINGS.items():
@@ -159,7 +170,10 @@ class Transducer:
         self.window = 2 * (self.lookahead + max(map(len, self.token)))
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.longest = max(map(len, self.special), default=1)
-        self.cache: dict[str, bytes] = {}
+        self.vocab = vocab
+        self.rule = {a << 20 | b: k for k, (a, b) in reversed(list(enumerate(ids)))}
+        self.makes, self.byte_of = self.made.tolist(), self.byte_id.tolist()
+        self._forget()
 
     def _table(self) -> None:
         """Open-addressed table of pair -> rank."""
@@ -270,41 +284,117 @@ class Transducer:
             out.append(ids[:n])
             held = held[int(ends[n - 1]) if n else 0:]
 
+    def _forget(self) -> None:
+        """Only the empty state is left. A state is a dict: character -> next state, and HELD, ENDS, LEAVE."""
+        self.start: dict = {HELD: (b"", 1 << 60), ENDS: b""}
+        self.states = 1
+        gc.unfreeze()
+        gc.collect()
+
+    def _go(self, state: dict, char: str, out: list) -> dict:
+        """The next state by a character's bytes, made and kept if it is new; what the state had ready to leave goes to out first."""
+        while LEAVE in state:
+            ids, state = state[LEAVE]
+            out.append(ids)
+            if char in state:
+                return state[char]
+        held, due = state[HELD]
+        for byte in char.encode():
+            held += bytes([byte])
+            own = self.vocab.get(held)
+            if own is not None:
+                due = min(due, len(held) + int(self.look[own]))
+        new = state[char] = {HELD: (held, due)}
+        self.states += 1
+        if len(held) >= due:  # a first token may have its lookahead
+            left, ready = len(held), []
+            for i in self._ids(held):
+                left -= len(self.token[i])
+                if left < self.look[i]:
+                    left += len(self.token[i])
+                    break
+                ready.append(i)
+            rest = held[len(held) - left:]
+            if ready and rest[:1] not in CONTINUED:  # a token that ends inside a character leaves with what follows
+                go = self.start
+                for c in rest.decode():
+                    go = go[c] if c in go else self._go(go, c, [])
+                new[LEAVE] = np.array(ready, "<u4").tobytes(), go
+        return new
+
+    def _ids(self, held: bytes) -> list[int]:
+        """Token ids of a short string, one merge at a time: the lowest rank, the leftmost of several."""
+        sym, rule = [self.byte_of[x] for x in held], self.rule.get
+        ranks = [rule(a << 20 | b, BEYOND) for a, b in zip(sym, sym[1:])]
+        while ranks and (best := min(ranks)) != BEYOND:
+            at = ranks.index(best)
+            sym[at:at + 2] = [self.makes[best]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rule(sym[at - 1] << 20 | sym[at], BEYOND)
+            if at < len(ranks):
+                ranks[at] = rule(sym[at] << 20 | sym[at + 1], BEYOND)
+        return sym
+
+    def run(self, pieces: list, out: list, fresh: dict[int, dict]) -> None:
+        """Whole pieces of at most SHORT characters, one character after the other: to out, ids that leave inside a piece and the states at the ends.
+
+        Of those states, fresh takes the ones whose ends are not settled yet.
+        """
+        start, go, add = self.start, self._go, out.append
+        for piece in pieces:
+            state = start
+            for char in piece:
+                try:
+                    state = state[char]
+                except KeyError:
+                    state = go(state, char, out)
+            if ENDS not in state:
+                while LEAVE in state:
+                    ids, state = state[LEAVE]
+                    add(ids)
+                if ENDS not in state:
+                    fresh[id(state)] = state
+            add(state)
+
+    def settle(self, states: list[dict]) -> None:
+        """What the end of a piece lets go of these states, all merged together."""
+        for lo in range(0, len(states), 50_000):
+            part = states[lo:lo + 50_000]
+            for state, ids in zip(part, self.merge([x[HELD][0] for x in part]), strict=True):
+                state[ENDS] = ids.astype("<u4").tobytes()
+
     def encode_stream(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
         """(index of a text, further ids of it as little-endian unsigned 32-bit integers), chunk by chunk."""
         cutters = [Splitter(self.cut, self.longest) for _ in texts]
         held = [b""] * len(texts)
         live, at = list(range(len(texts))), 0
         while live:
-            found = [cutters[i].feed(texts[i][at:at + CHUNK], at + CHUNK >= len(texts[i])) for i in live]
-            self._learn({p for items in found for p in items if type(p) is str and len(p) <= MEMO})
-            get = self.cache.get
-            for i, items in zip(live, found, strict=True):
-                out = []
-                for p in items:
-                    if type(p) is str:
-                        ids = get(p)
-                        out.append(ids if ids is not None else b"".join(x.astype("<u4").tobytes() for x in self.step(b"", p.encode(), True)[0]))
-                    elif type(p) is list:
-                        out.append(np.array([self.special[p[0]]], "<u4").tobytes())
-                    else:
-                        ids, held[i] = self.step(held[i], p[0].encode(), p[1])
+            if self.states > STATES:
+                self._forget()
+            found, fresh = [], {}
+            gc.disable()  # states are many and stay: no use in looking through them for garbage
+            for i in live:
+                out: list = []  # ids as bytes, and states whose pieces end
+                for short, items in groupby(cutters[i].feed(texts[i][at:at + CHUNK], at + CHUNK >= len(texts[i])), is_short):
+                    if short:
+                        self.run(items, out, fresh)
+                        continue
+                    for p in items:
+                        if type(p) is list:
+                            out.append(np.array([self.special[p[0]]], "<u4").tobytes())
+                            continue
+                        ids, held[i] = self.step(b"", p.encode(), True) if type(p) is str else self.step(held[i], p[0].encode(), p[1])
                         out += [x.astype("<u4").tobytes() for x in ids]
-                yield i, b"".join(out)
+                found.append(out)
+            self.settle(list(fresh.values()))
+            gc.freeze()
+            gc.enable()
+            for i, out in zip(live, found, strict=True):
+                yield i, b"".join([x if type(x) is bytes else x[ENDS] for x in out])
             at += CHUNK
             live = [i for i in live if at < len(texts[i])]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of short pieces; beyond the bound everything is forgotten first."""
-        unseen = list(pieces - self.cache.keys())
-        if len(self.cache) + len(unseen) > CACHE:
-            self.cache = {}
-            unseen = list(pieces)
-        for lo in range(0, len(unseen), 50_000):
-            part = unseen[lo:lo + 50_000]
-            for p, ids in zip(part, self.merge([p.encode() for p in part]), strict=True):
-                self.cache[p] = ids.astype("<u4").tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """All ids of each text, for callers that return them."""
         out: list[list[bytes]] = [[] for _ in texts]

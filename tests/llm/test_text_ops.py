@@ -218,7 +218,7 @@ def test_token_stream_is_bounded(monkeypatch):
         for text, ids in zip(texts, t.encode(texts), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == ref.encode(text, add_special_tokens=False).ids
             assert t.decode(ids) == text
-    assert most[0] <= t.window and max(map(len, t.cache)) <= bpe.MEMO
+    assert most[0] <= t.window
 
 
 def test_tokens_leave_early():
@@ -234,6 +234,45 @@ def test_tokens_leave_early():
     assert out > 0.8 * seen
 
 
+def test_lookahead_decides_on_ordinary_text(monkeypatch):
+    """All text takes the transducer's transitions: with no lookahead at all, tokens of ordinary words leave too early."""
+    tokenizers = pytest.importorskip("tokenizers")
+    ref = tokenizers.Tokenizer.from_file(bpe.default_path())
+    raw = open(bpe.default_path(), "rb").read()
+    text = "The quick brown foxes don't jump over 1234 lazy dogs, do they? " * 3
+    want = ref.encode(text, add_special_tokens=False).ids
+    t = bpe.Transducer(raw)
+    assert np.frombuffer(t.encode([text])[0], "<u4").tolist() == want
+    assert t.states == 1 + len({p[:k] for p in bpe.PIECES.findall(text) for k in range(1, len(p) + 1)})
+    hasty = bpe.Transducer(raw)
+    hasty.look[:] = 0
+    assert np.frombuffer(hasty.encode([text])[0], "<u4").tolist() == hasty.byte_id[np.frombuffer(text.encode(), np.uint8)].tolist()
+    forgetful = bpe.Transducer(raw)
+    monkeypatch.setattr(bpe, "STATES", 1)
+    monkeypatch.setattr(bpe, "CHUNK", 7)
+    assert np.frombuffer(forgetful.encode([text])[0], "<u4").tolist() == want
+
+
+def test_transitions_that_let_go_in_a_piece():
+    """Short lookaheads, computed for a small list of merges, let tokens go inside short pieces; the ids are those of the whole."""
+    raw = json.load(open(bpe.default_path()))
+    model = raw["model"]
+    base = {k: v for k, v in model["vocab"].items() if len(k) == 1}
+    merges, vocab = ["a b", "c d", "ab cd", "b c", "e e", "d ee"], dict(base)
+    for k, m in enumerate(merges):
+        vocab[m.replace(" ", "")] = len(base) + k
+    spec = {**raw, "added_tokens": [], "model": {**model, "vocab": vocab, "merges": merges}}
+    t, r, early = bpe.Transducer(json.dumps(spec).encode()), random.Random(3), 0
+    for _ in range(300):
+        word = "".join(r.choice("abcdef") for _ in range(r.randrange(1, 40)))
+        out, fresh = [], {}
+        t.run([word], out, fresh)
+        t.settle(list(fresh.values()))
+        early += len(out) - 1
+        assert np.frombuffer(b"".join([*out[:-1], out[-1][bpe.ENDS]]), "<u4").tolist() == t.merge([word.encode()])[0].tolist()
+    assert early > 300
+
+
 def test_unsupported_settings():
     spec = json.load(open(bpe.default_path()))
     for part, key, value in (("model", "ignore_merges", True), ("pre_tokenizer", "add_prefix_space", True), ("model", "type", "Unigram")):
