@@ -30,6 +30,7 @@ import gc
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
@@ -47,10 +48,10 @@ PIECES = regex.compile(
 PIECE_LOOKAHEAD = 3
 CHUNK = 1 << 16
 SHORT = 64  # characters that a kept state of the transducer holds at most
-STATES = 500_000  # kept states
+STATES = 800_000  # kept states
 CONTINUED = {bytes([x]) for x in range(0x80, 0xC0)}  # bytes that no character begins with
 BEYOND = 1 << 30  # the rank of no rule
-HELD, ENDS, LEAVE = -1, -2, -3  # of a state: what it holds and from which length on a first token may be stable; ids that the end of the piece lets go; (ids, state) that leave before the next character
+ENDS, LEAVE = -1, -2  # entries of a state beside its characters
 SLICE_BYTES = 2 << 20
 NO_RANK = np.int32(2**31 - 1)
 WINDOW = 1 << 12  # characters from which an unfinished piece is handed on in parts
@@ -80,21 +81,26 @@ class Splitter:
     def __init__(self, special: regex.Pattern | None, longest: int):
         self.special, self.longest = special, longest
         self.tail, self.held, self.open = "", "", None
+        self.odd = False  # whether the last chunk gave anything but whole pieces
 
     def feed(self, chunk: str, last: bool) -> list:
         """Pieces (strings), special strings in a list of one, and parts (string, whether it ends its piece) of open pieces."""
         out: list = []
+        self.odd = self.open is not None
         if self.special is None:
             self._segment(chunk, last, out)
+            self.odd |= self.open is not None
             return out
         parts = self.special.split(self.tail + chunk)
         for k in range(0, len(parts) - 1, 2):
             self._segment(parts[k], True, out)
             out.append([parts[k + 1]])
+        self.odd |= len(parts) > 1
         rest = parts[-1]
         keep = 0 if last else min(len(rest), self.longest - 1)
         self.tail = rest[len(rest) - keep:]
         self._segment(rest[:len(rest) - keep], last, out)
+        self.odd |= self.open is not None
         return out
 
     def _segment(self, text: str, end: bool, out: list) -> None:
@@ -284,43 +290,51 @@ class Transducer:
             out.append(ids[:n])
             held = held[int(ends[n - 1]) if n else 0:]
 
+    @cached_property
+    def early(self) -> dict[bytes, int]:
+        """Lookahead of the tokens that may leave inside what a kept state can hold."""
+        return {k: int(self.look[i]) for k, i in self.vocab.items() if len(k) + self.look[i] <= 4 * SHORT}
+
     def _forget(self) -> None:
-        """Only the empty state is left. A state is a dict: character -> next state, and HELD, ENDS, LEAVE."""
-        self.start: dict = {HELD: (b"", 1 << 60), ENDS: b""}
+        """Only the empty state is left. A state is a dict: character -> next state, or, where tokens leave before the next character, LEAVE -> (ids, what stays held); ENDS -> ids that the end of the piece lets go."""
+        self.start: dict = {ENDS: b""}
         self.states = 1
-        gc.unfreeze()
-        gc.collect()
-
-    def _go(self, state: dict, char: str, out: list) -> dict:
-        """The next state by a character's bytes, made and kept if it is new; what the state had ready to leave goes to out first."""
-        while LEAVE in state:
-            ids, state = state[LEAVE]
-            out.append(ids)
-            if char in state:
-                return state[char]
-        held, due = state[HELD]
-        for byte in char.encode():
-            held += bytes([byte])
-            own = self.vocab.get(held)
-            if own is not None:
-                due = min(due, len(held) + int(self.look[own]))
-        new = state[char] = {HELD: (held, due)}
-        self.states += 1
-        if len(held) >= due:  # a first token may have its lookahead
-            left, ready = len(held), []
-            for i in self._ids(held):
-                left -= len(self.token[i])
-                if left < self.look[i]:
-                    left += len(self.token[i])
-                    break
-                ready.append(i)
-            rest = held[len(held) - left:]
-            if ready and rest[:1] not in CONTINUED:  # a token that ends inside a character leaves with what follows
-                go = self.start
-                for c in rest.decode():
-                    go = go[c] if c in go else self._go(go, c, [])
-                new[LEAVE] = np.array(ready, "<u4").tobytes(), go
-        return new
+
+    def _walk(self, piece: str, out: list) -> tuple[dict, bytes]:
+        """The state at the end of a piece and what it holds; states on the way are made and kept if they are new, ids that leave go to out."""
+        state, held, due, early = self.start, b"", BEYOND, self.early.get
+        for char in piece:
+            nxt = state.get(char)
+            while nxt is None and LEAVE in state:
+                ids, rest = state[LEAVE]
+                out.append(ids)
+                state, held = self._walk(rest, out)
+                due = min([k + early(held[:k], BEYOND) for k in range(1, len(held) + 1)], default=BEYOND)
+                nxt = state.get(char)
+            for k in range(len(held) + 1, len(held) + 1 + len(data := char.encode())):
+                held += data[:1]
+                data = data[1:]
+                due = min(due, k + early(held, BEYOND))
+            if nxt is None:
+                nxt = state[char] = {}
+                self.states += 1
+                if len(held) >= due:  # a first token may have its lookahead
+                    self._ready(nxt, held)
+            state = nxt
+        return state, held
+
+    def _ready(self, state: dict, held: bytes) -> None:
+        """Note the tokens that are stable with what is held, if there are any."""
+        left, ready = len(held), []
+        for i in self._ids(held):
+            left -= len(self.token[i])
+            if left < self.look[i]:
+                left += len(self.token[i])
+                break
+            ready.append(i)
+        rest = held[len(held) - left:]
+        if ready and rest[:1] not in CONTINUED:  # a token that ends inside a character leaves with what follows
+            state[LEAVE] = np.array(ready, "<u4").tobytes(), rest.decode()
 
     def _ids(self, held: bytes) -> list[int]:
         """Token ids of a short string, one merge at a time: the lowest rank, the leftmost of several."""
@@ -336,32 +350,37 @@ class Transducer:
                 ranks[at] = rule(sym[at] << 20 | sym[at + 1], BEYOND)
         return sym
 
-    def run(self, pieces: list, out: list, fresh: dict[int, dict]) -> None:
+    def run(self, pieces: list, out: list, fresh: dict[int, tuple[dict, bytes]]) -> None:
         """Whole pieces of at most SHORT characters, one character after the other: to out, ids that leave inside a piece and the states at the ends.
 
-        Of those states, fresh takes the ones whose ends are not settled yet.
+        Of those states, fresh takes the ones whose ends are not settled yet, with what they hold.
         """
-        start, go, add = self.start, self._go, out.append
+        start, add = self.start, out.append
         for piece in pieces:
             state = start
-            for char in piece:
-                try:
+            try:
+                for char in piece:
                     state = state[char]
-                except KeyError:
-                    state = go(state, char, out)
+            except KeyError:  # a new state, or tokens that leave
+                state, held = self._walk(piece, out)
+            else:
+                if ENDS in state:
+                    add(state)
+                    continue
+                held = piece.encode()
+            while LEAVE in state:
+                ids, rest = state[LEAVE]
+                add(ids)
+                state, held = self._walk(rest, out)
             if ENDS not in state:
-                while LEAVE in state:
-                    ids, state = state[LEAVE]
-                    add(ids)
-                if ENDS not in state:
-                    fresh[id(state)] = state
+                fresh[id(state)] = state, held
             add(state)
 
-    def settle(self, states: list[dict]) -> None:
+    def settle(self, states: list[tuple[dict, bytes]]) -> None:
         """What the end of a piece lets go of these states, all merged together."""
         for lo in range(0, len(states), 50_000):
             part = states[lo:lo + 50_000]
-            for state, ids in zip(part, self.merge([x[HELD][0] for x in part]), strict=True):
+            for (state, _), ids in zip(part, self.merge([held for _, held in part]), strict=True):
                 state[ENDS] = ids.astype("<u4").tobytes()
 
     def encode_stream(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
@@ -376,11 +395,13 @@ class Transducer:
             gc.disable()  # states are many and stay: no use in looking through them for garbage
             for i in live:
                 out: list = []  # ids as bytes, and states whose pieces end
-                for short, items in groupby(cutters[i].feed(texts[i][at:at + CHUNK], at + CHUNK >= len(texts[i])), is_short):
+                items = cutters[i].feed(texts[i][at:at + CHUNK], at + CHUNK >= len(texts[i]))
+                plain = not cutters[i].odd and max(map(len, items), default=0) <= SHORT
+                for short, some in [(True, items)] if plain else groupby(items, is_short):
                     if short:
-                        self.run(items, out, fresh)
+                        self.run(some, out, fresh)
                         continue
-                    for p in items:
+                    for p in some:
                         if type(p) is list:
                             out.append(np.array([self.special[p[0]]], "<u4").tobytes())
                             continue
