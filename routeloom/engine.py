@@ -34,7 +34,7 @@ class Engine:
 
     def scan(self, directory: str, frameworks: list[str] | None = None, dry_run: bool = False) -> DataFrame:
         """Routes of a source tree, stored unless it is a dry run."""
-        found = runner.scan(runner.source_files(self.spark, directory), frameworks)
+        found = runner.scan_tree(self.spark, directory, frameworks)
         if not dry_run:
             self.store.add_scan(found)
         return report.scan_order(found)

@@ -63,10 +63,10 @@ def schema_score(req: Column, resp: Column, n_params: Column, description: Colum
     return one(req) + one(resp) + n_params + F.when(F.coalesce(description, F.lit("")) != "", 1).otherwise(0) + F.when(F.coalesce(F.size(tags), F.lit(0)) > 0, 1).otherwise(0)
 
 
-def dedupe_scanned(scanned: DataFrame, order: Column | None = None) -> DataFrame:
-    """One row for each (method, path): the richest; ties by registry order, file and line."""
+def dedupe_scanned(scanned: DataFrame, order: Column | None = None, within: list[str] | None = None) -> DataFrame:
+    """One row for each (method, path), of each project where ``within`` names it: the richest; ties by registry order, file and line."""
     score = schema_score(F.col("req_schema"), F.col("resp_schema"), F.greatest(F.coalesce(F.size("params"), F.lit(0)), F.lit(0)), F.col("description"), F.col("tags"))
-    rank = Window.partitionBy(*ENDPOINT).orderBy(score.desc(), order if order is not None else F.col("framework"), "source_file", "source_line")
+    rank = Window.partitionBy(*(within or []), *ENDPOINT).orderBy(score.desc(), order if order is not None else F.col("framework"), "source_file", "source_line")
     return scanned.withColumn("__rank", F.row_number().over(rank)).where("__rank = 1").drop("__rank")
 
 

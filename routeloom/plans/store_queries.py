@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +14,7 @@ from routeloom.operators import catalog, fold, infer, report
 from routeloom.plans import adapters as A
 from routeloom.plans.source_queries import quoted
 from routeloom.scan import runner
-from routeloom.sources import capture
+from routeloom.sources import capture, scratch, tree
 from routeloom.streaming import fold as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,11 +31,7 @@ def query(name: str, sql: str) -> Callable:
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one on a single machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-    return f"{(base or 'file://' + tempfile.mkdtemp()).rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+    return scratch.folder(spark, "catalogue")
 
 
 def store(spark: SparkSession, name: str = "default", root: str = "") -> catalog.CatalogStore:
@@ -332,19 +326,50 @@ def j3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runner.type_table(files, ["spring", "fastapi"])
 
 
-@query("s8_tree", "SELECT 'src/s' || s_suppkey || '.js' AS path, 'app.get(''/t' || s_suppkey || ''', f)' AS content FROM supplier WHERE s_suppkey < 3")
+@query("s8_tree", "SELECT 'p' || s_suppkey || '/src/s.js' AS path, 'app.get(''/t' || s_suppkey || ''', f)' AS content FROM supplier")
 def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tree of files, written by the driver (three at most) and read back by the executors."""
-    top = f"{folder(spark)}/project"
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    for r in A.table(spark, sf_dir, "supplier").where("s_suppkey < 3").select("s_suppkey").collect():
-        p = fs_path(f"{top}/src/s{r[0]}.js")
-        out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-        out.write(bytearray(f"app.get('/t{r[0]}', f)".encode()))
-        out.close()
+    """Trees of files, one for each supplier, written by the executors and read back by them; what lies in skipped folders is not."""
+    top = f"{folder(spark)}/projects"
+    tree.write_tree(filled_files(spark, sf_dir, {"p@k/src/s.js": "app.get('/t@k', f)", "p@k/node_modules/x/s.js": "no", "p@k/src/dist/t.js": "no"}), top)
     return runner.source_files(spark, top)
 
 
+def filled_files(spark: SparkSession, sf_dir: str, files: dict[str, str]) -> DataFrame:
+    parts = F.array(*[F.struct(filled(p).alias("path"), filled(t).alias("content")) for p, t in files.items()])
+    return A.table(spark, sf_dir, "supplier").select(F.explode(parts).alias("f")).select("f.*")
+
+
+# one project for each supplier, of one of three kinds, side by side: names and templates that differ only by project
+PROJECTS = {
+    0: {"p@k/package.json": '{"dependencies": {"express": "1"}}', "p@k/a.js": "app.get('/x@k', f)", "p@k/main.py": '@app.get("/no@k")\ndef f():\n    pass\n'},
+    1: {"p@k/requirements.txt": "fastapi", "p@k/app/models.py": "class Item(BaseModel):\n    only@k: int\n", "p@k/app/main.py": '@app.post("/items")\ndef f(item: Item):\n    pass\n', "p@k/b.js": "app.get('/no@k', f)"},
+    2: {"p@k/Web.csproj": "microsoft.aspnetcore.mvc", "p@k/Web/UserController.cs": "public class UserController : ApiController\n{\n  [HttpGet]\n  public User ListAll() {}\n}", "p@k/Web/WebApiConfig.cs": 'MapHttpRoute(name: "D", routeTemplate: "v@k/{controller}/{action}")'},
+}
+PROJECTS_SQL = """SELECT 'p' || s_suppkey AS project, CASE s_suppkey % 3 WHEN 1 THEN 'POST' ELSE 'GET' END AS method, CASE s_suppkey % 3 WHEN 0 THEN '/x' || s_suppkey WHEN 1 THEN '/items' ELSE 'v' || s_suppkey || '/user/listall' END AS path_pattern,
+ CASE s_suppkey % 3 WHEN 0 THEN 'express' WHEN 1 THEN 'fastapi' ELSE 'aspnet-mvc' END AS framework,
+ CASE WHEN s_suppkey % 3 = 1 THEN '{"type": "object", "properties": {"only' || s_suppkey || '": {"type": "integer"}}, "required": ["only' || s_suppkey || '"]}' END AS req_schema FROM supplier"""
+
+
+def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = lambda files: F.array(*[F.struct(filled(p).alias("path"), filled(t).alias("content")) for p, t in files.items()])
+    kind = F.when(F.col("s_suppkey") % 3 == 0, parts(PROJECTS[0])).when(F.col("s_suppkey") % 3 == 1, parts(PROJECTS[1])).otherwise(parts(PROJECTS[2]))
+    return A.table(spark, sf_dir, "supplier").select(F.explode(kind).alias("f")).select("f.*")
+
+
+@query("d1_projects", PROJECTS_SQL)
+def d1_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection, templates and types by project: none crosses into another."""
+    return runner.scan_projects(project_files(spark, sf_dir)).select("project", "method", "path_pattern", "framework", "req_schema")
+
+
+@query("s9_scan_tree", f"SELECT method, path_pattern, framework, source_file FROM (SELECT *, CASE framework WHEN 'express' THEN project || '/a.js' WHEN 'fastapi' THEN project || '/app/main.py' ELSE project || '/Web/UserController.cs' END AS source_file FROM ({PROJECTS_SQL})) QUALIFY row_number() OVER (PARTITION BY method, path_pattern ORDER BY source_file) = 1")
+def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same projects as a tree of files: listed, pruned, opened once each; one catalogue takes one row of each (method, path)."""
+    top = f"{folder(spark)}/projects"
+    tree.write_tree(project_files(spark, sf_dir), top)
+    return runner.scan_tree(spark, top).select("method", "path_pattern", "framework", "source_file")
+
+
 A15_SQL = """WITH e AS ({a4}), s AS (SELECT DISTINCT method, path_pattern FROM e WHERE location = 'request'), x AS (SELECT s.*, 'request' AS location, f AS field_path FROM s, (VALUES ('order'), ('extra')) v(f)),
  n AS (SELECT method, path_pattern, count(*) AS since FROM ord WHERE seq >= 500 GROUP BY 1, 2)
  SELECT coalesce(e.method, x.method) AS method, coalesce(e.path_pattern, x.path_pattern) AS path_pattern, coalesce(e.location, x.location) AS location, coalesce(e.field_path, x.field_path) AS field_path, coalesce(seen_count, 0) AS seen_count,

@@ -1,8 +1,10 @@
 import json
+import os
 
 import pytest
 
 from routeloom.scan import runner
+from routeloom.sources import tree
 
 
 def routes(name, path, text):
@@ -127,3 +129,57 @@ def test_detection(spark):
     assert found([("go.mod", "module x\n")]) == {"go-stdlib"} and found([("a/go.mod", "module x\nrequire github.com/go-chi/chi v5")]) == {"go-chi"}
     assert found([("mypom.xml", "spring-boot"), ("a/b/c/pom.xml", "spring-boot")]) == set() and found([("a/b/pom.xml", "Spring-Boot")]) == {"spring"}
     assert found([("package.json", '"hapi": 1, "nuxi": 2'), ("X.csproj", "Microsoft.NET.Sdk.Web")]) == {"hapi", "nuxt", "aspnet-minimal"}
+
+
+def test_skipped_folders_are_not_opened(spark, tmp_path):
+    """Named pipes stand where nothing may be opened: opening one would wait for ever."""
+    top = tmp_path / "proj"
+    for d in ("src/deep/er", "node_modules/x", "dist", ".git", "api"):
+        (top / d).mkdir(parents=True)
+    for p in ("node_modules/x/a.js", "dist/b.js", ".git/c.js", "src/picture.png", "api/m.py"):
+        os.mkfifo(top / p)
+    (top / "package.json").write_text('{"dependencies":{"express":"1"}}')
+    for k, d in enumerate(("", "src/", "src/deep/", "src/deep/er/")):
+        (top / f"{d}s{k}.js").write_text(f"app.get('/r{k}', f)\n")
+    for listed in (1, 200_000):
+        index = tree.tree(spark, str(top), listed=listed, partition_bytes=1)
+        assert sorted(r.path for r in index.collect() if r.path.endswith(".js")) == ["s0.js", "src/deep/er/s3.js", "src/deep/s2.js", "src/s1.js"]
+    found = runner.scan_tree(spark, str(top)).collect()  # of the detected frameworks none reads .py
+    assert {r.path_pattern for r in found} == {f"/r{k}" for k in range(4)}
+
+
+def test_unreadable_files_give_errors(spark, tmp_path):
+    rows = [("a.js", "x" * 70_000 + "\napp.get('/a', f)"), ("b.js", "app.get('/b', f)"), ("c.txt", "x" * 70_000)]
+    files = spark.createDataFrame(rows, "path string, content string")
+    assert [(r.framework, r.source_file, "longer than" in r.error) for r in runner.scan(files, ["express"], errors=True).collect()] == [("express", "a.js", True)]
+    assert [r.path_pattern for r in runner.scan(files, ["express"]).collect()] == ["/b"]
+    (tmp_path / "a.js").symlink_to(tmp_path / "a.js")
+    (tmp_path / "b.js").write_text("app.get('/b', f)")
+    assert [r.path_pattern for r in runner.scan_tree(spark, str(tmp_path), ["express"]).collect()] == ["/b"]
+
+
+def test_thousand_projects(spark):
+    """Projects side by side: one type name and one template name in each, none reaches another; a thousand in one table."""
+    rows = []
+    for k in range(1000):
+        rows += [(f"org/p{k}/requirements.txt", "fastapi" if k % 2 else "flask"), (f"org/p{k}/m.py", f"class Item(BaseModel):\n    f{k}: int\n"), (f"org/p{k}/main.py", f'@app.post("/x{k}")\ndef f(item: Item):\n    pass\n@app.route("/y{k}")\ndef g():\n    pass\n')]
+    rows.append(("loose.py", '@app.route("/loose")\ndef g():\n    pass\n'))
+    got = runner.scan_projects(spark.createDataFrame(rows, "path string, content string")).collect()
+    mine = {(r.project, r.path_pattern, r.framework) for r in got}
+    assert {x for x in mine if x[2] == "fastapi" and x[0]} == {(f"org/p{k}", f"/x{k}", "fastapi") for k in range(1, 1000, 2)}
+    assert {x for x in mine if x[2] == "flask" and x[0]} >= {(f"org/p{k}", f"/y{k}", "flask") for k in range(0, 1000, 2)} and ("", "/loose", "flask") in mine
+    assert all(json.loads(r.req_schema)["required"] == [f"f{r.project[5:]}"] for r in got if r.framework == "fastapi" and r.req_schema)
+
+
+def test_table_function_and_views(spark, tmp_path):
+    from routeloom.operators.catalog import CatalogStore
+    from routeloom.scan import sql
+
+    spark.createDataFrame([("a.js", "app.get('/a', f)"), ("node_modules/b.js", "app.get('/b', f)"), ("c.js", None)], "path string, content string").createOrReplaceTempView("some_files")
+    sql.register(spark)
+    got = spark.sql("SELECT method, path_pattern, source_line FROM routes(TABLE(some_files), 'express')").collect()
+    assert [tuple(r) for r in got] == [("GET", "/a", 1)]
+    store = CatalogStore(spark, str(tmp_path))
+    store.touch("GET", "/t")
+    sql.views(store, "shop")
+    assert spark.sql("SELECT path_pattern, call_count FROM shop_endpoints").first() == ("/t", 1) and spark.table("shop_fields").count() == 0
