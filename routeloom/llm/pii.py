@@ -31,7 +31,9 @@ import hashlib
 import json
 import re
 import zlib
+from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,6 +62,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
+HANDLE = re.compile(r"[A-Za-z0-9._%+@-]")
+AFTER_HANDLE = re.compile(r"[A-Za-z0-9_%+@-]|\.[A-Za-z0-9]")
+LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
 
 FIELDS = [
     *[(f"n_{k}", T.LongType()) for k in KINDS],
@@ -141,6 +146,23 @@ def allowed(token: str, core: str) -> int:
     return mask
 
 
+def mentions(text: str, handles: set[str]) -> Iterator[tuple[int, int, str]]:
+    """Where handles (lower case) stand by themselves, in any case: one pass over the text for all of them."""
+    if not handles:
+        return
+    low = text.lower()
+    if len(low) != len(text):  # a letter whose lower case is longer
+        low = text.translate(LOWER_ASCII)
+    found = ahocorasick.Automaton()
+    for h in handles:
+        found.add_word(h, h)
+    found.make_automaton()
+    for last, h in found.iter(low):
+        s, e = last + 1 - len(h), last + 1
+        if (s == 0 or not HANDLE.match(text[s - 1])) and not AFTER_HANDLE.match(text, e):
+            yield s, e, h
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int, str]]:
     """(start, end, core, mask, kind by base or "") in text order."""
     found: dict[tuple[int, int], tuple[str, int]] = {}
@@ -159,9 +181,8 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
                 local = token.lower().partition("@")[0]
                 if len(local) >= 5 and re.search(r"[0-9._]", local):
                     handles.add(local)
-    for local in handles:
-        for m in re.finditer(rf"(?<![A-Za-z0-9._%+@-]){re.escape(local)}(?![A-Za-z0-9_%+@-]|\.[A-Za-z0-9])", text, re.IGNORECASE):
-            found[m.start(), m.end()] = local, 3
+    for s, e, local in mentions(text, handles):
+        found[s, e] = local, 3
     out = []
     for (s, e), (core, mask) in sorted(found.items()):
         kind = next((k for a, b, k in base if a < e and s < b), "")
