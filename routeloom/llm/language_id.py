@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from routeloom.llm.common import annotate, as_bytes, crc_mod, crc_mod_py, slices
+from routeloom.llm.common import annotate, as_bytes, crc_mod, slices
 
 DIM = 512
 SLICE_BYTES = 1 << 20
@@ -188,7 +188,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     proto /= np.maximum(np.linalg.norm(proto, axis=1, keepdims=True), 1e-12)
 
     def make():
-        def f(ids, texts):
+        def f(_, texts, held_out):
             profile = bundle(texts)
             length = np.linalg.norm(profile, axis=1, keepdims=True)
             blank = (length[:, 0] == 0) | (not names)
@@ -197,11 +197,11 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             cosine = np.round(profile @ proto.T, 9) if names else np.zeros((len(texts), 1))
             best = cosine.argmax(1)
             return {
-                "held_out": [crc_mod_py(i, 3) == 1 for i in ids],
+                "held_out": held_out,
                 "lang_pred": [UNKNOWN if x else names[k] for x, k in zip(blank, best, strict=True)],
                 "score": np.where(blank, 0.0, np.clip((1 + cosine.max(1)) / 2, 0, 1)),
             }
 
         return f
 
-    return annotate(df, id_col, text_col, FIELDS, make, SLICE_BYTES)
+    return annotate(df, id_col, text_col, FIELDS, make, SLICE_BYTES, {"held_out": crc_mod(id_col, 3) == 1})
