@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeloom.llm.common import LOWER, Scratch, as_bytes, crc_mod_py, mix64, release, reliable, slices
+from routeloom.llm.common import LOWER, Scratch, as_bytes, crc_mod, mix64, release, reliable, slices
 from routeloom.llm.components import components
 
 BUCKETS = 1 << 20
@@ -220,8 +220,8 @@ def wanted_sets(df: DataFrame, id_col: str, text_col: str, width: int, rows: Dat
     """
     nodes = reliable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     ids = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    spot = f"crc32(cast(coalesce(cast(id as string), '') as binary)) % {BITMAP}"
-    words = ids.selectExpr(f"cast({spot} div 32 as int) w", f"shiftleft(1L, cast({spot} % 32 as int)) bit").groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    spot = crc_mod("id", BITMAP)
+    words = ids.select(F.floor(spot / 32).cast("int").alias("w"), (spot % 32).cast("int").alias("at")).selectExpr("w", "shiftleft(1L, at) bit").groupBy("w").agg(F.bit_or("bit").alias("bits"))
     table = np.zeros(BITMAP // 32, np.uint32)
     got = words.toPandas()
     table[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
@@ -230,7 +230,7 @@ def wanted_sets(df: DataFrame, id_col: str, text_col: str, width: int, rows: Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen, bits = Shingler(width), set(), shared.value
         for b in batches:
-            spots = np.fromiter((crc_mod_py(i, BITMAP) for i in b.column(0).to_pylist()), np.int64, b.num_rows)
+            spots = b.column(0).to_numpy()
             hit = bits[spots >> 5] >> (spots & 31).astype(np.uint32) & np.uint32(1)
             texts = as_bytes(b.column(1).filter(pa.array(hit.astype(bool))))
             for lo, hi in slices(texts, SLICE_BYTES):
@@ -244,7 +244,8 @@ def wanted_sets(df: DataFrame, id_col: str, text_col: str, width: int, rows: Dat
                 if keep:
                     yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    sets = df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, "node bigint, tokens array<bigint>")
+    # the marked numbers are Spark's on both sides, whatever the id's type
+    sets = df.select(crc_mod(id_col, BITMAP).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "node bigint, tokens array<bigint>")
     return sets.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from routeloom.llm import ngram_join
 from routeloom.llm.common import prepare
@@ -100,3 +101,17 @@ def test_chain_components(spark, seed, slice_edges):
 def test_components_of_nothing(spark):
     prepare(spark)
     assert components(spark.createDataFrame([(None, 1), (2, 2)], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["double", "timestamp", "boolean"])
+def test_ids_of_any_type(spark, kind):
+    """Ids that Spark and Python print differently: the links are those of integer ids."""
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join(words), " ".join([*words[:60], "x", *words[61:]])]
+    if kind != "boolean":
+        texts += ["other words " + str(k) * 3 for k in range(3)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string")
+    to = {"double": F.col("k") * 1e7, "timestamp": F.timestamp_seconds(F.col("k") * 3600), "boolean": F.col("k") == 1}[kind]
+    got = ngram_join.link(df.withColumn("doc_id", to)).select("doc_id", "component_id").collect()
+    ids = sorted({r.doc_id for r in got})
+    assert len(got) == len(texts) and {(r.doc_id, r.component_id) for r in got} == {(ids[0], ids[0]), (ids[1], ids[0]), *((i, i) for i in ids[2:])}
