@@ -351,9 +351,9 @@ class Transducer:
         return sym
 
     def run(self, pieces: list, out: list, fresh: dict[int, tuple[dict, bytes]]) -> None:
-        """Whole pieces of at most SHORT characters, one character after the other: to out, ids that leave inside a piece and the states at the ends.
+        """Whole pieces of at most SHORT characters, one character after the other: their ids to out; a state in place of ids where its end is not settled yet.
 
-        Of those states, fresh takes the ones whose ends are not settled yet, with what they hold.
+        Those states are in fresh, with what they hold.
         """
         start, add = self.start, out.append
         for piece in pieces:
@@ -361,20 +361,19 @@ class Transducer:
             try:
                 for char in piece:
                     state = state[char]
-            except KeyError:  # a new state, or tokens that leave
+                add(state[ENDS])
+                continue
+            except KeyError:  # a new state, tokens that leave, or an end that is not settled
                 state, held = self._walk(piece, out)
-            else:
-                if ENDS in state:
-                    add(state)
-                    continue
-                held = piece.encode()
             while LEAVE in state:
                 ids, rest = state[LEAVE]
                 add(ids)
                 state, held = self._walk(rest, out)
-            if ENDS not in state:
+            if ENDS in state:
+                add(state[ENDS])
+            else:
                 fresh[id(state)] = state, held
-            add(state)
+                add(state)
 
     def settle(self, states: list[tuple[dict, bytes]]) -> None:
         """What the end of a piece lets go of these states, all merged together."""
@@ -394,7 +393,7 @@ class Transducer:
             found, fresh = [], {}
             gc.disable()  # states are many and stay: no use in looking through them for garbage
             for i in live:
-                out: list = []  # ids as bytes, and states whose pieces end
+                out: list = []  # ids as bytes, and states whose ends are not settled
                 items = cutters[i].feed(texts[i][at:at + CHUNK], at + CHUNK >= len(texts[i]))
                 plain = not cutters[i].odd and max(map(len, items), default=0) <= SHORT
                 for short, some in [(True, items)] if plain else groupby(items, is_short):
@@ -412,7 +411,7 @@ class Transducer:
             gc.freeze()
             gc.enable()
             for i, out in zip(live, found, strict=True):
-                yield i, b"".join([x if type(x) is bytes else x[ENDS] for x in out])
+                yield i, b"".join([x if type(x) is bytes else x[ENDS] for x in out] if fresh else out)
             at += CHUNK
             live = [i for i in live if at < len(texts[i])]
 
@@ -424,8 +423,7 @@ class Transducer:
         return [b"".join(x) for x in out]
 
     def decode_stream(self, machine: codecs.IncrementalDecoder, ids: bytes, end: bool = False) -> str:
-        token = self.token
-        return machine.decode(b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()]), end)
+        return machine.decode(b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist())), end)
 
     def decode(self, packed: bytes) -> str:
         machine = codecs.getincrementaldecoder("utf-8")("replace")
