@@ -61,8 +61,11 @@ class Engine:
         self.store.clear()
 
     def export(self, fmt: str = "openapi", options: documents.Options | None = None, out: str = "", existing: Any = None, resolutions: dict[str, str] | None = None) -> Any:
-        """A document, merged with an existing one if given, and written if out is given."""
-        doc = documents.BUILDERS[fmt](self.store.export_rows(), options)
+        """A document, merged with an existing one if given, and written if out is given; written without merging it is put together from the executors' parts and not returned."""
+        if out and existing is None:
+            documents.write_document(self.store.export_rows(), fmt, out, options)
+            return None
+        doc = documents.build(self.store.export_rows(), fmt, options)
         if existing is not None:
             if fmt in ("openapi", "openapi-json", "swagger"):
                 doc = merge.merge_spec(existing, doc)[0]

@@ -112,6 +112,12 @@ def export_rows(catalogue: DataFrame, obs: DataFrame) -> DataFrame:
     return exported_rows(catalogue, fold.fields(obs), fold.headers(obs), fold.query_params(obs), fold.status_codes(obs), fold.variants(obs), fold.variant_fields(obs))
 
 
+def state_rows(catalogue: DataFrame, state: DataFrame) -> DataFrame:
+    """J4 from states (fold.STATE)."""
+    fields = [fold.presence_of(state, kind) for kind in ("field", "header", "param", "variant_field")]
+    return exported_rows(catalogue, *fields[:3], fold.status_codes_of(state), fold.variants_of(state), fields[3])
+
+
 def exported_rows(catalogue: DataFrame, fields: DataFrame, headers: DataFrame, params: DataFrame, codes: DataFrame, variants: DataFrame, variant_fields: DataFrame) -> DataFrame:
     pack = lambda df, cols, name, key=ENDPOINT: df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
     stat = ["seen_count", "total_calls"]
@@ -233,6 +239,10 @@ class CatalogStore:
         """M4."""
         self._row("overrides", method=method.upper(), raw_prefix=raw_prefix, override_pattern=pattern)
 
+    def override_paths(self, rows: DataFrame) -> None:
+        """M4 for many: method, raw_prefix, override_pattern."""
+        self.append("overrides", rows.withColumn("method", F.upper("method")).withColumn("at", F.lit(self.stamp()).cast("long")))
+
     def overrides(self) -> DataFrame:
         """M4: the latest pattern of each (method, prefix)."""
         return self.table("overrides").groupBy("method", "raw_prefix").agg(F.max_by("override_pattern", "at").alias("override_pattern"))
@@ -310,6 +320,4 @@ class CatalogStore:
         return fold.newest(calls.select(*columns), k)
 
     def export_rows(self) -> DataFrame:
-        state = self.states()
-        fields = [fold.presence_of(state, kind) for kind in ("field", "header", "param", "variant_field")]
-        return exported_rows(self.endpoints(), *fields[:3], fold.status_codes_of(state), fold.variants_of(state), fields[3])
+        return state_rows(self.endpoints(), self.states())

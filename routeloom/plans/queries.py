@@ -12,6 +12,7 @@ from routeloom.functions import content, paths
 from routeloom.operators import catalog, fold, infer, report
 from routeloom.plans import adapters as A
 from routeloom.plans import source_queries, state_queries, store_queries, vector_queries
+from routeloom.sources.scratch import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -415,14 +416,11 @@ OPENAPI_SQL = f"""WITH {A.EVENTS_SQL}, {A.SCANNED_SQL},
 @query("e1_openapi", OPENAPI_SQL)
 def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operations of the OpenAPI document of the event traffic, one row each."""
-    import json
-
     from routeloom.export import documents
 
-    obs = infer.observe(A.pairs_events(spark, sf_dir)).cache()
-    doc = documents.openapi(catalog.export_rows(catalog.reconcile(fold.endpoints(obs), catalog.dedupe_scanned(A.scanned_nations(spark, sf_dir))), obs), documents.Options(min_calls=1))
-    rows = [(p, m, json.dumps(op, sort_keys=True)) for p, item in doc["paths"].items() for m, op in item.items()]
-    return spark.createDataFrame(rows, "path string, method string, operation string")
+    state = settled(fold.states(infer.observe(A.pairs_events(spark, sf_dir))))
+    rows = catalog.state_rows(catalog.reconcile(fold.endpoints_of(state), catalog.dedupe_scanned(A.scanned_nations(spark, sf_dir))), state)
+    return store_queries.operations(documents.fragments(rows, "openapi", documents.Options(min_calls=1)))
 
 
 SCAN_SQL = """SELECT 'GET' AS method, '/nations/' || n_nationkey || '/{id}' AS path_pattern, 'express' AS framework, 'src/f' || n_nationkey || '.js' AS source_file, 1 AS source_line FROM nation WHERE n_nationkey % 2 = 0

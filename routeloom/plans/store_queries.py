@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from routeloom import types
 from routeloom.export import documents, merge
 from routeloom.operators import catalog, fold, infer, report
+from routeloom.operators.ranks import with_rank
 from routeloom.plans import adapters as A
 from routeloom.plans.source_queries import quoted
 from routeloom.scan import runner
@@ -79,8 +82,8 @@ def shop_scan(spark: SparkSession, sf_dir: str, said: str = "Secret @k") -> Data
 
 
 def shop_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = infer.observe(shop_calls(spark, sf_dir))
-    return catalog.export_rows(catalog.reconcile(fold.endpoints(obs), shop_scan(spark, sf_dir)), obs)
+    state = scratch.settled(fold.states(infer.observe(shop_calls(spark, sf_dir))))
+    return catalog.state_rows(catalog.reconcile(fold.endpoints_of(state), shop_scan(spark, sf_dir)), state)
 
 
 def filled_sql(columns: str, rows: list[tuple]) -> str:
@@ -99,9 +102,14 @@ CONTENT = '"content": {"application/json": {"schema": %s}}'
 BODY = '{' + CONTENT + ', "required": true}'
 
 
-def operations(doc: dict, spark: SparkSession) -> DataFrame:
-    rows = [(p, m, json.dumps(op, sort_keys=True)) for p, found in doc["paths"].items() for m, op in found.items()]
-    return spark.createDataFrame(rows, "path string, method string, operation string")
+@F.pandas_udf(T.StringType())
+def sorted_keys(text: pd.Series) -> pd.Series:
+    """JSON with its keys in order, for comparison."""
+    return text.map(lambda x: json.dumps(json.loads(x), sort_keys=True))
+
+
+def operations(found: DataFrame) -> DataFrame:
+    return found.where(F.col("method").isin(documents.VERBS)).select("path", F.lower("method").alias("method"), sorted_keys("text").alias("operation"))
 
 
 @query("e1_openapi_shops", filled_sql("path method operation", [
@@ -111,7 +119,7 @@ def operations(doc: dict, spark: SparkSession) -> DataFrame:
     (SECRET, "get", '{"description": "Secret @k", "responses": {"200": {"description": "OK"}}, "security": [{"bearerAuth": []}], "tags": ["x"]}'), (LOGIN, "post", '{"responses": {"200": {"description": "OK"}}}'),
 ]))
 def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operations(documents.openapi(shop_export(spark, sf_dir)), spark)
+    return operations(documents.fragments(shop_export(spark, sf_dir), "openapi"))
 
 
 @query("e2_swagger", filled_sql("path method operation", [
@@ -119,7 +127,7 @@ def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
     (LIST, "get", '{"responses": {"200": {"description": "OK"}}}'), (SECRET, "get", '{"description": "Secret @k", "responses": {"200": {"description": "OK"}}, "security": [{"bearerAuth": []}], "tags": ["x"]}'), (LOGIN, "post", '{"responses": {"200": {"description": "OK"}}}'),
 ]))
 def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operations(documents.swagger(shop_export(spark, sf_dir)), spark)
+    return operations(documents.fragments(shop_export(spark, sf_dir), "swagger"))
 
 
 @query("e3_postman", filled_sql("name url headers body", [
@@ -128,15 +136,10 @@ def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("GET " + LIST, "{{baseUrl}}/shop@k/items?page=2", "Accept=application/json", "null"), ("GET " + SECRET, "{{baseUrl}}/shop@k/secret", "Authorization=Bearer {{token}}", "null"), ("POST " + LOGIN, "{{baseUrl}}/shop@k/auth/login", "", "null"),
 ]))
 def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doc = documents.postman(shop_export(spark, sf_dir))
-    rows = [(i["name"], merge.item_url(i), ", ".join(f"{h['key']}={h['value']}" for h in i["request"]["header"]), json.dumps(json.loads(merge.item_body(i) or "null"))) for i in doc["item"]]
-    return spark.createDataFrame(rows, "name string, url string, headers string, body string")
-
-
-def blocks(spark: SparkSession, script: str) -> DataFrame:
-    """Titles and commands of a request script."""
-    rows = [(t, "\n".join(x for x in b.split("\n")[3:] if x)) for t, b in merge.script_blocks(script)]
-    return spark.createDataFrame(rows, "title string, command string")
+    request = F.from_json("text", "request struct<header: array<struct<key: string, value: string>>, url: struct<raw: string>, body: struct<raw: string>>")["request"]
+    heads = F.array_join(F.transform(request["header"], lambda h: F.concat(h["key"], F.lit("="), h["value"])), ", ")
+    found = documents.fragments(shop_export(spark, sf_dir), "postman")
+    return found.select("name", request["url"]["raw"].alias("url"), heads.alias("headers"), sorted_keys(F.coalesce(request["body"]["raw"], F.lit("null"))).alias("body"))
 
 
 @query("e4_curl", filled_sql("title command", [
@@ -145,7 +148,7 @@ def blocks(spark: SparkSession, script: str) -> DataFrame:
     ("POST " + LOGIN, 'curl -s -X POST "$BASE_URL/shop@k/auth/login" \\\n  -H "Accept: application/json"'),
 ]))
 def e4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks(spark, documents.curl(shop_export(spark, sf_dir)))
+    return documents.fragments(shop_export(spark, sf_dir), "curl").select(F.col("name").alias("title"), F.col("text").alias("command"))
 
 
 @query("e5_httpie", filled_sql("title command", [
@@ -153,7 +156,7 @@ def e4(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("GET " + SECRET, 'http GET "$BASE_URL/shop@k/secret" "Authorization: Bearer $TOKEN" Accept:application/json'), ("POST " + LOGIN, 'http POST "$BASE_URL/shop@k/auth/login" Accept:application/json'),
 ]))
 def e5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks(spark, documents.httpie(shop_export(spark, sf_dir)))
+    return documents.fragments(shop_export(spark, sf_dir), "httpie").select(F.col("name").alias("title"), F.col("text").alias("command"))
 
 
 BRUNO_SQL = "WITH b AS (" + filled_sql("path method file head rest", [
@@ -166,7 +169,7 @@ BRUNO_SQL = "WITH b AS (" + filled_sql("path method file head rest", [
 
 @query("e6_bruno", BRUNO_SQL)
 def e6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, t) for n, t in documents.bruno(shop_export(spark, sf_dir)).items() if n != "bruno.json"], "file string, content string")
+    return documents.with_seq(documents.fragments(shop_export(spark, sf_dir), "bruno")).select(F.col("name").alias("file"), F.col("text").alias("content"))
 
 
 def shop_store(spark: SparkSession, sf_dir: str) -> catalog.CatalogStore:
@@ -197,7 +200,7 @@ def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
     s.override_path("GET", "/a", "/b")
     s.clear()
     s.add_scan(shop_scan(spark, sf_dir))
-    return s.endpoints().crossJoin(s.overrides().agg(F.count("*").alias("left"))).where("left = 0").select(SHOW)
+    return s.endpoints().join(s.overrides().selectExpr("method", "raw_prefix AS path_pattern"), ["method"], "left_anti").select(SHOW)
 
 
 @query("m3_annotate", "SELECT method, path_pattern, CASE WHEN path_pattern = '/shop1/items/{id}' THEN 'first' ELSE '' END AS description, CASE WHEN path_pattern = '/shop1/items/{id}' THEN 'y,z' ELSE '' END AS tags FROM (" + shown(SHOP) + ")")
@@ -209,11 +212,13 @@ def m3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.endpoints().select("method", "path_pattern", "description", F.array_join("tags", ",").alias("tags"))
 
 
-@query("m4_override", "SELECT 'GET' AS method, '/x/' AS raw_prefix, '/x/{two}' AS override_pattern UNION ALL SELECT 'PUT', '/x/', '/x/{one}'")
+@query("m4_override", "SELECT 'GET' AS method, '/s' || s_suppkey || '/' AS raw_prefix, '/s' || s_suppkey || '/{two}' AS override_pattern FROM supplier UNION ALL SELECT 'PUT', '/s' || s_suppkey || '/', '/s' || s_suppkey || '/{one}' FROM supplier WHERE s_suppkey % 2 = 0")
 def m4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = store(spark)
-    for method, pattern in (("get", "/x/{one}"), ("put", "/x/{one}"), ("GET", "/x/{two}")):
-        s.override_path(method, "/x/", pattern)
+    """Overrides for each supplier's prefix, recorded as tables; the latest of a (method, prefix) holds."""
+    s, suppliers = store(spark), A.table(spark, sf_dir, "supplier")
+    prefix = F.concat(F.lit("/s"), F.col("s_suppkey").cast("string"), F.lit("/"))
+    for method, name, rows in (("get", "{one}", suppliers), ("put", "{one}", suppliers.where("s_suppkey % 2 = 0")), ("GET", "{two}", suppliers)):
+        s.override_paths(rows.select(F.lit(method).alias("method"), prefix.alias("raw_prefix"), F.concat(prefix, F.lit(name)).alias("override_pattern")))
     return s.overrides()
 
 
@@ -274,20 +279,15 @@ def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.listed(catalog.reconcile(fold.endpoints(infer.observe(shop_calls(spark, sf_dir))), shop_scan(spark, sf_dir)), 2, "observed", "rest").select(SHOW)
 
 
-def ranked(df: DataFrame) -> DataFrame:
-    """The rank of each row in the order of a sorted frame."""
-    return df.withColumn("__at", F.monotonically_increasing_id()).withColumn("rank", F.row_number().over(Window.orderBy("__at"))).drop("__at")
-
-
 @query("f9_field_order", "SELECT location, field_path, row_number() OVER (ORDER BY location, field_path)::INTEGER AS rank FROM (VALUES ('request', 'age'), ('request', 'name'), ('response', 'id')) v(location, field_path)")
 def f9(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = fold.fields(infer.observe(shop_calls(spark, sf_dir))).where("path_pattern = '/shop1/items/{id}'")
-    return ranked(report.sorted_fields(fields)).select("location", "field_path", "rank")
+    return with_rank(fields, "location", "field_path").select("location", "field_path", "rank")
 
 
 @query("f11_scan_order", "SELECT method, path_pattern, row_number() OVER (ORDER BY path_pattern, method)::INTEGER AS rank FROM (" + shown(SCAN) + ")")
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(report.scan_order(shop_scan(spark, sf_dir))).select("method", "path_pattern", "rank")
+    return with_rank(shop_scan(spark, sf_dir), "path_pattern", "method").select("method", "path_pattern", "rank")
 
 
 @query("n6_schema_score", f"WITH {A.SCANNED_SQL} SELECT source_file, score FROM scn")

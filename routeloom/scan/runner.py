@@ -23,8 +23,8 @@ from routeloom import types
 from routeloom.operators.catalog import dedupe_scanned
 from routeloom.scan import dotnet, go, javascript, jvm, php, python, ruby, rust
 from routeloom.scan.core import LONGEST_LINE, Extractor, applies
-from routeloom.sources import scratch
 from routeloom.sources import tree as sources
+from routeloom.sources.scratch import settled
 
 _BY_NAME = {e.name: e for m in (javascript, python, go, dotnet, jvm, ruby, php, rust) for e in m.EXTRACTORS}
 ORDER = [
@@ -228,14 +228,6 @@ def type_table(files: DataFrame, names: list[str]) -> DataFrame:
     return types_of(facts(one)).drop("project")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder, so that files are looked at once and lost executors cost no second reading."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(scratch.folder(spark, "scans"))
-    return df.checkpoint()
-
-
 def order() -> Column:
     return F.array_position(F.array(*[F.lit(n) for n in ORDER]), F.col("framework"))
 
