@@ -48,7 +48,7 @@ PIECES = regex.compile(
 PIECE_LOOKAHEAD = 3
 CHUNK = 1 << 16
 SHORT = 64  # characters that a kept state of the transducer holds at most
-STATES = 800_000  # kept states
+STATES = 1_500_000  # kept states, some 200 bytes each
 CONTINUED = {bytes([x]) for x in range(0x80, 0xC0)}  # bytes that no character begins with
 BEYOND = 1 << 30  # the rank of no rule
 ENDS, LEAVE = -1, -2  # entries of a state beside its characters
