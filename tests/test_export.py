@@ -8,6 +8,7 @@ from routeloom import types
 from routeloom.engine import Engine
 from routeloom.export import documents, merge
 from routeloom.export.schema import annotate_required, nest, sample
+from routeloom.sources.scratch import settled
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -112,13 +113,18 @@ def test_descriptors(spark, tmp_path):
     assert row.path_pattern == "/p.S/Do" and json.loads(row.req_schema)["properties"]["x"] == {"type": "integer"}
 
 
+@pytest.fixture(scope="module")
+def export_rows(engine):
+    return settled(engine.store.export_rows())
+
+
 @pytest.mark.parametrize("fmt", ["openapi", "openapi-json", "swagger", "postman", "curl", "httpie", "bruno"])
 @pytest.mark.parametrize("calls", [0, 99])
-def test_files_from_parts(engine, tmp_path, fmt, calls):
+def test_files_from_parts(export_rows, tmp_path, fmt, calls):
     """A file put together from sorted parts says what the document on the driver says, also without any endpoint."""
     opts = documents.Options(title="Ä \"t\"", min_calls=calls)
-    want, path = engine.export(fmt, opts), str(tmp_path / "doc")
-    assert engine.export(fmt, opts, out=path) is None
+    want, path = documents.build(export_rows, fmt, opts), str(tmp_path / "doc")
+    documents.write_document(export_rows, fmt, path, opts)
     if fmt == "bruno":
         assert {p.name: p.read_text() for p in (tmp_path / "doc").iterdir()} == want and all(documents.SEQ not in t for t in want.values())
     else:
@@ -126,6 +132,10 @@ def test_files_from_parts(engine, tmp_path, fmt, calls):
         assert text == documents.render(fmt, want)
 
 
+def test_export_to_a_file(engine, tmp_path):
+    assert engine.export("curl", out=str(tmp_path / "r.sh")) is None and (tmp_path / "r.sh").read_text() == engine.export("curl")
+
+
 def test_ranks(spark):
     from routeloom.operators.ranks import with_rank
 
