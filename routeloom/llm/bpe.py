@@ -48,7 +48,8 @@ PIECES = regex.compile(
 PIECE_LOOKAHEAD = 3
 CHUNK = 1 << 16
 SHORT = 64  # characters that a kept state of the transducer holds at most
-STATES = 1_500_000  # kept states, some 200 bytes each
+STATES = 800_000  # kept states, some 200 bytes each
+STAGE_STATES = 100_000  # those that a worker keeps between slices where other work follows in it
 CONTINUED = {bytes([x]) for x in range(0x80, 0xC0)}  # bytes that no character begins with
 BEYOND = 1 << 30  # the rank of no rule
 ENDS, LEAVE = -1, -2  # entries of a state beside its characters
@@ -296,7 +297,7 @@ class Transducer:
         return {k: int(self.look[i]) for k, i in self.vocab.items() if len(k) + self.look[i] <= 4 * SHORT}
 
     def _forget(self) -> None:
-        """Only the empty state is left. A state is a dict: character -> next state, or, where tokens leave before the next character, LEAVE -> (ids, what stays held); ENDS -> ids that the end of the piece lets go."""
+        """Let go of the kept states. Only the empty state is left. A state is a dict: character -> next state, or, where tokens leave before the next character, LEAVE -> (ids, what stays held); ENDS -> ids that the end of the piece lets go."""
         self.start: dict = {ENDS: b""}
         self.states = 1
 
@@ -518,6 +519,8 @@ def tokens_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
         def f(_, texts):
             plain = [x.decode("utf-8", "replace") for x in texts]
             packed = t.encode(plain)
+            if t.states > STAGE_STATES:  # a reused worker would hold them through the stages of a pipeline
+                t._forget()
             return {
                 "ids": [np.frombuffer(p, "<u4").astype(np.int32) for p in packed],
                 "round_trip": [t.decode(p) == x for p, x in zip(packed, plain, strict=True)],
