@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routeloom.functions import content, paths
+from routeloom.operators import variants
 
 Schema = dict[str, Any]
 FORMATS = [
@@ -282,16 +283,29 @@ def fingerprint(names: Column, top: Column) -> Column:
     return F.concat(F.lit("auth:"), auth_scheme(F.coalesce(names, F.array().cast("array<string>"))), F.lit("|body:"), F.array_join(F.array_sort(top), ","))
 
 
-def observe(pairs: DataFrame, body_limit: int = content.BODY_LIMIT, strip_query: bool = False) -> DataFrame:
-    """Captured pairs -> observations: names and types only, one row for each pair, no shuffle."""
+def in_jvm(pairs: DataFrame) -> DataFrame:
+    """The columns of ``INFERRED`` as ``x``, without Python; XML and forms have no schema."""
+    none, empty = F.array().cast("array<struct<field_path: string, type_json: string>>"), F.array().cast("array<string>")
+    found = F.struct(F.col("req.schema").alias("req_schema"), F.col("resp.schema").alias("resp_schema"), F.coalesce("req.fields", none).alias("req_fields"), F.coalesce("resp.fields", none).alias("resp_fields"), F.coalesce("req.names", empty).alias("req_names"))
+    return variants.inferred(pairs).withColumn("x", found)
+
+
+def observe(pairs: DataFrame, body_limit: int = content.BODY_LIMIT, strip_query: bool = False, python: bool = True) -> DataFrame:
+    """Captured pairs -> observations: names and types only, one row for each pair, no shuffle.
+
+    Without python, JSON and GraphQL bodies are inferred from VARIANT values in the JVM (``variants``), and
+    XML and forms get no schema; small equal bodies are remembered by the Arrow pass alone, which is faster.
+    """
     req, resp = content.capped(F.col("req_body"), body_limit), content.capped(F.col("resp_body"), body_limit)
-    found = inferred(content.body_kind(F.col("req_content_type")), content.body_kind(F.col("resp_content_type")), req, resp)
+    kinds = {"req_kind": content.body_kind(F.col("req_content_type")), "resp_kind": content.body_kind(F.col("resp_content_type"))}
     base = pairs.select(
         "seq", "observed_at", F.upper("method").alias("method"), paths.normalize_path(F.col("raw_path"), strip_query).alias("path_pattern"), "raw_path",
         content.protocol(F.col("req_content_type"), req).alias("protocol"), "status_code", "latency_ms", "req_content_type", "resp_content_type",
-        F.coalesce("req_headers", F.array().cast("array<string>")).alias("header_names"), paths.query_params(F.col("raw_path")).alias("param_names"), found.alias("x"),
+        F.coalesce("req_headers", F.array().cast("array<string>")).alias("header_names"), paths.query_params(F.col("raw_path")).alias("param_names"),
+        *[k.alias(name) for name, k in kinds.items()], req.alias("req_body"), resp.alias("resp_body"),
     )
-    return base.select(
+    found = base.withColumn("x", inferred(F.col("req_kind"), F.col("resp_kind"), F.col("req_body"), F.col("resp_body"))) if python else in_jvm(base)
+    return found.select(
         "seq", "observed_at", "method", "path_pattern", "raw_path", "protocol", "status_code", "latency_ms", "req_content_type", "resp_content_type",
         "x.req_schema", "x.resp_schema", "x.req_fields", "x.resp_fields", "header_names", "param_names", fingerprint(F.col("header_names"), F.col("x.req_names")).alias("fingerprint"),
     )

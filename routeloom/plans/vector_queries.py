@@ -13,11 +13,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeloom.export import documents, merge, schema
-from routeloom.operators import catalog, infer, report
+from routeloom.operators import catalog, infer, report, variants
 from routeloom.plans import adapters as A
 from routeloom.plans.source_queries import quoted
 from routeloom.scan import core, runner
@@ -32,8 +32,8 @@ def text(v: Any) -> str | None:
     return None if v is None else json.dumps(v, sort_keys=True, ensure_ascii=False)
 
 
-def vectors(name: str, f: Callable[..., str | None], cases: list[Case]) -> None:
-    """Register f over the cases: (supplier key, case number, result)."""
+def vectors(name: str, f: Callable[..., str | None] | None, cases: list[Case], plan: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Register f, or a plan over the column ``args``, over the cases: (supplier key, case number, result)."""
     width = max(len(args) for args, _ in cases)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,7 +45,7 @@ def vectors(name: str, f: Callable[..., str | None], cases: list[Case]) -> None:
         fill = lambda s: F.lit(None).cast("string") if s is None else F.replace(F.lit(s), F.lit("@k"), key)
         rows = F.array(*[F.struct(F.lit(n).alias("n"), F.array(*[fill(a) for a in (*args, *[None] * (width - len(args)))]).alias("args")) for n, (args, _) in enumerate(cases)])
         flat = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("k"), F.explode(rows).alias("x")).select("k", "x.n", "x.args")
-        return flat.mapInPandas(run, "k bigint, n int, result string")
+        return plan(flat) if plan else flat.mapInPandas(run, "k bigint, n int, result string")
 
     QUERIES[name] = query
     values = ", ".join(f"({n}, {quoted(want)})" for n, (_, want) in enumerate(cases))
@@ -56,24 +56,36 @@ def body(kind: str) -> Callable[[str | None], str | None]:
     return lambda s: text(infer.infer_body(kind, s.encode() if s is not None else b""))
 
 
-def pair_schemas(req_kind: str, resp_kind: str, req: str | None, resp: str | None) -> str | None:
-    return text(infer.infer_pair(req_kind, resp_kind, (req or "").encode(), (resp or "").encode()))
+def spaced(schema: Column) -> Column:
+    """A schema as ``text`` writes it: VARIANT sorts the names."""
+    return F.regexp_replace(F.to_json(F.try_parse_json(schema)), r'([:,])(?=["{\[tn])', "$1 ")
+
+
+def pair_schemas(flat: DataFrame) -> DataFrame:
+    arg = lambda i: F.get("args", F.lit(i))
+    pairs = flat.select("k", "n", arg(0).alias("req_kind"), arg(1).alias("resp_kind"), arg(2).cast("binary").alias("req_body"), arg(3).cast("binary").alias("resp_body"))
+    one = lambda c: F.coalesce(spaced(F.col(c)), F.lit("null"))
+    return variants.inferred(pairs).select("k", "n", F.concat(F.lit("["), one("req.schema"), F.lit(", "), one("resp.schema"), F.lit("]")).alias("result"))
+
+
+def json_schemas(kind: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda flat: flat.select("k", "n", spaced(variants.side(F.lit(kind), F.get("args", F.lit(0)).cast("binary"), False).schema).alias("result"))
 
 
 OBJECT = '{"type": "object"}'
-vectors("i02_pair", pair_schemas, [
+vectors("i02_pair", None, plan=pair_schemas, cases=[
     (["json", "json", None, None], "[null, null]"), (["json", "json", '{"a@k": 1}', '{"b": "x"}'], '[{"properties": {"a@k": {"type": "integer"}}, "required": ["a@k"], "type": "object"}, {"properties": {"b": {"type": "string"}}, "required": ["b"], "type": "object"}]'),
     (["json", "json", '{"query": "mutation M { a }"}', '{"data": null}'], '[{"description": "mutation", "type": "object"}, {"description": "graphql", "properties": {"data": {"nullable": true}}, "required": ["data"], "type": "object"}]'),
 ])
-vectors("i06_arrays", body("json"), [
+vectors("i06_arrays", None, plan=json_schemas("json"), cases=[
     (["[]"], '{"items": {"type": "object"}, "type": "array"}'), (["[1, 2.5]"], '{"items": {"type": "integer"}, "type": "array"}'), (['["s@k"]'], '{"items": {"type": "string"}, "type": "array"}'),
     (['{"a@k": [[true]]}'], '{"properties": {"a@k": {"items": {"items": {"type": "boolean"}, "type": "array"}, "type": "array"}}, "required": ["a@k"], "type": "object"}'),
 ])
-vectors("i07_array_objects", body("json"), [
+vectors("i07_array_objects", None, plan=json_schemas("json"), cases=[
     (['[{"name": "x", "email@k": "a@b.com"}, {"name": "y"}, {"name": "z", "email@k": "c@d.org"}]'], '{"items": {"properties": {"email@k": {"format": "email", "type": "string"}, "name": {"type": "string"}}, "required": ["name"], "type": "object"}, "type": "array"}'),
     (['[{"a": 1}, {"b": "@k"}]'], '{"items": {"properties": {"a": {"type": "integer"}, "b": {"type": "string"}}, "type": "object"}, "type": "array"}'),
 ])
-vectors("i08_json", body("json"), [([None], None), (["{not valid @k}"], None), (["[1,2,3]"], '{"items": {"type": "integer"}, "type": "array"}'), (["NaN"], None), (["1e999"], None), (['"@k"'], '{"type": "string"}'), (["3.0"], '{"type": "integer"}')])
+vectors("i08_json", None, plan=json_schemas("json"), cases=[([None], None), (["{not valid @k}"], None), (["[1,2,3]"], '{"items": {"type": "integer"}, "type": "array"}'), (["NaN"], None), (["1e999"], None), (['"@k"'], '{"type": "string"}'), (["3.0"], '{"type": "integer"}')])
 vectors("i09_xml", body("xml"), [
     (['<?xml version="1.0"?><user><name>x</name><email>e</email><address><street>s@k</street></address></user>'],
      '{"properties": {"address": {"properties": {"street": {"type": "string"}}, "type": "object"}, "email": {"type": "string"}, "name": {"type": "string"}}, "type": "object"}'),
@@ -84,7 +96,7 @@ vectors("i10_form_body", body("form"), [
     (["name=Bob&age=30&score=98.6&active=true"], '{"properties": {"active": {"type": "boolean"}, "age": {"type": "integer"}, "name": {"type": "string"}, "score": {"type": "number"}}, "type": "object"}'),
     (["tags[]=go&tags[]=http@k"], '{"properties": {"tags": {"items": {"type": "string"}, "type": "array"}}, "type": "object"}'), (["ids%5B%5D=1&x@k="], '{"properties": {"ids": {"items": {"type": "integer"}, "type": "array"}, "x@k": {"type": "string"}}, "type": "object"}'), ([None], None), (["a=%zz"], None),
 ])
-vectors("i11_graphql_body", body("graphql"), [
+vectors("i11_graphql_body", None, plan=json_schemas("graphql"), cases=[
     (['{"query": "\\n\\tquery Q { a@k }"}'], '{"description": "query", "type": "object"}'), (['{"query": "mutation M($x: Int) { a }", "variables": {"x": 1}}'], '{"description": "mutation", "properties": {"variables": {"properties": {"x": {"type": "integer"}}, "required": ["x"], "type": "object"}}, "type": "object"}'),
     (['{"query": "{ a }", "variables": null}'], '{"description": "query", "type": "object"}'), (['{"query": "fragment F on T { a }"}'], '{"description": "graphql", "type": "object"}'), (['{"other": "@k"}'], '{"description": "graphql", "type": "object"}'), (["[1]"], None),
 ])
