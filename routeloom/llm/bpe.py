@@ -11,12 +11,14 @@ Every text goes through one transducer, chunk by chunk: the splitter keeps at mo
 piece of WINDOW characters and a chunk, longer pieces stay open and pass through a buffer of at most
 ``window`` bytes, from whose front tokens are emitted as soon as they are stable. What is emitted is
 consumed at once (digests, counts, the decoder), so memory does not grow with texts, pieces or
-results. The transducer reads character by character. Its state is what it holds: the bytes of the piece that
-no token has taken yet; a character leads to another state and lets go the tokens that have become stable, the
-end of the piece lets go the rest. States are made as texts need them and kept, as those of a lazily
-determinised automaton, up to STATES of them (then all are forgotten and made anew); what holds more
-than SHORT bytes goes on without being kept, window by window. The decoder maps ids to bytes and bytes to text by an incremental UTF-8 state machine, which keeps at
-most three pending bytes between tokens.
+results. The transducer reads character by character, one more character of all pieces of a slice at
+a time. Its state is what it holds: the bytes of the piece that no token has taken yet; a character
+leads to another state and lets go the tokens that have become stable, the end of the piece lets go
+the rest. States are made as texts need them and kept, as those of a lazily determinised automaton,
+up to STATES of them (then all are forgotten and made anew): rows of arrays, with one table from state
+and character to the next state. What holds more than SHORT characters goes on without being kept,
+window by window. The decoder maps ids to bytes and bytes to text by an incremental UTF-8 state
+machine, which keeps at most three pending bytes between tokens.
 
 Edge cases: null counts as empty (no ids). The special token's own string inside a text is one id,
 as the library encodes it. A malformed byte decodes to U+FFFD. Repeated rows are encoded each. A
@@ -26,7 +28,6 @@ tokenizer file with settings other than byte-level BPE without normalizer is ref
 from __future__ import annotations
 
 import codecs
-import gc
 import hashlib
 import json
 from collections.abc import Iterator
@@ -48,11 +49,15 @@ PIECES = regex.compile(
 PIECE_LOOKAHEAD = 3
 CHUNK = 1 << 16
 SHORT = 64  # characters that a kept state of the transducer holds at most
-STATES = 800_000  # kept states, some 200 bytes each
+STATES = 800_000  # kept states, some 80 bytes each
 STAGE_STATES = 100_000  # those that a worker keeps between slices where other work follows in it
-CONTINUED = {bytes([x]) for x in range(0x80, 0xC0)}  # bytes that no character begins with
-BEYOND = 1 << 30  # the rank of no rule
-ENDS, LEAVE = -1, -2  # entries of a state beside its characters
+CHAR_BITS = 21  # of a character in a transition's key
+BEYOND = 1 << 30  # the lookahead of what is no token
+NEW = -(2**31)  # in place of a transition that is not made yet
+ENDS = -1  # an end that is not settled yet
+STATE = np.dtype([("parent", "i4"), ("char", "i4"), ("depth", "i2"), ("size", "i2"), ("due", "i4"), ("hash", "u8"), ("at", "i4"), ("n", "i4")])
+LEAVING = np.dtype([("at", "i4"), ("n", "i4"), ("to", "i4")])
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SLICE_BYTES = 2 << 20
 NO_RANK = np.int32(2**31 - 1)
 WINDOW = 1 << 12  # characters from which an unfinished piece is handed on in parts
@@ -154,6 +159,62 @@ def checked(spec: dict) -> dict:
     return spec
 
 
+def hashed(key: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """The hash of strings that go on with these bytes."""
+    return key * FACTOR + byte + np.uint64(1)
+
+
+class Table:
+    """Open-addressed table of non-negative 64-bit keys, read and written by arrays of them."""
+
+    def __init__(self, bits: int = 12):
+        self.n, self.mask, self.shift = 0, (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * FACTOR) >> self.shift).view(np.int64)
+
+    def get(self, key: np.ndarray, none: int) -> np.ndarray:
+        slot = self._slot(key)
+        got = self.keys[slot]
+        hit = got == key
+        out = np.where(hit, self.values[slot], np.int32(none))
+        todo = np.flatnonzero(~hit & (got != -1))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            got = self.keys[slot[todo]]
+            hit = got == key[todo]
+            out[todo[hit]] = self.values[slot[todo[hit]]]
+            todo = todo[~hit & (got != -1)]
+        return out
+
+    def put(self, key: np.ndarray, value: np.ndarray) -> None:
+        """Distinct keys; the value of one that is there is replaced."""
+        if 3 * (self.n + len(key)) > len(self.keys):
+            old = self.keys != -1
+            keys, values = self.keys[old], self.values[old]
+            self.__init__(int(4 * (self.n + len(key))).bit_length())
+            self.put(keys, values)
+        slot = self._slot(key)
+        while len(key):
+            free = self.keys[slot] == -1
+            self.keys[slot[free]] = key[free]
+            here = self.keys[slot] == key
+            self.values[slot[here]] = value[here]
+            self.n += int((free & here).sum())
+            key, value, slot = key[~here], value[~here], (slot[~here] + 1) & self.mask
+
+
+def room(rows: np.ndarray, n: int) -> np.ndarray:
+    """The array with space for n rows."""
+    return rows if n <= len(rows) else np.concatenate([rows, np.zeros(max(n, len(rows) * 3 // 2) - len(rows), rows.dtype)])
+
+
+def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All numbers of these ranges, one range after the other."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
 class Transducer:
     def __init__(self, raw: bytes):
         spec = checked(json.loads(raw))
@@ -171,51 +232,20 @@ class Transducer:
         ids = [tuple(vocab[bytes(of[c] for c in x)] for x in m) for m in pairs]
         self.left, self.right = (np.array([p[i] for p in ids], np.int64) for i in (0, 1))
         self.made = np.array([vocab[self.token[a] + self.token[b]] for a, b in ids], np.int32)
-        self._table()
+        rule, first = np.unique((self.left << 20) | self.right, return_index=True)
+        self.rules = Table()
+        self.rules.put(rule, first.astype(np.int32))
+        self.byte_ranks = self.rank(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256))
         self.parts = {int(m): (int(a), int(b)) for m, a, b in reversed(list(zip(self.made, self.left, self.right, strict=True)))}
         self.lookahead = self._lookahead()
         self.window = 2 * (self.lookahead + max(map(len, self.token)))
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.longest = max(map(len, self.special), default=1)
-        self.vocab = vocab
-        self.rule = {a << 20 | b: k for k, (a, b) in reversed(list(enumerate(ids)))}
-        self.makes, self.byte_of = self.made.tolist(), self.byte_id.tolist()
+        self.length = np.array([len(x) for x in self.token], np.int64)
         self._forget()
 
-    def _table(self) -> None:
-        """Open-addressed table of pair -> rank."""
-        bits = max(4, int(np.ceil(np.log2(len(self.left) * 4 + 1))))
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NO_RANK, np.int32)
-        self.tries = 1
-        key = (self.left << 20) | self.right
-        slot = self._slot(key)
-        for rank in range(len(key)):
-            s, n = int(slot[rank]), 1
-            while self.keys[s] not in (-1, key[rank]):
-                s, n = (s + 1) & self.mask, n + 1
-            if self.keys[s] == -1:
-                self.keys[s], self.ranks[s] = key[rank], rank
-            self.tries = max(self.tries, n)
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = (a.astype(np.int64) << 20) | b
-        slot = self._slot(key)
-        got = self.keys[slot]
-        out = np.where(got == key, self.ranks[slot], NO_RANK)
-        todo = np.flatnonzero((got != key) & (got != -1))
-        for _ in range(self.tries - 1):
-            if not len(todo):
-                break
-            slot[todo] = (slot[todo] + 1) & self.mask
-            got = self.keys[slot[todo]]
-            hit = got == key[todo]
-            out[todo[hit]] = self.ranks[slot[todo[hit]]]
-            todo = todo[~hit & (got != -1)]
-        return out
+        return self.rules.get((a.astype(np.int64) << 20) | b, NO_RANK)
 
     def _lookahead(self) -> int:
         """Bytes behind which any token is final (the longest chain of pre-empting rules), and each token's own in ``look``."""
@@ -242,37 +272,45 @@ class Transducer:
         return most
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each word, all words merged together, one rank a round and word."""
-        size = np.array([len(w) for w in words], np.int64)
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), size)
+        """Token ids of each word."""
+        ids, n = self._merge(np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words], np.int64))
+        ends = np.cumsum(n).tolist()
+        return [ids[lo:hi] for lo, hi in zip([0, *ends], ends)]
+
+    def _merge(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of words of these sizes, one word after the other, and their number in each: all words merged together, one rank a round and word."""
+        sym, word = self.byte_id[data], np.repeat(np.arange(len(size), dtype=np.int32), size)
+        rank = np.full(len(sym), NO_RANK, np.int32)
+        rank[:-1] = np.where(word[1:] == word[:-1], self.byte_ranks[data[:-1].astype(np.int32) << 8 | data[1:]], NO_RANK)
+        ids, of = [sym[:0]], [word[:0]]
         while len(sym):
-            rank = np.full(len(sym), NO_RANK, np.int32)
-            inner = np.flatnonzero(word[1:] == word[:-1])
-            rank[inner] = self.rank(sym[inner], sym[inner + 1])
             start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             low = np.minimum.reduceat(rank, start)
             length = np.diff(np.concatenate((start, [len(sym)])))
-            done = low == NO_RANK
-            for s, n in zip(start[done].tolist(), length[done].tolist(), strict=True):
-                out[int(word[s])] = sym[s:s + n]
-            live = np.repeat(~done, length)
-            if not live.any():
-                break
-            best = np.repeat(low, length)[live]
-            sym, word, rank = sym[live], word[live], rank[live]
+            best = np.repeat(low, length)
+            live = best != NO_RANK
+            if not live.all():
+                ids.append(sym[~live])
+                of.append(word[~live])
+                sym, word, rank, best = sym[live], word[live], rank[live], best[live]
             hit = rank == best
             # of overlapping occurrences in a run of one symbol, every second one counts from the left
-            idx = np.arange(len(sym))
+            idx = np.arange(len(sym), dtype=np.int32)
             run = idx - np.maximum.accumulate(np.where(hit, -1, idx))
-            take = np.flatnonzero(hit & (run % 2 == 1))
-            sym = sym.copy()
+            take = np.flatnonzero(hit & (run & 1 == 1))
             sym[take] = self.made[rank[take]]
             stay = np.ones(len(sym), bool)
             stay[take + 1] = False
-            sym, word = sym[stay], word[stay]
-        return out
+            sym, word, rank = sym[stay], word[stay], rank[stay]
+            take -= np.arange(len(take))
+            near = np.concatenate((take, take[take > 0] - 1))
+            inner = near + 1 < len(sym)
+            inner[inner] = word[near[inner]] == word[near[inner] + 1]
+            rank[near[~inner]] = NO_RANK
+            near = near[inner]
+            rank[near] = self.rank(sym[near], sym[near + 1])
+        of = np.concatenate(of)
+        return np.concatenate(ids)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(size))
 
     def step(self, held: bytes, part: bytes, end: bool) -> tuple[list[np.ndarray], bytes]:
         """One more part of a piece: the ids that have become stable, and the bytes still held (less than ``window``)."""
@@ -292,96 +330,171 @@ class Transducer:
             held = held[int(ends[n - 1]) if n else 0:]
 
     @cached_property
-    def early(self) -> dict[bytes, int]:
-        """Lookahead of the tokens that may leave inside what a kept state can hold."""
-        return {k: int(self.look[i]) for k, i in self.vocab.items() if len(k) + self.look[i] <= 4 * SHORT}
+    def early(self) -> Table:
+        """Lookahead of the tokens that may leave inside what a kept state can hold, by the hash of their bytes."""
+        able = np.flatnonzero((self.length > 0) & (self.length + self.look <= 4 * SHORT))
+        key = np.zeros(len(able), np.uint64)
+        data, start = np.frombuffer(b"".join(self.token[i] for i in able), np.uint8), np.cumsum(self.length[able]) - self.length[able]
+        for k in range(int(self.length[able].max(initial=0))):
+            on = np.flatnonzero(self.length[able] > k)
+            key[on] = hashed(key[on], data[start[on] + k])
+        key, first = np.unique(key >> np.uint64(1), return_index=True)
+        out = Table()
+        out.put(key.view(np.int64), self.look[able[first]].astype(np.int32))
+        return out
 
     def _forget(self) -> None:
-        """Let go of the kept states. Only the empty state is left. A state is a dict: character -> next state, or, where tokens leave before the next character, LEAVE -> (ids, what stays held); ENDS -> ids that the end of the piece lets go."""
-        self.start: dict = {ENDS: b""}
-        self.states = 1
-
-    def _walk(self, piece: str, out: list) -> tuple[dict, bytes]:
-        """The state at the end of a piece and what it holds; states on the way are made and kept if they are new, ids that leave go to out."""
-        state, held, due, early = self.start, b"", BEYOND, self.early.get
-        for char in piece:
-            nxt = state.get(char)
-            while nxt is None and LEAVE in state:
-                ids, rest = state[LEAVE]
-                out.append(ids)
-                state, held = self._walk(rest, out)
-                due = min([k + early(held[:k], BEYOND) for k in range(1, len(held) + 1)], default=BEYOND)
-                nxt = state.get(char)
-            for k in range(len(held) + 1, len(held) + 1 + len(data := char.encode())):
-                held += data[:1]
-                data = data[1:]
-                due = min(due, k + early(held, BEYOND))
-            if nxt is None:
-                nxt = state[char] = {}
-                self.states += 1
-                if len(held) >= due:  # a first token may have its lookahead
-                    self._ready(nxt, held)
-            state = nxt
-        return state, held
-
-    def _ready(self, state: dict, held: bytes) -> None:
-        """Note the tokens that are stable with what is held, if there are any."""
-        left, ready = len(held), []
-        for i in self._ids(held):
-            left -= len(self.token[i])
-            if left < self.look[i]:
-                left += len(self.token[i])
-                break
-            ready.append(i)
-        rest = held[len(held) - left:]
-        if ready and rest[:1] not in CONTINUED:  # a token that ends inside a character leaves with what follows
-            state[LEAVE] = np.array(ready, "<u4").tobytes(), rest.decode()
-
-    def _ids(self, held: bytes) -> list[int]:
-        """Token ids of a short string, one merge at a time: the lowest rank, the leftmost of several."""
-        sym, rule = [self.byte_of[x] for x in held], self.rule.get
-        ranks = [rule(a << 20 | b, BEYOND) for a, b in zip(sym, sym[1:])]
-        while ranks and (best := min(ranks)) != BEYOND:
-            at = ranks.index(best)
-            sym[at:at + 2] = [self.makes[best]]
-            del ranks[at]
-            if at:
-                ranks[at - 1] = rule(sym[at - 1] << 20 | sym[at], BEYOND)
-            if at < len(ranks):
-                ranks[at] = rule(sym[at] << 20 | sym[at + 1], BEYOND)
-        return sym
-
-    def run(self, pieces: list, out: list, fresh: dict[int, tuple[dict, bytes]]) -> None:
-        """Whole pieces of at most SHORT characters, one character after the other: their ids to out; a state in place of ids where its end is not settled yet.
-
-        Those states are in fresh, with what they hold.
+        """Let go of the kept states; only the empty state is left.
+
+        Of a state: the state before it, its last character, how much it holds, where its first token may leave, a hash of its bytes, and, once settled, the
+        ids that the end of the piece lets go. ``moves`` leads from state and character to the next state or, complemented, to
+        what leaves there and the state of what stays held.
+        """
+        self.moves, self.kept, self.states = Table(), np.zeros(1 << 12, STATE), 1
+        self.kept[0] = (-1, 0, 0, 0, BEYOND, 0, 0, 0)
+        self.leaving, self.leavings = np.zeros(1 << 8, LEAVING), 0
+        self.ids, self.used = np.zeros(1 << 12, np.int32), 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Where these ids stand among the kept ones."""
+        at, self.used = self.used, self.used + len(ids)
+        self.ids = room(self.ids, self.used)
+        self.ids[at:self.used] = ids
+        return at
+
+    def _held(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that these states hold, one after the other, and their number in each."""
+        parent, char, depth, size = (self.kept[k] for k in ("parent", "char", "depth", "size"))
+        left = depth[states]
+        ends, chars = np.cumsum(left, dtype=np.int64) - 1, np.zeros(int(left.sum(dtype=np.int64)), "<u4")
+        at = states
+        while len(more := np.flatnonzero(left)):
+            at, ends, left = at[more], ends[more], left[more] - 1
+            chars[ends] = char[at]
+            at, ends = parent[at], ends - 1
+        return np.frombuffer(chars.tobytes().decode("utf-32-le").encode(), np.uint8), size[states].astype(np.int64)
+
+    def _make(self, moves: np.ndarray) -> np.ndarray:
+        """New states for these distinct transitions, which lead to them from now on: what is noted in ``moves``."""
+        parent, char, states = moves >> CHAR_BITS, moves & ((1 << CHAR_BITS) - 1), np.arange(self.states, self.states + len(moves))
+        self.states += len(moves)
+        self.kept = room(self.kept, self.states)
+        new = self.kept[parent]
+        new["parent"], new["char"], new["at"], new["n"] = parent, char, ENDS, 0
+        new["depth"] += 1
+        width = 1 + (char >= 0x80) + (char >= 0x800) + (char >= 0x10000)
+        data, start = np.frombuffer(char.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8), np.cumsum(width) - width
+        for k in range(int(width.max())):
+            on = np.flatnonzero(width > k)
+            some = new[on]
+            some["size"] += 1
+            some["hash"] = hashed(some["hash"], data[start[on] + k])
+            some["due"] = np.minimum(some["due"], some["size"] + self.early.get((some["hash"] >> np.uint64(1)).view(np.int64), BEYOND))
+            new[on] = some
+        self.kept[states] = new
+        self.moves.put(moves, states.astype(np.int32))
+        due = np.flatnonzero(new["size"] >= new["due"])  # a first token may have its lookahead
+        if len(due):
+            self._ready(states[due], moves[due])
+            return self.moves.get(moves, NEW)
+        return states
+
+    def _ready(self, states: np.ndarray, moves: np.ndarray) -> None:
+        """Note the tokens that are stable with what these states hold, if there are any."""
+        data, size = self._held(states)
+        ids, n = self._merge(data, size)
+        kept = self._note(states, ids, n)
+        word, ends, first = np.repeat(np.arange(len(states)), n), np.cumsum(self.length[ids]), np.cumsum(n) - n
+        late = np.flatnonzero(np.cumsum(size)[word] - ends < self.look[ids])
+        stable = n.copy()
+        stable[word[late[::-1]]] = late[::-1] - first[word[late[::-1]]]
+        cut = np.where(stable > 0, ends[first + stable - 1], 0)
+        # a token that ends inside a character leaves with what follows
+        go = np.flatnonzero((stable > 0) & ((cut == np.cumsum(size)) | ((np.append(data, 0)[cut] & 0xC0) != 0x80)))
+        if not len(go):
+            return
+        to, more = self.walk([data[lo:hi].tobytes().decode() for lo, hi in zip(cut[go].tolist(), np.cumsum(size)[go].tolist())])
+        at, count = self._gather(len(go), [(np.arange(len(go)), kept[go], stable[go]), *more])
+        self.leaving = room(self.leaving, self.leavings + len(go))
+        noted = np.arange(self.leavings, self.leavings + len(go))
+        self.leavings += len(go)
+        for k, v in (("at", self._keep(at) + np.cumsum(count) - count), ("n", count), ("to", to)):
+            self.leaving[k][noted] = v
+        self.moves.put(moves[go], ~noted.astype(np.int32))
+
+    def walk(self, pieces: list[str]) -> tuple[np.ndarray, list[tuple]]:
+        """The states at the ends of pieces of at most SHORT characters, and what has left on the way: pieces, where its ids are kept, and how many.
+
+        One character after the other, of all pieces at once; states on the way are made and kept if they are new.
         """
-        start, add = self.start, out.append
-        for piece in pieces:
-            state = start
-            try:
-                for char in piece:
-                    state = state[char]
-                add(state[ENDS])
-                continue
-            except KeyError:  # a new state, tokens that leave, or an end that is not settled
-                state, held = self._walk(piece, out)
-            while LEAVE in state:
-                ids, rest = state[LEAVE]
-                add(ids)
-                state, held = self._walk(rest, out)
-            if ENDS in state:
-                add(state[ENDS])
-            else:
-                fresh[id(state)] = state, held
-                add(state)
-
-    def settle(self, states: list[tuple[dict, bytes]]) -> None:
+        size = np.fromiter(map(len, pieces), np.uint16, len(pieces))
+        chars, left = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4"), []
+        order = np.argsort(size, kind="stable")[::-1]
+        at, state = (np.cumsum(size, dtype=np.int64) - size)[order], np.zeros(len(pieces), np.int64)
+        for k, n in enumerate((len(pieces) - np.cumsum(np.bincount(size))[:-1]).tolist()):
+            move = state[:n] << CHAR_BITS | chars[at[:n] + k]
+            to = self.moves.get(move, NEW)
+            odd = np.flatnonzero(to < 0)
+            if len(odd):
+                new = odd[to[odd] == NEW]
+                if len(new):
+                    distinct, back = np.unique(move[new], return_inverse=True)
+                    to[new] = self._make(distinct)[back]
+                gone = odd[to[odd] < 0]
+                if len(gone):
+                    let = self.leaving[~to[gone]]
+                    left.append((order[gone], let["at"], let["n"]))
+                    to[gone] = let["to"]
+            state[:n] = to
+        out = np.empty_like(state)
+        out[order] = state
+        return out, left
+
+    def settle(self, states: list[int] | np.ndarray) -> None:
         """What the end of a piece lets go of these states, all merged together."""
         for lo in range(0, len(states), 50_000):
-            part = states[lo:lo + 50_000]
-            for (state, _), ids in zip(part, self.merge([held for _, held in part]), strict=True):
-                state[ENDS] = ids.astype("<u4").tobytes()
+            part = np.asarray(states[lo:lo + 50_000])
+            self._note(part, *self._merge(*self._held(part)))
+
+    def _note(self, states: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Keep what the end of a piece lets go of these states; where each one's ids stand."""
+        at = self._keep(ids) + np.cumsum(n) - n
+        self.kept["at"][states], self.kept["n"][states] = at, n
+        return at
+
+    def _end(self, states: np.ndarray) -> tuple:
+        """What the ends of pieces let go in these states, as in walk."""
+        self.settle(np.unique(states[self.kept["at"][states] == ENDS]))
+        ends = self.kept[["at", "n"]][states]
+        return np.arange(len(states)), ends["at"], ends["n"]
+
+    def _gather(self, pieces: int, left: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of what has left, piece by piece and in the order given, and their number in each piece."""
+        count = np.zeros(pieces, np.int64)
+        for piece, _, n in left:
+            count[piece] += n
+        out, at = np.empty(int(count.sum()), np.int32), np.cumsum(count) - count
+        for piece, where, n in left:
+            n = n.astype(np.int64)
+            out[ranges(at[piece], n)] = self.ids[ranges(where.astype(np.int64), n)]
+            at[piece] += n
+        return out, count
+
+    def transduce(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces of at most SHORT characters, one piece after the other, and where those of each begin (and the last end)."""
+        states, left = self.walk(pieces)
+        ids, count = self._gather(len(pieces), [*left, self._end(states)])
+        return ids, np.concatenate(([0], np.cumsum(count)))
+
+    def run(self, pieces: list[str], out: list, fresh: dict[int, int]) -> None:
+        """As transduce, to see what leaves when: ids to out as bytes, an item for each time that some leave; states whose ends were not settled before to fresh."""
+        states, left = self.walk(pieces)
+        fresh |= {s: s for s in states[self.kept["at"][states] == ENDS].tolist()}
+        each: list[list[bytes]] = [[] for _ in pieces]
+        for piece, at, n in [*left, self._end(states)]:
+            for k, lo, size in zip(piece.tolist(), at.tolist(), n.tolist(), strict=True):
+                each[k].append(self.ids[lo:lo + size].astype("<u4").tobytes())
+        out += [x for some in each for x in some]
 
     def encode_stream(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
         """(index of a text, further ids of it as little-endian unsigned 32-bit integers), chunk by chunk."""
@@ -391,15 +504,16 @@ class Transducer:
         while live:
             if self.states > STATES:
                 self._forget()
-            found, fresh = [], {}
-            gc.disable()  # states are many and stay: no use in looking through them for garbage
+            found, pieces = [], []
             for i in live:
-                out: list = []  # ids as bytes, and states whose ends are not settled
+                out: list = []  # ids as bytes, and ranges of pieces
                 items = cutters[i].feed(texts[i][at:at + CHUNK], at + CHUNK >= len(texts[i]))
                 plain = not cutters[i].odd and max(map(len, items), default=0) <= SHORT
                 for short, some in [(True, items)] if plain else groupby(items, is_short):
                     if short:
-                        self.run(some, out, fresh)
+                        first = len(pieces)
+                        pieces += some
+                        out.append((first, len(pieces)))
                         continue
                     for p in some:
                         if type(p) is list:
@@ -408,11 +522,10 @@ class Transducer:
                         ids, held[i] = self.step(b"", p.encode(), True) if type(p) is str else self.step(held[i], p[0].encode(), p[1])
                         out += [x.astype("<u4").tobytes() for x in ids]
                 found.append(out)
-            self.settle(list(fresh.values()))
-            gc.freeze()
-            gc.enable()
+            ids, begin = self.transduce(pieces)
+            ids = ids.astype("<u4", copy=False)
             for i, out in zip(live, found, strict=True):
-                yield i, b"".join([x if type(x) is bytes else x[ENDS] for x in out] if fresh else out)
+                yield i, b"".join([x if type(x) is bytes else ids[begin[x[0]]:begin[x[1]]].tobytes() for x in out])
             at += CHUNK
             live = [i for i in live if at < len(texts[i])]
 

@@ -5,6 +5,7 @@ import itertools
 import json
 import random
 import re
+import sys
 import time
 import zlib
 
@@ -274,6 +275,51 @@ def test_transitions_that_let_go_in_a_piece():
     assert early > 300
 
 
+def test_pieces_go_on_together():
+    """One more character of all pieces at a time: the interpreter's calls do not grow with the pieces (8000) or the new states (29,498)."""
+    t, r, calls = bpe.Transducer(open(bpe.default_path(), "rb").read()), random.Random(7), []
+    t.encode(["some"])  # with what is made once
+    text = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 12))) for _ in range(8000))
+    for made, most in ((True, 25_000), (False, 2000)):
+        before = t.states
+        sys.setprofile(lambda *x: calls.append(x[1]) if x[1].endswith("call") else None)
+        try:
+            t.encode([text])
+        finally:
+            sys.setprofile(None)
+        assert (t.states > before + most) == made and len(calls) < most
+        calls.clear()
+
+
+def test_odd_texts_together(monkeypatch):
+    """Many short texts of mixed alphabets in one call, with states kept, few kept, and pieces above and below SHORT: the library's ids."""
+    tokenizers = pytest.importorskip("tokenizers")
+    ref, raw, r = tokenizers.Tokenizer.from_file(bpe.default_path()), open(bpe.default_path(), "rb").read(), random.Random(11)
+    alphabets = ["ab", "etaoin shrdlu", "é🙂漢字ñßжш", "0123 .,-'", "\u0301\u200d🏽🙂", "\t\n \xa0\u3000\x00", "'s't're've'm'll'd"]
+    for short, states in ((64, 800_000), (64, 300), (3, 800_000)):
+        monkeypatch.setattr(bpe, "SHORT", short)
+        monkeypatch.setattr(bpe, "STATES", states)
+        t = bpe.Transducer(raw)
+        for chunk in (5, 50, 1 << 16):
+            monkeypatch.setattr(bpe, "CHUNK", chunk)
+            texts = ["".join(r.choices("".join(r.sample(alphabets, r.randrange(1, 4))), k=r.choice([0, 1, 2, 5, 30, 200]))) for _ in range(150)]
+            texts += [x + "<|endoftext|>" + x for x in texts[:10]]
+            for text, ids in zip(texts, t.encode(texts), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == ref.encode(text, add_special_tokens=False).ids
+
+
+def test_table_of_keys():
+    """Against a dictionary: keys of few slots, in batches, some replaced."""
+    r, table, want = np.random.default_rng(3), bpe.Table(2), {}
+    for size in (1, 3, 500, 0, 4000):
+        keys = np.unique(r.integers(0, 9000, size) << 40)
+        values = r.integers(-9, 9, len(keys)).astype(np.int32)
+        table.put(keys, values)
+        want |= dict(zip(keys.tolist(), values.tolist(), strict=True))
+        asked = np.arange(9000) << 40
+        assert table.get(asked, 99).tolist() == [want.get(k, 99) for k in asked.tolist()] and table.n == len(want)
+
+
 def test_unsupported_settings():
     spec = json.load(open(bpe.default_path()))
     for part, key, value in (("model", "ignore_merges", True), ("pre_tokenizer", "add_prefix_space", True), ("model", "type", "Unigram")):
