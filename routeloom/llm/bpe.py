@@ -47,9 +47,9 @@ PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 PIECE_LOOKAHEAD = 3
-CHUNK = 1 << 16
+CHUNK = 1 << 19  # characters of a text that go on together
 SHORT = 64  # characters that a kept state of the transducer holds at most
-STATES = 800_000  # kept states, some 80 bytes each
+STATES = 800_000  # kept states, some 100 bytes each
 STAGE_STATES = 100_000  # those that a worker keeps between slices where other work follows in it
 CHAR_BITS = 21  # of a character in a transition's key
 BEYOND = 1 << 30  # the lookahead of what is no token
@@ -57,7 +57,7 @@ NEW = -(2**31)  # in place of a transition that is not made yet
 ENDS = -1  # an end that is not settled yet
 STATE = np.dtype([("parent", "i4"), ("char", "i4"), ("depth", "i2"), ("size", "i2"), ("due", "i4"), ("hash", "u8"), ("at", "i4"), ("n", "i4")])
 LEAVING = np.dtype([("at", "i4"), ("n", "i4"), ("to", "i4")])
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
+FACTOR, KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**63 - 1)
 SLICE_BYTES = 2 << 20
 NO_RANK = np.int32(2**31 - 1)
 WINDOW = 1 << 12  # characters from which an unfinished piece is handed on in parts
@@ -161,7 +161,7 @@ def checked(spec: dict) -> dict:
 
 def hashed(key: np.ndarray, byte: np.ndarray) -> np.ndarray:
     """The hash of strings that go on with these bytes."""
-    return key * FACTOR + byte + np.uint64(1)
+    return (key * FACTOR + byte + np.uint64(1)) & KEY
 
 
 class Table:
@@ -338,7 +338,7 @@ class Transducer:
         for k in range(int(self.length[able].max(initial=0))):
             on = np.flatnonzero(self.length[able] > k)
             key[on] = hashed(key[on], data[start[on] + k])
-        key, first = np.unique(key >> np.uint64(1), return_index=True)
+        key, first = np.unique(key, return_index=True)
         out = Table()
         out.put(key.view(np.int64), self.look[able[first]].astype(np.int32))
         return out
@@ -389,7 +389,7 @@ class Transducer:
             some = new[on]
             some["size"] += 1
             some["hash"] = hashed(some["hash"], data[start[on] + k])
-            some["due"] = np.minimum(some["due"], some["size"] + self.early.get((some["hash"] >> np.uint64(1)).view(np.int64), BEYOND))
+            some["due"] = np.minimum(some["due"], some["size"] + self.early.get(some["hash"].astype(np.int64), BEYOND))
             new[on] = some
         self.kept[states] = new
         self.moves.put(moves, states.astype(np.int32))

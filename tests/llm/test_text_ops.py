@@ -291,6 +291,19 @@ def test_pieces_go_on_together():
         calls.clear()
 
 
+def test_states_are_due_by_their_own_tokens():
+    """A state is looked at for tokens that may leave only from where a token that it begins with has its lookahead."""
+    t, r = bpe.Transducer(open(bpe.default_path(), "rb").read()), random.Random(9)
+    look = {x: int(n) for x, n in zip(t.token, t.look, strict=True) if len(x) + n <= 4 * bpe.SHORT}
+    pieces = ["".join(r.choices("etaoin ABC.,09éж🙂", k=r.randrange(1, 20))) for _ in range(300)] + ["e" * 40]
+    t.walk(pieces)
+    states = np.arange(1, t.states)
+    data, size = t._held(states)
+    for s, held in zip(states.tolist(), np.split(data, np.cumsum(size)[:-1]), strict=True):
+        held = held.tobytes()
+        assert t.kept["due"][s] == min([k + look[held[:k]] for k in range(1, len(held) + 1) if held[:k] in look], default=bpe.BEYOND)
+
+
 def test_odd_texts_together(monkeypatch):
     """Many short texts of mixed alphabets in one call, with states kept, few kept, and pieces above and below SHORT: the library's ids."""
     tokenizers = pytest.importorskip("tokenizers")
