@@ -366,7 +366,7 @@ def d1_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same projects as a tree of files: listed, pruned, opened once each; one catalogue takes one row of each (method, path)."""
     top = f"{folder(spark)}/projects"
-    tree.write_tree(project_files(spark, sf_dir), top)
+    tree.write_tree(project_files(spark, sf_dir).repartition("path"), top)  # a small table is one task, its tree is not small
     return runner.scan_tree(spark, top).select("method", "path_pattern", "framework", "source_file")
 
 

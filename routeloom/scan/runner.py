@@ -119,9 +119,9 @@ def with_project(files: DataFrame, folders: DataFrame) -> DataFrame:
     return out.select(*files.columns, F.coalesce(found, F.lit("")).alias("project"))
 
 
-def projects(files: DataFrame) -> DataFrame:
-    """D1 by project: project and the frameworks of its manifests, in registry order; the empty project has those of all, if no manifest is its own."""
-    hits = named(files).withColumn("folder", folder_of(F.col("path")))
+def projects(hits: DataFrame) -> DataFrame:
+    """D1 by project, from what manifests name: project and the frameworks of its manifests, in registry order; the empty project has those of all, if no manifest is its own."""
+    hits = hits.withColumn("folder", folder_of(F.col("path")))
     placed = with_project(hits, hits.select("folder").distinct())
     all_of = F.array_intersect(F.array(*[F.lit(n) for n in ORDER]), F.array_distinct(F.flatten(F.collect_list("frameworks")))).alias("frameworks")
     own = placed.groupBy("project").agg(all_of)
@@ -207,19 +207,19 @@ def resolved(found: DataFrame) -> DataFrame:
     return raw.select("project", *[c for c in FACT_COLUMNS if c in SCANNED])
 
 
-def placed_files(files: DataFrame, manifest_texts: DataFrame, frameworks: list[str] | None) -> DataFrame:
-    """files with project and the frameworks to look for (the named ones, else the project's, else all)."""
-    folders = manifest_texts.select(folder_of(F.col("path")).alias("folder")).distinct()
+def placed_files(files: DataFrame, hits: DataFrame, frameworks: list[str] | None) -> DataFrame:
+    """files with project and the frameworks to look for (the named ones, else the project's, else all); hits: what manifests name."""
+    folders = hits.select(folder_of(F.col("path")).alias("folder")).distinct()
     placed = with_project(files, folders)
     if frameworks:
         return placed.withColumn("frameworks", F.array(*[F.lit(n) for n in ORDER if n in frameworks]))
-    known = placed.join(projects(manifest_texts).where(F.size("frameworks") > 0), "project", "left")
+    known = placed.join(projects(hits).where(F.size("frameworks") > 0), "project", "left")
     return known.withColumn("frameworks", F.coalesce("frameworks", F.array(*[F.lit(n) for n in ORDER])))
 
 
 def all_facts(files: DataFrame, frameworks: list[str] | None = None) -> DataFrame:
     """FACT rows of files (path, content)."""
-    return facts(placed_files(files, manifests(files), frameworks))
+    return facts(placed_files(files, named(files), frameworks))
 
 
 def type_table(files: DataFrame, names: list[str]) -> DataFrame:
@@ -248,12 +248,17 @@ def scan(files: DataFrame, frameworks: list[str] | None = None, errors: bool = F
 
 
 def tree_facts(spark: SparkSession, root: str, frameworks: list[str] | None = None) -> DataFrame:
-    """FACT rows of a tree: directories that no extractor reads are not listed, files that none of their project reads are not opened."""
+    """FACT rows of a tree: directories that no extractor reads are not listed, files that none of their project reads are not opened.
+
+    The index and what manifests name are asked for several times each, so both are settled: one listing,
+    each manifest opened once for detection. Files are dealt anew before they are opened, as rows of paths do not tell their work.
+    """
     if not sources.readable(root):
         return all_facts(source_files(spark, root), frameworks)
     mine = [REGISTRY[n] for n in frameworks or ORDER]
-    index = sources.tree(spark, root, frozenset.intersection(*[e.skip for e in mine]), hidden=str(any(e.hidden for e in mine)).lower())
-    return facts(placed_files(index, sources.opened(manifests(index), root), frameworks), root)
+    index = settled(sources.tree(spark, root, frozenset.intersection(*[e.skip for e in mine]), hidden=str(any(e.hidden for e in mine)).lower()))
+    hits = settled(named(sources.opened(manifests(index), root)))
+    return facts(placed_files(index, hits, frameworks).repartition(sources.tasks_of(index), "path"), root)
 
 
 def scan_tree(spark: SparkSession, root: str, frameworks: list[str] | None = None, errors: bool = False) -> DataFrame:

@@ -4,8 +4,8 @@
 that the skip rules name are not listed. Listing starts on the driver with many directories at a time
 and stops at LISTED entries: what has been found until then is dealt into partitions of about
 ``partition_bytes``; directories still to be listed are handed to the executors, which walk them by the
-same rules. So a tree that fits is planned by bytes, and the driver's memory does not grow with one that
-does not.
+same rules. Neither makes more than TASKS partitions, so a tree that fits is planned by bytes, and one
+that does not costs the driver no more than LISTED entries and the names in the directories it was at.
 
 ``opened`` reads contents in the tasks, each file once, with an error instead of contents where a
 file cannot be read. ``write_tree`` writes (path, content) rows as a tree.
@@ -13,9 +13,11 @@ file cannot be read. ``write_tree`` writes (path, content) rows as a tree.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from math import ceil
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,6 +31,9 @@ LISTED = 200_000
 PARTITION_BYTES = 16 << 20
 FILE_COST = 64 << 10  # what opening a file is worth, in bytes
 THREADS = 32
+AT_ONCE = 8 * THREADS  # directories that the driver lists before it looks at the limit again
+TASKS = 1000  # partitions at most; of files listed by the driver, and of directories handed on
+READ_BYTES = 4 * PARTITION_BYTES  # what one task opens, where files are dealt for reading
 SCHEMES = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
 
 
@@ -56,6 +61,7 @@ class TreeReader(DataSourceReader):
         self.skip = SKIPPED | {x for x in options.get("skip", "").split(",") if x}
         self.hidden = options.get("hidden", "true") == "true"
         self.limit, self.size = int(options.get("listed", LISTED)), int(options.get("partition_bytes", PARTITION_BYTES))
+        self.tasks = int(options.get("tasks", TASKS))
 
     def listing(self, where: fs.FileSystem, base: str, folder: str) -> tuple[list[tuple[str, int]], list[str]]:
         """Files and folders to enter of one folder, relative to the tree."""
@@ -71,20 +77,23 @@ class TreeReader(DataSourceReader):
 
     def partitions(self) -> list[Work]:
         where, base = opened_fs(self.root)
-        files, level = [], [""]
+        files, ahead = [], deque([""])
         with ThreadPoolExecutor(THREADS) as pool:
-            while level and len(files) + len(level) <= self.limit:
-                found = list(pool.map(lambda d: self.listing(where, base, d), level))
-                files += [f for part, _ in found for f in part]
-                level = [d for _, part in found for d in part]
+            while ahead and len(files) + len(ahead) <= self.limit:
+                now = [ahead.popleft() for _ in range(min(AT_ONCE, len(ahead)))]
+                for part, folders in pool.map(lambda d: self.listing(where, base, d), now):
+                    files += part
+                    ahead += folders
+        size = max(self.size, 2 * sum(n + FILE_COST for _, n in files) / self.tasks)  # two neighbours hold more than one size
         out, load = [Work()], 0
         for f in files:
-            if load + f[1] + FILE_COST > self.size and out[-1].files:
+            if load + f[1] + FILE_COST > size and out[-1].files:
                 out.append(Work())
                 load = 0
             out[-1].files.append(f)
             load += f[1] + FILE_COST
-        return out + [Work(folders=[d]) for d in level]
+        left, groups = list(ahead), min(len(ahead), self.tasks)
+        return out + [Work(folders=left[k::groups]) for k in range(groups)]
 
     def read(self, partition: Work) -> Iterator[tuple[str, int]]:
         yield from partition.files
@@ -117,6 +126,12 @@ def tree(spark: SparkSession, root: str, skip: frozenset[str] = frozenset(), **o
     return reader.load(root)
 
 
+def tasks_of(index: DataFrame) -> int:
+    """Into how many tasks the files of an index (path, bytes) are dealt for reading."""
+    (total,) = index.selectExpr(f"coalesce(sum(bytes + {FILE_COST}), 0)").first()
+    return max(1, min(TASKS, ceil(total / READ_BYTES)))
+
+
 def reader_of(root: str) -> Callable[[str], tuple[str | None, str | None]]:
     """path -> (text, error), for use in a task."""
     where, base = opened_fs(root)
@@ -161,4 +176,4 @@ def write_tree(files: DataFrame, root: str) -> None:
     files.select("path", "content").mapInArrow(run, "n long").agg({"n": "sum"}).collect()
 
 
-__all__ = ["SourceTree", "opened", "readable", "reader_of", "tree", "write_tree"]
+__all__ = ["SourceTree", "opened", "readable", "reader_of", "tasks_of", "tree", "write_tree"]

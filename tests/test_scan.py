@@ -148,6 +148,28 @@ def test_skipped_folders_are_not_opened(spark, tmp_path):
     assert {r.path_pattern for r in found} == {f"/r{k}" for k in range(4)}
 
 
+def test_wide_trees_are_dealt_into_bounded_tasks(spark, tmp_path):
+    """Many directories side by side: more than the driver lists, and far more than there are tasks."""
+    for k in range(600):
+        (tmp_path / f"p{k}" / "src").mkdir(parents=True)
+        (tmp_path / f"p{k}" / "src" / "s.js").write_text("app.get('/r', f)\n")
+    want = sorted(f"p{k}/src/s.js" for k in range(600))
+    for listed in (100, 700, 2000):  # stops at the top, between directories, not at all
+        index = tree.tree(spark, str(tmp_path), listed=listed, tasks=8, partition_bytes=1)
+        assert index.rdd.getNumPartitions() <= 2 * 8 and sorted(r.path for r in index.collect()) == want
+    work = tree.TreeReader({"path": str(tmp_path), "listed": "700"}).partitions()
+    assert len(work) <= 2 * tree.TASKS and sum(len(w.files) + len(w.folders) for w in work) <= 700 + tree.AT_ONCE
+
+
+def test_a_scan_lists_its_tree_once(spark, tmp_path):
+    (tmp_path / "package.json").write_text('{"dependencies":{"express":"1"}}')
+    (tmp_path / "a.js").write_text("app.get('/a', f)\n")
+    found = runner.tree_facts(spark, str(tmp_path))
+    (tmp_path / "package.json").unlink()  # named its framework already
+    (tmp_path / "b.js").write_text("app.get('/b', f)\n")  # came after the listing
+    assert "source_tree" not in found._jdf.queryExecution().toString() and [(r.framework, r.path_pattern) for r in found.where("kind = 'route'").collect()] == [("express", "/a")]
+
+
 def test_unreadable_files_give_errors(spark, tmp_path):
     rows = [("a.js", "x" * 70_000 + "\napp.get('/a', f)"), ("b.js", "app.get('/b', f)"), ("c.txt", "x" * 70_000)]
     files = spark.createDataFrame(rows, "path string, content string")
