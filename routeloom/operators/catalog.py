@@ -98,9 +98,8 @@ def skeleton_fields(scans: DataFrame, observed_fields: DataFrame, obs: DataFrame
     """
     births = scans.groupBy(*ENDPOINT, "location", "field_path").agg(F.min("born").alias("scan_born"), F.min_by("type_json", "born").alias("scan_type"))
     key = [*ENDPOINT, "location", "field_path"]
-    points = births.select(*ENDPOINT, F.col("scan_born").alias("born")).distinct()
-    n = fold.calls_since(obs.select(*ENDPOINT, "seq"), points)
-    merged = observed_fields.join(births, key, "full_outer").join(n.withColumnRenamed("born", "scan_born"), [*ENDPOINT, "scan_born"], "left")
+    births = fold.calls_since(obs.select(*ENDPOINT, "seq"), births.withColumnRenamed("scan_born", "born"))
+    merged = observed_fields.join(births, key, "full_outer")
     return merged.select(
         *key, F.coalesce("seen_count", F.lit(0)).alias("seen_count"),
         F.greatest(F.coalesce("total_calls", F.lit(0)), F.coalesce("since", F.lit(0))).alias("total_calls"), F.coalesce("type_json", "scan_type").alias("type_json"),

@@ -4,9 +4,10 @@ A counter row (field, header, parameter) is born at its first sighting and count
 observation of its endpoint, so its total is the number of the endpoint's observations from that
 one on. That number is read off a tree of ranges of the sequence number: leaves of 2 ** LEAF_BITS
 numbers, then LEVELS levels of sums, each over 2 ** FAN_BITS nodes of the level below. In a level a
-birth adds up what stands right of its own node under the same parent (one row, summed beforehand),
-and only its own leaf is looked at number by number. So no task sees more of a hot endpoint than one
-parent's nodes, and a birth meets LEVELS + 1 rows, however many observations there are.
+leaf adds up what stands right of its own node under the same parent (one row, summed beforehand);
+levels at which the whole log lies in one node are left out. A birth meets its own leaf only, with
+that sum, and looks at it number by number. So no task sees more of a hot endpoint than one parent's
+nodes, and a leaf meets LEVELS rows at most, however many observations there are.
 
 The same counts are kept as mergeable states (``states``): a batch is aggregated once, states of
 batches add up (``merge_states``), and every statistic can be read from them without the log.
@@ -42,31 +43,47 @@ def leaves(obs: DataFrame, key: list[str]) -> DataFrame:
     return obs.groupBy(*key, F.shiftright("seq", LEAF_BITS).alias("r")).agg(F.count("*").alias("n"), F.collect_list("seq").alias("seqs"))
 
 
-def since(leaf: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:
-    """points (key..., born) -> distinct, with since: observations of the key from born on, which need not be one of them."""
-    points = points.select(*key, "born").distinct()
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))).alias("level")
+def span(leaf: DataFrame) -> DataFrame:
+    """One row: first and last range, and the levels at which they have different nodes; in all others no node has one beside it."""
+    ends = leaf.agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+    levels = F.expr(f"filter(sequence(0, {LEVELS - 1}), x -> x = 0 OR shiftright(lo, {FAN_BITS} * x) != shiftright(hi, {FAN_BITS} * x))")
+    return ends.select("lo", "hi", levels.alias("levels"))
+
+
+def after(leaf: DataFrame, ends: DataFrame, key: list[str]) -> DataFrame:
+    """leaf (key..., r, n) -> key..., r, after: the key's observations in all ranges right of r."""
     node = F.expr(f"shiftright(r, {FAN_BITS} * level)")
     parent = F.when(F.col("level") == LEVELS - 1, 0).otherwise(F.expr(f"shiftright(node, {FAN_BITS})"))
-    own = points.select(*key, "born", F.shiftright("born", LEAF_BITS).alias("r"))
-    # a point's nodes are there in any case, with nothing in them
-    both = leaf.select(*key, "r", "n").unionByName(own.select(*key, "r", F.lit(0).cast("long").alias("n")))
-    sums = both.select(*key, "r", "n", levels).groupBy(*key, "level", node.alias("node")).agg(F.sum("n").alias("n"))
+    nodes = leaf.select(*key, "r", "n").crossJoin(F.broadcast(ends)).select(*key, "r", "n", F.explode("levels").alias("level")).withColumn("node", node)
+    sums = nodes.groupBy(*key, "level", "node").agg(F.sum("n").alias("n"))
     right = Window.partitionBy(*key, "level", parent).orderBy(F.col("node").desc()).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*key, "level", "node", F.coalesce(F.sum("n").over(right), F.lit(0)).alias("beside"))
-    above = own.select(*key, "born", "r", levels).select(*key, "born", "level", node.alias("node")).join(sums, [*key, "level", "node"])
-    above = above.groupBy(*key, "born").agg(F.sum("beside").alias("after"))
-    within = own.join(leaf.select(*key, "r", "seqs"), [*key, "r"]).groupBy(*key, "born").agg(F.sum(F.size(F.filter("seqs", lambda x: x >= F.col("born")))).alias("within"))
-    return above.join(within, [*key, "born"], "left").select(*key, "born", (F.col("after") + F.coalesce("within", F.lit(0))).alias("since"))
+    return nodes.select(*key, "r", "level", "node").join(sums, [*key, "level", "node"]).groupBy(*key, "r").agg(F.sum("beside").alias("after"))
+
+
+def since(leaf: DataFrame, ends: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:
+    """points (key..., born, r, ...) -> with since: observations of the key from born on. r is a range of leaf, born's own or the one nearest to it."""
+    found = points.join(leaf.select(*key, "r", "seqs"), [*key, "r"], "left").join(after(leaf, ends, key), [*key, "r"], "left")
+    within = F.size(F.filter("seqs", lambda x: x >= F.col("born")))
+    return found.select(*points.columns, (F.col("after") + within).alias("since")).drop("r")
 
 
 def calls_since(obs: DataFrame, points: DataFrame) -> DataFrame:
-    return since(leaves(obs, ENDPOINT), points, ENDPOINT)
+    """points (method, path_pattern, born, ...) -> with since; born need not be an observation, since is null where it is null."""
+    seen = obs.select(*ENDPOINT, "seq", F.shiftright("seq", LEAF_BITS).alias("r"))
+    ends = span(seen)
+    # what was born before all observations or after them is looked up in their first or last range
+    at = points.crossJoin(F.broadcast(ends)).withColumn("r", F.when(F.col("born").isNotNull(), F.greatest(F.least(F.shiftright("born", LEAF_BITS), "hi"), "lo"))).drop("lo", "hi", "levels")
+    # a point's range is there in any case, with nothing in it
+    both = seen.unionByName(at.select(*ENDPOINT, F.lit(None).cast("long").alias("seq"), "r"))
+    leaf = both.groupBy(*ENDPOINT, "r").agg(F.count("seq").alias("n"), F.collect_list("seq").alias("seqs"))
+    return since(leaf, ends, at, ENDPOINT)
 
 
-def with_totals(births: DataFrame, leaf: DataFrame, key: list[str]) -> DataFrame:
-    """births (key..., born, ...) -> with total_calls."""
-    return births.join(since(leaf, births, key).withColumnRenamed("since", "total_calls"), [*key, "born"])
+def with_totals(births: DataFrame, leaf: DataFrame, ends: DataFrame, key: list[str]) -> DataFrame:
+    """births (key..., born, ...) -> with total_calls; the range that born lies in is in leaf."""
+    found = since(leaf, ends, births.withColumn("r", F.shiftright("born", LEAF_BITS)), key)
+    return found.where(F.col("since").isNotNull()).withColumnRenamed("since", "total_calls")
 
 
 def _presence(obs: DataFrame, seen: DataFrame, key: list[str], name: list[str], latest: str | None = None) -> DataFrame:
@@ -75,7 +92,8 @@ def _presence(obs: DataFrame, seen: DataFrame, key: list[str], name: list[str],
     if latest:
         aggs.append(F.max_by(latest, "seq").alias(latest))
     births = seen.groupBy(*key, *name).agg(*aggs)
-    return with_totals(births, leaves(obs, key), key).select(*key, *name, "seen_count", "total_calls", *([latest] if latest else []))
+    ends = span(obs.select(F.shiftright("seq", LEAF_BITS).alias("r")))
+    return with_totals(births, leaves(obs, key), ends, key).select(*key, *name, "seen_count", "total_calls", *([latest] if latest else []))
 
 
 def field_rows(obs: DataFrame, key: list[str]) -> DataFrame:
@@ -225,14 +243,21 @@ def merge_counters(state: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def merge_leaves(state: DataFrame, key: list[str] = VARIANT) -> DataFrame:
-    return state.where("kind = 'leaf'").groupBy(*key, "r").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("seqs")).alias("seqs"))
+def ranges_of(state: DataFrame, kind: str) -> DataFrame:
+    """key..., r, n, seqs of a state's leaves; a counter's range is there in any case, with nothing in it."""
+    leaf = F.col("kind") == "leaf"
+    rows = state.where(leaf | (F.col("kind") == kind))
+    return rows.select(*VARIANT, F.when(leaf, F.col("r")).otherwise(F.shiftright("born", LEAF_BITS)).alias("r"), F.when(leaf, F.col("n")).otherwise(0).alias("n"), F.when(leaf, F.col("seqs")).alias("seqs"))
+
+
+def merge_leaves(ranges: DataFrame, key: list[str] = VARIANT) -> DataFrame:
+    return ranges.groupBy(*key, "r").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("seqs")).alias("seqs"))
 
 
 def merge_states(state: DataFrame, k: int = NEWEST) -> DataFrame:
     """States of several batches as that of one."""
     rest = _top(recent_calls(state), k)
-    out = _filled(merge_leaves(state).withColumn("kind", F.lit("leaf"))).unionByName(_filled(rest))
+    out = _filled(merge_leaves(state.where("kind = 'leaf'")).withColumn("kind", F.lit("leaf"))).unionByName(_filled(rest))
     for kind in ("endpoint", "path", "variant", "field", "variant_field", "header", "param"):
         out = out.unionByName(_filled(merge_counters(state, kind)))
     return out
@@ -252,7 +277,8 @@ def presence_of(state: DataFrame, kind: str) -> DataFrame:
     """A4 (field), A5 (variant_field), A6 (header) or A7 (param) from states."""
     key = VARIANT if kind == "variant_field" else ENDPOINT
     counted = merge_counters(state, kind).withColumnRenamed("n", "seen_count")
-    rows = with_totals(counted, merge_leaves(state, key), key).withColumn("total_calls", F.col("total_calls") + F.col("more"))
+    ranges = ranges_of(state, kind)
+    rows = with_totals(counted, merge_leaves(ranges, key), span(ranges), key).withColumn("total_calls", F.col("total_calls") + F.col("more"))
     if kind in ("header", "param"):
         return rows.select(*key, "name", "seen_count", "total_calls")
     return rows.select(*key, "location", F.col("name").alias("field_path"), "seen_count", "total_calls", F.col("text").alias("type_json"))

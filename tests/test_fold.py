@@ -111,3 +111,57 @@ def test_stream_equals_batch(spark, tmp_path, parts):
     q.awaitTermination(120)
     key = lambda df: sorted(map(str, df.collect()))
     assert key(fold.fields(store.observations())) == key(fold.fields(infer.observe(pairs)))
+
+
+LOG = "seq long, observed_at timestamp, method string, path_pattern string, raw_path string, protocol string, status_code int, latency_ms long, req_fields array<struct<field_path:string,type_json:string>>, resp_fields array<struct<field_path:string,type_json:string>>, header_names array<string>, param_names array<string>, fingerprint string"
+
+
+def log(spark, rows):
+    """rows: (seq, path, [(field, type)], [header])"""
+    return spark.createDataFrame([(s, DAY, "GET", p, p, "rest", 200, 1, f, None, h, None, "v") for s, p, f, h in rows], LOG)
+
+
+def plan(df, which="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), which)().toString()
+
+
+ODD = [
+    (5, "/a", [("x", "t1"), (None, "t0")], ["H", None, "H"]), (9, "/a", [("x", "t2")], None), (9, "/a", [("x", "t2")], None), (12, "/a", [("x", None), ("y", "t1")], ["H"]),
+    (None, "/a", [("x", "t9"), ("lost", "t9")], ["H", "G"]), (7, None, [("x", "t1")], ["H"]), (-3000, "/a", [("z", "t1")], []), (1 << 61, "/a", [], None), (4, "/b", None, None),
+]
+# the newest type counts, also a null one; a field, header or path without name or number has no row
+ODD_FIELDS = {("/a", "x"): (5, 6 - 1, None), ("/a", "y"): (1, 2, "t1"), ("/a", "z"): (1, 6, "t1")}
+
+
+def presence(df):
+    return {(r.path_pattern, r.field_path): (r.seen_count, r.total_calls, r.type_json) for r in df.collect()}
+
+
+def test_odd_rows_count_as_before(spark):
+    got = presence(fold.fields(log(spark, ODD)))
+    assert got == presence(fold.presence_of(fold.states(log(spark, ODD)), "field")) == {**ODD_FIELDS, ("/a", None): (1, 5, "t0")}
+    assert {r.name: (r.seen_count, r.total_calls) for r in fold.headers(log(spark, ODD)).where("path_pattern = '/a' and name is not null").collect()} == {"H": (4, 6)}
+
+
+def test_births_are_counted_once(spark):
+    fields = fold.fields(log(spark, ODD))
+    assert plan(fields).count("Generate explode(array(") == 1
+    assert presence(fields)[("/a", "z")] == (1, 6, "t1")
+
+
+def test_levels_above_the_log_are_left_out(spark):
+    levels = lambda seqs: fold.span(spark.createDataFrame([(s >> fold.LEAF_BITS,) for s in seqs], "r long")).first().levels
+    assert levels([0, 1000]) == [0] and levels([3, 1 << 20]) == [0] and levels([3, 1 << 30]) == [0, 1] and levels([-1, 5]) == [0, 1, 2, 3, 4] and levels([]) == [0]
+
+
+def test_points_beside_the_log(spark):
+    points = spark.createDataFrame([("/a", 11), ("/a", -(1 << 40)), ("/a", 1 << 62), ("/none", 5), ("/b", 5), ("/b", 4), ("/a", None)], "path_pattern string, born long").selectExpr("'GET' AS method", "*")
+    ask = lambda rows: {(r.path_pattern, r.born): r.since for r in fold.calls_since(log(spark, rows), points).collect()}
+    assert ask(ODD) == {("/a", 11): 2, ("/a", -(1 << 40)): 6, ("/a", 1 << 62): 0, ("/none", 5): 0, ("/b", 5): 0, ("/b", 4): 1, ("/a", None): None}
+    assert set(ask([]).values()) == {0, None}
+
+
+def test_birth_whose_range_is_gone(spark):
+    state = fold.states(log(spark, [(5, "/a", [("x", "t")], []), (5000, "/a", [("x", "t")], []), (9000, "/a", [], [])]))
+    got = presence(fold.presence_of(state.where("kind <> 'leaf' or r > 0"), "field"))  # as after a deletion while a stream's counters go on
+    assert got == {("/a", "x"): (2, 2, "t")}
