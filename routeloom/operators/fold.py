@@ -88,10 +88,12 @@ def with_totals(births: DataFrame, leaf: DataFrame, ends: DataFrame, key: list[s
 
 def _presence(obs: DataFrame, seen: DataFrame, key: list[str], name: list[str], latest: str | None = None) -> DataFrame:
     """seen (key..., name..., seq[, latest]) -> seen_count, total_calls[, latest value]."""
-    aggs = [F.count("*").alias("seen_count"), F.min("seq").alias("born")]
     if latest:
-        aggs.append(F.max_by(latest, "seq").alias(latest))
-    births = seen.groupBy(*key, *name).agg(*aggs)
+        # each text is counted first: counts need no sort, max_by of a text sorts its rows
+        texts = seen.groupBy(*key, *name, latest).agg(F.count("*").alias("n"), F.min("seq").alias("born"), F.max("seq").alias("last"))
+        births = texts.groupBy(*key, *name).agg(F.sum("n").alias("seen_count"), F.min("born").alias("born"), F.max_by(latest, "last").alias(latest))
+    else:
+        births = seen.groupBy(*key, *name).agg(F.count("*").alias("seen_count"), F.min("seq").alias("born"))
     ends = span(obs.select(F.shiftright("seq", LEAF_BITS).alias("r")))
     return with_totals(births, leaves(obs, key), ends, key).select(*key, *name, "seen_count", "total_calls", *([latest] if latest else []))
 

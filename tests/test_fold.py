@@ -165,3 +165,11 @@ def test_birth_whose_range_is_gone(spark):
     state = fold.states(log(spark, [(5, "/a", [("x", "t")], []), (5000, "/a", [("x", "t")], []), (9000, "/a", [], [])]))
     got = presence(fold.presence_of(state.where("kind <> 'leaf' or r > 0"), "field"))  # as after a deletion while a stream's counters go on
     assert got == {("/a", "x"): (2, 2, "t")}
+
+
+def test_counting_sorts_no_sightings(spark):
+    """max_by of a text needs sorted rows: it gets one for each text, not one for each sighting."""
+    rows = log(spark, ODD)
+    for df in (fold.fields(rows), fold.variant_fields(rows)):
+        lines = [x for x in plan(df, "sparkPlan").splitlines() if "SortAggregate" in x]
+        assert lines and not any("count(1)" in x for x in lines)
