a_states_merged: states count texts first and sort no sightings

Symptom: making a batch's state spilled in every batch, and the sums by level again when totals were read.
Evidence: all kinds of counters went through one max_by of a text, so some ten rows an observation were sorted: 1283 to 1426 MB in memory and 136 to 151 MB on disk for each of four batches (orders 20-fold, observations read from a saved log, 3 executors of 2 cores and 1500 MB, 12 shuffle partitions).
Fix: paths, variants, headers and parameters have no text and are hashed; endpoints and fields are counted by text first, so max_by gets one row for each text. Merging drops max_by where there is no text.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 4601 -> 3154 s, shuffle 8.50 -> 6.89 GB, spill 0.11 -> 0.11 GB, read 2.82 -> 4.87 GB, longest task 40 -> 35 s, most memory of a task 839 -> 638 MB; at 6 GB of input CPU 20552 -> 14494 s, shuffle 49.17 -> 43.18 GB, spill 16.05 -> 2.00 GB, read 16.48 -> 30.28 GB, longest task 180 -> 159 s, most memory of a task 2047 -> 906 MB; with hot keys, at 1 GB of input CPU 3656 -> 4197 s, shuffle 8.29 -> 6.78 GB, spill 0.10 -> 0.00 GB, read 2.78 -> 4.80 GB, longest task 31 -> 41 s, most memory of a task 839 -> 604 MB.

@@ -191,6 +191,7 @@ STATE = (
     f"text STRING, text_at BIGINT, r BIGINT, seqs ARRAY<BIGINT>, recent ARRAY<{RECENT}>"
 )
 STATE_KEY = ["kind", *VARIANT, "location", "name"]
+WITH_TEXT = ["endpoint", "field", "variant_field"]
 STATE_COLUMNS = [c.split()[0] for c in STATE.split(", ") if ":" not in c] + ["recent"]
 
 
@@ -204,12 +205,25 @@ def _top(calls: DataFrame, k: int) -> DataFrame:
     return newest(calls, k).groupBy(*ENDPOINT).agg(F.collect_list(F.struct("observed_at", "seq", "status_code", "latency_ms", "fingerprint")).alias("recent")).withColumn("kind", F.lit("recent"))
 
 
+def _added(counters: DataFrame, key: list[str], *more: Column) -> DataFrame:
+    """Counters of the same key added up."""
+    return counters.groupBy(*key).agg(
+        F.sum("n").alias("n"), F.sum("more").alias("more"), F.min("born").alias("born"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        *more, F.max("text_at").alias("text_at"),
+    )
+
+
+def _last_text() -> Column:
+    return F.max_by("text", "text_at").alias("text")
+
+
 def states(obs: DataFrame, k: int = NEWEST) -> DataFrame:
     """A batch's mergeable state (STATE): counters with their births, ranges of sequence numbers, the k newest calls of each endpoint.
 
-    Counters of all kinds (endpoint, path, variant, field, variant_field, header, param) are one
-    aggregation, ranges (leaf, by variant) another. A text is the first protocol of an endpoint, or
-    the last type of a field: that of the largest text_at.
+    Counters without a text (path, variant, header, param) are one aggregation, those with one
+    (WITH_TEXT) another, ranges (leaf, by variant) a third. A text is the first protocol of an
+    endpoint, or the last type of a field: that of the largest text_at. Each text is counted first:
+    counts need no sort, max_by of a text sorts its rows.
     """
     none, one, last = F.lit(None).cast("string"), F.lit(1).cast("long"), F.col("seq")
     row = lambda kind, fp=none, location=none, name=none, n=one, more=F.lit(0).cast("long"), text=none, at=last: F.struct(
@@ -218,19 +232,20 @@ def states(obs: DataFrame, k: int = NEWEST) -> DataFrame:
     names = lambda col: F.coalesce(F.col(col), F.array().cast("array<string>"))
     times = lambda h: F.size(F.filter(names("header_names"), lambda x: x.eqNullSafe(h))).cast("long")
     fp = F.col("fingerprint")
-    rows = F.concat(
-        F.array(row("endpoint", text=F.col("protocol"), at=-last), row("path", name=F.col("raw_path")), row("variant", fp)),
-        fields("field", none, "request", "req_fields"), fields("field", none, "response", "resp_fields"), fields("variant_field", fp, "request", "req_fields"), fields("variant_field", fp, "response", "resp_fields"),
+    plain = F.concat(
+        F.array(row("path", name=F.col("raw_path")), row("variant", fp)),
         F.transform(F.array_distinct(names("header_names")), lambda h: row("header", name=h, n=times(h), more=times(h) - 1)), F.transform(names("param_names"), lambda p: row("param", name=p)),
     )
-    one_each = obs.select("method", "path_pattern", "observed_at", "seq", F.explode(rows).alias("x")).select("method", "path_pattern", "observed_at", "seq", "x.*")
-    counters = one_each.groupBy(*STATE_KEY).agg(
-        F.sum("n").alias("n"), F.sum("more").alias("more"), F.min("seq").alias("born"), F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"),
-        F.max_by("text", "text_at").alias("text"), F.max("text_at").alias("text_at"),
+    texts = F.concat(
+        F.array(row("endpoint", text=F.col("protocol"), at=-last)),
+        fields("field", none, "request", "req_fields"), fields("field", none, "response", "resp_fields"), fields("variant_field", fp, "request", "req_fields"), fields("variant_field", fp, "response", "resp_fields"),
     )
+    seen = ["method", "path_pattern", last.alias("born"), F.col("observed_at").alias("first_seen"), F.col("observed_at").alias("last_seen")]
+    one_each = lambda rows: obs.select(*seen, F.explode(rows).alias("x")).select("method", "path_pattern", "born", "first_seen", "last_seen", "x.*")
+    counters = _filled(_added(one_each(plain), STATE_KEY)).unionByName(_filled(_added(_added(one_each(texts), [*STATE_KEY, "text"]), STATE_KEY, _last_text())))
     ranges = leaves(obs, VARIANT).withColumn("kind", F.lit("leaf"))
     calls = _top(obs.select(*ENDPOINT, "observed_at", "seq", "status_code", "latency_ms", "fingerprint"), k)
-    return _filled(counters).unionByName(_filled(ranges)).unionByName(_filled(calls))
+    return counters.unionByName(_filled(ranges)).unionByName(_filled(calls))
 
 
 def recent_calls(state: DataFrame) -> DataFrame:
@@ -239,10 +254,8 @@ def recent_calls(state: DataFrame) -> DataFrame:
 
 
 def merge_counters(state: DataFrame, kind: str) -> DataFrame:
-    return state.where(F.col("kind") == kind).groupBy(*STATE_KEY).agg(
-        F.sum("n").alias("n"), F.sum("more").alias("more"), F.min("born").alias("born"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        F.max_by("text", "text_at").alias("text"), F.max("text_at").alias("text_at"),
-    )
+    counters = state.where(F.col("kind") == kind)
+    return _added(counters, STATE_KEY, _last_text()) if kind in WITH_TEXT else _added(counters, STATE_KEY).withColumn("text", F.lit(None).cast("string"))
 
 
 def ranges_of(state: DataFrame, kind: str) -> DataFrame:

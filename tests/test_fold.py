@@ -173,3 +173,18 @@ def test_counting_sorts_no_sightings(spark):
     for df in (fold.fields(rows), fold.variant_fields(rows)):
         lines = [x for x in plan(df, "sparkPlan").splitlines() if "SortAggregate" in x]
         assert lines and not any("count(1)" in x for x in lines)
+
+
+def test_states_sort_texts_only(spark):
+    obs = log(spark, ODD)
+    lines = plan(fold.states(obs), "sparkPlan").splitlines()
+    below = [lines[k + 1] for k, x in enumerate(lines) if "SortAggregate" in x and "partial_max_by" in x]
+    assert len(below) == 1 and "HashAggregate" in below[0]  # over counted texts, not over sightings
+    state = fold.states(obs)
+    for df in (state, fold.merge_states(state.unionByName(fold.states(log(spark, [(50, "/a", [("x", "t5")], ["G"])]))))):
+        got = {(r.kind, r.path_pattern, r.name): (r.n, r.more, r.born, r.text, r.text_at) for r in df.where("kind in ('endpoint', 'path', 'header', 'field')").collect()}
+        new = df is not state
+        assert got[("field", "/a", "x")] == ((6, 0, 5, "t5", 50) if new else (5, 0, 5, None, 12))
+        assert got[("header", "/a", "H")] == (4, 1, 5, None, 12) and got[("field", "/a", "lost")] == (1, 0, None, None, None)
+        assert got[("path", "/a", "/a")] == ((8, 0, -3000, None, 1 << 61) if new else (7, 0, -3000, None, 1 << 61))
+        assert got[("endpoint", "/a", None)] == ((8, 0, -3000, "rest", 3000) if new else (7, 0, -3000, "rest", 3000))
